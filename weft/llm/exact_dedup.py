@@ -42,7 +42,7 @@ def flush(digests: DataFrame, path: str, runs: int = RUNS) -> DataFrame:
     run = F.pmod(F.shiftrightunsigned(F.col("uid"), 33), F.lit(runs)).cast("int")
     table = digests.groupBy(run.alias("run"), "key").agg(F.min("who").alias("least"), F.count("*").alias("n"))
     sorted_run = table.sortWithinPartitions("run", "key")
-    (sorted_run.write.mode("overwrite").partitionBy("run").option("parquet.bloom.filter.enabled#key", "true").parquet(path))
+    (sorted_run.write.mode("overwrite").partitionBy("run").option("parquet.bloom.filter.enabled#key", "true").option("parquet.bloom.filter.adaptive.enabled", "true").option("parquet.bloom.filter.max.bytes", "65536").parquet(path))
     return digests.sparkSession.read.schema(table.select("key", "least", "n", "run").schema).parquet(path)
 
 
