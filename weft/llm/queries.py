@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, exact_dedup, line_dedup, mixing, near_dedup, packing, quality, token_store, warc
+from . import ann, exact_dedup, line_dedup, lm, mixing, near_dedup, packing, quality, token_store, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,11 +50,15 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
+def op9_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score_texts(_table(spark, sf_dir, "documents"))
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_and_read(_table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_line_dedup, op3_token_store, op4_mixing, op5_quality, op6_ann, op7_near_dedup, op8_packing, op10_warc)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_line_dedup, op3_token_store, op4_mixing, op5_quality, op6_ann, op7_near_dedup, op8_packing, op9_language_model, op10_warc)}
 
 _SPACES = r"[\x20\x09-\x0D]+"
 
