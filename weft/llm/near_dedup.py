@@ -4,10 +4,10 @@ Documents with the same shingle set are one class. Classes meet in the buckets o
 signatures are compared batch by batch; after each batch the posterior of the similarity (uniform prior) decides: a pair
 goes once the chance that it reaches the threshold falls below MISS. Survivors are verified on their full shingle sets.
 
-No group emits all its pairs. Round one links each bucket's members to its smallest (one pair a member). Members that are
-then still in different components are compared in blocks of bounded size inside the task, which emits for two components
-only their likeliest pairs; rounds go on, emitting more, until no bucket holds an untested pair across components. So the
-components are those of all links between candidates.
+No group emits all its pairs. First each bucket's members are paired with its smallest (one pair a member). Members that
+are then still in different components are compared in blocks of bounded size, screened and verified inside the task,
+which emits links that join components only: fewer than the block has rows. A larger bucket is cut in blocks, and each two
+blocks meet in a task of their own. So the components are those of all links between candidates.
 
 Scale. Signatures, buckets and links are tables; components come from contraction by joins, each round written to the
 shared folder. Broadcast is one filter of fixed size (FILTER_BITS) that keeps other documents' sets from being shuffled;
@@ -29,7 +29,7 @@ SHINGLE, THRESHOLD = 4, 80
 HASHES, BANDS, ROWS = 128, 24, 4
 BATCH = 32
 #: Chance at which a pair is given up after a batch.
-MISS = 1e-6
+MISS = 1e-5
 FILTER_BITS = 1 << 24
 #: Members of a bucket that are compared with each other at once.
 BLOCK = 256
@@ -138,9 +138,7 @@ def _verify(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
         for b in batches:
             linked = []
             for x, y in zip(b.column(2), b.column(3), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True)) if min(len(x), len(y)) * 100 >= threshold * max(len(x), len(y)) else 0
-                linked.append(100 * both >= threshold * (len(x) + len(y) - both))
+                linked.append(_linked(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), threshold))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(linked, pa.bool_())], names=["a", "b", "linked"])
 
     left, right = sets.select(F.col("node").alias("a"), F.col("set").alias("sa")), sets.select(F.col("node").alias("b"), F.col("set").alias("sb"))
@@ -167,27 +165,38 @@ def contract(labels: DataFrame, links: DataFrame, path: str) -> DataFrame:
         labels = staged(labels.join(up.select(F.col("node").alias("label"), "up"), "label", "left").select("node", F.coalesce("up", "label").alias("label")), f"{path}/{turn}-labels")
 
 
-def _compare_blocks(rows: DataFrame, least: list[int], most: int) -> DataFrame:
-    """rows: key, i, j, side, node, label, sig. For two labels of a block at most `most` surviving pairs, the likeliest; more says if others were held back."""
+def _linked(x: np.ndarray, y: np.ndarray, threshold: int) -> bool:
+    """Whether two sorted sets reach the threshold."""
+    if min(len(x), len(y)) * 100 < threshold * max(len(x), len(y)):
+        return False
+    at = np.searchsorted(y, x)
+    at[at == len(y)] = 0
+    both = int((y[at] == x).sum())
+    return 100 * both >= threshold * (len(x) + len(y) - both)
 
-    def of_group(side, node, label, sig):
-        got: dict = {}
+
+def _compare_blocks(rows: DataFrame, least: list[int], threshold: int) -> DataFrame:
+    """rows: key, i, j, side, node, label, sig, set. Links (a, b) between components, verified on full sets inside the task.
+
+    Every pair of a block that is not connected yet is screened; survivors are verified, and a link joins its two
+    components for the rest of the block. So a block emits fewer links than it has rows.
+    """
+
+    def of_group(side, node, label, sig, sets):
+        root, out = label.copy(), []
         cross = (side != side[0]).any()
-        more = False
         first = np.flatnonzero(side == 0)
+        far = np.flatnonzero(side == 1)
         for n, i in enumerate(first):
-            other = np.flatnonzero(side == 1) if cross else first[n + 1 :]
-            other = other[label[other] != label[i]]
+            other = far if cross else first[n + 1 :]
+            other = other[root[other] != root[i]]
             if not len(other):
                 continue
             same = _close(np.broadcast_to(sig[i], (len(other), HASHES)), sig[other], least)
-            for o, s in zip(other[same >= 0], same[same >= 0], strict=True):
-                got.setdefault((min(label[i], label[o]), max(label[i], label[o])), []).append((int(s), int(min(node[i], node[o])), int(max(node[i], node[o]))))
-        out = []
-        for found in got.values():
-            found.sort(reverse=True)
-            more |= len(found) > most
-            out += [(a, b, len(found) > most) for _, a, b in found[:most]]
+            for o in other[np.argsort(-same, kind="stable")][: int((same >= 0).sum())]:
+                if root[o] != root[i] and _linked(sets[i], sets[o], threshold):
+                    out.append((int(min(node[i], node[o])), int(max(node[i], node[o]))))
+                    root[root == root[o]] = root[i]
         return out
 
     def run(batches):
@@ -204,19 +213,20 @@ def _compare_blocks(rows: DataFrame, least: list[int], most: int) -> DataFrame:
         cut = np.flatnonzero((k[1:] != k[:-1]).any(axis=1)) + 1
         edges = [0, *cut, *([len(k)] if last else [])]
         side, node, label = (np.asarray(t.column(c)) for c in ("side", "node", "label"))
-        sig = t.column("sig")
+        sig, sets = t.column("sig"), t.column("set")
         out = []
         for a, z in zip(edges[:-1], edges[1:], strict=True):
             s = np.frombuffer(b"".join(sig.slice(a, z - a).to_pylist()), np.uint32).reshape(-1, HASHES)
-            out += of_group(side[a:z], node[a:z], label[a:z], s)
+            own = [np.frombuffer(x, np.uint64) for x in sets.slice(a, z - a).to_pylist()]
+            out += of_group(side[a:z], node[a:z], label[a:z], s, own)
         if out:
-            a, b, m = zip(*out, strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(m, pa.bool_())], names=["a", "b", "more"])
+            a, b = zip(*out, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
         return t.slice(edges[-1])
 
-    names = ["key", "i", "j", "side", "node", "label", "sig"]
+    names = ["key", "i", "j", "side", "node", "label", "sig", "set"]
     dealt = rows.select(*names).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "side")
-    return dealt.mapInArrow(run, "a long, b long, more boolean")
+    return dealt.mapInArrow(run, "a long, b long")
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, shingle: int = SHINGLE, threshold: int = THRESHOLD, miss: float = MISS, block: int = BLOCK) -> DataFrame:
@@ -254,22 +264,15 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     tested = staged(_verify(_screen(pairs, cand, least), sets, threshold), f"{base}/star")
     labels = contract(labels, tested.where("linked"), f"{base}/star-labels")
 
-    most, turn = 4, 0
-    while True:
-        turn += 1
-        rest = buckets.where("n > 2 and node <> pivot").join(labels, "node")
-        mixed_keys = rest.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("m")).where("lo <> hi").select("key", "m")
-        blocks = F.ceil(F.col("m") / block).cast("int")
-        rows = rest.select("key", "node", "label").join(mixed_keys, "key").withColumn("nb", blocks).withColumn("own", F.pmod(F.xxhash64("node"), F.col("nb")).cast("int"))
-        rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-        rows = rows.select("key", "node", "label", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("side"))
-        found = staged(_compare_blocks(rows.join(cand, "node"), least, most), f"{base}/found-{turn}")
-        fresh = found.groupBy("a", "b").agg(F.max("more").alias("more")).join(tested.select("a", "b"), ["a", "b"], "left_anti")
-        new = staged(_verify(fresh.select("a", "b"), sets, threshold), f"{base}/tested-{turn}")
-        labels = contract(labels, new.where("linked"), f"{base}/labels-{turn}")
-        if found.where("more").isEmpty():
-            break
-        tested, most = staged(tested.unionByName(new), f"{base}/all-{turn}"), most * 16
+    # What a bucket still holds of different components, in blocks.
+    rest = buckets.where("n > 2 and node <> pivot").join(labels, "node")
+    mixed_keys = rest.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("m")).where("lo <> hi").select("key", "m")
+    blocks = F.ceil(F.col("m") / block).cast("int")
+    rows = rest.select("key", "node", "label").join(mixed_keys, "key").withColumn("nb", blocks).withColumn("own", F.pmod(F.xxhash64("node"), F.col("nb")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
+    rows = rows.select("key", "node", "label", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("side"))
+    links = staged(_compare_blocks(rows.join(cand, "node").join(sets, "node"), least, threshold), f"{base}/links")
+    labels = contract(labels, links, f"{base}/labels")
 
     told = classes.join(labels, "node", "left").select("set_key", F.coalesce("label", "node").alias("label"), "n", "node")
     told = told.where("n > 1 or label <> node").select("set_key", "label")
