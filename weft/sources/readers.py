@@ -155,12 +155,15 @@ def repaired(text: pd.Series) -> pd.Series:
     return text.map(lambda x: None if x is None else repair_json(x))
 
 
-def entity_list(response: Column, source: Column) -> Column:
-    """Entities of a response: its JSON array of strings, else capitalised runs of the source; first seen regardless of case."""
-    parsed = F.from_json(repaired(T.strip_code_fence(response)), "array<string>")
-    names = F.filter(F.transform(F.coalesce(parsed, T.heuristic_entities(source)), lambda x: F.trim(x)), lambda x: x.isNotNull() & (x != ""))
-    keys = F.transform(names, lambda x: F.lower(x))
-    return F.transform(F.filter(F.transform(names, lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda s: F.array_position(keys, F.lower(s["x"])) == s["i"] + 1), lambda s: s["x"])
+def with_entities(df: DataFrame, response: Column, source: Column, out: str = "entities") -> DataFrame:
+    """Adds the entities of a response: its JSON array of strings, else capitalised runs of the source; first seen regardless of case."""
+    df = df.withColumn("__json", repaired(T.strip_code_fence(response)))  # a column of its own, as lambdas take no Python function
+    parsed = F.from_json("__json", "array<string>")
+    df = df.withColumn("__names", F.filter(F.transform(F.coalesce(parsed, T.heuristic_entities(source)), lambda x: F.trim(x)), lambda x: x.isNotNull() & (x != "")))
+    keys = F.transform("__names", lambda x: F.lower(x))
+    numbered = F.transform("__names", lambda x, i: F.struct(x.alias("x"), i.alias("i")))
+    first = F.filter(numbered, lambda s: F.array_position(keys, F.lower(s["x"])) == s["i"] + 1)
+    return df.withColumn(out, F.transform(first, lambda s: s["x"])).drop("__json", "__names")
 
 
 MANIFEST = "generated_at string, provider string, model string, documents array<struct<doc_id:string,filename:string,primary_topic:struct<id:string,title:string>,cross_references:array<struct<id:string,title:string>>>>"
