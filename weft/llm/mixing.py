@@ -147,7 +147,8 @@ def mixing_plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     root = counts.agg(F.array_sort(F.collect_list(F.struct("pos", "k"))).alias("s")).select(F.lit(0).cast("long").alias("node"), F.transform("s", lambda x: x["k"]).alias("q"), F.transform("s", lambda x: x["pos"]).alias("at"))
     root = staged(root, f"{base}/root")
     leaves = split_tree(root.select("node", "q"), depth, f"{base}/levels", seed)
-    by_leaf = leaves.crossJoin(F.broadcast(root.select("at"))).select("node", F.explode(F.arrays_zip("at", "q")).alias("z")).select("node", F.col("z.at").alias("pos"), F.col("z.q").alias("k"))
+    names = root.select(F.posexplode("at").alias("i", "pos"))
+    by_leaf = leaves.select("node", F.posexplode("q").alias("i", "k")).join(names, "i").select("node", "pos", "k")
     ends = by_leaf.groupBy("pos").agg(F.array_sort(F.collect_list(F.struct("node", "k"))).alias("l"))
     running = F.aggregate("l", F.array(F.lit(0).cast("long")), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + x["k"])))
     ends = staged(ends.select("pos", F.slice(running, 2, 1 << depth).alias("ends")), f"{base}/tree")
