@@ -84,7 +84,7 @@ def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", payload_col
             if out is None:
                 fs, local = file_system(name)
                 fs.create_dir(local.rsplit("/", 1)[0], recursive=True)
-                out = fs.open_output_stream(local)
+                out = fs.open_output_stream(local, compression=None)
             for i in range(b.num_rows):
                 page_id, url, body, kind, refers = (b.column(k)[i] for k in range(5))
                 _write_record(out, page_id.as_py(), url.as_py(), memoryview(body.as_buffer()) if body.is_valid else memoryview(b""), kind.as_py(), refers.as_py(), chunk)
@@ -197,7 +197,7 @@ def read_chunks(manifest: DataFrame, chunk: int = CHUNK, *, with_bytes: bool = T
         for b in batches:
             for name in b.column(0).to_pylist():
                 fs, local = file_system(name)
-                with fs.open_input_stream(local) as f:
+                with fs.open_input_stream(local, compression=None) as f:
                     rows, held = [], 0
                     for row in records(f):
                         rows.append(row)
