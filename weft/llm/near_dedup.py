@@ -32,7 +32,7 @@ BATCH = 32
 MISS = 1e-5
 FILTER_BITS = 1 << 24
 #: Members of a bucket that are compared with each other at once.
-BLOCK = 256
+BLOCK = 512
 NO_ID = (1 << 63) - 1
 
 _rng = np.random.Generator(np.random.PCG64(7))
@@ -59,7 +59,7 @@ def _signature(s: np.ndarray) -> np.ndarray:
     out = np.full(HASHES, 0xFFFFFFFF, np.uint32)
     for i in range(0, len(s), 512):
         out = np.minimum(out, ((s[i : i + 512, None] * _FACTOR + _SHIFT) >> np.uint64(32)).min(axis=0).astype(np.uint32))
-    return out
+    return (out & np.uint32(0xFFFF)).astype(np.uint16)  # equal hashes stay equal; others agree by chance once in 65,536
 
 
 def _sets(batch_texts: pa.Array, k: int):
@@ -95,7 +95,7 @@ def _band_keys(reps: DataFrame) -> DataFrame:
         for b in batches:
             if not b.num_rows:
                 continue
-            sig = np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint32).reshape(-1, HASHES)[:, : BANDS * ROWS].astype(np.uint64).reshape(-1, BANDS, ROWS)
+            sig = np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint16).reshape(-1, HASHES)[:, : BANDS * ROWS].astype(np.uint64).reshape(-1, BANDS, ROWS)
             key = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64), sig.shape[:2]).copy()
             for r in range(ROWS):
                 key = mixed(key + sig[:, :, r])
@@ -124,7 +124,7 @@ def _screen(pairs: DataFrame, cand: DataFrame, least: list[int]) -> DataFrame:
 
     def test(batches):
         for b in batches:
-            x, y = (np.frombuffer(b"".join(b.column(i).to_pylist()), np.uint32).reshape(-1, HASHES) for i in (2, 3))
+            x, y = (np.frombuffer(b"".join(b.column(i).to_pylist()), np.uint16).reshape(-1, HASHES) for i in (2, 3))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(_close(x, y, least) >= 0))
 
     left, right = cand.select(F.col("node").alias("a"), F.col("sig").alias("sa")), cand.select(F.col("node").alias("b"), F.col("sig").alias("sb"))
@@ -216,7 +216,7 @@ def _compare_blocks(rows: DataFrame, least: list[int], threshold: int) -> DataFr
         sig, sets = t.column("sig"), t.column("set")
         out = []
         for a, z in zip(edges[:-1], edges[1:], strict=True):
-            s = np.frombuffer(b"".join(sig.slice(a, z - a).to_pylist()), np.uint32).reshape(-1, HASHES)
+            s = np.frombuffer(b"".join(sig.slice(a, z - a).to_pylist()), np.uint16).reshape(-1, HASHES)
             own = [np.frombuffer(x, np.uint64) for x in sets.slice(a, z - a).to_pylist()]
             out += of_group(side[a:z], node[a:z], label[a:z], s, own)
         if out:
@@ -268,10 +268,10 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rest = buckets.where("n > 2 and node <> pivot").join(labels, "node")
     mixed_keys = rest.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("m")).where("lo <> hi").select("key", "m")
     blocks = F.ceil(F.col("m") / block).cast("int")
-    rows = rest.select("key", "node", "label").join(mixed_keys, "key").withColumn("nb", blocks).withColumn("own", F.pmod(F.xxhash64("node"), F.col("nb")).cast("int"))
+    rows = rest.select("key", "node", "label").join(mixed_keys, "key").join(cand.join(sets, "node"), "node").withColumn("nb", blocks).withColumn("own", F.pmod(F.xxhash64("node"), F.col("nb")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-    rows = rows.select("key", "node", "label", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("side"))
-    links = staged(_compare_blocks(rows.join(cand, "node").join(sets, "node"), least, threshold), f"{base}/links")
+    rows = rows.select("key", "node", "label", "sig", "set", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("side"))
+    links = staged(_compare_blocks(rows, least, threshold), f"{base}/links")
     labels = contract(labels, links, f"{base}/labels")
 
     told = classes.join(labels, "node", "left").select("set_key", F.coalesce("label", "node").alias("label"), "n", "node")
