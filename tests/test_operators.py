@@ -4,6 +4,8 @@ import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
+from pyspark.sql import functions as F
+
 from weft.operators import evaluate, graph, models, pipelines, search, select, store
 
 EDGE = "source long, target long, edge_type string, weight long, last_updated long, seq long"
@@ -171,3 +173,25 @@ def test_answer_pipeline(spark):
     e = graph.compact_edges(edges(spark, [(1, 3, "LLM_ASSERTED", 1)]))
     r = pipelines.answer(spark.createDataFrame([("billing refunds",)], "query string"), ps, e, files).first()
     assert r.citations[0] == "billing/refunds" and "About billing/refunds [billing/refunds]" in r.answer and r.unknown == []
+
+
+def test_wal_scan_and_pins(spark):
+    import zlib
+
+    rows = [(1, 1, "a", zlib.crc32(b"a")), (1, 2, "b", zlib.crc32(b"b")), (2, 3, "c", 0)]
+    kind = "segment int, seq long, payload string, crc long"
+    assert [r.payload for r in store.scan_wal(spark.createDataFrame(rows, kind)).orderBy("seq").collect()] == ["a", "b"]
+    with pytest.raises(Exception, match="damaged"):
+        store.scan_wal(spark.createDataFrame([rows[0], (1, 2, "b", 5), rows[0]], kind).union(spark.createDataFrame([(3, 9, "z", zlib.crc32(b"z"))], kind))).collect()
+    ev = lambda *d: store.epoch_pins(spark.createDataFrame([(5, i, x) for i, x in enumerate(d)], "epoch long, seq long, delta int"))
+    assert ev(1, 1, -1).first().n == 1 and ev(1, -1).count() == 0
+    with pytest.raises(Exception, match="twice"):
+        ev(1, -1, -1).collect()
+
+
+def test_section_ranges(spark):
+    f = spark.createDataFrame([(1, "é one\n## B\nx\n## B\ny", ["é", "## B", "## B"])], "file_id long, content string, markers array<string>")
+    got = [(r.start, r.end) for r in store.section_ranges(f).first().ranges]
+    assert got == [(0, 7), (7, 14), (14, 20)]
+    with pytest.raises(Exception, match="no section"):
+        store.section_ranges(f.withColumn("markers", F.array(F.lit("nope")))).collect()

@@ -122,3 +122,17 @@ def doc_specs(topics: DataFrame, k: int) -> DataFrame:
     a = topics.join(F.broadcast(n)).select("idx", "title", "n", F.explode(F.sequence(F.lit(1), F.lit(k))).alias("off"))
     b = topics.select(F.col("idx").alias("ref"), F.col("title").alias("ref_title"))
     return a.withColumn("ref", (F.col("idx") + F.col("off")) % F.col("n")).join(b, "ref").where("ref <> idx").select("idx", "title", "off", "ref_title")
+
+
+def throughput(samples: DataFrame, elapsed_seconds: float, by: str = "method") -> DataFrame:
+    return samples.groupBy(by).agg((F.count("*") / elapsed_seconds).alias("per_second"))
+
+
+def expansion_study(with_: dict[int, DataFrame], without: dict[int, DataFrame]) -> DataFrame:
+    """Per checkpoint: mean precision with and without expansion, and whether it hurt any query."""
+    out = None
+    for pct, scores in with_.items():
+        d = expansion_delta(scores, without[pct])
+        row = d.agg(F.lit(pct).alias("pct"), F.coalesce(F.avg("expanded"), F.lit(0.0)).alias("expanded"), F.coalesce(F.avg("plain"), F.lit(0.0)).alias("plain"), F.coalesce(F.bool_or("hurt"), F.lit(False)).alias("any_hurt"))
+        out = row if out is None else out.unionByName(row)
+    return out

@@ -117,3 +117,46 @@ def transitions(events: DataFrame) -> DataFrame:
     before = F.coalesce(F.lag("status").over(Window.partitionBy("file_id").orderBy("seq")), F.lit("ACTIVE"))
     legal = F.concat(before, F.lit(">"), F.col("status")).isin(*[f"{a}>{b}" for a, b in sorted(MOVES)])
     return events.select("file_id", "seq", "status", (legal | (F.col("seq") == 0)).alias("legal"))
+
+
+def scan_wal(records: DataFrame, checkpoint: int = -1) -> DataFrame:
+    """Records (segment, seq, payload, crc) after the checkpoint. A last record that is torn is left out; any other is an error."""
+    last = records.agg(F.max(F.struct("segment", "seq")).alias("last"))
+    x = records.where(F.col("seq") > checkpoint).join(F.broadcast(last)).withColumn("whole", F.crc32(F.col("payload").cast("binary")) == F.col("crc"))
+    torn = F.when(F.struct("segment", "seq") == F.col("last"), F.lit(False)).otherwise(F.raise_error(F.concat(F.lit("damaged record "), F.col("seq").cast("string"))).cast("boolean"))
+    return x.where(F.when(F.col("whole"), F.lit(True)).otherwise(torn)).drop("last", "whole")
+
+
+def archivable(segments: DataFrame, checkpoint_segment: int) -> DataFrame:
+    return segments.where(F.col("segment") < checkpoint_segment)
+
+
+def truncate_log(log: DataFrame, high_water: int) -> DataFrame:
+    """What is kept after compaction; numbers of what goes are never used again, since new ones follow the largest ever given."""
+    return log.where(F.col("seq") > high_water)
+
+
+def epoch_pins(events: DataFrame) -> DataFrame:
+    """epoch, n still held, from acquire (+1) and release (-1) events; releasing what is not held is an error."""
+    upto = Window.partitionBy("epoch").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    x = events.withColumn("held", F.sum("delta").over(upto))
+    good = F.when(F.col("held") >= 0, F.lit(True)).otherwise(F.raise_error(F.lit("released twice")).cast("boolean"))
+    return x.where(good).groupBy("epoch").agg(F.sum("delta").alias("n")).where("n > 0")
+
+
+def section_ranges(files: DataFrame) -> DataFrame:
+    """file_id, ranges: contiguous byte ranges that begin at markers, each sought from the one before on; the first begins at 0 and the last ends the file.
+
+    files: file_id, content, markers. A marker that does not occur in order is an error.
+    """
+
+    def step(a, m):
+        p = F.call_function("locate", m, F.col("content"), a["next"])
+        found = F.when(p > 0, p).otherwise(F.raise_error(F.concat(F.lit("no section at "), m)).cast("int"))
+        return F.struct((found + 1).alias("next"), F.concat(a["at"], F.array(found)).alias("at"))
+
+    start = F.struct(F.lit(1).alias("next"), F.array().cast("array<int>").alias("at"))
+    chars = F.transform(F.aggregate("markers", start, step)["at"], lambda p, i: F.when(i == 0, F.lit(1)).otherwise(p))
+    first = F.transform(chars, lambda p: T.char_to_byte_offset(F.col("content"), p - 1).cast("long"))
+    ends = F.concat(F.slice(F.col("first"), 2, 1_000_000), F.array(F.octet_length("content").cast("long")))
+    return files.withColumn("first", first).select("file_id", F.arrays_zip(F.col("first").alias("start"), ends.alias("end")).alias("ranges"))
