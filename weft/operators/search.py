@@ -47,15 +47,18 @@ def candidate_pool(queries: DataFrame, paths: DataFrame, per_term: int = PER_TER
     seen = lambda key: F.row_number().over(Window.partitionBy("query", key).orderBy("term_pos", "path", "file_id"))
     pool = pool.withColumn("s", seen("file_id")).where("s = 1").withColumn("s", seen("path")).where("s = 1")
     pool = pool.withColumn("pos", F.row_number().over(Window.partitionBy("query").orderBy("term_pos", "path"))).where(F.col("pos") <= merged)
-    return pool.select("query", "file_id", "path", "pos")
+    return pool.select("query", "file_id", "path", "pos", *[c for c in paths.columns if c not in ("file_id", "path")])
 
 
 def search_candidates(queries: DataFrame, paths: DataFrame, max_results: int = 20, *, per_term: int = PER_TERM, merged: int = MERGED) -> DataFrame:
     """query, file_id, path, score, rank: the pool by term overlap, ties in pool order; max_results 0 is no limit."""
     if max_results < 0:
         raise ValueError("max_results must not be negative")
-    pool = candidate_pool(queries, paths, per_term, merged)
-    scored = pool.withColumn("score", T.term_overlap(F.col("query"), F.col("path")))
+    # Terms are cut once a path and once a query, not once a pair.
+    asked = queries.select("query", F.array_distinct(T.tokenize_terms(F.col("query"))).alias("q")).distinct()
+    cut = paths.select("file_id", "path", T.tokenize_terms(F.col("path")).alias("p"))
+    pool = candidate_pool(queries, cut, per_term, merged).join(asked, "query")
+    scored = pool.withColumn("score", F.when(F.size("q") == 0, F.lit(0.0)).otherwise(F.size(F.array_intersect("q", "p")) / F.size("q")))
     ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "pos")))
     ranked = ranked.where(F.col("rank") <= max_results) if max_results else ranked
     blank = queries.where(F.size(T.split_terms(F.col("query"))) == 0).select("query").distinct()
