@@ -29,6 +29,16 @@ def test_same_as_duckdb(spark, name):
     assert rounded(map(tuple, ours.select(*cols).collect())) == rounded(rel.fetchall())
 
 
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
+@pytest.mark.parametrize("name", ["heuristic_entities_all"])
+def test_all_documents(spark, name):
+    import __spark_entry__ as entry
+
+    n = spark.read.parquet(f"{SF}/documents.parquet").count()
+    assert entry.QUERIES[name](spark, SF).select("doc_id").distinct().count() == n > entry.QUERIES["heuristic_entities"](spark, SF).count()
+    test_same_as_duckdb(spark, name)
+
+
 def test_every_query_has_a_name_and_sql():
     import __spark_entry__ as entry
 

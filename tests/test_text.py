@@ -1,5 +1,7 @@
 """Golden cases of the column functions."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -82,3 +84,9 @@ def test_json_and_entities(spark):
     assert one(spark, T.resolve_cost(F.lit(None).cast("double"), F.lit("Ollama"))) == 0.0
     with pytest.raises(Exception, match="no cost"):
         one(spark, T.resolve_cost(F.lit(None).cast("double"), F.lit("paid")))
+
+
+def test_an_accent_keeps_out_its_own_word_only(spark):
+    s = "Élan Vital met Café Noir. École, naïve Bob Ray; The Zürich Team “Quoted Name” X_y Zoë2 End"
+    want = ["Vital", "Noir", "Bob Ray", "The", "Team", "Quoted Name", "End"]
+    assert one(spark, T.heuristic_entities(F.lit(s))) == want == re.findall(r"\b[A-Z][a-zA-Z0-9]*(?:\s+[A-Z][a-zA-Z0-9]*)*\b", s)

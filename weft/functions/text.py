@@ -148,8 +148,11 @@ def canonical_entity(name: Column) -> Column:
 
 
 def heuristic_entities(text: Column) -> Column:
-    """Runs of capitalised words; of more than one word a leading article or demonstrative goes."""
-    runs = F.regexp_extract_all(text, F.lit("\\b([A-Z][a-zA-Z0-9]*(?:\\s+[A-Z][a-zA-Z0-9]*)*)\\b"), 1)
+    """Runs of capitalised words; of more than one word a leading article or demonstrative goes.
+
+    Letters and digits of any script bound a word, so an accent keeps its own word out and no other.
+    """
+    runs = F.regexp_extract_all(text, F.lit("(?<![\\p{L}\\p{N}_])([A-Z][a-zA-Z0-9]*(?:\\s+[A-Z][a-zA-Z0-9]*)*)(?![\\p{L}\\p{N}_])"), 1)
 
     def clean(run):
         words = F.split(run, "\\s+")

@@ -198,11 +198,24 @@ def page_parse(t):
     c AS (SELECT doc_id, list_transform(runs, lambda r: CASE WHEN len(regexp_split_to_array(r, '\\s+')) > 1 AND lower(regexp_split_to_array(r, '\\s+')[1]) IN ('the', 'a', 'an', 'this', 'that', 'these', 'those') THEN array_to_string(regexp_split_to_array(r, '\\s+')[2:], ' ') ELSE array_to_string(regexp_split_to_array(r, '\\s+'), ' ') END) AS e FROM d)
     SELECT doc_id, len(e) AS n_entities, md5(array_to_string(e, '|')) AS entities_md5 FROM c""")
 def heuristic_entities(t):
-    d = t.raw("documents").where(~F.col("text").rlike("[^\\x00-\\x7F]"))
+    """ASCII documents only, as its SQL; heuristic_entities_all has the whole table."""
+    return _entities(t.raw("documents").where(~F.col("text").rlike("[^\\x00-\\x7F]")))
+
+
+def _entities(d):
     x = d.select("doc_id", T.heuristic_entities(F.col("text")).alias("e"))
     return x.select("doc_id", F.size("e").alias("n_entities"), F.md5(F.array_join("e", "|").cast("binary")).alias("entities_md5"))
 
 
+# RE2 knows ASCII word boundaries only: letters and digits beyond ASCII become _, which is of no capitalised word.
+@query("""
+    WITH d AS (SELECT doc_id, regexp_extract_all(regexp_replace(text, '[^\\x00-\\x7F\\P{L}]|[^\\x00-\\x7F\\P{N}]', '_', 'g'), '\\b([A-Z][a-zA-Z0-9]*(?:\\s+[A-Z][a-zA-Z0-9]*)*)\\b', 1) AS runs FROM documents),
+    c AS (SELECT doc_id, list_transform(runs, lambda r: CASE WHEN len(regexp_split_to_array(r, '\\s+')) > 1 AND lower(regexp_split_to_array(r, '\\s+')[1]) IN ('the', 'a', 'an', 'this', 'that', 'these', 'those') THEN array_to_string(regexp_split_to_array(r, '\\s+')[2:], ' ') ELSE array_to_string(regexp_split_to_array(r, '\\s+'), ' ') END) AS e FROM d)
+    SELECT doc_id, len(e) AS n_entities, md5(array_to_string(e, '|')) AS entities_md5 FROM c""")
+def heuristic_entities_all(t):
+    return _entities(t.raw("documents"))
+
+
 @query("""
     WITH r AS (SELECT event_id, [user_id % 7, event_id % 6, 9, user_id % 4] AS raw FROM events),
     f AS (SELECT event_id, list_filter(list_concat(raw, [1, 2, 3, 4, 5]), lambda v: v BETWEEN 1 AND 5) AS l FROM r),

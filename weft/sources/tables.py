@@ -42,11 +42,10 @@ class Tables:
         )
 
     def mentions(self, most: int = 200_000) -> DataFrame:
-        """doc_id, entity, display, seq: capitalised runs of ASCII documents that keep to one word or more."""
+        """doc_id, entity, display, seq: capitalised runs of all documents that keep to one word or more."""
         from ..functions import text as T
 
-        d = self.raw("documents").where(~F.col("text").rlike("[^\\x00-\\x7F]"))
-        x = d.select("doc_id", F.posexplode(T.heuristic_entities(F.col("text"))).alias("pos", "display"))
+        x = self.raw("documents").select("doc_id", F.posexplode(T.heuristic_entities(F.col("text"))).alias("pos", "display"))
         return x.select("doc_id", T.canonical_entity(F.col("display")).alias("entity"), "display", (F.col("doc_id") * 1_000_000 + F.col("pos")).alias("seq"))
 
     def stages(self) -> DataFrame:
