@@ -111,6 +111,28 @@ def test_pack(spark):
     assert packing.pack(frame(spark, rows).limit(0), P.path("word_bpe_49k.json")).count() == 0
 
 
+@pytest.mark.parametrize("n", [10_000, 400_000])
+def test_the_program_places_nearly_all_pieces(monkeypatch, n):
+    rng = np.random.Generator(np.random.PCG64(n))
+    lengths = np.minimum(4096, rng.lognormal(6, 1.3, n).astype(np.int64) + 1)
+    rest, best_fit = [], packing._best_fit
+
+    def seen(left, capacity):
+        rest.append(int(left.sum()))
+        return best_fit(left, capacity)
+
+    monkeypatch.setattr(packing, "_best_fit", seen)
+    plan = packing.solve(dict(Counter(lengths.tolist())))
+    used = Counter()
+    for config, k in plan:
+        assert sum(config) <= 4096
+        for x in config:
+            used[x] += k
+    assert used == Counter(lengths.tolist())
+    assert rest[0] <= 0.02 * n
+    assert sum(k for _, k in plan) <= 1.005 * lengths.sum() / 4096 + 1
+
+
 def source_rows(n=900):
     rng = random.Random(5)
     out = []

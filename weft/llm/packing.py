@@ -2,9 +2,9 @@
 
 A configuration is a multiset of lengths that fits a sequence. The program, to cover every piece with as few
 configurations as can be, is solved by multiplicative weights: an unbounded-knapsack dynamic program over the capacity
-finds the configuration of most weight, it is used as far as its lengths' demand goes, and the weights of what it covers
-are lowered by a factor. Uses are then rounded down to whole sequences; pieces left over are packed by best fit, longest
-first, also by histogram.
+finds the configurations of most weight, they are used as far as their lengths' demand goes, in whole sequences, and the
+weights of what they cover are lowered by a factor. The few pieces left over are packed by best fit, longest first, also
+by histogram.
 
 Scale. The driver sees the histogram alone: at most `capacity` lengths. The plan it sends out has a row for each length of
 each configuration, which the number of rounds and lengths bounds, not the number of pieces. Pieces get their rank among
@@ -28,12 +28,16 @@ CAPACITY = 4096
 END_ID = 1
 #: Pricing rounds of the linear program, and the factor's exponent.
 ROUNDS, ETA = 300, 1.0
+#: Share of the best weight by which a configuration that is used in a round may fall short.
+NEAR = 0.1
+#: Share of the pieces at which the program has converged.
+OPEN = 0.01
 #: Pieces of one length that share a salted group.
 GROUP = 128
 
 
-def _price(weight: np.ndarray, capacity: int) -> tuple[int, ...]:
-    """The multiset of lengths of most weight that fits: best[c] = max over l of weight[l] + best[c - l]. weight[0] is unused."""
+def _price(weight: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each room c the most weight that fits, best[c] = max over l of weight[l] + best[c - l], and the length it takes. weight[0] is unused."""
     best = np.zeros(capacity + 1)  # best[capacity - c], so that best of c - 1, c - 2, ... is a slice that runs forward
     took = np.zeros(capacity + 1, np.int32)
     w = weight[1:]
@@ -42,53 +46,86 @@ def _price(weight: np.ndarray, capacity: int) -> tuple[int, ...]:
         k = int(sums.argmax())
         idle = best[capacity - c + 1]
         best[capacity - c], took[c] = (sums[k], k + 1) if sums[k] > idle else (idle, 0)
-    out, c = [], capacity
+    return best[::-1], took
+
+
+def _fill(took: list[int], c: int) -> list[int]:
+    """The multiset of lengths of most weight for room c."""
+    out = []
     while c > 0:
-        n = int(took[c])
+        n = took[c]
         out += [n] * (n > 0)
         c -= n or 1
-    return tuple(out)
+    return out
 
 
-def solve(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = ROUNDS) -> list[tuple[tuple[int, ...], int]]:
-    """Configurations and how many sequences use each. Every piece of the histogram is in exactly one."""
-    left = np.zeros(capacity + 1, np.int64)
-    for n, k in histogram.items():
-        left[n] = k
+def _fill_within(n: int, weight: np.ndarray, best: np.ndarray, left: np.ndarray, capacity: int) -> Counter:
+    """A configuration that has n and takes no length more often than left allows: at each room the length that promises most."""
+    need, w = Counter([n]), np.where(left > 0, weight, -1.0)
+    w[n] = w[n] if left[n] > 1 else -1.0
+    c = capacity - n
+    while c > 0:
+        sums = w[1 : c + 1] + best[c - 1 :: -1]
+        m = int(sums.argmax()) + 1
+        if w[m] < 0:
+            break
+        need[m] += 1
+        c -= m
+        if need[m] == left[m]:
+            w[m] = -1.0
+    return need
+
+
+def _program(left: np.ndarray, capacity: int, rounds: int) -> Counter:
+    """Configurations and their uses; takes what they cover off left. Uses are whole from the start, so rounding loses none.
+
+    A pricing round gives the best fill of every room, so the best configuration that has a given length is known for each
+    length. All that come within NEAR of the round's best are used if they leave no room (or, after a round that
+    found none, no more than its best one); each takes half of its scarcest length, or one sequence. The rounds end when less than OPEN of the pieces is left.
+    """
     plan: Counter = Counter()
+    total = int(left.sum())
     if left[capacity]:
         plan[(capacity,)] += int(left[capacity])
         left[capacity] = 0
     demand = np.maximum(left, 1).astype(float)
-    fraction = left.astype(float)  # demand that the fractional solution leaves open
     size = np.arange(capacity + 1) / capacity
     factor = 1 + size / 20  # of equal fills, that of the longer pieces
-    uses: dict[tuple, float] = defaultdict(float)
-    total = int(left.sum())
-    for _ in range(rounds if total else 0):
-        open_ = fraction >= 1
-        if fraction[open_].sum() < 0.02 * total:
-            break
-        config = _price(np.where(open_, size * factor, -1.0), capacity)
-        if not config:
+    full = True  # whether the last round found configurations without room
+    for _ in range(rounds):
+        if left.sum() < OPEN * total or not left.any():
             break
-        need = Counter(config)
-        if over := [n for n, k in need.items() if fraction[n] < k]:  # the price of a length it would use too often falls
-            factor[over] *= np.exp(-ETA / 2)
-            continue
-        step = min(fraction[n] / k for n, k in need.items())
-        step = max(1.0, step / 2) if step >= 1 else step
-        uses[tuple(sorted(config, reverse=True))] += step
-        for n, k in need.items():
-            fraction[n] -= k * step
-            factor[n] *= np.exp(-ETA * k * step / demand[n])
-    for config, x in uses.items():  # rounding: whole sequences, as far as pieces go
-        need = Counter(config)
-        k = min([int(x + 1e-9), *(int(left[n]) // c for n, c in need.items())])
-        if k > 0:
-            plan[config] += k
-            for n, c in need.items():
-                left[n] -= c * k
+        weight = np.where(left > 0, size * factor, -1.0)
+        best, took = _price(weight, capacity)
+        took = took.tolist()
+        least = capacity if full else sum(_fill(took, capacity))
+        before = sum(plan.values())
+        value = weight + best[::-1]  # of the best configuration that has the length
+        for n in map(int, np.flatnonzero((left > 0) & (value >= (1 - NEAR) * best[capacity]))[::-1]):
+            if not left[n]:
+                continue
+            need = Counter([n, *_fill(took, capacity - n)])
+            if over := [m for m, k in need.items() if left[m] < k]:  # the price of a length it would use too often falls
+                factor[over] *= np.exp(-ETA / 2)
+                need = _fill_within(n, weight, best, left, capacity)
+            config = need.elements()
+            if sum(m * k for m, k in need.items()) < least:
+                continue
+            step = max(1, min(int(left[m]) // k for m, k in need.items()) // 2)
+            plan[tuple(sorted(config, reverse=True))] += step
+            for m, k in need.items():
+                left[m] -= k * step
+                factor[m] *= np.exp(-ETA * k * step / demand[m])
+        full = sum(plan.values()) > before
+    return plan
+
+
+def solve(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = ROUNDS) -> list[tuple[tuple[int, ...], int]]:
+    """Configurations and how many sequences use each. Every piece of the histogram is in exactly one."""
+    left = np.zeros(capacity + 1, np.int64)
+    for n, k in histogram.items():
+        left[n] = k
+    plan = _program(left, capacity, rounds)
     for config, k in _best_fit(left, capacity).items():
         plan[config] += k
     return sorted(plan.items(), reverse=True)
