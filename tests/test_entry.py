@@ -39,6 +39,15 @@ def test_all_documents(spark, name):
     test_same_as_duckdb(spark, name)
 
 
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
+def test_every_document_has_a_shortlist(spark):
+    import __spark_entry__ as entry
+
+    n = spark.read.parquet(f"{SF}/documents.parquet").count()
+    assert entry.QUERIES["bm25_shortlist_documents"](spark, SF).groupBy("doc_id").count().where("count = 8").count() == n
+    test_same_as_duckdb(spark, "bm25_shortlist_documents")
+
+
 def test_every_query_has_a_name_and_sql():
     import __spark_entry__ as entry
 

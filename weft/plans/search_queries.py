@@ -117,6 +117,23 @@ def bm25_shortlist(t):
     return search.shortlist(t.queries().select(F.col("query").alias("query_id"), F.col("query").alias("text")), pool, 8)
 
 
+@query(f"""
+    WITH {_BM}, pool AS (SELECT *, row_number() OVER (ORDER BY path) AS pos FROM d QUALIFY pos <= 200),
+    n AS (SELECT count(*) AS n_docs, avg(len(toks)) AS avg_len FROM pool),
+    tf AS (SELECT file_id, len(any_value(toks)) AS l, term, count(*) AS tf FROM (SELECT file_id, toks, unnest(toks) AS term FROM pool) GROUP BY file_id, term),
+    f AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+    qt AS (SELECT DISTINCT doc_id, unnest(list_filter(regexp_split_to_array(lower(regexp_replace(text, '([a-z0-9])([A-Z])', '\\1 \\2', 'g')), '[^a-z0-9]+'), lambda v: v <> '')) AS term FROM documents),
+    s AS (SELECT doc_id, file_id, sum(ln((n_docs - df + 0.5) / (df + 0.5) + 1) * tf * 2.5 / (tf + 1.5 * (1 - 0.75 + 0.75 * l / avg_len))) AS score FROM qt JOIN tf USING (term) JOIN f USING (term), n GROUP BY 1, 2),
+    e AS (SELECT doc_id, pool.file_id, pos, round(coalesce(score, 0), 6) AS score FROM documents CROSS JOIN pool LEFT JOIN s USING (doc_id, file_id))
+    SELECT doc_id, file_id, score, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, pos) AS rank FROM e QUALIFY rank <= 8""")
+def bm25_shortlist_documents(t):
+    """bm25_shortlist for the whole text of each document."""
+    from pyspark.sql import Window
+
+    pool = t.paths().orderBy("path").limit(200).withColumn("pos", F.row_number().over(Window.orderBy("path")))
+    return search.shortlist(t.raw("documents").select(F.col("doc_id").alias("query_id"), "text"), pool, 8).withColumnRenamed("query_id", "doc_id")
+
+
 @query(f"WITH {FLAGGED} SELECT query, file_id, rank, insufficient FROM flagged")
 def insufficient_topics(t):
     return select.flag_insufficient(found(t), WEAK).select("query", "file_id", "rank", "insufficient")
