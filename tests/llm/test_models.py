@@ -163,3 +163,35 @@ def test_warc(spark, tmp_path, chunk):
     with gzip.open(m.first().file.removeprefix("file://")) as f:
         assert f.read(8) == b"WARC/1.1"
     assert warc.archive_and_read(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("parts", [1, 4])
+def test_warc_repeated_ids(spark, parts):
+    """Records are decided one by one: ids that repeat, with equal and with other payloads, in short and long records."""
+    long = "y" * 50_000
+    pages = [(5, "same"), (5, "other"), (7, "same"), (8, "other"), (9, "z"), (9, "z"), (9, "z"), (3, long), (3, long), (4, long), (None, "z"), (None, "lone"), (None, "lone"), (2, None), (2, "")]
+    df = spark.createDataFrame([(i, "u", h) for i, h in pages], "page_id long, url string, html string").repartition(parts)
+    got = warc.archive_and_read(df, chunk=1000).collect()
+    assert len(got) == len(pages)
+    digest = lambda h: base64.b32encode(hashlib.sha1((h or "").encode()).digest()).decode()
+    assert Counter((r.page_id, r.payload_digest, r.payload_bytes) for r in got) == Counter((i, digest(h), len(h or "")) for i, h in pages)
+    for h in {h or "" for _, h in pages}:
+        mine = [r for r in got if r.payload_digest == digest(h)]
+        top = max((r.page_id for r in mine), key=lambda i: (i is not None, i or 0))
+        whole = [r for r in mine if r.record_type == "response"]
+        assert [r.page_id for r in whole] == [top] and whole[0].refers_to is None
+        assert all(r.refers_to == top for r in mine if r.record_type == "revisit")
+    least = warc.archive_and_read(df, chunk=1000, least_bytes=5).collect()
+    assert all(r.record_type == "response" for r in least if r.payload_bytes < 5) and sum(r.record_type == "revisit" for r in least) == 3
+
+
+def test_warc_chunk_table_streams(spark, tmp_path):
+    """No chunk row is longer than a chunk; digests are those of all chunks so far."""
+    body = "".join(chr(97 + i % 26) for i in range(10_001))
+    df = spark.createDataFrame([(1, "u", body), (2, "v", body[:1000])], "page_id long, url string, html string").coalesce(1)
+    rows = warc.chunk_table(df, str(tmp_path / "c"), chunk=1000).orderBy("rid", "chunk_no").collect()
+    mine = [r for r in rows if r.page_id == 1]
+    assert [r.chunk_no for r in mine] == list(range(11)) and [r.is_last for r in mine] == [False] * 10 + [True]
+    assert b"".join(bytes(r.chunk) for r in mine) == body.encode() and max(len(r.chunk) for r in rows) == 1000
+    assert bytes(mine[4].sha1_so_far) == hashlib.sha1(body[:5000].encode()).digest() and mine[4].bytes_so_far == 5000
+    assert [(r.url, bytes(r.sha256)) for r in rows if r.page_id == 2] == [("v", hashlib.sha256(body[:1000].encode()).digest())]
