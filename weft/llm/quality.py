@@ -1,25 +1,27 @@
 """Quality by compression: zstandard dictionaries of good and of bad labelled text.
 
-A text is cut in pieces of PIECE bytes (all of it); every piece is compressed with either dictionary. The difference of
-the two sizes, divided by their sum, says which kind of text it is like; its mean over the pieces, with how well the text
-compresses at all, goes through a logistic curve fitted on labelled rows that the dictionaries have not seen.
+A text is cut in pieces of PIECE bytes (all of it); every piece is compressed with either dictionary. The score is the
+difference of the two sizes a byte of text, put through a logistic curve fitted on labelled rows that the dictionaries have
+not seen. Nothing else goes into it.
 
-The fit uses at most SAMPLE labelled rows of either class, the ones of smallest hash; SAMPLE_BYTES bounds what of them is
-brought to the driver. All else reads all rows and whole texts, in one pass without a shuffle.
+The fit uses at most SAMPLE labelled rows of either class, those of smallest hash of their id, and of them, in that order,
+the rows up to SAMPLE_BYTES of text (bounds of what the driver holds). So the sample is the same for any file layout. All
+else reads all rows and whole texts, in one pass without a shuffle.
 """
 
 import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-PIECE = 2048
-DICT_BYTES = 64 << 10
-#: Labelled rows of a class that the fit uses at most, and the bytes of text brought to the driver for them.
-SAMPLE, SAMPLE_BYTES = 3000, 24 << 20
+PIECE = 512
+DICT_BYTES = 256 << 10
+#: Labelled rows of a class that the fit uses at most, and the bytes of text after which no further row is brought to the driver.
+SAMPLE, SAMPLE_BYTES = 3000, 16 << 20
 FOLDS, CUT = 5, 0.3
 LEVEL = 3
 
@@ -33,27 +35,24 @@ def fold(id_col: str = "doc_id") -> Column:
 class Model:
     good: bytes = b""
     bad: bytes = b""
-    weights: tuple = ()
-    center: tuple = ()
-    scale: tuple = ()
+    weights: tuple = ()  # intercept and slope on the difference
     prior: float = 0.5
 
     def scorer(self):
         """texts (bytes) to scores, in this process."""
         if not self.weights:
             return lambda texts: np.full(len(texts), self.prior)
-        measure = _measure(self.good, self.bad)
-        w, c, s = (np.array(x) for x in (self.weights, self.center, self.scale))
+        measure, (w0, w1) = _measure(self.good, self.bad), self.weights
 
         def score(texts):
-            x = (np.array([measure(t) for t in texts]).reshape(len(texts), -1) - c) / s
-            return 1 / (1 + np.exp(-np.clip(x @ w[1:] + w[0], -35, 35)))
+            x = np.array([measure(t) for t in texts], float)
+            return 1 / (1 + np.exp(-np.clip(w0 + w1 * x, -35, 35)))
 
         return score
 
 
 def _measure(good: bytes, bad: bytes):
-    """A function from a text to its features: the normalised difference, and the packed size of the whole and of the pieces."""
+    """A function from a text to the difference of its packed sizes with either dictionary a byte; 0 for an empty text."""
     import zstandard
 
     packers = []
@@ -61,17 +60,13 @@ def _measure(good: bytes, bad: bytes):
         z = zstandard.ZstdCompressionDict(d)
         z.precompute_compress(level=LEVEL)
         packers.append(zstandard.ZstdCompressor(level=LEVEL, dict_data=z, write_content_size=False, write_checksum=False, write_dict_id=False).compress)
-    plain = zstandard.ZstdCompressor(level=LEVEL, write_content_size=False).compress
 
-    def measure(text: bytes):
-        if not text:
-            return (0.0, 1.0, 1.0, 0.0)
-        a = b = 0
+    def measure(text: bytes) -> float:
+        difference = 0
         for i in range(0, len(text), PIECE):
             part = text[i : i + PIECE]
-            a += len(packers[0](part))
-            b += len(packers[1](part))
-        return ((b - a) / (a + b), min(2.0, len(plain(text)) / len(text)), min(2.0, a / len(text)), np.log1p(len(text)))
+            difference += len(packers[1](part)) - len(packers[0](part))
+        return difference / max(1, len(text))
 
     return measure
 
@@ -113,16 +108,16 @@ def fit(texts: list[bytes], labels: list[int], share_good: float) -> Model:
     rest = ~train if (~train).sum() >= 20 and 0 < y[~train].mean() < 1 else np.ones(len(y), bool)
     measure = _measure(good, bad)
     x = np.array([measure(t) for t, r in zip(texts, rest, strict=True) if r])
-    center, scale = x.mean(axis=0), x.std(axis=0) + 1e-9
-    w = _logistic((x - center) / scale, y[rest].astype(float))
+    center, scale = x.mean(), x.std() + 1e-9
+    w0, w1 = _logistic(((x - center) / scale)[:, None], y[rest].astype(float))
     m = y[rest].mean()  # the sample holds the classes in other proportion than the labels do
-    w[0] += np.log(share_good / (1 - share_good)) - np.log(m / (1 - m))
-    return Model(good, bad, tuple(w), tuple(center), tuple(scale))
+    w0 += np.log(share_good / (1 - share_good)) - np.log(m / (1 - m))
+    return Model(good, bad, (float(w0 - w1 * center / scale), float(w1 / scale)))
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Model:
     """Fits on labelled rows that are not held out (fold 0)."""
-    marked = labels.select(F.col("doc_id").cast("long").alias("id"), F.col(label_col).cast("int").alias("y")).where((F.col("y").isin(0, 1)) & (fold("id") != 0)).dropDuplicates(["id"])
+    marked = labels.select(F.col("doc_id").cast("long").alias("id"), F.col(label_col).cast("int").alias("y")).where((F.col("y").isin(0, 1)) & (fold("id") != 0)).groupBy("id").agg(F.min("y").alias("y"))
     count = {r["y"]: r["count"] for r in marked.groupBy("y").count().collect()}
     if not count:
         return Model()
@@ -132,11 +127,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         picked = some if picked is None else picked.unionByName(some)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text")).join(F.broadcast(picked), "id")  # at most 2 * SAMPLE rows
-    got, held = [], {0: 0, 1: 0}
-    for r in rows.toLocalIterator():
-        if held[r["y"]] + len(r["text"]) <= SAMPLE_BYTES // 2:
-            held[r["y"]] += len(r["text"])
-            got.append((r["id"], bytes(r["text"]), r["y"]))
+    upto = Window.partitionBy("y").orderBy(F.xxhash64("id"), "id", "text").rowsBetween(Window.unboundedPreceding, -1)  # over the sample only
+    rows = rows.withColumn("before", F.coalesce(F.sum(F.length("text")).over(upto), F.lit(0))).where(F.col("before") < SAMPLE_BYTES)
+    got = [(r["id"], bytes(r["text"]), r["y"]) for r in rows.toLocalIterator()]
     got.sort()
     total = sum(count.values())
     return fit([t for _, t, _ in got], [y for _, _, y in got], min(max(count.get(1, 0) / total, 1e-6), 1 - 1e-6))
@@ -147,8 +140,10 @@ def score_column(docs: DataFrame, model: Model, text_col: str = "text") -> Colum
     sent = docs.sparkSession.sparkContext.broadcast(model)  # two dictionaries of at most DICT_BYTES
 
     @F.pandas_udf("double")
-    def score(texts: pd.Series) -> pd.Series:
-        return pd.Series(sent.value.scorer()([(t or "").encode("utf-8", "replace") for t in texts]))
+    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        of = sent.value.scorer()  # dictionaries are built once a task
+        for texts in batches:
+            yield pd.Series(of([(t or "").encode("utf-8", "replace") for t in texts]), dtype="float64")
 
     return score(F.col(text_col).cast("string"))
 
@@ -157,7 +152,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     """One row per row of docs: doc_id, held_out, score, predicted.
 
     Null texts count as empty and get the score of an empty text. Labels that are null or not 0 or 1 are not looked at, of
-    labels that repeat an id one. Without labels every score is 0.5, with one class only it is that class. Null ids are in
+    labels that repeat an id the smaller. Documents that repeat an id are each scored, and each in the fit. Without labels every score is 0.5, with one class only it is that class. Null ids are in
     no fold that is held out.
     """
     model = train(docs, labels, id_col, text_col)
