@@ -10,6 +10,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from weft.llm import ann, lm, quality, warc
 
@@ -195,3 +196,41 @@ def test_warc_chunk_table_streams(spark, tmp_path):
     assert b"".join(bytes(r.chunk) for r in mine) == body.encode() and max(len(r.chunk) for r in rows) == 1000
     assert bytes(mine[4].sha1_so_far) == hashlib.sha1(body[:5000].encode()).digest() and mine[4].bytes_so_far == 5000
     assert [(r.url, bytes(r.sha256)) for r in rows if r.page_id == 2] == [("v", hashlib.sha256(body[:1000].encode()).digest())]
+
+
+def test_quality_does_not_depend_on_the_layout(spark):
+    docs, labels = labelled(200)
+    docs = [*docs, (3, "a text that repeats an id"), (4, "x " * 100_000)]
+    labels = [*labels, *((i, 1 - y, 0) for i, y, _ in labels[:20])]  # clashing labels: the smaller counts
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    la = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    got = [sorted((r.doc_id, r.score) for r in quality.score_quality(x, y).collect()) for x, y in ((d.repartition(1), la), (d.repartition(5), la.orderBy(F.desc("doc_id"))))]
+    assert got[0] == got[1] and len(got[0]) == len(docs)
+
+
+def test_the_difference_alone_scores():
+    """Text like the good dictionary's packs smaller with it, so its difference and its score are larger."""
+    docs, labels = labelled(300)
+    texts = [(t or "").encode() for _, t in docs]
+    m = quality.fit(texts, [y for _, y, _ in labels], 0.7)
+    assert len(m.weights) == 2 and m.weights[1] > 0
+    measure, score = quality._measure(m.good, m.bad), m.scorer()
+    x = [measure(t) for t in texts]
+    order = np.argsort(x)
+    assert (np.diff(score([texts[i] for i in order])) >= 0).all() and measure(b"") == 0.0
+
+
+def test_neighbours_that_tie(spark):
+    """Multiples of one vector all tie, and the smallest ids come, whatever the order of the rows."""
+    rng = np.random.default_rng(4)
+    base = rng.normal(size=6).astype(np.float32)
+    rows = [(i, (base * f).tolist()) for i, f in zip(range(60), rng.permutation([0.5 + 0.25 * j for j in range(60)]), strict=True)]
+    rows += [(60 + i, rng.normal(size=6).astype(np.float32).tolist()) for i in range(200)]
+    for order in (rows, rows[::-1]):
+        df = spark.createDataFrame(order, "vec_id long, embedding array<float>").coalesce(2)
+        got = {}
+        for r in ann.nearest(df, sample=100, leaf=20).collect():
+            got.setdefault(r.query_id, []).append(r)
+        assert [r.vec_id for r in sorted(got[0], key=lambda r: r.rank)] == [1, 2, 3, 4, 5]
+        assert [r.vec_id for r in sorted(got[50], key=lambda r: r.rank)] == [0, 1, 2, 3, 4]
+        assert all(0.9 <= r.calibrated_recall <= 1 for x in got.values() for r in x)

@@ -25,8 +25,10 @@ from .common import new_dir, staged
 
 K, EVERY = 5, 50
 SAMPLE, LEAF, BRANCH = 20_000, 64, 8
-CALIBRATION, RECALL = 64, 0.95
+CALIBRATION, RECALL = 256, 0.95
 SHARD = 2048
+#: Decimal places to which scores must agree to tie, and the margin for the error of rough scores.
+DIGITS, EDGE = 12, 1e-9
 
 
 @dataclass
@@ -116,19 +118,40 @@ def usable(col: str) -> Column:
     return F.col(col).isNotNull() & (F.size(col) > 0) & fine & F.exists(F.col(col), lambda x: x != 0)
 
 
+def _exact(q: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Cosines of q with the rows of v."""
+    return (v * q).sum(axis=-1) / (np.linalg.norm(v, axis=-1) * np.linalg.norm(q))
+
+
 def _best(q: np.ndarray, v: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each row of q the k rows of v of largest cosine (ties: smaller id): row numbers and exact scores."""
+    """For each row of q the k rows of v of largest cosine: row numbers and exact scores.
+
+    Scores that agree to DIGITS places tie, and ties go to the smaller id: all rows that come within EDGE of the k-th
+    rough score are scored exactly, however many they are.
+    """
     rough = _unit(q) @ _unit(v).T
+    k = min(len(v), k)
     take = min(len(v), k + 8)
+    edge = np.partition(rough, len(v) - k, axis=1)[:, len(v) - k] - EDGE
     near = np.argpartition(-rough, take - 1, axis=1)[:, :take]
     picked = v[near]
     exact = (picked * q[:, None, :]).sum(axis=2) / (np.linalg.norm(picked, axis=2) * np.linalg.norm(q, axis=1)[:, None])
-    order = np.lexsort((ids[near], -exact), axis=1)[:, :k]
-    return np.take_along_axis(near, order, 1), np.take_along_axis(exact, order, 1)
+    order = np.lexsort((ids[near], -np.round(exact, DIGITS)), axis=1)[:, :k]
+    near, exact = np.take_along_axis(near, order, 1), np.take_along_axis(exact, order, 1)
+    for i in np.flatnonzero((rough >= edge[:, None]).sum(axis=1) > take):  # more ties than the rows taken
+        every = np.flatnonzero(rough[i] >= edge[i])
+        score = _exact(q[i], v[every])
+        first = np.lexsort((ids[every], -np.round(score, DIGITS)))[:k]
+        near[i], exact[i] = every[first], score[first]
+    return near, exact
 
 
 def nearest(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", *, k: int = K, every: int = EVERY, recall: float = RECALL, sample: int = SAMPLE, leaf: int = LEAF) -> DataFrame:
-    """query_id, rank, vec_id, score: the k nearest of each row whose id is divisible by `every`.
+    """query_id, rank, vec_id, score: the k nearest of each row whose id is divisible by `every`; calibrated_recall, the share
+    of the calibration queries' true neighbours that lie in the leaves a query visits.
+
+    Scores that agree to DIGITS decimal places tie, whatever vectors they are of (multiples of one vector, too); ties go to
+    the smaller id.
 
     Rows with a null id, or a null, empty, zero or non-finite vector, take no part, nor do vectors of another length than
     the most common one. Rows that repeat an id count once (the smallest vector). Fewer than k candidates: all of them. An
@@ -157,7 +180,7 @@ def nearest(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embeddin
     tree.held = held
     asking = rows.where(F.col("id") % every == 0).select(F.col("id").alias("query_id"), "v")
     queries = staged(asking.groupBy("v").agg(F.min("query_id").alias("q")), f"{base}/queries")
-    visits = calibrate(placed, queries, tree, k, recall)
+    visits, reached = calibrate(placed, queries, tree, k, recall)
     sent2 = spark.sparkContext.broadcast(tree)
 
     def traverse(batches):
@@ -201,37 +224,50 @@ def nearest(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embeddin
 
     dealt = left.unionByName(right).repartition("leaf", "shard").sortWithinPartitions("leaf", "shard", "kind")
     found = dealt.mapInArrow(search, "q long, score double, rep long, ids array<long>")
-    best = found.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "rep"))).where(F.col("r") <= k + 1)
-    best = best.groupBy("q").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("far"), "ids"))).alias("near"))
-    flat = F.flatten(F.transform("near", lambda x: F.transform(x["ids"], lambda i: F.struct(x["far"].alias("far"), i.alias("id")))))
+    found = found.withColumn("far", F.round(-F.col("score"), DIGITS))
+    best = found.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy("far", "rep"))).where(F.col("r") <= k + 1)
+    best = best.groupBy("q").agg(F.collect_list(F.struct("far", "score", "ids")).alias("near"))
+    flat = F.flatten(F.transform("near", lambda x: F.transform(x["ids"], lambda i: F.struct(x["far"].alias("far"), i.alias("id"), x["score"].alias("score")))))
     own = asking.join(queries, "v").select("query_id", "q")
     top = F.slice(F.array_sort(F.filter(flat, lambda x: x["id"] != F.col("query_id"))), 1, k)
     out = own.join(best, "q").select("query_id", F.posexplode(top).alias("pos", "x"))
-    return out.select("query_id", (F.col("pos") + 1).cast("int").alias("rank"), F.col("x.id").alias("vec_id"), (-F.col("x.far")).alias("score"))
+    return out.select("query_id", (F.col("pos") + 1).cast("int").alias("rank"), F.col("x.id").alias("vec_id"), F.col("x.score").alias("score"), F.lit(reached).alias("calibrated_recall"))
 
 
-def calibrate(placed: DataFrame, queries: DataFrame, tree: Tree, k: int, target: float) -> int:
-    """The number of leaves to visit for the target recall, by exact neighbours of up to CALIBRATION queries over all vectors."""
+def calibrate(placed: DataFrame, queries: DataFrame, tree: Tree, k: int, target: float) -> tuple[int, float]:
+    """The number of leaves to visit for the target recall, and the recall it reaches, by exact neighbours of up to
+    CALIBRATION queries over all vectors. A query's own vector is no neighbour of it unless other ids hold it too."""
     some = queries.orderBy(F.xxhash64("q"), "q").limit(CALIBRATION).toPandas()
     leaves = int((tree.count == 0).sum())
     if not len(some) or leaves == 1:
-        return 1
-    q = np.array(some["v"].tolist(), np.float64)
+        return 1, 1.0
+    q, own = np.array(some["v"].tolist(), np.float64), np.asarray(some["q"])
     sent = placed.sparkSession.sparkContext.broadcast(q)
 
     def exact(batches):
+        best = None  # of the task so far, a few rows a query
         for b in batches:
             if b.num_rows:
                 rep = np.asarray(b.column(0))
                 near, score = _best(sent.value, _matrix(b.column(1)), rep, k + 1)
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.arange(len(near)), near.shape[1])), pa.array(score.ravel()), pa.array(rep[near.ravel()]), pa.array(np.asarray(b.column(2))[near.ravel()])], names=["n", "score", "rep", "leaf"])
-
-    near = placed.select("rep", "v", "leaf").mapInArrow(exact, "n long, score double, rep long, leaf long")
-    near = near.withColumn("r", F.row_number().over(Window.partitionBy("n").orderBy(F.desc("score"), "rep"))).where(F.col("r") <= k + 1).select("n", "leaf").toPandas()
+                new = [score, rep[near], np.asarray(b.column(2))[near], np.asarray(b.column(3))[near]]
+                best = new if best is None else [np.concatenate([x, y], axis=1) for x, y in zip(best, new, strict=True)]
+                order = np.lexsort((best[1], -np.round(best[0], DIGITS)), axis=1)[:, : k + 1]
+                best = [np.take_along_axis(x, order, 1) for x in best]
+        if best is not None:
+            n = np.repeat(np.arange(len(best[0])), best[0].shape[1])
+            yield pa.RecordBatch.from_arrays([pa.array(n), *(pa.array(x.ravel()) for x in best)], names=["n", "score", "rep", "leaf", "ids"])
+
+    near = placed.select("rep", "v", "leaf", F.size("ids").cast("long").alias("ids")).mapInArrow(exact, "n long, score double, rep long, leaf long, ids long")
+    far = F.round(-F.col("score"), DIGITS)
+    near = near.withColumn("r", F.row_number().over(Window.partitionBy("n").orderBy(far, "rep"))).where(F.col("r") <= k + 1).select("n", "rep", "leaf", "ids").toPandas()
+    near = near[(near["rep"].to_numpy() != own[near["n"].to_numpy()]) | (near["ids"].to_numpy() > 1)]
+    if not len(near):
+        return 1, 1.0
     unit = _unit(q)
     order = [{leaf: i for i, leaf in enumerate(tree.visits(unit[n], leaves, 0))} for n in range(len(q))]
     depth = np.array([order[n][leaf] for n, leaf in zip(near["n"], near["leaf"], strict=True)])
     visits = 1
     while visits < leaves and (depth < visits).mean() < target:
         visits = min(leaves, max(visits + 1, visits * 5 // 4))
-    return visits
+    return visits, float((depth < visits).mean())
