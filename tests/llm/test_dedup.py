@@ -83,8 +83,8 @@ def shingles(t, k=4):
     return {tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if len(w) >= k else ({tuple(w)} if w else set())
 
 
-def components(rows):
-    sets = {i: shingles(t) for i, t in rows}
+def components(rows, k):
+    sets = {i: shingles(t, k) for i, t in rows}
     root = {i: i for i in sets}
 
     def find(x):
@@ -103,8 +103,8 @@ def components(rows):
     return {i: (len(sets[i]), find(i)) for i in ids}
 
 
-@pytest.mark.parametrize("block", [256, 3])
-def test_near(spark, block):
+@pytest.mark.parametrize("block,k", [(256, 4), (3, 4), (256, 5)])
+def test_near(spark, block, k):
     rng = random.Random(3)
     rows = [(i, t) for i, t in ODD if i != 6]
     base = [f"v{rng.randrange(999)}" for _ in range(120)]
@@ -114,8 +114,8 @@ def test_near(spark, block):
             w[rng.randrange(len(w))] = f"n{rng.randrange(9999)}"
         rows.append((200 + i, " ".join(w)))
     rows += [(300 + i, " ".join(base[:60] + [f"o{i}_{j}" for j in range(60)])) for i in range(15)]  # a passage they share, no link
-    got = near_dedup.near_dedup(frame(spark, rows), block=block).collect()
-    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == components(rows)
+    got = near_dedup.near_dedup(frame(spark, rows), block=block, shingle=k).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == components(rows, k)
     assert all(r.kept == (r.doc_id == r.component_id) for r in got)
 
 
@@ -130,3 +130,31 @@ def test_near_odd_ids_and_empty_table(spark):
 def test_least_matches_gives_up_only_unlikely_pairs():
     least = near_dedup.least_matches(80, 1e-5)
     assert least == sorted(least) and 0 < least[0] < 32 * 0.8 and least[-1] < 128 * 0.8
+
+
+def test_five_words_are_the_default(spark):
+    """One word changed in forty: near copies by four words, not by five."""
+    w = [f"w{i}" for i in range(39)]
+    rows = [(1, " ".join(w)), (2, " ".join([*w[:19], "other", *w[20:]]))]
+    linked = {k: components(rows, k)[2][1] == 1 for k in (4, 5)}
+    assert linked == {4: True, 5: False}
+    got = {k: near_dedup.near_dedup(frame(spark, rows), **({"shingle": 4} if k == 4 else {})).where("kept").count() for k in (4, 5)}
+    assert got == {4: 1, 5: 2}
+
+
+def test_near_largest_id_beside_rows_without_one(spark):
+    big = (1 << 63) - 1
+    df = frame(spark, [(big, "a b c d e f"), (None, "g h i j k l"), (None, ""), (5, "m n o p q r")])
+    got = sorted((str(r.doc_id), str(r.component_id), r.kept) for r in near_dedup.near_dedup(df).collect())
+    assert got == [("5", "5", True), (str(big), str(big), True), ("None", "None", True), ("None", "None", True)]
+
+
+def test_without(spark, tmp_path):
+    from weft.llm.common import staged, without
+
+    docs = spark.range(300).selectExpr("id as doc_id", "cast(id as string) as text", "id as __x").union(spark.createDataFrame([(None, "n", 1)], "doc_id long, text string, __x long"))
+    gone = staged(spark.range(0, 300, 7).selectExpr("id as __id"), str(tmp_path / "gone"))
+    got = without(docs, gone, "doc_id")
+    assert got.columns == docs.columns
+    assert sorted((r.doc_id is None, r.doc_id or 0) for r in got.collect()) == sorted([(False, i) for i in range(300) if i % 7] + [(True, 0)])
+    assert without(docs, gone.limit(0), "doc_id").count() == 301

@@ -14,12 +14,15 @@ ASCII_SPACE = b" \t\n\x0b\x0c\r"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset a local session gets a temporary
+    folder (tests); a cluster would not see it, so there it is an error."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if base:
         return base.rstrip("/")
     kept = spark.sparkContext.getCheckpointDir()
     if not kept:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="weft-"))
         kept = spark.sparkContext.getCheckpointDir()
     return kept.rstrip("/")
@@ -36,6 +39,30 @@ def staged(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Bits of a filter of ids: 262,144 longs, whatever it holds.
+ID_FILTER_BITS = 1 << 24
+
+
+def without(docs: DataFrame, gone: DataFrame, id_col: str, key: Column | None = None) -> DataFrame:
+    """The rows of docs whose id (long) and key are not in gone (__id, and __key if there is a key), with all their columns.
+
+    gone is a written table. A filter of fixed size of its ids is broadcast; rows it lets through stay where they are, and
+    only the others are shuffled for the exact comparison, so no text moves that is not suspected.
+    """
+    h = lambda c: F.pmod(F.xxhash64(c), F.lit(ID_FILTER_BITS))
+    marks = gone.groupBy(F.shiftrightunsigned(h(F.col("__id")), 6).alias("__w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (h(F.col("__id")) % 64).cast("int"))).alias("__f"))
+    own = F.col(id_col).cast("long")
+    tested = docs.withColumns({"__own": own, "__w": F.shiftrightunsigned(h(own), 6)}).join(F.broadcast(marks), "__w", "left")
+    may = F.coalesce(F.getbit("__f", (h(F.col("__own")) % 64).cast("int")) == 1, F.lit(False))
+    stay = tested.where(~may).select(*docs.columns)
+    some = tested.where(may)
+    same = F.col("__own").eqNullSafe(F.col("__id"))
+    if key is not None:
+        some = some.withColumn("__mine", key)
+        same = same & (F.col("__mine") == F.col("__key"))
+    return stay.unionByName(some.join(gone, same, "left_anti").select(*docs.columns))
+
+
 def text_or_empty(col: str = "text") -> Column:
     return F.coalesce(F.col(col).cast("string"), F.lit(""))
 

@@ -23,9 +23,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import new_dir, staged
+from .common import new_dir, staged, without
 
-SHINGLE, THRESHOLD = 4, 80
+SHINGLE, THRESHOLD = 5, 80
 HASHES, BANDS, ROWS = 128, 24, 4
 BATCH = 32
 #: Chance at which a pair is given up after a batch.
@@ -33,6 +33,8 @@ MISS = 1e-5
 FILTER_BITS = 1 << 24
 #: Members of a bucket that are compared with each other at once.
 BLOCK = 512
+#: The number of rows without an id inside the operator. Their own mark tells them from a document with this very id, whose
+#: result it leaves as it is.
 NO_ID = (1 << 63) - 1
 
 _rng = np.random.Generator(np.random.PCG64(7))
@@ -71,7 +73,7 @@ def _sets(batch_texts: pa.Array, k: int):
 
 
 def fingerprints(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
-    """doc_id, n_shingles, set_key (of the set; null if empty), sig."""
+    """doc_id (NO_ID for null), no_id, n_shingles, set_key (of the set; null if empty), sig."""
 
     def make(batches):
         import xxhash
@@ -82,10 +84,11 @@ def fingerprints(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFra
                 n.append(len(s))
                 keys.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
                 sigs.append(_signature(s).tobytes() if len(s) else None)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(sigs, pa.binary())], names=["doc_id", "n_shingles", "set_key", "sig"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(sigs, pa.binary())], names=["doc_id", "no_id", "n_shingles", "set_key", "sig"])
 
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(make, "doc_id long, n_shingles long, set_key binary, sig binary")
+    own = F.col(id_col).cast("long")
+    rows = docs.select(F.coalesce(own, F.lit(NO_ID)).alias("doc_id"), F.col(text_col).cast("string").alias("text"), own.isNull().alias("no_id"))
+    return rows.mapInArrow(make, "doc_id long, no_id boolean, n_shingles long, set_key binary, sig binary")
 
 
 def _band_keys(reps: DataFrame) -> DataFrame:
@@ -230,7 +233,7 @@ def _compare_blocks(rows: DataFrame, least: list[int], threshold: int) -> DataFr
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, shingle: int = SHINGLE, threshold: int = THRESHOLD, miss: float = MISS, block: int = BLOCK) -> DataFrame:
-    """One row per row of docs: doc_id, n_shingles, component_id, kept.
+    """One row per row of docs: doc_id, n_shingles, component_id, kept. Sets are of `shingle` words, five unless asked otherwise.
 
     Texts without words (null and empty ones too) are linked with nothing. Rows that repeat an id count as one document:
     their texts' components are joined and all of them stay or go. Null ids come after all others and share one
@@ -278,10 +281,11 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     told = told.where("n > 1 or label <> node").select("set_key", "label")
     out = prints.join(told, "set_key", "left")
     component = F.coalesce("label", "doc_id")
-    return out.select(F.nullif("doc_id", F.lit(NO_ID)).alias("doc_id"), "n_shingles", F.nullif(component, F.lit(NO_ID)).alias("component_id"), (F.col("doc_id") == component).alias("kept"))
+    named = lambda c: F.when(~F.col("no_id") | (c != NO_ID), c)
+    return out.select(named(F.col("doc_id")).alias("doc_id"), "n_shingles", named(component).alias("component_id"), (F.col("doc_id") == component).alias("kept"))
 
 
 def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:
     """The rows of docs whose document stands for its component, with all their columns."""
     gone = near_dedup(docs, id_col, text_col, **kw).where("not kept").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(gone, docs[id_col].cast("long") == gone["__id"], "left_anti")
+    return without(docs, staged(gone, new_dir(docs.sparkSession, "gone")), id_col)
