@@ -207,3 +207,17 @@ def test_tree_splits_exactly(spark, tmp_path):
     leaves = mixing.split_tree(df, 3, str(tmp_path / "tree")).collect()
     assert len(leaves) == 8 and [sum(x) for x in zip(*(r.q for r in leaves), strict=True)] == q
     assert {sum(r.q) for r in leaves} <= {17, 18}
+
+
+def test_mixing_with_many_shards(spark):
+    """More shards than blocks: blocks are cut into cells, quotas stay those of the blocks, and every shard gets its part."""
+    rows = [(i, "w " * (i % 9), "ab"[i % 7 > 4]) for i in range(6000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    few, many = (mixing.mixing_report(df, n_shards=n).collect() for n in (16, 64))
+    for got, n in ((few, 16), (many, 64)):
+        assert len(got) == len(rows) and max(s for r in got for s in r.shards) == n - 1
+        taken = Counter()
+        for r in got:
+            taken["ab"[r.doc_id % 7 > 4]] += r.taken
+        assert all(abs(taken["ab"[r.doc_id % 7 > 4]] - r.target) <= 60 for r in got)
+    assert {(r.doc_id, r.target) for r in few} == {(r.doc_id, r.target) for r in many}

@@ -5,9 +5,10 @@ sends their set segments on; merged, "twice" holds what any task has twice and w
 reads the texts again and lets only lines that the filter of twice-seen hashes may hold through: these suspects, and
 nothing else, shuffle for the exact count of documents on the whole key. Confirmed repeats keep one occurrence.
 
-Scale. The filter that is broadcast has FILTER_BITS bits (16 MB) whatever the input. When it fills up, more lines are
-suspects and the confirmation, a plain distributed aggregate, does more of the work; results stay the same. Segments merge
-in rounds of FAN tasks each. A line that a third of all documents hold sends one row a task (partial aggregates) and its
+Scale. The filters are sized from the input, BITS_A_BYTE bits for each byte that Spark expects to read, between FEWEST_BITS
+and MOST_BITS (128 MB, the bound of what is broadcast; a task holds two of them). Beyond that more lines are suspects and
+the confirmation, a plain distributed aggregate, does more of the work; results stay the same. Segments merge in rounds of
+FAN tasks each. A line that a third of all documents hold sends one row a task (partial aggregates) and its
 dealing back is a join that Spark may split. Documents without a dropped line are never shuffled: a filter of the
 documents with one, of fixed size too, tells them apart.
 """
@@ -25,7 +26,8 @@ from pyspark.sql import functions as F
 from .common import ASCII_SPACE, new_dir, staged
 
 LEAST_LENGTH, LEAST_DOCS = 20, 3
-FILTER_BITS, PROBES = 1 << 27, 4
+#: Bits of a filter by bytes of input (lines of some 50 bytes, 16 bits each, in columns packed to half), their range, and bits set for a hash.
+BITS_A_BYTE, FEWEST_BITS, MOST_BITS, PROBES = 0.5, 1 << 22, 1 << 30, 4
 #: Bits of a segment, and tasks whose segments meet in one row's merge.
 SEGMENT, FAN = 1 << 16, 64
 DOC_FILTER_BITS = 1 << 24
@@ -59,34 +61,57 @@ def _hashed(keys: list[bytes]) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh3_64_intdigest, keys), np.uint64, len(keys))
 
 
+def filter_bits_for(df: DataFrame) -> int:
+    """Bits of a filter for what Spark's own estimate says of the size of df's input: a power of two."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return 1 << max(FEWEST_BITS.bit_length() - 1, min(MOST_BITS.bit_length() - 1, int(size * BITS_A_BYTE).bit_length()))
+
+
+class _Filter:
+    """A Bloom filter as packed bits."""
+
+    def __init__(self, bits: int):
+        self.bits, self.raw = bits, np.zeros(-(-bits // 8), np.uint8)
+
+    def holds(self, at: np.ndarray) -> np.ndarray:
+        return ((self.raw[at >> 3] >> (at & 7).astype(np.uint8)) & 1).all(axis=1)
+
+    def add(self, at: np.ndarray) -> None:
+        at = np.unique(at)
+        if len(at):
+            byte, first = np.unique(at >> 3, return_index=True)
+            self.raw[byte] |= np.bitwise_or.reduceat(np.uint8(1) << (at & 7).astype(np.uint8), first)
+
+
 def _pack(once: np.ndarray, twice: np.ndarray) -> dict:
-    """A segment's filters as packed bits."""
-    return {"once": zlib.compress(np.packbits(once).tobytes(), 1), "twice": zlib.compress(np.packbits(twice).tobytes(), 1)}
+    """A segment's filters, compressed."""
+    return {"once": zlib.compress(once.tobytes(), 1), "twice": zlib.compress(twice.tobytes(), 1)}
 
 
 def _bits(x: bytes) -> np.ndarray:
-    return np.unpackbits(np.frombuffer(zlib.decompress(x), np.uint8)).astype(bool)
+    return np.frombuffer(zlib.decompress(x), np.uint8).copy()
 
 
-def twice_seen(texts: DataFrame, path: str, least: int = LEAST_LENGTH, bits: int = FILTER_BITS) -> bytearray:
+def twice_seen(texts: DataFrame, path: str, least: int = LEAST_LENGTH, bits: int = FEWEST_BITS) -> bytearray:
     """The merged filter of hashes that may have been seen in two documents. texts has one column, binary."""
     size = min(SEGMENT, bits)
 
     def build(batches):
         from pyspark import TaskContext
 
-        once, twice = np.zeros(bits, bool), np.zeros(bits, bool)
+        once, twice = _Filter(bits), _Filter(bits)
         for b in batches:
-            for text in b.column(0).to_pylist():
-                if keys := list(set(_keys(text or b"", least))):
-                    at = _places(_hashed(keys), bits)
-                    seen = once[at].all(axis=1)
-                    twice[at[seen].ravel()] = True
-                    once[at.ravel()] = True
+            keys = [k for text in b.column(0).to_pylist() for k in set(_keys(text or b"", least))]  # once a document
+            if keys:
+                hashes, n = np.unique(_hashed(keys), return_counts=True)
+                at = _places(hashes, bits)
+                twice.add(at[once.holds(at) | (n > 1)].ravel())
+                once.add(at.ravel())
         group = TaskContext.get().partitionId() // FAN
-        used = np.unique(np.flatnonzero(once) // size)
+        step = size // 8
+        used = np.unique(np.flatnonzero(once.raw) // step)
         for lo in range(0, len(used), 256):
-            rows = [{"segment": int(s), "team": group} | _pack(once[s * size : (s + 1) * size], twice[s * size : (s + 1) * size]) for s in used[lo : lo + 256]]
+            rows = [{"segment": int(s), "team": group} | _pack(once.raw[s * step : (s + 1) * step], twice.raw[s * step : (s + 1) * step]) for s in used[lo : lo + 256]]
             yield pa.RecordBatch.from_pylist(rows, schema)
 
     def merge(batches):
@@ -127,7 +152,7 @@ def twice_seen(texts: DataFrame, path: str, least: int = LEAST_LENGTH, bits: int
     return out
 
 
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, least_length: int = LEAST_LENGTH, least_docs: int = LEAST_DOCS, filter_bits: int = FILTER_BITS) -> DataFrame:
+def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, least_length: int = LEAST_LENGTH, least_docs: int = LEAST_DOCS, filter_bits: int | None = None) -> DataFrame:
     """One row per row of docs: doc_id, n_lines, n_dropped, and kept_text.
 
     Texts are cut at line feeds only; null and empty texts are one empty line. A key of least_length code points or more
@@ -138,18 +163,19 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     spark = docs.sparkSession
     base = new_dir(spark, "lines")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("text"))
+    filter_bits = filter_bits or filter_bits_for(rows)
     sent = spark.sparkContext.broadcast(bytes(twice_seen(rows.select("text"), f"{base}/filters", least_length, filter_bits)))
 
     def suspects(batches):
         import xxhash
 
-        twice = np.frombuffer(sent.value, np.uint8)
+        twice = _Filter(0)
+        twice.bits, twice.raw = filter_bits, np.frombuffer(sent.value, np.uint8)
         for b in batches:
             ids, keys = [], []
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 if own := list(set(_keys(text, least_length))):
-                    at = _places(_hashed(own), filter_bits)
-                    hit = ((twice[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1).all(axis=1)
+                    hit = twice.holds(_places(_hashed(own), filter_bits))
                     got = [own[i] for i in np.flatnonzero(hit)]
                     ids += [doc_id] * len(got)
                     keys += got
