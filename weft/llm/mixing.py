@@ -1,14 +1,16 @@
 """Mixing sources to target weights by a multivariate-hypergeometric splitting tree, in DataFrame operations only.
 
-Every source is cut into blocks by a hash of the document id, so a source that holds a third of all rows is spread over
-as many keys as any other has. The target of a source gives whole passes over its blocks and a remainder, which a
-first-fit walk over the permuted blocks fills. That fixes exact block quotas. The tree then halves the list of output
-shards again and again; at each node the left half's quotas are drawn from the multivariate hypergeometric distribution
-(conditional draws, source by source), so each leaf ends with an exact number of blocks of each source. A leaf takes the
-next disjoint range of each source's permuted blocks and orders its documents by a hash.
-
-Scale. Texts are read once for their sizes. All that is gathered in one row is bounded: blocks of a source
-(blocks_per_source) and quotas of a node (one for each source). Seeds are fixed, so reruns agree.
+Every source is cut into BLOCKS blocks by a hash of the document id, so a source that holds a third of all rows is spread
+over as many keys as any other has, and each block into as many cells as the output shards ask for. The target of a source
+gives whole passes over its blocks and a remainder, which a first-fit walk over the permuted blocks fills. That fixes exact
+quotas of cells. The tree then halves the list of output shards again and again; at each node the left half's quotas are
+drawn from the multivariate hypergeometric distribution (conditional draws, source by source), so each leaf ends with an
+exact number of cells of each source. A leaf takes the next disjoint range of each source's permuted cells and orders its
+documents by a hash.
+
+Scale. Texts are read once for their sizes. Shards have about SHARD_WORDS words however large the input is. What is
+gathered in one row has a fixed bound: BLOCKS blocks of a source, and the quotas of a node (one for each source). Ranges
+of cells meet their leaves by an equal rank, one row a cell. Seeds are fixed, so reruns agree.
 """
 
 from __future__ import annotations
@@ -24,9 +26,10 @@ WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 MOST = 2
 SEED = 20240607
-#: Words that an output shard should hold, and the range of the number of shards.
-SHARD_WORDS, LEAST_SHARDS, MOST_SHARDS = 1 << 25, 16, 4096
-LEAST_BLOCKS = 1024
+#: Words that an output shard should hold, and the fewest shards.
+SHARD_WORDS, LEAST_SHARDS = 1 << 25, 16
+#: Blocks of a source, and cells of a source that an output shard gets of those blocks' cells at least, on average.
+BLOCKS, CELLS = 1024, 64
 
 
 def _uniform(*cols) -> Column:
@@ -103,10 +106,10 @@ def split_tree(quotas: DataFrame, depth: int, path: str, seed: int = SEED) -> Da
 
 
 def mixing_plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", *, seed: int = SEED, n_shards: int | None = None) -> tuple[DataFrame, DataFrame, int]:
-    """(sizes, blocks, number of blocks a source).
+    """(sizes, cells, number of cells a source).
 
-    sizes: one row per row of docs: doc_id, size, src, nul, block. blocks: src, nul, block, source_size, target, shards
-    (the output shard of each copy of the block, one entry for each time it is taken).
+    sizes: one row per row of docs: doc_id, size, src, nul, cell. cells: src, nul, cell, source_size, target, shards
+    (the output shard of each copy of the cell, one entry for each time it is taken).
     """
     spark = docs.sparkSession
     base = new_dir(spark, "mix")
@@ -115,14 +118,15 @@ def mixing_plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     totals = staged(named.groupBy("src", "nul").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs")), f"{base}/sources")
     if n_shards is None:
         words = SHARE * (totals.agg(F.sum("source_size")).first()[0] or 0)
-        n_shards = min(MOST_SHARDS, max(LEAST_SHARDS, 1 << math.ceil(math.log2(max(1.0, words / SHARD_WORDS)))))
+        n_shards = max(LEAST_SHARDS, 1 << math.ceil(math.log2(max(1.0, words / SHARD_WORDS))))
     depth = max(0, math.ceil(math.log2(n_shards)))
-    n_blocks = max(LEAST_BLOCKS, 64 << depth)
-    sizes = named.withColumn("block", F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(n_blocks)).cast("int"))
+    each = max(1, (CELLS << depth) // BLOCKS)  # cells of a block
+    n_cells = BLOCKS * each
+    sizes = named.withColumn("cell", F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(n_cells)).cast("int"))
 
     # Quotas: whole passes, then the remainder by first fit over the permuted blocks; the smallest block left goes in if that ends nearer.
     targets = source_targets(totals)
-    blocks = sizes.groupBy("src", "nul", "block").agg(F.sum("size").alias("words"))
+    blocks = sizes.groupBy("src", "nul", F.floor(F.col("cell") / each).cast("int").alias("block")).agg(F.sum("size").alias("words"))
     of_source = blocks.groupBy("src", "nul").agg(F.array_sort(F.collect_list(F.struct(F.xxhash64(F.lit(seed + 1), "src", "nul", "block").alias("perm"), "block", "words"))).alias("all"))
     whole = F.when(F.col("source_size") > 0, F.least(F.lit(MOST), F.floor(F.col("target") / F.col("source_size")))).otherwise(F.lit(0)).cast("int")
     planned = of_source.join(targets, ["src", "nul"]).withColumn("whole", whole).withColumn("rest", F.greatest(F.lit(0.0), F.col("target") - F.col("whole") * F.col("source_size")))
@@ -140,43 +144,44 @@ def mixing_plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     epochs = F.concat(F.when(F.col("whole") > 0, F.sequence(F.lit(0), F.col("whole") - 1)).otherwise(empty), F.array(F.lit(-1)))
     taken_blocks = planned.select("src", "nul", "pos", "part", F.explode("all").alias("b"), epochs.alias("epochs")).select("src", "nul", "pos", "part", F.col("b.block").alias("block"), F.explode("epochs").alias("epoch"))
     taken_blocks = taken_blocks.where((F.col("epoch") >= 0) | F.array_contains("part", F.col("block"))).drop("part")
-    taken_blocks = staged(taken_blocks, f"{base}/taken")
+    own_cells = F.explode(F.sequence(F.col("block") * each, F.col("block") * each + (each - 1))).alias("cell")
+    taken = staged(taken_blocks.select("src", "nul", "pos", "epoch", own_cells), f"{base}/taken")
 
-    # The tree: exact quotas for each leaf; ends[i] are the leaves' last ranks among the permuted blocks of a source.
-    counts = taken_blocks.groupBy("pos").agg(F.count("*").alias("k"))
+    # The tree: exact quotas for each leaf; a leaf takes the next ranks of a source's permuted cells.
+    counts = taken.groupBy("pos").agg(F.count("*").alias("k"))
     root = counts.agg(F.array_sort(F.collect_list(F.struct("pos", "k"))).alias("s")).select(F.lit(0).cast("long").alias("node"), F.transform("s", lambda x: x["k"]).alias("q"), F.transform("s", lambda x: x["pos"]).alias("at"))
     root = staged(root, f"{base}/root")
     leaves = split_tree(root.select("node", "q"), depth, f"{base}/levels", seed)
     names = root.select(F.posexplode("at").alias("i", "pos"))
-    by_leaf = leaves.select("node", F.posexplode("q").alias("i", "k")).join(names, "i").select("node", "pos", "k")
-    ends = by_leaf.groupBy("pos").agg(F.array_sort(F.collect_list(F.struct("node", "k"))).alias("l"))
-    running = F.aggregate("l", F.array(F.lit(0).cast("long")), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + x["k"])))
-    ends = staged(ends.select("pos", F.slice(running, 2, 1 << depth).alias("ends")), f"{base}/tree")
-    ranked = taken_blocks.withColumn("rank", F.row_number().over(Window.partitionBy("pos").orderBy(F.xxhash64(F.lit(seed + 2), "block", "epoch"), "block", "epoch")) - 1)
-    placed = ranked.join(ends, "pos").withColumn("shard", F.size(F.filter("ends", lambda e: e <= F.col("rank"))))
-    shards = placed.groupBy("src", "nul", "block").agg(F.array_sort(F.collect_list("shard")).alias("shards"))
+    by_leaf = leaves.select("node", F.posexplode("q").alias("i", "k")).where("k > 0").join(names, "i").select("node", "pos", "k")
+    upto = F.sum("k").over(Window.partitionBy("pos").orderBy("node"))
+    slots = by_leaf.withColumn("upto", upto).select("pos", F.col("node").cast("int").alias("shard"), F.explode(F.sequence(F.col("upto") - F.col("k") + 1, F.col("upto"))).alias("rank"))
+    ranked = taken.withColumn("rank", F.row_number().over(Window.partitionBy("pos").orderBy(F.xxhash64(F.lit(seed + 2), "cell", "epoch"), "cell", "epoch")).cast("long"))
+    placed = ranked.join(slots, ["pos", "rank"])
+    shards = placed.groupBy("src", "nul", "cell").agg(F.array_sort(F.collect_list("shard")).alias("shards"))
     every = planned.select("src", "nul", "source_size", "target", F.explode("all").alias("b")).select("src", "nul", "source_size", "target", F.col("b.block").alias("block"))
-    plan = every.join(shards, ["src", "nul", "block"], "left").withColumn("shards", F.coalesce("shards", empty))
-    return sizes, staged(plan, f"{base}/plan"), n_blocks
+    every = every.select("src", "nul", "source_size", "target", own_cells)
+    plan = every.join(shards, ["src", "nul", "cell"], "left").withColumn("shards", F.coalesce("shards", empty))
+    return sizes, staged(plan, f"{base}/plan"), n_cells
 
 
 def mixing_report(docs: DataFrame, **kw) -> DataFrame:
     """One row per row of docs: doc_id, size, source_size, target, taken, shards.
 
     Null sources are a source of their own, the last; null texts have size 0. Documents without words take no part in
-    totals, but follow their block. All-empty tables have targets of 0. Rows that repeat an id fall into one block.
+    totals, but follow their cell. All-empty tables have targets of 0. Rows that repeat an id fall into one cell.
     """
     sizes, plan, _ = mixing_plan(docs, **kw)
-    out = sizes.join(plan, ["src", "nul", "block"])
+    out = sizes.join(plan, ["src", "nul", "cell"])
     return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.size("shards")).cast("long").alias("taken"), "shards")
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", *, seed: int = SEED, n_shards: int | None = None) -> DataFrame:
     """The mix: rows of docs with all their columns, each as often as it is taken, dealt to shards and in random order there."""
-    _, plan, n_blocks = mixing_plan(docs, id_col, text_col, source_col, seed=seed, n_shards=n_shards)
-    plan = plan.select(*[F.col(c).alias(f"__{c}") for c in ("src", "nul", "block", "shards")]).where(F.size("__shards") > 0)
-    keyed = docs.withColumns({"__s": F.coalesce(F.col(source_col).cast("string"), F.lit("")), "__n": F.isnull(source_col).cast("int"), "__b": F.pmod(F.xxhash64(F.lit(seed), F.col(id_col).cast("long")), F.lit(n_blocks)).cast("int")})
-    rows = keyed.join(plan, (F.col("__s") == F.col("__src")) & (F.col("__n") == F.col("__nul")) & (F.col("__b") == F.col("__block")))
+    _, plan, n_cells = mixing_plan(docs, id_col, text_col, source_col, seed=seed, n_shards=n_shards)
+    plan = plan.select(*[F.col(c).alias(f"__{c}") for c in ("src", "nul", "cell", "shards")]).where(F.size("__shards") > 0)
+    keyed = docs.withColumns({"__s": F.coalesce(F.col(source_col).cast("string"), F.lit("")), "__n": F.isnull(source_col).cast("int"), "__b": F.pmod(F.xxhash64(F.lit(seed), F.col(id_col).cast("long")), F.lit(n_cells)).cast("int")})
+    rows = keyed.join(plan, (F.col("__s") == F.col("__src")) & (F.col("__n") == F.col("__nul")) & (F.col("__b") == F.col("__cell")))
     rows = rows.select(*[docs[c] for c in docs.columns], F.posexplode("__shards").alias("__copy", "__shard"))
     order = F.xxhash64(F.lit(seed + 3), F.col(id_col).cast("long"), "__copy")
     return rows.repartition("__shard").sortWithinPartitions("__shard", order).select(*docs.columns)
