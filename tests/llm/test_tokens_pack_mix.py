@@ -133,6 +133,60 @@ def test_the_program_places_nearly_all_pieces(monkeypatch, n):
     assert sum(k for _, k in plan) <= 1.005 * lengths.sum() / 4096 + 1
 
 
+def _fewest(pieces, capacity):
+    """The fewest sequences, by trying all ways."""
+    best = [len(pieces)]
+
+    def place(i, rooms):
+        if len(rooms) >= best[0]:
+            return
+        if i == len(pieces):
+            best[0] = len(rooms)
+            return
+        for room in {r for r in rooms if r >= pieces[i]}:
+            j = rooms.index(room)
+            place(i + 1, [*rooms[:j], room - pieces[i], *rooms[j + 1 :]])
+        place(i + 1, [*rooms, capacity - pieces[i]])
+
+    pieces = sorted(pieces, reverse=True)
+    place(0, [])
+    return best[0]
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_small_histograms_against_brute_force(seed):
+    rng = random.Random(seed)
+    pieces = [rng.randrange(5, 16) for _ in range(9)] if seed % 2 else [x for _ in range(3) for a in [rng.randrange(6, 9)] for b in [rng.randrange(6, 9)] for x in (a, b, 20 - a - b)]
+    plan, report = packing.solve_with_report(Counter(pieces), 20)
+    fewest = _fewest(pieces, 20)
+    assert report["least"] <= fewest <= report["sequences"] <= fewest + 1
+    assert Counter(x for config, k in plan for x in config for _ in range(k)) == Counter(pieces)
+
+
+@pytest.mark.parametrize("capacity,n", [(256, 500), (1000, 2000)])
+def test_the_program_beats_best_fit_on_triples(capacity, n):
+    """Pieces that fill sequences in threes only: longest-first best fit wastes a tenth, the program all but nothing."""
+    rng = random.Random(capacity)
+    h = Counter()
+    for _ in range(n):
+        a, b = (rng.randrange(capacity // 4 + 1, capacity // 2) for _ in "ab")
+        if capacity // 4 < capacity - a - b < capacity // 2:
+            h.update((a, b, capacity - a - b))
+    least = sum(a * k for a, k in h.items()) // capacity
+    left = np.zeros(capacity + 1, np.int64)
+    for x, k in h.items():
+        left[x] = k
+    assert sum(packing._best_fit(left, capacity).values()) > 1.08 * least
+    report = packing.solve_with_report(h, capacity)[1]
+    assert report["least"] == least and report["sequences"] <= 1.01 * least + 1 and report["by_program"] > 0.95
+
+
+def test_prices_prove_more_than_volume():
+    """Pieces just over half fill a sequence each, whatever their volume."""
+    report = packing.solve_with_report({51: 70}, 100)[1]
+    assert report["sequences"] == report["least"] == 70 and report["gap"] == 0
+
+
 def source_rows(n=900):
     rng = random.Random(5)
     out = []

@@ -3,7 +3,8 @@
 A configuration is a multiset of lengths that fits a sequence. The program, to cover every piece with as few
 configurations as can be, is solved by multiplicative weights: an unbounded-knapsack dynamic program over the capacity
 finds the configurations of most weight, they are used as far as their lengths' demand goes, in whole sequences, and the
-weights of what they cover are lowered by a factor. The few pieces left over are packed by best fit, longest first, also
+weights of what they cover are lowered by a factor. The weights are also prices, which prove by duality how few sequences
+any packing can have (solve_with_report). The few pieces left over are packed by best fit, longest first, also
 by histogram.
 
 Scale. The driver sees the histogram alone: at most `capacity` lengths. The plan it sends out has a row for each length of
@@ -76,15 +77,20 @@ def _fill_within(n: int, weight: np.ndarray, best: np.ndarray, left: np.ndarray,
     return need
 
 
-def _program(left: np.ndarray, capacity: int, rounds: int) -> Counter:
-    """Configurations and their uses; takes what they cover off left. Uses are whole from the start, so rounding loses none.
+def dual_bound(demand: np.ndarray, weight: np.ndarray, best: float) -> float:
+    """The worth of all pieces at prices at which no sequence is worth more than `best`, in sequences: by linear duality no packing needs fewer."""
+    return float(demand @ np.maximum(weight, 0)) / best if best > 0 else 0.0
+
+
+def _program(left: np.ndarray, capacity: int, rounds: int) -> tuple[Counter, float]:
+    """Configurations and their uses, and the best dual bound of all rounds' prices; takes what they cover off left. Uses are whole from the start, so rounding loses none.
 
     A pricing round gives the best fill of every room, so the best configuration that has a given length is known for each
     length. All that come within NEAR of the round's best are used if they leave no room (or, after a round that
     found none, no more than its best one); each takes half of its scarcest length, or one sequence. The rounds end when less than OPEN of the pieces is left.
     """
     plan: Counter = Counter()
-    total = int(left.sum())
+    total, whole, bound = int(left.sum()), left.astype(float), 0.0
     if left[capacity]:
         plan[(capacity,)] += int(left[capacity])
         left[capacity] = 0
@@ -97,6 +103,8 @@ def _program(left: np.ndarray, capacity: int, rounds: int) -> Counter:
             break
         weight = np.where(left > 0, size * factor, -1.0)
         best, took = _price(weight, capacity)
+        if (left[1:capacity] > 0).sum() == (whole[1:capacity] > 0).sum():  # prices of lengths that are used up are gone, and with them the bound
+            bound = max(bound, dual_bound(whole, np.where(np.arange(capacity + 1) == capacity, best[capacity], weight), best[capacity]))
         took = took.tolist()
         least = capacity if full else sum(_fill(took, capacity))
         before = sum(plan.values())
@@ -117,18 +125,27 @@ def _program(left: np.ndarray, capacity: int, rounds: int) -> Counter:
                 left[m] -= k * step
                 factor[m] *= np.exp(-ETA * k * step / demand[m])
         full = sum(plan.values()) > before
-    return plan
+    return plan, max(bound, float(np.arange(capacity + 1) @ whole) / capacity)
 
 
 def solve(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = ROUNDS) -> list[tuple[tuple[int, ...], int]]:
     """Configurations and how many sequences use each. Every piece of the histogram is in exactly one."""
+    return solve_with_report(histogram, capacity, rounds)[0]
+
+
+def solve_with_report(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = ROUNDS) -> tuple[list[tuple[tuple[int, ...], int]], dict[str, float]]:
+    """solve's configurations, with the number of sequences, the bound that the program's prices prove, the gap between
+    the two, and the share of the pieces that the program placed (best fit places the rest)."""
     left = np.zeros(capacity + 1, np.int64)
     for n, k in histogram.items():
         left[n] = k
-    plan = _program(left, capacity, rounds)
+    total = int(left.sum())
+    plan, bound = _program(left, capacity, rounds)
+    rest = int(left.sum())
     for config, k in _best_fit(left, capacity).items():
         plan[config] += k
-    return sorted(plan.items(), reverse=True)
+    used, least = sum(plan.values()), int(np.ceil(bound - 1e-6))
+    return sorted(plan.items(), reverse=True), {"sequences": used, "least": least, "gap": used / max(1, least) - 1, "by_program": 1 - rest / max(1, total)}
 
 
 def _best_fit(left: np.ndarray, capacity: int) -> Counter:
