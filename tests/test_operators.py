@@ -195,3 +195,100 @@ def test_section_ranges(spark):
     assert got == [(0, 7), (7, 14), (14, 20)]
     with pytest.raises(Exception, match="no section"):
         store.section_ranges(f.withColumn("markers", F.array(F.lit("nope")))).collect()
+
+
+def test_numbering_in_ranges(spark):
+    from weft.operators import number
+
+    df = spark.range(0, 3000, 3).selectExpr("id % 700 as k", "id as x").repartition(5)
+    got = [(r.k, r.x) for r in number.numbered(df, "k", "x").orderBy("n").collect()]
+    assert got == sorted(got) and len(got) == 1000
+    assert [r.n for r in number.numbered(df, "k", "x").orderBy("n").collect()] == list(range(1, 1001))
+    sums = {r.x: r.before for r in number.before(df, "x", F.col("x")).collect()}
+    assert all(sums[x] == sum(range(0, x, 3)) for x in (0, 3, 1500, 2997))
+    assert number.numbered(df.limit(0), "k").count() == 0
+
+
+def test_split_plans_of_several_ranges(spark):
+    kind = "plan_id long, proposal int, new_path string, start long, end long, size long"
+    rng = lambda *rows: store.validate_plan(spark.createDataFrame([(1, *r, 10) for r in rows], kind)).first().reason
+    assert rng((0, "a", 0, 2), (0, "a", 5, 9), (1, "b", 2, 5)) == "ok"
+    assert rng((0, "a", 0, 2), (1, "a", 5, 9)) == "duplicate path" and rng((0, "", 0, 2)) == "empty path" and rng((0, "a", None, None)) == "no ranges"
+    files = spark.createDataFrame([(7, "abcdefghi")], "file_id long, content string")
+    plan = spark.createDataFrame([(7, "x", 0, 5, 9), (7, "x", 1, 0, 3), (7, "y", 0, 3, 5)], "file_id long, new_path string, pos int, start long, end long")
+    out = {r.path: (r.content, r.version, r.path_hash) for r in store.execute_split(plan, files, files)["files"].collect()}
+    assert out == {"x": ("fghiabc", 0, 0), "y": ("de", 0, 0)}
+
+
+def test_catalog_by_id(spark):
+    cat = spark.createDataFrame([(1, 3), (2, 5)], "file_id long, version long")
+    ids = lambda *x: spark.createDataFrame([(i,) for i in x], "file_id long")
+    assert [r.version for r in store.get_records(ids(2), cat).collect()] == [5]
+    for bad, word in ((0, "invalid"), (9, "no file")):
+        with pytest.raises(Exception, match=word):
+            store.get_records(ids(bad), cat).collect()
+    with pytest.raises(Exception, match="exists"):
+        store.create_files(spark.createDataFrame([(1, "x")], "file_id long, data string"), cat).collect()
+    assert store.create_files(spark.createDataFrame([(3, "é")], "file_id long, data string"), cat).first().size_bytes == 2
+    assert [h.offset for h in store.read_headers(ids(1), spark.createDataFrame([(1, "x\n# a")], "file_id long, content string")).first().headers] == [2]
+
+
+def test_execute_segments(spark):
+    ps = paths(spark, "billing/refunds", "people/leave")
+    cat = ps.select("file_id")
+    kind = "seq long, topic_action string, target_topic string, new_topic_path string, content_markdown string, entities array<string>, related_topics array<string>"
+    seg = spark.createDataFrame([(1, "APPEND_EXISTING", "billing/refunds", "", "more", ["Ann"], ["people/leave", "nope"]), (2, "CREATE_NEW", "", "tax/rules", "new", ["Ann", "Ann"], ["tax/rules"])], kind)
+    old = spark.createDataFrame([("Ann", 2, 0)], "entity string, file_id long, seq long")
+    out = {k: v.collect() for k, v in pipelines.execute_segments(seg, ps, cat, old).items()}
+    assert sorted((r.file_id, r.op, r.data) for r in out["puts"]) == [(1, "append", "more"), (3, "create", "new")]
+    assert [(r.path, r.file_id) for r in out["paths"]] == [("tax/rules", 3)]
+    assert {(r.source, r.target, r.edge_type) for r in out["edges"]} == {(1, 2, "ENTITY_COOCCUR"), (3, 1, "ENTITY_COOCCUR"), (3, 2, "ENTITY_COOCCUR"), (1, 2, "LLM_ASSERTED")}
+    assert [(r.file_id, r.error) for r in out["errors"]] == [(1, "no topic nope")] and len(out["index"]) == 3
+    with pytest.raises(Exception, match="no topic"):
+        bad = spark.createDataFrame([(1, "APPEND_EXISTING", "x/y", "", "", [], [])], kind)
+        pipelines.execute_segments(bad, ps, cat, old)["puts"].collect()
+
+
+def test_validators(spark):
+    import json
+
+    ask = lambda f, text, *more: spark.range(1).select(f(F.lit(text), *more).alias("x")).first().x
+    good = {"refined_intent": "i", "query_type": "factual_lookup", "entities": []}
+    assert ask(models.parse_intent, json.dumps(good)).error is None
+    assert ask(models.parse_intent, json.dumps(good | {"query_type": "x"})).error == "bad query_type"
+    assert ask(models.parse_intent, json.dumps(good | {"refined_intent": 3})).error == "refined_intent must be a string"
+    assert ask(models.parse_intent, "[1]").error == "not an object" and ask(models.parse_intent, "{} x").error == "not JSON"
+    s = ask(models.parse_synthesis, json.dumps({"answer": "a", "citations": ["b", "c"]}), F.lit("## File: b\nx\n"))
+    assert s.error is None and s.unknown == ["c"]
+    sec = lambda *p: json.dumps({"sections": [{"new_topic_path": a, "start_marker": b} for a, b in p], "redirect_summary": "r"})
+    assert len(ask(models.parse_split, sec(("a", "# A"), ("b", "# B"))).sections) == 2
+    for text, word in ((sec(("a", "# A")), "too few"), (sec(("a", "x"), ("a", "y")), "duplicate"), (sec(("a", ""), ("b", "y")), "start_marker"), (sec(("", "x"), ("b", "y")), "new_topic_path"), ("{}", "missing sections")):
+        assert word in ask(models.parse_split, text).error
+
+
+def test_snapshots(spark, tmp_path):
+    e = edges(spark, [(1, 2, "REDIRECT", 1), (3, 1, "LLM_ASSERTED", 2)])
+    graph.write_snapshot(e, str(tmp_path / "s"))
+    mark = graph.write_snapshot(e.where("source = 3"), str(tmp_path / "s")).first()
+    assert [r.source for r in graph.read_snapshot(spark, str(tmp_path / "s")).collect()] == [3]
+    e.write.mode("overwrite").parquet(mark.folder)
+    with pytest.raises(ValueError, match="damaged"):
+        graph.read_snapshot(spark, str(tmp_path / "s"))
+
+
+def test_odd_edges_and_arms(spark):
+    assert graph.adjacency(edges(spark, [(1, 2, "REDIRECT", 1)]), spark.createDataFrame([(9,)], "source long")).where("degree = 0").first().source == 9
+    with pytest.raises(Exception, match="structural"):
+        graph.append_structural(edges(spark, []), edges(spark, [(1, 2, "LLM_ASSERTED", 1)])).collect()
+    with pytest.raises(ValueError):
+        graph.entity_retrieve(None, None, None, 3, 3)
+    with pytest.raises(Exception, match="nothing selected"):
+        pipelines.answer(spark.createDataFrame([("zzz",)], "query string"), paths(spark, "a/b"), edges(spark, []), paths(spark, "a/b").withColumn("content", F.lit("x"))).collect()
+    corpus = spark.createDataFrame([(i, f"text {i}", [1.0, float(i)]) for i in (1, 2, 3)], "doc_id long, text string, embedding array<double>")
+    q = spark.createDataFrame([(0, [0.0, 1.0])], "query_id long, embedding array<double>")
+    r = pipelines.vector_arm(q, corpus.withColumn("vec_id", F.col("doc_id")), corpus, 2).first()
+    assert r.citations == ["3", "2"] and r.answer == "text 3 [3] text 2 [2]"
+    got = pipelines.retrieve_reranked(spark.createDataFrame([(0, d, d) for d in (1, 2, 3, 4, 5)], "query_id long, doc_id long, rank int"), spark.createDataFrame([(0, "4, 1")], "query_id long, response string"), 2)
+    assert [x.doc_id for x in got.orderBy("rank").collect()] == [4, 1]
+    idx = pipelines.index_chunks(corpus, lambda t: F.array(F.length(t).cast("double")), 1, 0)
+    assert idx.count() == 6 and idx.first().embedding

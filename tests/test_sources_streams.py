@@ -38,7 +38,9 @@ def test_chat_and_registry(spark, tmp_path):
     (tmp_path / "b.json").write_text(json.dumps({"rows": rows}))
     for name in ("a", "b"):
         got = readers.load_dataset(spark, "chat", str(tmp_path / f"{name}.json")).collect()
-        assert [(r.ticket_id, r.created_at) for r in got] == [("BTX-000000", "2024-01-01T00:00:00"), ("BTX-000001", "2024-01-01T00:01:00")]
+        assert [(r.ticket_id, r.created_at) for r in got] == [("BTX-000000", "2024-01-01T00:00:00+00:00"), ("BTX-000001", "2024-01-01T00:01:00+00:00")]
+        assert (got[1].status, got[1].priority, got[1].requester, got[1].assignee) == ("closed", "normal", "customer-1@example.com", "support-bot@example.com")
+        assert got[0].comments[0].asDict() == {"author": "support-bot@example.com", "body": "so"}
     with pytest.raises(ValueError, match="mail"):
         readers.load_dataset(spark, "nope", "")
 
@@ -97,3 +99,50 @@ def test_stream_crossings_and_entities(spark, tmp_path):
     spark.createDataFrame([("x", 1, 1), ("x", 2, 2), ("x", 2, 3), ("y", 2, 4)], "entity string, file_id long, seq long").write.parquet(str(tmp_path / "m"))
     s = streams.tail_log(spark, str(tmp_path / "m"), "entity string, file_id long, seq long")
     assert [(r.source, r.target, r.entity) for r in _drain(streams.cooccurrences(s), tmp_path, "pairs").collect()] == [(2, 1, "x")]
+
+
+def test_yaml_seeds_and_live_corpus(spark, tmp_path):
+    pytest.importorskip("yaml")
+    (tmp_path / "t.yaml").write_text("topics:\n- id: a\n  title: A\n  key_facts: [x, 1]\n- id: 2\n  title: B\n")
+    got = readers.topic_seeds_yaml(spark, str(tmp_path / "t.yaml")).orderBy("idx").collect()
+    assert [(r.id, r.title, r.key_facts) for r in got] == [("a", "A", ["x", "1"]), ("2", "B", [])]
+    (tmp_path / "bad.yaml").write_text("topics:\n- id: a\n")
+    with pytest.raises(ValueError, match="title"):
+        readers.topic_seeds_yaml(spark, str(tmp_path / "bad.yaml"))
+    docs = spark.createDataFrame([("d", "f.pdf", ("t", "Tax Rules"))], "doc_id string, filename string, primary_topic struct<id:string,title:string>")
+    pages = spark.createDataFrame([("f.pdf", 2, "two"), ("f.pdf", 1, "one")], "filename string, page int, text string")
+    r = readers.live_corpus(docs, pages).first()
+    assert r.title == "Tax Rules" and [p for _, p in readers.parse_pages(r.text)] == ["one\n", "two\n"]
+
+
+def test_report_round_trip(spark, tmp_path):
+    cp = spark.createDataFrame([("20%", 7), ("50%", 16)], "label string, n int")
+    rows = spark.createDataFrame([("20%", "main", 0.5)], "label string, arm string, recall double")
+    hurt = spark.createDataFrame([("20%", True)], "label string, hurt boolean")
+    readers.write_report(str(tmp_path / "r"), cp, rows, hurt)
+    assert [tuple(r) for r in readers.read_report(spark, str(tmp_path / "r"), "checkpoints", "label:string,n:int").collect()] == [("20%", 7), ("50%", 16)]
+    assert [tuple(r) for r in readers.read_report(spark, str(tmp_path / "r"), "traversal_precision", "label:string,hurt:boolean").collect()] == [("20%", True)]
+
+
+def test_stream_leases_and_caps(spark, tmp_path):
+    spark.createDataFrame([(1, "a"), (2, "b")], "file_id long, owner string").coalesce(1).write.parquet(str(tmp_path / "c"))
+    s = streams.tail_log(spark, str(tmp_path / "c"), "file_id long, owner string")
+    q = streams.leases(s).writeStream.format("memory").queryName("claims").option("checkpointLocation", str(tmp_path / "cp-claims")).start()
+    try:  # timers keep such a query at work, so it is ended here
+        for _ in range(60):
+            q.awaitTermination(1)
+            if spark.table("claims").count() == 2:
+                break
+        assert sorted((r.file_id, r.owner, r.granted) for r in spark.table("claims").collect()) == [(1, "a", True), (2, "b", True)]
+    finally:
+        q.stop()
+    rows = [("x", i, "openrouter", 1.0) for i in range(4)] + [("y", 1, "ollama", 0.0)]
+    spark.createDataFrame(rows, "arm string, seq long, provider string, cost_usd double").write.parquet(str(tmp_path / "k"))
+    s = streams.tail_log(spark, str(tmp_path / "k"), "arm string, seq long, provider string, cost_usd double")
+    got = sorted((r.arm, r.seq, r.refused) for r in _drain(streams.capped_costs(s, 2.0), tmp_path, "capped").collect())
+    assert got == [("x", 0, False), ("x", 1, False), ("x", 2, True), ("x", 3, True), ("y", 1, False)]
+
+
+def test_soak_streams_rows(spark):
+    x = streams.soak(spark, 10, 4)
+    assert x.isStreaming and x.columns == ["file_id", "seq", "data"]

@@ -5,12 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# Results have to agree on them.
 #: Most distinct terms a search may have.
 MAX_TERMS = 32
 #: Bytes at which a file is due for a split.
 SPLIT_THRESHOLD = 8192
 REDIRECT_HEADER = "REDIRECT-STUB v1"
+#: Words that do not begin an entity of several words.
 NO_WORDS = ("the", "a", "an", "this", "that", "these", "those")
+#: A run of capitalised words; letters and digits of any script bound it.
+ENTITY = "(?<![\\p{L}\\p{N}_])([A-Z][a-zA-Z0-9]*(?:\\s+[A-Z][a-zA-Z0-9]*)*)(?![\\p{L}\\p{N}_])"
+#: A code fence around all of an answer, with or without a tag; the line feeds next to it go with it.
+FENCE = "(?s)^\\s*```[a-zA-Z0-9_+-]*\\s*\\n?(.*?)\\n?```\\s*\\z"
+#: Seconds of the first synthetic time, 2024-01-01 UTC.
+EPOCH = 1704067200
 
 
 def split_terms(text: Column) -> Column:
@@ -139,8 +147,8 @@ def frame_page(text: Column, page: Column) -> Column:
 
 
 def strip_code_fence(raw: Column) -> Column:
-    body = F.regexp_extract(raw, "(?s)^\\s*```[a-zA-Z0-9]*[ \\t]*\\n(.*?)\\n?```\\s*\\z", 1)
-    return F.when(raw.rlike("(?s)^\\s*```[a-zA-Z0-9]*[ \\t]*\\n.*```\\s*\\z"), body).otherwise(raw)
+    """What one fence around the whole answer holds; any other text as it is."""
+    return F.when(raw.rlike(FENCE), F.regexp_extract(raw, FENCE, 1)).otherwise(raw)
 
 
 def canonical_entity(name: Column) -> Column:
@@ -152,11 +160,11 @@ def heuristic_entities(text: Column) -> Column:
 
     Letters and digits of any script bound a word, so an accent keeps its own word out and no other.
     """
-    runs = F.regexp_extract_all(text, F.lit("(?<![\\p{L}\\p{N}_])([A-Z][a-zA-Z0-9]*(?:\\s+[A-Z][a-zA-Z0-9]*)*)(?![\\p{L}\\p{N}_])"), 1)
+    runs = F.regexp_extract_all(text, F.lit(ENTITY), 1)
 
     def clean(run):
         words = F.split(run, "\\s+")
-        cut = F.when((F.size(words) > 1) & F.lower(words[0]).isin(*NO_WORDS), F.slice(words, 2, 1_000_000)).otherwise(words)
+        cut = F.when((F.size(words) > 1) & F.lower(words[0]).isin(*NO_WORDS), F.slice(words, F.lit(2), F.size(words))).otherwise(words)
         return F.array_join(cut, " ")
 
     return F.transform(runs, clean)
@@ -182,11 +190,19 @@ def precision_at_k(ids: Column, relevant: Column, k: int) -> Column:
     return F.when(F.size(top) == 0, F.lit(0.0)).otherwise(F.size(F.filter(top, lambda x: F.array_contains(relevant, x))) / F.size(top))
 
 
+def dot(a: Column, b: Column) -> Column:
+    """In double precision."""
+    return F.aggregate(F.zip_with(a, b, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
+
+
+def norm(a: Column) -> Column:
+    return F.sqrt(dot(a, a))
+
+
 def cosine(a: Column, b: Column) -> Column:
     """In double precision; 0 if either norm is 0."""
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
-    norm = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
-    return F.when(norm == 0, F.lit(0.0)).otherwise(dot(a, b) / norm)
+    both = norm(a) * norm(b)
+    return F.when(both == 0, F.lit(0.0)).otherwise(dot(a, b) / both)
 
 
 def provided_paths(context: Column) -> Column:
@@ -212,7 +228,9 @@ def crossing(old: Column, new: Column, threshold: int = SPLIT_THRESHOLD) -> Colu
 
 
 def is_json(text: Column) -> Column:
-    return F.coalesce(F.try_parse_json(F.trim(text)).isNotNull(), F.lit(False))
+    """Whether the text is one JSON value and nothing else: the parser alone would stop after the first."""
+    one = F.try_variant_get(F.try_parse_json(F.concat(F.lit("["), text, F.lit("]"))), "$", "array<variant>")
+    return F.coalesce(F.size(one) == 1, F.lit(False))
 
 
 def hop_decay(hop: Column) -> Column:
@@ -220,9 +238,9 @@ def hop_decay(hop: Column) -> Column:
 
 
 def synthetic_time(index: Column) -> Column:
-    """2024-01-01 plus index minutes, as ISO text."""
-    t = F.timestamp_seconds(F.lit(1704067200) + index.cast("long") * 60)
-    return F.date_format(t, "yyyy-MM-dd'T'HH:mm:ss")
+    """2024-01-01 plus index minutes, as ISO text with the offset of UTC, whatever the session's zone."""
+    t = F.timestamp_seconds(F.lit(EPOCH) + index.cast("long") * 60)
+    return F.concat(F.date_format(F.to_utc_timestamp(t, F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss"), F.lit("+00:00"))
 
 
 def chunk_words(text: Column, size: int, overlap: int) -> Column:
@@ -231,7 +249,12 @@ def chunk_words(text: Column, size: int, overlap: int) -> Column:
         raise ValueError("size must be positive and overlap smaller")
     words = F.filter(F.split(text, "\\s+"), lambda x: x != "")
     stride = size - overlap
-    n = F.size(words)
-    chunks = F.when(n <= size, F.lit(1)).otherwise(F.ceil((n - size) / stride).cast("int") + 1)
-    starts = F.when(n > 0, F.transform(F.sequence(F.lit(0), chunks - 1), lambda i: i * stride)).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda s: F.struct(s.alias("start_word"), F.least(s + size, n).alias("end_word"), F.array_join(F.slice(words, s + 1, size), " ").alias("text")))
+
+    def windows(bound):  # over the words once they are cut: an expression inside a lambda is computed for each element
+        w = bound["w"]
+        n = F.size(w)
+        chunks = F.when(n <= size, F.lit(1)).otherwise(F.ceil((n - size) / stride).cast("int") + 1)
+        starts = F.when(n > 0, F.transform(F.sequence(F.lit(0), chunks - 1), lambda i: i * stride)).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda s: F.struct(s.alias("start_word"), F.least(s + size, n).alias("end_word"), F.array_join(F.slice(w, s + 1, size), " ").alias("text")))
+
+    return F.transform(F.array(F.struct(words.alias("w"))), windows)[0]

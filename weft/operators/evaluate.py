@@ -6,8 +6,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .number import numbered
 
 FREE = "ollama"
+#: Fixed values of the chunk grid: words of a chunk, and shares of them that overlap.
+CHUNK_SIZES, OVERLAP_SHARES = (80, 150, 220), (0.0, 0.15, 0.30)
 
 
 def chunks(docs: DataFrame, size: int, overlap: int) -> DataFrame:
@@ -18,11 +21,19 @@ def chunks(docs: DataFrame, size: int, overlap: int) -> DataFrame:
 
 def vector_topk(queries: DataFrame, vectors: DataFrame, k: int, digits: int = 6) -> DataFrame:
     """query_id, vec_id, score, rank: exhaustive cosine, a stated query set (broadcast if small, else Spark's choice) against all rows."""
-    q = queries.select("query_id", F.col("embedding").alias("q"))
-    s = vectors.join(q, F.col("vec_id") != F.col("query_id")).select("query_id", "vec_id", F.round(T.cosine(F.col("embedding"), F.col("q")), digits).alias("score"), *[c for c in vectors.columns if c not in ("vec_id", "embedding")])
+    s = vector_scores(queries, vectors, digits)
     return s.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))).where(F.col("rank") <= k)
 
 
+def vector_scores(queries: DataFrame, vectors: DataFrame, digits: int = 6) -> DataFrame:
+    """query_id, vec_id, score and the vectors' other columns for each query with all other vectors; norms are taken once a vector."""
+    q = queries.select("query_id", F.col("embedding").alias("q"), T.norm(F.col("embedding")).alias("__nq"))
+    v = vectors.withColumn("__nv", T.norm(F.col("embedding")))
+    both = F.col("__nv") * F.col("__nq")
+    score = F.when(both == 0, F.lit(0.0)).otherwise(T.dot(F.col("embedding"), F.col("q")) / both)
+    return v.join(q, F.col("vec_id") != F.col("query_id")).select("query_id", "vec_id", F.round(score, digits).alias("score"), *[c for c in vectors.columns if c not in ("vec_id", "embedding")])
+
+
 def best_chunk(scored: DataFrame, k: int, doc: str = "doc_id") -> DataFrame:
     """A document's score is that of its best chunk; k documents a query, ties to the smaller id."""
     best = scored.groupBy("query_id", doc).agg(F.max("score").alias("score"))
@@ -31,12 +42,45 @@ def best_chunk(scored: DataFrame, k: int, doc: str = "doc_id") -> DataFrame:
 
 def retrieval_scores(queries: DataFrame, retrieved: DataFrame, qrels: DataFrame, k: int) -> DataFrame:
     """query_id, recall, precision; a query without rows in retrieved retrieved nothing. retrieved: query_id, doc_id, rank; qrels: query_id, doc_id."""
-    got = retrieved.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "doc_id"))), lambda x: x["doc_id"]).alias("ids"))
-    rel = qrels.groupBy("query_id").agg(F.collect_set("doc_id").alias("rel"))
-    x = queries.select("query_id").join(got, "query_id", "left").join(rel, "query_id", "left")
-    none = F.array().cast("array<bigint>")
-    x = x.select("query_id", F.coalesce("ids", none).alias("ids"), F.coalesce("rel", none).alias("rel"))
-    return x.select("query_id", T.recall_at_k(F.col("ids"), F.col("rel"), k).alias("recall"), T.precision_at_k(F.col("ids"), F.col("rel"), k).alias("precision"))
+    rel = qrels.select("query_id", "doc_id").distinct()
+    n = rel.groupBy("query_id").agg(F.count("*").alias("n_rel"))
+    top = retrieved.where(F.col("rank") <= max(k, 0)).select("query_id", "doc_id")
+    hit = top.join(rel.withColumn("hit", F.lit(1)), ["query_id", "doc_id"], "left")
+    got = hit.groupBy("query_id").agg(F.count("*").alias("n_top"), F.count("hit").alias("hits"), F.count_distinct(F.when(F.col("hit") == 1, F.col("doc_id"))).alias("found"))
+    x = queries.select("query_id").join(got, "query_id", "left").join(n, "query_id", "left")
+    recall = F.when(F.col("n_rel").isNull(), F.lit(1.0)).otherwise(F.coalesce("found", F.lit(0)) / F.col("n_rel"))
+    precision = F.lit(1.0) if k <= 0 else F.coalesce(F.col("hits") / F.col("n_top"), F.lit(0.0))
+    return x.select("query_id", recall.alias("recall"), precision.alias("precision"))
+
+
+def relevant(truth: DataFrame, include_cross_reference: bool = True) -> DataFrame:
+    """query_id, doc_id of ground truth (query_id, doc_id, label): primary documents, and those of cross references if they count."""
+    x = truth if include_cross_reference else truth.where(F.col("label") == "primary")
+    return x.select("query_id", "doc_id").distinct()
+
+
+def lexical_scores(queries: DataFrame, docs: DataFrame, size: int, overlap: int) -> DataFrame:
+    """query_id, doc_id, score: the most distinct terms of the query that one chunk of the document has."""
+    c = chunks(docs, size, overlap).select("doc_id", "chunk_no", F.explode(F.array_distinct(T.tokenize_terms(F.col("text")))).alias("term"))
+    q = queries.select("query_id", F.explode(F.array_distinct(T.tokenize_terms(F.col("text")))).alias("term"))
+    s = c.join(q, "term").groupBy("query_id", "doc_id", "chunk_no").agg(F.count("*").alias("n"))
+    return s.groupBy("query_id", "doc_id").agg(F.max("n").cast("double").alias("score"))
+
+
+def chunk_grid(queries: DataFrame, docs: DataFrame, qrels: DataFrame, k: int = 3, scores=lexical_scores, sizes: tuple = CHUNK_SIZES, shares: tuple = OVERLAP_SHARES) -> DataFrame:
+    """size, overlap, mean_recall, best: recall of the first k documents for each chunk size and overlap; of equal recalls the smaller size, then the smaller overlap is best.
+
+    scores(queries, docs, size, overlap) gives query_id, doc_id, score, by a model's vectors or, without one, by terms.
+    """
+    out = None
+    for size in sizes:
+        for share in shares:
+            overlap = int(size * share)
+            got = best_chunk(scores(queries, docs, size, overlap), k)
+            x = retrieval_scores(queries, got, qrels, k).agg(F.coalesce(F.avg("recall"), F.lit(0.0)).alias("mean_recall")).select(F.lit(size).alias("size"), F.lit(overlap).alias("overlap"), "mean_recall")
+            out = x if out is None else out.unionByName(x)
+    order = Window.orderBy(F.desc("mean_recall"), "size", "overlap")  # a row for each cell of the grid
+    return out.withColumn("best", F.row_number().over(order) == 1)
 
 
 def arm_scores(scores: DataFrame) -> DataFrame:
@@ -54,6 +98,20 @@ def stage_aggregate(stages: DataFrame) -> DataFrame:
     return stages.groupBy("arm", "stage").agg(F.count("*").alias("call_count"), F.sum("duration_seconds").alias("total_seconds"), F.avg("duration_seconds").alias("mean_seconds"), F.sum(cost).alias("total_cost"))
 
 
+def first_seen(groups: DataFrame, records: DataFrame, *keys: str, order: str = "seq") -> DataFrame:
+    """groups with position, from 1: the place of a group's first record among all groups' first records. One row a group is ordered."""
+    first = records.groupBy(*keys).agg(F.min(order).alias("__first"))
+    return groups.join(first, list(keys)).withColumn("position", F.row_number().over(Window.orderBy("__first"))).drop("__first")
+
+
+def cost_rollup_nested(stages: DataFrame) -> DataFrame:
+    """cost_rollup with the arms' stages: an array of structs in first-seen order (a few stages an arm)."""
+    s = first_seen(stage_aggregate(stages), stages, "arm", "stage")
+    cols = [c for c in s.columns if c not in ("arm", "position")]
+    nested = s.groupBy("arm").agg(F.transform(F.array_sort(F.collect_list(F.struct("position", *cols))), lambda x: F.struct(*[x[c].alias(c) for c in cols])).alias("stages"))
+    return first_seen(cost_rollup(stages).join(nested, "arm"), stages, "arm")
+
+
 def cost_rollup(stages: DataFrame) -> DataFrame:
     """Per arm: queries (distinct ids; rows if there is no id at all), total cost, cost per 1000 queries."""
     cost = T.resolve_cost(F.col("cost_usd"), F.col("provider"))
@@ -94,6 +152,12 @@ def calibration(pairs: DataFrame) -> DataFrame:
     return pairs.agg(F.count("*").alias("n"), F.coalesce(F.avg(d), F.lit(0.0)).alias("mean_abs"), F.coalesce(F.max(d), F.lit(0.0)).alias("max_abs"), F.coalesce(F.avg((d <= 1).cast("double")), F.lit(1.0)).alias("within_one"))
 
 
+def rate_judge(ratings: DataFrame, judged: DataFrame) -> DataFrame:
+    """query_id, criterion, human, judge, delta (judge less human) of ratings (query_id, criterion, human) that the judge scored too (query_id, criterion, judge)."""
+    x = ratings.select("query_id", "criterion", "human").join(judged.select("query_id", "criterion", "judge"), ["query_id", "criterion"])
+    return x.withColumn("delta", F.col("judge") - F.col("human"))
+
+
 def ground_truth(manifest: DataFrame) -> DataFrame:
     """topic_id, doc_id, label from doc_id, primary_topic, cross_references."""
     a = manifest.select(F.col("primary_topic").alias("topic_id"), "doc_id", F.lit("primary").alias("label"))
@@ -104,9 +168,9 @@ def checkpoint_corpus(docs: DataFrame, percents: list[int]) -> DataFrame:
     """pct, doc_id, pos: the first ceil(n * pct / 100) documents by id, at least one."""
     ids = docs.select("doc_id")
     n = ids.agg(F.count("*").alias("n"))
-    numbered = ids.withColumn("pos", F.row_number().over(Window.orderBy("doc_id")))
-    limits = docs.sparkSession.createDataFrame([(p,) for p in percents], "pct int").join(n).withColumn("most", F.greatest(F.lit(1), F.ceil(F.col("n") * F.col("pct") / 100)))
-    return numbered.join(F.broadcast(limits), F.col("pos") <= F.col("most")).select("pct", "doc_id", "pos")
+    most = lambda p: F.greatest(F.lit(1), F.ceil(F.col("n") * p / 100))
+    fits = F.filter(F.array(*[F.lit(p) for p in percents]), lambda p: F.col("pos") <= most(p))
+    return numbered(ids, "doc_id", name="pos").join(F.broadcast(n)).select(F.explode(fits).alias("pct"), "doc_id", "pos")  # one row is broadcast
 
 
 def chart(rows: DataFrame, arms: list[str]) -> DataFrame:
@@ -124,6 +188,23 @@ def doc_specs(topics: DataFrame, k: int) -> DataFrame:
     return a.withColumn("ref", (F.col("idx") + F.col("off")) % F.col("n")).join(b, "ref").where("ref <> idx").select("idx", "title", "off", "ref_title")
 
 
+def benchmark(checkpoints: DataFrame, queries: DataFrame, retrieved: dict[str, DataFrame], qrels: DataFrame, k: int = 5) -> DataFrame:
+    """pct, arm, mean_recall, mean_precision, num_queries: every arm at every checkpoint, against the relevant documents that the checkpoint holds.
+
+    checkpoints: pct, doc_id; retrieved: by arm, pct, query_id, doc_id, rank; qrels: query_id, doc_id. One plan for all checkpoints.
+    """
+    pcts = checkpoints.select("pct").distinct()
+    asked = queries.select("query_id").join(F.broadcast(pcts)).select(F.struct("pct", "query_id").alias("query_id"))  # a row a checkpoint
+    there = qrels.join(checkpoints.select("pct", "doc_id"), "doc_id").select(F.struct("pct", "query_id").alias("query_id"), "doc_id")
+    out = None
+    for arm, rows in retrieved.items():
+        got = rows.select(F.struct("pct", "query_id").alias("query_id"), "doc_id", "rank")
+        x = retrieval_scores(asked, got, there, k).withColumn("arm", F.lit(arm))
+        out = x if out is None else out.unionByName(x)
+    means = out.groupBy(F.col("query_id.pct").alias("pct"), "arm")
+    return means.agg(F.avg("recall").alias("mean_recall"), F.avg("precision").alias("mean_precision"), F.count("*").alias("num_queries"))
+
+
 def throughput(samples: DataFrame, elapsed_seconds: float, by: str = "method") -> DataFrame:
     return samples.groupBy(by).agg((F.count("*") / elapsed_seconds).alias("per_second"))
 

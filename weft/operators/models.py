@@ -131,6 +131,83 @@ def validate(answer: Column, schema: str, required: list[str], one_of: dict[str,
     return F.struct(F.when(error.isNull(), x).alias("parsed"), error.alias("error"))
 
 
+def _kind(v: Column, field: str) -> Column:
+    """The type of a field of a JSON object: STRING, ARRAY, ... ; null if it is not there."""
+    return F.regexp_extract(F.schema_of_variant(F.try_variant_get(v, f"$.{field}", "variant")), "^[A-Z]+", 0)
+
+
+def checked(answer: Column, strings: tuple, lists: tuple = (), enums: dict[str, tuple] | None = None, rules: tuple = ()) -> Column:
+    """(parsed, error) of a model's JSON object. Every field has to be there, strings as strings and lists as lists of
+    strings; enums name the values of some; rules are pairs of a function of the parsed fields and the error it tells of.
+    The first that fails is the error, and parsed is then null.
+    """
+    text = T.strip_code_fence(answer)
+    v = F.try_parse_json(text)
+    error = F.when(v.isNull() | ~T.is_json(text), "not JSON").when(~F.startswith(F.schema_of_variant(v), F.lit("OBJECT")), "not an object")
+    for c in (*strings, *lists):
+        error = F.coalesce(error, F.when(F.try_variant_get(v, f"$.{c}", "variant").isNull(), f"missing {c}"))
+    for c in strings:
+        error = F.coalesce(error, F.when(_kind(v, c) != "STRING", f"{c} must be a string"))
+    for c in lists:
+        of = F.schema_of_variant(F.try_variant_get(v, f"$.{c}", "variant"))
+        error = F.coalesce(error, F.when(~of.isin("ARRAY<STRING>", "ARRAY<VOID>"), f"{c} must be a list of strings"))
+    parsed = F.from_json(text, ", ".join([f"{c} string" for c in strings] + [f"{c} array<string>" for c in lists]))
+    for c, values in (enums or {}).items():
+        error = F.coalesce(error, F.when(~F.coalesce(parsed[c].isin(*values), F.lit(False)), f"bad {c}"))
+    for wrong, message in rules:
+        error = F.coalesce(error, F.when(F.coalesce(wrong(parsed), F.lit(False)), message))
+    return F.struct(F.when(error.isNull(), parsed).alias("parsed"), error.alias("error"))
+
+
+# Fields and choices of the models' answers.
+ACTIONS = ("APPEND_EXISTING", "CREATE_NEW")
+QUERY_TYPES = ("factual_lookup", "broad_exploratory")
+LEAST_SECTIONS = 2
+
+
+def parse_segment(answer: Column) -> Column:
+    """(parsed, error) of where a document goes: appending needs a target, creating a path."""
+    rules = (
+        (lambda p: (p["topic_action"] == "APPEND_EXISTING") & (p["target_topic"] == ""), "APPEND_EXISTING without target_topic"),
+        (lambda p: (p["topic_action"] == "CREATE_NEW") & (p["new_topic_path"] == ""), "CREATE_NEW without new_topic_path"),
+    )
+    return checked(answer, ("topic_action", "target_topic", "new_topic_path", "content_markdown"), ("entities", "related_topics"), {"topic_action": ACTIONS}, rules)
+
+
+def parse_intent(answer: Column) -> Column:
+    return checked(answer, ("refined_intent", "query_type"), ("entities",), {"query_type": QUERY_TYPES})
+
+
+def parse_synthesis(answer: Column, context: Column) -> Column:
+    """(parsed, error, unknown): unknown are citations of files that the context does not hold; they are no error."""
+    x = checked(answer, ("answer",), ("citations",))
+    return F.struct(x["parsed"].alias("parsed"), x["error"].alias("error"), T.unknown_citations(x["parsed"]["citations"], T.provided_paths(context)).alias("unknown"))
+
+
+def parse_split(answer: Column) -> Column:
+    """(sections, redirect_summary, error): two sections at least, each with a path of its own and a start marker."""
+    text = T.strip_code_fence(answer)
+    v = F.try_parse_json(text)
+    parsed = F.from_json(text, "sections array<struct<new_topic_path:string,start_marker:string>>, redirect_summary string")
+    s = parsed["sections"]
+    paths = F.transform(s, lambda x: x["new_topic_path"])
+    missing = lambda c: F.try_variant_get(v, f"$.{c}", "variant").isNull()
+    none = lambda c: F.exists(s, lambda x: x.isNull() | F.coalesce(x[c], F.lit("")).eqNullSafe(""))
+    error = (
+        F.when(v.isNull() | ~T.is_json(text), "not JSON")
+        .when(~F.startswith(F.schema_of_variant(v), F.lit("OBJECT")), "not an object")
+        .when(missing("sections"), "missing sections")
+        .when(missing("redirect_summary"), "missing redirect_summary")
+        .when(_kind(v, "redirect_summary") != "STRING", "redirect_summary must be a string")
+        .when((_kind(v, "sections") != "ARRAY") | s.isNull(), "sections must be a list")
+        .when(F.size(s) < LEAST_SECTIONS, "too few sections")
+        .when(none("new_topic_path"), "section without new_topic_path")
+        .when(none("start_marker"), "section without start_marker")
+        .when(F.size(F.array_distinct(paths)) < F.size(paths), "duplicate new_topic_path")
+    )
+    return F.struct(F.when(error.isNull(), s).alias("sections"), F.when(error.isNull(), parsed["redirect_summary"]).alias("redirect_summary"), error.alias("error"))
+
+
 def listwise_prompt(question: Column, texts: Column, most: int = 600) -> Column:
     """Numbered snippets of the documents to rank, cut to `most` characters each."""
     numbered = F.transform(texts, lambda x, i: F.concat(F.lit("["), (i + 1).cast("string"), F.lit("] "), F.substring(x, 1, most)))

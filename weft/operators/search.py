@@ -8,8 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 
 PER_TERM, MERGED = 500, 2000
-#: Characters of a prefix that make the equi key of the prefix join.
-KEY = 3
+#: Fixed values of the BM25 formula.
 K1, B = 1.5, 0.75
 
 
@@ -26,13 +25,16 @@ def prefix_scans(paths: DataFrame, prefixes: DataFrame) -> DataFrame:
 def prefix_join(terms: DataFrame, paths: DataFrame) -> DataFrame:
     """terms (term) with paths (path, file_id) that start with them.
 
-    A term of KEY characters or more meets paths by their first KEY characters; shorter terms by as many as they have. So
-    it is a hash join on equal keys, each path sent KEY + 1 times at most, in place of a nested loop.
+    A path is sent once for each length that occurs among the terms (and that it has), cut to it, and meets terms that
+    equal the cut: a hash join whose rows are all results. The empty term, which meets every path, goes apart, so no key
+    holds all paths.
     """
-    lengths = F.array_distinct(F.transform(F.sequence(F.lit(0), F.lit(KEY)), lambda n: F.least(n, F.length("path"))))
-    keyed = paths.withColumn("key", F.explode(F.transform(lengths, lambda n: F.substr(F.col("path"), F.lit(1), n))))
-    t = terms.withColumn("key", F.substring("term", 1, KEY))
-    return t.join(keyed, "key").where(F.col("path").startswith(F.col("term"))).drop("key")
+    lengths = terms.where("term <> ''").agg(F.collect_set(F.length("term")).alias("__lengths"))  # one row, of as many numbers as terms have lengths
+    fitting = F.filter("__lengths", lambda n: n <= F.length("path"))
+    keyed = paths.join(F.broadcast(lengths)).withColumn("__n", F.explode(fitting)).withColumn("__key", F.substr(F.col("path"), F.lit(1), F.col("__n"))).drop("__lengths", "__n")
+    found = terms.where("term <> ''").join(keyed, F.col("term") == F.col("__key")).drop("__key")
+    every = F.broadcast(terms.where("term = ''").limit(1)) if terms.columns == ["term"] else terms.where("term = ''")
+    return found.unionByName(paths.join(every).select(*found.columns))
 
 
 def candidate_pool(queries: DataFrame, paths: DataFrame, per_term: int = PER_TERM, merged: int = MERGED) -> DataFrame:
@@ -92,9 +94,12 @@ def shortlist(documents: DataFrame, pool: DataFrame, top_k: int = 8) -> DataFram
         raise ValueError("top_k must not be negative")
     docs = pool.select(F.col("file_id").alias("doc_id"), F.col("path").alias("p"))
     scored = bm25(documents, docs, T.shortlist_tokens(F.col("text")), T.shortlist_tokens(F.col("p")))
-    # Candidates without a shared term score 0 and follow in pool order: top_k of those are enough for any document.
-    zeros = documents.select("query_id").join(F.broadcast(pool.select("pos", "file_id")))
-    every = zeros.join(scored.withColumnRenamed("doc_id", "file_id"), ["query_id", "file_id"], "left").withColumn("score", F.round(F.coalesce("score", F.lit(0.0)), 6))
+    # Candidates without a shared term score 0 and follow in pool order. The pool's first top_k rows hold enough of them for
+    # any document, as at most those that score are missing there.
+    scored = scored.withColumnRenamed("doc_id", "file_id").join(pool.select("pos", "file_id"), "file_id").select("query_id", "file_id", "pos", F.round("score", 6).alias("score"))
+    first = pool.orderBy("pos").limit(top_k).select("pos", "file_id")
+    zeros = documents.select("query_id").join(F.broadcast(first)).select("query_id", "file_id", "pos", F.lit(0.0).alias("score"))  # top_k rows are broadcast
+    every = scored.unionByName(zeros).groupBy("query_id", "file_id", "pos").agg(F.max("score").alias("score"))
     return top_k_stable(every, "query_id", top_k).select("query_id", "file_id", "score", "rank")
 
 

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable, Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .number import numbered
 
+# States of a file, the moves between them, and the most targets of a redirect.
 STATES = ("ACTIVE", "SPLITTING", "SPLIT", "REDIRECT")
 MOVES = {("ACTIVE", "SPLITTING"), ("SPLITTING", "ACTIVE"), ("SPLITTING", "SPLIT"), ("SPLITTING", "REDIRECT"), ("SPLIT", "REDIRECT")}
 MAX_TARGETS = 8
@@ -38,10 +43,11 @@ def content_of(appends: DataFrame) -> DataFrame:
     return appends.groupBy("file_id").agg(F.array_join(parts, "").alias("content")).withColumn("size_bytes", F.octet_length("content").cast("long"))
 
 
-def allocate_ids(new: DataFrame, used: DataFrame, order: str) -> DataFrame:
-    """file_id after the largest in use, in order."""
+def allocate_ids(new: DataFrame, used: DataFrame, order: str | list[str]) -> DataFrame:
+    """file_id after the largest in use, in order; the first column of the order is a number."""
     top = used.agg(F.coalesce(F.max("file_id"), F.lit(0)).alias("top"))
-    return new.withColumn("n", F.row_number().over(Window.orderBy(order))).join(F.broadcast(top)).withColumn("file_id", F.col("top") + F.col("n")).drop("n", "top")
+    keys = [order] if isinstance(order, str) else list(order)
+    return numbered(new, *keys, name="__n").join(F.broadcast(top)).withColumn("file_id", F.col("top") + F.col("__n")).drop("__n", "top")  # one row is broadcast
 
 
 def put_edges(edges: DataFrame, now: int) -> DataFrame:
@@ -59,27 +65,36 @@ def put_segments(segments: DataFrame, catalog: DataFrame, order: str = "seq") ->
 
 
 def validate_plan(ranges: DataFrame) -> DataFrame:
-    """plan_id, valid, reason. ranges: plan_id, new_path, start, end, size: no range outside the file, none overlapping, no path twice, at least one."""
+    """plan_id, valid, reason. ranges: plan_id, new_path, start, end, size, and proposal, the new file's number in its plan (a
+    new file for each row without it). No range outside the file, none overlapping, no file without a range (null) or
+    with an empty path, no path for two files.
+    """
+    if "proposal" not in ranges.columns:
+        ranges = ranges.withColumn("proposal", F.monotonically_increasing_id())
     end_before = F.max(F.when(F.col("end") > F.col("start"), F.col("end"))).over(Window.partitionBy("plan_id").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1))
     x = ranges.withColumn("np", T.normalize_topic_path(F.col("new_path"))).withColumn("before", end_before)
-    x = x.withColumn("bad", F.when((F.col("start") < 0) | (F.col("end") > F.col("size")) | (F.col("end") < F.col("start")), "bounds").when((F.col("end") > F.col("start")) & (F.col("before") > F.col("start")), "overlap"))
-    paths = x.groupBy("plan_id").agg(F.countDistinct("np").alias("d"), F.count("*").alias("n"), F.min("bad").alias("bad"))
-    reason = F.coalesce("bad", F.when(F.col("d") < F.col("n"), "duplicate path"), F.lit("ok"))
+    x = x.withColumn("bad", F.when(F.col("start").isNull() | F.col("end").isNull(), "no ranges").when((F.col("start") < 0) | (F.col("end") > F.col("size")) | (F.col("end") < F.col("start")), "bounds").when((F.col("end") > F.col("start")) & (F.col("before") > F.col("start")), "overlap"))
+    files = x.groupBy("plan_id", "proposal").agg(F.min("np").alias("np"), F.min("bad").alias("bad"))
+    paths = files.groupBy("plan_id").agg(F.countDistinct("np").alias("d"), F.count("*").alias("n"), F.min("bad").alias("bad"), F.bool_or(F.coalesce("np", F.lit("")) == "").alias("empty"))
+    reason = F.coalesce("bad", F.when(F.col("empty"), "empty path"), F.when(F.col("d") < F.col("n"), "duplicate path"), F.lit("ok"))
     return paths.select("plan_id", (reason == "ok").alias("valid"), reason.alias("reason"))
 
 
 def execute_split(plan: DataFrame, files: DataFrame, used: DataFrame) -> dict[str, DataFrame]:
     """All of a split's output from one plan: new files, stubs, paths and edges.
 
-    plan: file_id, new_path, start, end (byte ranges, checked); files: file_id, content. New ids follow the largest used,
-    in order of file and path. A file has MAX_TARGETS targets at most.
+    plan: file_id, new_path, start, end (byte ranges, checked), and pos, the place of a range in its new file (by start
+    without it); files: file_id, content. New ids follow the largest used, in order of file and path. A file has
+    MAX_TARGETS targets at most.
     """
     ordered = plan.withColumn("np", T.normalize_topic_path(F.col("new_path")))
-    grouped = ordered.groupBy("file_id", "np").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("ranges"))
-    numbered = allocate_ids(grouped.withColumnRenamed("file_id", "old_id").withColumn("o", F.struct("old_id", "np")), used, "o").drop("o")
-    body = numbered.join(files.select(F.col("file_id").alias("old_id"), "content"), "old_id")
+    if "pos" not in plan.columns:
+        ordered = ordered.withColumn("pos", F.lit(0))
+    grouped = ordered.groupBy("file_id", "np").agg(F.array_sort(F.collect_list(F.struct("pos", "start", "end"))).alias("ranges"))
+    given = allocate_ids(grouped.withColumnRenamed("file_id", "old_id"), used, ["old_id", "np"])
+    body = given.join(files.select(F.col("file_id").alias("old_id"), "content"), "old_id")
     body = body.select("old_id", "file_id", F.col("np").alias("path"), T.slice_bytes(F.col("content"), F.col("ranges")).cast("string").alias("content"))
-    new = body.select("file_id", "path", "content", F.octet_length("content").cast("long").alias("size_bytes"), F.lit("ACTIVE").alias("status"), F.col("old_id").alias("parent_topic_id"))
+    new = body.select("file_id", "path", "content", F.octet_length("content").cast("long").alias("size_bytes"), F.lit("ACTIVE").alias("status"), F.col("old_id").alias("parent_topic_id"), F.lit(0).cast("long").alias("version"), F.lit(0).cast("long").alias("path_hash"))
     stubs = body.groupBy("old_id").agg(F.array_sort(F.collect_list("file_id")).alias("targets"))
     many = F.when(F.size("targets") > MAX_TARGETS, F.raise_error(F.lit("too many targets")).cast("array<bigint>")).otherwise(F.col("targets"))
     stubs = stubs.select(F.col("old_id").alias("file_id"), many.alias("redirect_target_ids"), F.lit("REDIRECT").alias("status"), T.redirect_stub(F.col("targets")).alias("content"))
@@ -158,5 +173,127 @@ def section_ranges(files: DataFrame) -> DataFrame:
     start = F.struct(F.lit(1).alias("next"), F.array().cast("array<int>").alias("at"))
     chars = F.transform(F.aggregate("markers", start, step)["at"], lambda p, i: F.when(i == 0, F.lit(1)).otherwise(p))
     first = F.transform(chars, lambda p: T.char_to_byte_offset(F.col("content"), p - 1).cast("long"))
-    ends = F.concat(F.slice(F.col("first"), 2, 1_000_000), F.array(F.octet_length("content").cast("long")))
+    ends = F.concat(F.slice(F.col("first"), F.lit(2), F.size("first")), F.array(F.octet_length("content").cast("long")))
     return files.withColumn("first", first).select("file_id", F.arrays_zip(F.col("first").alias("start"), ends.alias("end")).alias("ranges"))
+
+
+def checked_ids(requests: DataFrame) -> DataFrame:
+    """Requests by file_id; 0, which is unset, and null are errors."""
+    return requests.where(F.when(F.col("file_id") > 0, F.lit(True)).otherwise(F.raise_error(F.lit("file id 0 is invalid")).cast("boolean")))
+
+
+def get_records(requests: DataFrame, catalog: DataFrame, *, missing: str = "error") -> DataFrame:
+    """The catalog's rows for requests (file_id). missing: error, or keep (found says which are there)."""
+    x = checked_ids(requests.select("file_id").distinct()).join(catalog.withColumn("found", F.lit(True)), "file_id", "left").withColumn("found", F.coalesce("found", F.lit(False)))
+    return x if missing == "keep" else x.where(_or_error(F.col("found"), F.lit("no file "), F.col("file_id"))).drop("found")
+
+
+def _or_error(good: Column, *words: Column) -> Column:
+    return F.when(good, F.lit(True)).otherwise(F.raise_error(F.concat(*[w.cast("string") for w in words])).cast("boolean"))
+
+
+def get_files(requests: DataFrame, catalog: DataFrame, content: DataFrame, paths: DataFrame, *, missing: str = "error") -> DataFrame:
+    """file_id, version, path, content (and found): content and version by id, the path if there is one, else empty. The smallest of several paths counts."""
+    x = get_records(requests, catalog.select("file_id", "version"), missing="keep")
+    x = x.join(content.select("file_id", "content").withColumn("__held", F.lit(True)), "file_id", "left").withColumn("found", F.col("found") & F.coalesce("__held", F.lit(False))).drop("__held")
+    x = x.join(paths.groupBy("file_id").agg(F.min("path").alias("path")), "file_id", "left").withColumn("path", F.coalesce("path", F.lit("")))
+    if missing == "keep":
+        return x.select("file_id", "version", "path", "content", "found")
+    return x.where(_or_error(F.col("found"), F.lit("no file "), F.col("file_id"))).select("file_id", "version", "path", "content")
+
+
+def read_headers(requests: DataFrame, files: DataFrame) -> DataFrame:
+    """file_id, headers (text and byte offset) of the files asked for."""
+    x = get_records(requests, files.select("file_id", "content"))
+    return x.select("file_id", T.header_offsets(F.col("content")).alias("headers"))
+
+
+def create_files(new: DataFrame, catalog: DataFrame) -> DataFrame:
+    """Catalog rows of new files (file_id, data), version 1; an id that is taken is an error."""
+    x = checked_ids(new).join(catalog.select("file_id").distinct().withColumn("taken", F.lit(True)), "file_id", "left")
+    x = x.where(_or_error(F.col("taken").isNull(), F.lit("file exists: "), F.col("file_id")))
+    return x.select("file_id", F.lit(1).cast("long").alias("version"), F.octet_length("data").cast("long").alias("size_bytes"), F.lit("ACTIVE").alias("status"))
+
+
+def admit_writes(writes: DataFrame, catalog: DataFrame) -> DataFrame:
+    """writes (file_id, ...) with admitted and reason: a file that is not there, or that is being split, takes none."""
+    x = checked_ids(writes).join(catalog.select("file_id", F.col("status").alias("__status")), "file_id", "left")
+    reason = F.when(F.col("__status").isNull(), "not found").when(F.col("__status") == "SPLITTING", "split in progress")
+    return x.withColumn("admitted", reason.isNull()).withColumn("reason", F.coalesce(reason, F.lit(""))).drop("__status")
+
+
+def fold(events: DataFrame, key: str, order: str, start: Callable, step: Callable, schema: str) -> DataFrame:
+    """A fold of each key's events in order. start(row) is the state before a key's first event; step(state, row) gives the
+    state after an event and a tuple of results. A key's events stream through its task, which holds the state alone."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, state = None, None
+        names = [c.split()[0] for c in schema.split(", ")]
+        for b in batches:
+            out = []
+            for row in b.itertuples(index=False):
+                if getattr(row, key) != at:
+                    at, state = getattr(row, key), start(row)
+                state, result = step(state, row)
+                out.append((at, getattr(row, order), *result))
+            yield pd.DataFrame(out, columns=names)
+
+    return events.repartition(key).sortWithinPartitions(key, order).mapInPandas(run, schema)
+
+
+def compare_and_set(requests: DataFrame, catalog: DataFrame) -> DataFrame:
+    """file_id, seq, swapped, version (after the request): requests (file_id, seq, expected, new_version) in order; one whose
+    expected version is not the current one changes nothing. A file that is not in the catalog is an error."""
+    x = checked_ids(requests).join(catalog.select("file_id", F.col("version").alias("now")), "file_id", "left")
+    x = x.where(_or_error(F.col("now").isNotNull(), F.lit("no file "), F.col("file_id")))
+
+    def step(version, row):
+        swapped = row.expected == version
+        version = row.new_version if swapped else version
+        return version, (swapped, version)
+
+    return fold(x.select("file_id", "seq", "expected", "new_version", "now"), "file_id", "seq", lambda row: row.now, step, "file_id long, seq long, swapped boolean, version long")
+
+
+def guard_transitions(events: DataFrame) -> DataFrame:
+    """file_id, seq, accepted, status (after the event): a wanted status that may not follow the current one is refused and
+    changes nothing; a file begins ACTIVE. Aborting a split is the move back to ACTIVE."""
+
+    def step(status, row):
+        good = (status, row.status) in MOVES
+        status = row.status if good else status
+        return status, (good, status)
+
+    return fold(events.select("file_id", "seq", "status"), "file_id", "seq", lambda row: "ACTIVE", step, "file_id long, seq long, accepted boolean, status string")
+
+
+def index_paths(events: DataFrame) -> DataFrame:
+    """The path index (path, file_id) after events (path, seq, op put or delete, file_id): a put of a path that is there replaces its file."""
+    return latest(events, "path").select("path", "file_id")
+
+
+def path_deletes(events: DataFrame) -> DataFrame:
+    """path, seq, found: whether each delete met its path."""
+    before = F.lag("op").over(Window.partitionBy("path").orderBy("seq"))
+    return events.withColumn("found", F.coalesce(before == "put", F.lit(False))).where("op = 'delete'").select("path", "seq", "found")
+
+
+def recover_splits(commits: DataFrame, catalog: DataFrame, paths: DataFrame, edges: DataFrame) -> dict[str, DataFrame]:
+    """catalog, paths and edges after the split commits of the log are applied: old_id, old_path, file_id, new_path, size_bytes,
+    a row for each new file. All of it replaces or is there already, so commits that were applied before change nothing."""
+    from .graph import append_if_absent
+
+    old = commits.select(F.col("old_id").alias("file_id"), F.lit("REDIRECT").alias("status"), F.lit(0).cast("long").alias("size_bytes")).distinct()
+    new = commits.select("file_id", F.lit("ACTIVE").alias("status"), "size_bytes").distinct()
+    put = new.unionByName(old)
+    kept = catalog.select("file_id", "status", "size_bytes").join(put.select("file_id"), "file_id", "left_anti")
+    named = commits.select(T.normalize_topic_path(F.col("new_path")).alias("path"), "file_id").unionByName(commits.select(T.normalize_topic_path(F.col("old_path")).alias("path"), F.col("old_id").alias("file_id"))).distinct()
+    ids = commits.select("old_id", "file_id").distinct()
+    sib = ids.join(ids.withColumnRenamed("file_id", "target"), "old_id").where("file_id <> target").select(F.col("file_id").alias("source"), "target", F.lit("SPLIT_SIBLING").alias("edge_type"))
+    red = ids.select(F.col("old_id").alias("source"), F.col("file_id").alias("target"), F.lit("REDIRECT").alias("edge_type"))
+    missing = append_if_absent(edges, sib.unionByName(red))
+    return {
+        "catalog": kept.unionByName(put),
+        "paths": paths.select("path", "file_id").join(named.select("path"), "path", "left_anti").unionByName(named),
+        "edges": edges.select("source", "target", "edge_type").unionByName(missing.select("source", "target", "edge_type")),
+    }

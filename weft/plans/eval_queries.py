@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import evaluate
+from ..operators import evaluate, pipelines
 from .registry import query
 
 
@@ -38,13 +38,44 @@ def chunk_words_long(t):
     return _chunks(t, 150, 22)
 
 
+_GRID = [(s, int(s * o)) for s in evaluate.CHUNK_SIZES for o in evaluate.OVERLAP_SHARES]
+_PASSAGES = "rel AS (SELECT item_id AS query_id, doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text))"
+
+
+def passages(t):
+    """Benchmark items as queries, and as relevant the documents that hold their whole text; 40 items or a few times that many, so their list is a short one."""
+    q = t.raw("benchmark").select(F.col("item_id").alias("query_id"), "text")
+    rel = t.raw("documents").select("doc_id", F.col("text").alias("whole")).join(q, F.col("whole").contains(F.col("text"))).select("query_id", "doc_id")
+    return q, rel
+
+
+@query(f"""
+    WITH {_PASSAGES}, g AS (SELECT unnest({[s for s, _ in _GRID]}) AS size, unnest({[o for _, o in _GRID]}) AS overlap),
+    w AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '[ \\t\\n\\x0B\\f\\r]+'), lambda v: v <> '') AS ws FROM documents),
+    c AS (SELECT size, overlap, doc_id, ws, unnest(range(CASE WHEN len(ws) = 0 THEN 0 WHEN len(ws) <= size THEN 1 ELSE ((len(ws) - size) + (size - overlap) - 1) // (size - overlap) + 1 END)) AS chunk_no FROM w, g),
+    t AS (SELECT DISTINCT size, overlap, doc_id, chunk_no, unnest(regexp_split_to_array(lower(array_to_string(ws[chunk_no * (size - overlap) + 1 : chunk_no * (size - overlap) + size], ' ')), '[^a-z0-9]+')) AS term FROM c),
+    q AS (SELECT DISTINCT item_id AS query_id, unnest(regexp_split_to_array(lower(text), '[^a-z0-9]+')) AS term FROM benchmark),
+    n AS (SELECT size, overlap, query_id, doc_id, chunk_no, count(*) AS n FROM t JOIN q USING (term) WHERE term <> '' GROUP BY ALL),
+    s AS (SELECT size, overlap, query_id, doc_id, max(n) AS score FROM n GROUP BY ALL),
+    top AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY size, overlap, query_id ORDER BY score DESC, doc_id) <= 3),
+    h AS (SELECT size, overlap, query_id, count(*) AS hits FROM top JOIN rel USING (query_id, doc_id) GROUP BY ALL), nr AS (SELECT query_id, count(*) AS n FROM rel GROUP BY 1),
+    b AS (SELECT g.size, g.overlap, item_id AS query_id FROM g CROSS JOIN benchmark),
+    r AS (SELECT size, overlap, avg(CASE WHEN nr.n IS NULL THEN 1.0 ELSE coalesce(hits, 0) / nr.n END) AS m FROM b LEFT JOIN nr USING (query_id) LEFT JOIN h USING (size, overlap, query_id) GROUP BY 1, 2)
+    SELECT size, overlap, round(m, 6) AS mean_recall, row_number() OVER (ORDER BY round(m, 9) DESC, size, overlap) = 1 AS best FROM r""")
+def chunk_grid_search(t):
+    """Mean recall of the first three documents for each chunk size and overlap; without a model's vectors, terms score."""
+    q, rel = passages(t)
+    x = evaluate.chunk_grid(q, t.raw("documents"), rel)
+    return x.select("size", "overlap", F.round("mean_recall", 6).alias("mean_recall"), "best")
+
+
 @query("""
     WITH g AS (SELECT unnest([40, 80, 150]) AS size), o AS (SELECT unnest([0, 10, 20]) AS overlap),
     w AS (SELECT doc_id, len(list_filter(regexp_split_to_array(text, '[ \\t\\n\\x0B\\f\\r]+'), lambda v: v <> '')) AS n FROM documents),
     s AS (SELECT size, overlap, round(avg(CASE WHEN n = 0 THEN 0.0 ELSE least(size, n) / (CASE WHEN n <= size THEN 1 ELSE (n - size + size - overlap - 1) // (size - overlap) + 1 END)::DOUBLE END), 6) AS score FROM g, o, w GROUP BY 1, 2)
     SELECT size, overlap, score, row_number() OVER (ORDER BY score DESC, size, overlap) = 1 AS best FROM s""")
-def chunk_grid_search(t):
-    """Grid over sizes and overlaps with a lexical score (words of a chunk over number of chunks); ties to the smaller size, then overlap."""
+def chunk_grid_sizes(t):
+    """Grid over sizes and overlaps by how evenly they cut (words of a chunk over number of chunks); ties to the smaller size, then overlap."""
     grid = t.spark.createDataFrame([(s, o) for s in (40, 80, 150) for o in (0, 10, 20)], "size int, overlap int")
     n = F.size(F.filter(F.split("text", "\\s+"), lambda v: v != ""))
     words = t.raw("documents").select(n.alias("n")).groupBy("n").agg(F.count("*").alias("m"))
@@ -72,10 +103,9 @@ def vector_topk_chunks(t):
 
 @query(f"WITH {_NEAR}, best AS (SELECT query_id, vec_id // 4 AS doc_id, max(score) AS score FROM near GROUP BY 1, 2) SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM best QUALIFY rank <= 5")
 def vector_topk_docs(t):
-    v = t.raw("embeddings")
+    v = t.raw("embeddings").withColumn("doc_id", F.floor(F.col("vec_id") / 4))
     q = v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
-    s = v.join(q.withColumnRenamed("embedding", "q"), F.col("vec_id") != F.col("query_id")).select("query_id", F.floor(F.col("vec_id") / 4).alias("doc_id"), F.round(T.cosine(F.col("embedding"), F.col("q")), 6).alias("score"))
-    return evaluate.best_chunk(s, 5)
+    return pipelines.vector_rag(q, v, 5).select("query_id", "doc_id", "score", "rank")
 
 
 def _qrels(t):
@@ -132,6 +162,21 @@ _STAGES = """st AS (SELECT event_type AS arm, 'stage' || (CAST(json_extract(prop
     CASE WHEN event_id % 3 = 0 THEN 0.0 ELSE value / 1000 END AS cost, CASE WHEN event_type = 'error' THEN NULL ELSE user_id END AS query_id, event_id AS seq FROM events)"""
 
 
+@query(f"WITH {_STAGES}, s AS (SELECT arm, stage, min(seq) AS f FROM st GROUP BY 1, 2) SELECT arm, stage, row_number() OVER (ORDER BY f) AS position FROM s")
+def stage_first_seen(t):
+    s = t.stages()
+    return evaluate.first_seen(s.groupBy("arm", "stage").agg(F.count("*").alias("n")), s, "arm", "stage").select("arm", "stage", F.col("position").cast("long").alias("position"))
+
+
+@query(f"""WITH {_STAGES}, s AS (SELECT arm, stage, count(*) AS n, min(seq) AS f FROM st GROUP BY 1, 2), x AS (SELECT arm, CASE WHEN count(query_id) = 0 THEN count(*) ELSE count(DISTINCT query_id) END AS query_count, sum(cost) AS c, min(seq) AS f FROM st GROUP BY arm),
+    g AS (SELECT arm, string_agg(stage || ':' || n, ',' ORDER BY f) AS stages FROM s GROUP BY arm) SELECT arm, query_count, round(c / query_count * 1000, 4) AS cost_per_1000_queries, stages, row_number() OVER (ORDER BY f) AS position FROM x JOIN g USING (arm)""")
+def cost_rollup_stages(t):
+    """Arms and their stages in first-seen order."""
+    x = evaluate.cost_rollup_nested(t.stages())
+    flat = F.array_join(F.transform("stages", lambda s: F.concat(s["stage"], F.lit(":"), s["call_count"].cast("string"))), ",")
+    return x.select("arm", "query_count", F.round("cost_per_1000_queries", 4).alias("cost_per_1000_queries"), flat.alias("stages"), F.col("position").cast("long").alias("position"))
+
+
 @query(f"WITH {_STAGES} SELECT arm, stage, count(*) AS call_count, round(sum(duration_seconds), 4) AS total_seconds, round(avg(duration_seconds), 6) AS mean_seconds, round(sum(cost), 6) AS total_cost FROM st GROUP BY 1, 2")
 def stage_aggregate(t):
     x = evaluate.stage_aggregate(t.stages())
@@ -187,6 +232,52 @@ def query_set(t):
     return evaluate.ground_truth(t.manifest()).groupBy("topic_id").agg(F.count("*").alias("n_relevant")).select("topic_id", q.alias("query"), "n_relevant")
 
 
+@query("""WITH g AS (SELECT doc_id % 32 AS query_id, doc_id, 'primary' AS label FROM documents UNION ALL SELECT (doc_id + k) % 32, doc_id, 'cross_reference' FROM documents, (SELECT unnest([1, 2]) AS k))
+    SELECT query_id, 'primary' AS kind, count(DISTINCT doc_id) AS n FROM g WHERE label = 'primary' GROUP BY 1 UNION ALL SELECT query_id, 'all', count(DISTINCT doc_id) FROM g GROUP BY 1""")
+def relevant_docs(t):
+    """Documents that count as relevant for a topic: the primary ones, or those of cross references too."""
+    g = evaluate.ground_truth(t.manifest()).withColumnRenamed("topic_id", "query_id")
+    n = lambda every, kind: evaluate.relevant(g, every).groupBy("query_id").agg(F.count("*").alias("n")).select("query_id", F.lit(kind).alias("kind"), "n")
+    return n(False, "primary").unionByName(n(True, "all"))
+
+
+@query("SELECT event_id AS query_id, event_type AS criterion, (1 + user_id % 5)::DOUBLE AS human, (1 + event_id % 5)::DOUBLE AS judge, ((1 + event_id % 5) - (1 + user_id % 5))::DOUBLE AS delta FROM events WHERE event_id % 3 <> 0")
+def rating_deltas(t):
+    e = t.raw("events").select(F.col("event_id").alias("query_id"), F.col("event_type").alias("criterion"), (1 + F.col("user_id") % 5).cast("double").alias("human"), (1 + F.col("event_id") % 5).cast("double").alias("judge"))
+    return evaluate.rate_judge(e.drop("judge"), e.where("query_id % 3 <> 0").drop("human"))
+
+
+_CORPORA = """cp AS (SELECT pct, vec_id FROM (SELECT vec_id, row_number() OVER (ORDER BY vec_id) AS pos, count(*) OVER () AS c FROM embeddings), (SELECT unnest([20, 50, 100]) AS pct) WHERE pos <= greatest(1, ceil(c * pct / 100)))"""
+
+
+@query(f"""
+    WITH {_NEAR}, {_CORPORA}, q AS (SELECT vec_id AS query_id FROM embeddings WHERE vec_id % 50 = 0),
+    v AS (SELECT pct, query_id, vec_id, query_label = label AS hit, row_number() OVER (PARTITION BY pct, query_id ORDER BY score DESC, vec_id) AS rank FROM near JOIN cp USING (vec_id)),
+    i AS (SELECT pct, query_id, vec_id, query_label = label AS hit, row_number() OVER (PARTITION BY pct, query_id ORDER BY vec_id) AS rank FROM near JOIN cp USING (vec_id)),
+    r AS (SELECT 'vector' AS arm, * FROM v WHERE rank <= 5 UNION ALL SELECT 'first', * FROM i WHERE rank <= 5),
+    n AS (SELECT pct, query_id, count(*) FILTER (query_label = label) AS n FROM near JOIN cp USING (vec_id) GROUP BY 1, 2),
+    s AS (SELECT arm, pct, query_id, count(*) AS k, count(*) FILTER (hit) AS hits FROM r GROUP BY ALL)
+    SELECT pct, arm, round(avg(CASE WHEN coalesce(n, 0) = 0 THEN 1.0 ELSE hits / n END), 6) AS mean_recall, round(avg(hits / k), 6) AS mean_precision, count(*) AS num_queries FROM s LEFT JOIN n USING (pct, query_id) GROUP BY 1, 2""")
+def benchmark_checkpoints(t):
+    """Two arms at three corpus sizes: vectors by cosine, and a corpus's first vectors; relevant is what has the query's label."""
+    v = t.raw("embeddings")
+    cp = evaluate.checkpoint_corpus(v.select(F.col("vec_id").alias("doc_id")), [20, 50, 100]).select("pct", "doc_id")
+    q = v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    scored = evaluate.vector_scores(q, v).select("query_id", F.col("vec_id").alias("doc_id"), "score").join(cp, "doc_id")
+    first = lambda *order: scored.withColumn("rank", F.row_number().over(Window.partitionBy("pct", "query_id").orderBy(*order))).where("rank <= 5")
+    x = evaluate.benchmark(cp, q, {"vector": first(F.desc("score"), "doc_id"), "first": first("doc_id")}, _qrels(t))
+    return x.select("pct", "arm", F.round("mean_recall", 6).alias("mean_recall"), F.round("mean_precision", 6).alias("mean_precision"), "num_queries")
+
+
+@query(_TOP + ", b AS (SELECT query_id, rank, '## File: ' || vec_id || chr(10) || 'about ' || vec_id || chr(10) AS block, 'about ' || vec_id || ' [' || vec_id || ']' AS said, vec_id FROM top WHERE rank <= 3) SELECT query_id, string_agg(said, ' ' ORDER BY rank) AS answer, string_agg(vec_id::VARCHAR, ',' ORDER BY rank) AS citations FROM b GROUP BY 1")
+def arm_answers(t):
+    """The vector arm to its end: the answer from the retrieved documents, in order."""
+    v = t.raw("embeddings").withColumn("doc_id", F.col("vec_id"))
+    corpus = v.select("doc_id", F.concat(F.lit("about "), F.col("doc_id").cast("string")).alias("text"))
+    q = v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    return pipelines.vector_arm(q, v, corpus, 3).select("query_id", "answer", F.array_join("citations", ",").alias("citations"))
+
+
 _PCT = "p AS (SELECT unnest([20, 50, 100]) AS pct), n AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS pos, count(*) OVER () AS c FROM documents), cp AS (SELECT pct, doc_id, pos FROM n, p WHERE pos <= greatest(1, ceil(c * pct / 100)))"
 
 

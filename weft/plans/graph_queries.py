@@ -168,6 +168,38 @@ def edge_append_if_absent(t):
     return graph.append_if_absent(e.where("seq <= 40000"), e.where("seq > 40000")).select("source", "target", "edge_type")
 
 
+@query(f"WITH {COMPACTED}, s AS (SELECT DISTINCT source FROM edges UNION SELECT p_partkey + 1 FROM part) SELECT s.source, count(target) AS degree FROM s LEFT JOIN edges USING (source) GROUP BY 1")
+def adjacency_of_all_nodes(t):
+    """Nodes without an edge have degree 0."""
+    return graph.adjacency(compacted(t), t.raw("part").select((F.col("p_partkey") + 1).alias("source"))).select("source", F.col("degree").cast("long").alias("degree"))
+
+
+@query(f"WITH ev AS ({EVENTS}) SELECT ev.source, target, edge_type, weight, seq FROM ev WHERE seq > 40000 AND source IN (SELECT n_nationkey + 1 FROM nation)")
+def edge_log_of_nodes(t):
+    s = t.raw("nation").select((F.col("n_nationkey") + 1).cast("long").alias("source"))
+    return graph.node_log(t.edge_events(), s, 40_000).select("source", "target", "edge_type", "weight", "seq")
+
+
+@query(f"WITH ev AS ({EVENTS}) SELECT edge_type, CASE edge_type WHEN 'ENTITY_COOCCUR' THEN 1 WHEN 'LLM_ASSERTED' THEN 2 WHEN 'SPLIT_SIBLING' THEN 3 ELSE 4 END AS wire, edge_type AS back, count(*) AS n FROM ev GROUP BY 1")
+def edge_types_on_the_wire(t):
+    x = t.edge_events().groupBy("edge_type").agg(F.count("*").alias("n")).withColumn("wire", graph.to_wire(F.col("edge_type")))
+    return x.select("edge_type", "wire", graph.from_wire(F.col("wire")).alias("back"), "n")
+
+
+@query(f"WITH ev AS ({EVENTS}) SELECT source, target, edge_type, seq FROM ev WHERE edge_type IN ('SPLIT_SIBLING', 'REDIRECT')")
+def structural_log(t):
+    return graph.structural_log(t.edge_events()).select("source", "target", "edge_type", "seq")
+
+
+@query("""
+    WITH m AS (SELECT l_orderkey AS entity, l_partkey + 1 AS file_id, min(l_linenumber) AS seq FROM lineitem GROUP BY 1, 2), n AS (SELECT DISTINCT l_partkey + 1 AS file_id FROM lineitem WHERE l_orderkey % 10 = 0)
+    SELECT a.file_id AS source, b.file_id AS target, 'ENTITY_COOCCUR' AS edge_type, count(*) AS weight FROM m a JOIN m b ON a.entity = b.entity AND a.seq > b.seq AND a.file_id <> b.file_id WHERE a.file_id IN (SELECT file_id FROM n) GROUP BY 1, 2""")
+def cooccur_new_edges(t):
+    m = order_mentions(t)
+    new = F.substring("entity", 7, 20).cast("long") % 10 == 0
+    return graph.cooccurrence_of_new(m.where(~new), m.where(new))
+
+
 @query("SELECT l_partkey AS k FROM lineitem UNION SELECT o_custkey FROM orders")
 def set_union(t):
     return t.raw("lineitem").select(F.col("l_partkey").alias("k")).union(t.raw("orders").select("o_custkey")).distinct()

@@ -188,10 +188,15 @@ def header_offsets(t):
     return x.select("doc_id", F.size("h").alias("n_headers"), F.element_at("h", -1)["offset"].alias("last_offset"), F.md5(flat.cast("binary")).alias("headers_md5"))
 
 
-@query(f"WITH p AS ({PATHS}) SELECT file_id, path AS a, path AS b, '/' AS c FROM p")
+@query(f"""
+    WITH p AS ({PATHS}), r AS (SELECT file_id, CASE file_id % 6 WHEN 0 THEN '././' || replace(path, '/', '///') || '//' WHEN 1 THEN replace(path, '/', chr(92)) WHEN 2 THEN '//' WHEN 3 THEN '/' || path || '/' WHEN 4 THEN '.' || chr(92) || path ELSE './.' || path || '/./' END AS raw FROM p),
+    s AS (SELECT file_id, raw, regexp_replace(regexp_replace(replace(raw, chr(92), '/'), '^(\\./)+', ''), '/{{2,}}', '/', 'g') AS x FROM r)
+    SELECT file_id, raw, CASE WHEN x = '/' THEN x ELSE regexp_replace(x, '/+$', '') END AS path FROM s""")
 def normalize_topic_path(t):
-    a, b = F.concat(F.lit("././"), F.replace("path", F.lit("/"), F.lit("///")), F.lit("//")), F.replace("path", F.lit("/"), F.lit("\\"))
-    return t.paths().select("file_id", T.normalize_topic_path(a).alias("a"), T.normalize_topic_path(b).alias("b"), T.normalize_topic_path(F.lit("//")).alias("c"))
+    m, p = F.col("file_id") % 6, F.col("path")
+    f = lambda *x: F.concat(*[F.lit(y) if isinstance(y, str) else y for y in x])
+    raw = F.when(m == 0, f("././", F.replace(p, F.lit("/"), F.lit("///")), "//")).when(m == 1, F.replace(p, F.lit("/"), F.lit("\\"))).when(m == 2, "//").when(m == 3, f("/", p, "/")).when(m == 4, f(".\\", p)).otherwise(f("./.", p, "/./"))
+    return t.paths().select("file_id", raw.alias("raw")).select("file_id", "raw", T.normalize_topic_path(F.col("raw")).alias("path"))
 
 
 @query(f"""

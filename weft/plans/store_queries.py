@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import store
-from ..sources.readers import iter_pages
+from ..operators.models import parse_segment
+from ..sources.readers import chat_ticket, iter_pages
 from .registry import query
 
 _OPS = """ops AS (SELECT o_custkey + 1 AS file_id, o_orderkey AS seq, CASE WHEN o_orderstatus = 'F' AND o_totalprice > 400000 THEN 'delete' ELSE 'put' END AS op, o_totalprice AS size_bytes,
@@ -86,16 +87,30 @@ def split_plan_validate(t):
     return store.validate_plan(_plan(t))
 
 
+@query("""
+    WITH r AS (SELECT l_orderkey AS plan_id, l_linenumber // 2 AS proposal, CASE WHEN l_orderkey % 13 = 0 AND l_linenumber // 2 = 1 THEN '' ELSE 'p' || (l_orderkey * 7 + l_linenumber // 2) % 5 % 4 END AS path,
+      (l_linenumber * 12 + l_partkey % 5)::BIGINT AS s, (l_linenumber * 12 + l_partkey % 5 + l_suppkey % 9)::BIGINT AS e, 90 AS size FROM lineitem),
+    b AS (SELECT *, max(CASE WHEN e > s THEN e END) OVER (PARTITION BY plan_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM r),
+    f AS (SELECT plan_id, proposal, min(path) AS path, min(CASE WHEN e > size THEN 'bounds' WHEN e > s AND before > s THEN 'overlap' END) AS bad FROM b GROUP BY 1, 2),
+    p AS (SELECT plan_id, coalesce(min(bad), CASE WHEN bool_or(path = '') THEN 'empty path' WHEN count(DISTINCT path) < count(*) THEN 'duplicate path' ELSE 'ok' END) AS reason FROM f GROUP BY 1)
+    SELECT plan_id, reason = 'ok' AS valid, reason FROM p""")
+def split_plan_ranges(t):
+    """Plans of several files with several ranges each: an order's lines, two to a file."""
+    p = F.floor(F.col("l_linenumber") / 2)
+    path = F.when((F.col("l_orderkey") % 13 == 0) & (p == 1), "").otherwise(F.concat(F.lit("p"), ((F.col("l_orderkey") * 7 + p) % 5 % 4).cast("string")))
+    start = (F.col("l_linenumber") * 12 + F.col("l_partkey") % 5).cast("long")
+    r = t.raw("lineitem").select(F.col("l_orderkey").alias("plan_id"), p.alias("proposal"), path.alias("new_path"), start.alias("start"), (start + F.col("l_suppkey") % 9).alias("end"), F.lit(90).alias("size"))
+    return store.validate_plan(r)
+
+
 def _cut(t):
     """Files over the threshold, cut after the first line feed past the middle (or at the end)."""
     f = t.files().where(F.col("size_bytes") > T.SPLIT_THRESHOLD)
-    at = F.locate("\n", F.col("content"), 1)
     half = F.floor(F.length("content") / 2).cast("int")
     found = F.instr(F.substr(F.col("content"), half + 1, F.lit(1 << 30)), "\n")
     chars = F.when(found > 0, half + found).otherwise(F.length("content"))
     cut = T.char_to_byte_offset(F.col("content"), chars).cast("long")
     two = F.array(F.struct(F.concat("path", F.lit("/1")).alias("new_path"), F.lit(0).cast("long").alias("start"), F.col("cut").alias("end")), F.struct(F.concat("path", F.lit("/2")).alias("new_path"), F.col("cut").alias("start"), F.col("size_bytes").alias("end")))
-    del at
     return f.withColumn("cut", cut).select("file_id", F.inline(two))
 
 
@@ -127,6 +142,105 @@ def redirect_follow(t):
     return store.follow_redirects(out["stubs"], out["files"]).select("file_id", F.md5(F.col("content").cast("binary")).alias("content_md5"))
 
 
+@query("""
+    WITH d AS (SELECT doc_id + 1 AS old_id, 'x/' || doc_id AS path, text, length(text) // 3 AS a, 2 * (length(text) // 3) AS b FROM documents WHERE strlen(text) > 8192),
+    p AS (SELECT old_id, path || '/1' AS path, substring(text, b + 1) || substring(text, 1, a) AS content FROM d UNION ALL SELECT old_id, path || '/2', substring(text, a + 1, b - a) FROM d)
+    SELECT path, (SELECT max(doc_id) + 1 FROM documents) + row_number() OVER (ORDER BY old_id, path) AS file_id, strlen(content) AS size_bytes, md5(content) AS content_md5 FROM p""")
+def split_section_order(t):
+    """Files cut in three; the first new file has the last part, then the first."""
+    f = t.files().where(F.col("size_bytes") > T.SPLIT_THRESHOLD).select("file_id", "content", "size_bytes", F.concat(F.lit("x/"), (F.col("file_id") - 1).cast("string")).alias("path"))
+    third = F.floor(F.length("content") / 3).cast("int")
+    a, b = (T.char_to_byte_offset(F.col("content"), third * n).cast("long") for n in (1, 2))
+    part = lambda n, pos, s, e: F.struct(F.concat("path", F.lit(f"/{n}")).alias("new_path"), F.lit(pos).alias("pos"), s.alias("start"), e.alias("end"))
+    zero = F.lit(0).cast("long")
+    plan = f.select("file_id", F.inline(F.array(part(1, 0, b, F.col("size_bytes")), part(1, 1, zero, a), part(2, 0, a, b))))
+    x = store.execute_split(plan, t.files(), t.files())["files"]
+    return x.select("path", "file_id", "size_bytes", F.md5(F.col("content").cast("binary")).alias("content_md5"))
+
+
+_FOUND = "c AS (SELECT o_custkey + 1 AS file_id, count(*) AS version FROM orders GROUP BY 1), r AS (SELECT DISTINCT l_partkey + 1 AS file_id FROM lineitem)"
+
+
+def counted(t):
+    """A catalog: a version for each order of a customer."""
+    return t.raw("orders").groupBy((F.col("o_custkey") + 1).alias("file_id")).agg(F.count("*").alias("version"))
+
+
+@query(f"WITH {_FOUND} SELECT r.file_id, coalesce(version, 0) AS version, version IS NOT NULL AS found FROM r LEFT JOIN c USING (file_id)")
+def catalog_get(t):
+    r = t.raw("lineitem").select((F.col("l_partkey") + 1).alias("file_id"))
+    return store.get_records(r, counted(t), missing="keep").select("file_id", F.coalesce("version", F.lit(0)).alias("version"), "found")
+
+
+@query(f"""WITH {_FOUND}, p AS (SELECT p_partkey + 1 AS file_id, replace(p_name, ' ', '-') || '/' || lower(p_type) || '/' || p_partkey AS path FROM part WHERE p_partkey % 3 > 0)
+    SELECT r.file_id, coalesce(version, 0) AS version, coalesce(path, '') AS path, coalesce(md5(text), '') AS content_md5, version IS NOT NULL AND doc_id IS NOT NULL AS found FROM r LEFT JOIN c USING (file_id) LEFT JOIN documents ON doc_id + 1 = r.file_id LEFT JOIN p ON p.file_id = r.file_id""")
+def get_file_join(t):
+    """Content, version and path by id; some files have no version, no content or no path."""
+    r = t.raw("lineitem").select((F.col("l_partkey") + 1).alias("file_id"))
+    x = store.get_files(r, counted(t), t.files(), t.paths().where("file_id % 3 <> 1"), missing="keep")
+    return x.select("file_id", F.coalesce("version", F.lit(0)).alias("version"), "path", F.coalesce(F.md5(F.col("content").cast("binary")), F.lit("")).alias("content_md5"), "found")
+
+
+@query("""
+    WITH RECURSIVE e AS (SELECT o_custkey + 1 AS file_id, o_orderkey AS seq, o_orderkey % 4 AS expected, (o_orderkey + 1) % 4 AS new_version, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS i FROM orders),
+    f(file_id, seq, i, swapped, version) AS (SELECT file_id, seq, i, expected = 0, CASE WHEN expected = 0 THEN new_version ELSE 0 END FROM e WHERE i = 1
+      UNION ALL SELECT e.file_id, e.seq, e.i, e.expected = f.version, CASE WHEN e.expected = f.version THEN e.new_version ELSE f.version END FROM f JOIN e ON e.file_id = f.file_id AND e.i = f.i + 1)
+    SELECT file_id, seq, swapped, version FROM f""")
+def catalog_compare_and_set(t):
+    o = t.raw("orders").select((F.col("o_custkey") + 1).alias("file_id"), F.col("o_orderkey").alias("seq"), (F.col("o_orderkey") % 4).alias("expected"), ((F.col("o_orderkey") + 1) % 4).alias("new_version"))
+    return store.compare_and_set(o, o.select("file_id", F.lit(0).cast("long").alias("version")).distinct())
+
+
+@query(f"""
+    WITH RECURSIVE {_OPS}, e AS (SELECT file_id, seq, status, row_number() OVER (PARTITION BY file_id ORDER BY seq) AS i FROM ops),
+    m AS (SELECT unnest(['ACTIVE>SPLITTING', 'SPLITTING>ACTIVE', 'SPLITTING>SPLIT', 'SPLITTING>REDIRECT', 'SPLIT>REDIRECT']) AS move),
+    f(file_id, seq, i, accepted, status) AS (SELECT file_id, seq, i, 'ACTIVE>' || status IN (SELECT move FROM m), CASE WHEN 'ACTIVE>' || status IN (SELECT move FROM m) THEN status ELSE 'ACTIVE' END FROM e WHERE i = 1
+      UNION ALL SELECT e.file_id, e.seq, e.i, f.status || '>' || e.status IN (SELECT move FROM m), CASE WHEN f.status || '>' || e.status IN (SELECT move FROM m) THEN e.status ELSE f.status END FROM f JOIN e ON e.file_id = f.file_id AND e.i = f.i + 1)
+    SELECT file_id, seq, accepted, status FROM f""")
+def guarded_transitions(t):
+    return store.guard_transitions(ops(t))
+
+
+@query(f"WITH {_OPS}, last AS (SELECT file_id, arg_max(status, seq) AS status FROM ops GROUP BY 1) SELECT l_orderkey * 8 + l_linenumber AS seq, l_partkey + 1 AS file_id, coalesce(status, '') NOT IN ('', 'SPLITTING') AS admitted, CASE WHEN status IS NULL THEN 'not found' WHEN status = 'SPLITTING' THEN 'split in progress' ELSE '' END AS reason FROM lineitem LEFT JOIN last ON last.file_id = l_partkey + 1")
+def admit_writes(t):
+    catalog = ops(t).groupBy("file_id").agg(F.max_by("status", "seq").alias("status"))
+    w = t.raw("lineitem").select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("seq"), (F.col("l_partkey") + 1).alias("file_id"))
+    return store.admit_writes(w, catalog)
+
+
+_PATH_EVENTS = "pe AS (SELECT 'p/' || l_partkey AS path, l_orderkey * 8 + l_linenumber AS seq, CASE WHEN l_suppkey % 5 = 0 THEN 'delete' ELSE 'put' END AS op, l_suppkey + 1 AS file_id FROM lineitem)"
+
+
+def path_events(t):
+    op = F.when(F.col("l_suppkey") % 5 == 0, "delete").otherwise("put")
+    return t.raw("lineitem").select(F.concat(F.lit("p/"), F.col("l_partkey").cast("string")).alias("path"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("seq"), op.alias("op"), (F.col("l_suppkey") + 1).alias("file_id"))
+
+
+@query(f"WITH {_PATH_EVENTS}, l AS (SELECT path, arg_max(op, seq) AS op, arg_max(file_id, seq) AS file_id FROM pe GROUP BY 1) SELECT path, file_id FROM l WHERE op = 'put'")
+def path_index_upsert(t):
+    return store.index_paths(path_events(t))
+
+
+@query(f"WITH {_PATH_EVENTS}, l AS (SELECT *, coalesce(lag(op) OVER (PARTITION BY path ORDER BY seq) = 'put', false) AS found FROM pe) SELECT path, seq, found FROM l WHERE op = 'delete'")
+def path_index_delete(t):
+    return store.path_deletes(path_events(t))
+
+
+@query(f"WITH {_CUT}, old AS (SELECT DISTINCT old_id, regexp_replace(path, '/[12]$', '') AS path FROM parts) SELECT file_id AS id, path, 'ACTIVE' AS status, (SELECT count(*) FROM new n WHERE n.old_id = new.old_id) AS n_edges FROM new UNION ALL SELECT old_id, path, 'REDIRECT', 2 FROM old")
+def split_recovery(t):
+    """The commits of all splits applied to an empty store, and once more to the result."""
+    out = store.execute_split(_cut(t), t.files(), t.files())["files"]
+    commits = out.select(F.col("parent_topic_id").alias("old_id"), F.regexp_replace("path", "/[12]$", "").alias("old_path"), "file_id", F.col("path").alias("new_path"), "size_bytes")
+    none = lambda kind: t.spark.createDataFrame([], kind)
+    state = {"catalog": none("file_id long, status string, size_bytes long"), "paths": none("path string, file_id long"), "edges": none("source long, target long, edge_type string")}
+    for _ in range(2):
+        state = store.recover_splits(commits, **state)
+    n = state["edges"].groupBy(F.col("source").alias("file_id")).agg(F.count("*").alias("n_edges"))
+    n = n.withColumn("n_edges", F.col("n_edges"))
+    x = state["catalog"].join(state["paths"], "file_id").join(n, "file_id")
+    return x.select(F.col("file_id").alias("id"), "path", "status", F.when(F.col("status") == "ACTIVE", F.col("n_edges") + 1).otherwise(F.col("n_edges")).alias("n_edges"))
+
+
 _VERSIONS = "v AS (SELECT o_custkey + 1 AS file_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS version, o_orderkey // 100 AS epoch FROM orders)"
 
 
@@ -147,13 +261,13 @@ def version_gc(t):
 
 
 def _subjects(t):
-    s = F.concat(F.when(F.col("turn") % 3 == 0, "").when(F.col("turn") % 3 == 1, "Re: ").otherwise("FWD:  re : "), F.substring("text", 1, 60))
+    s = F.concat(F.when(F.col("turn") % 3 == 0, "").when(F.col("turn") % 3 == 1, "Re: ").otherwise("FWD:  re : "), F.col("text"))
     reply = F.when(F.col("turn") % 5 == 4, F.concat(F.lit(" <m"), F.col("conv_id").cast("string"), F.lit("> "))).otherwise(" ")
     refs = F.when(F.col("turn") % 5 == 3, F.concat(F.lit("<r"), F.col("conv_id").cast("string"), F.lit(">  <x>")))
     return t.raw("conversations").select("conv_id", "turn", s.alias("subject"), reply.alias("reply"), refs.alias("refs"))
 
 
-_SUBJECT = """s AS (SELECT conv_id, turn, trim(regexp_replace(regexp_replace(CASE turn % 3 WHEN 0 THEN '' WHEN 1 THEN 'Re: ' ELSE 'FWD:  re : ' END || substring(text, 1, 60), '^\\s*((re|fwd?)\\s*:\\s*)+', '', 'i'), '\\s+', ' ', 'g')) AS n FROM conversations)"""
+_SUBJECT = """s AS (SELECT conv_id, turn, trim(regexp_replace(regexp_replace(CASE turn % 3 WHEN 0 THEN '' WHEN 1 THEN 'Re: ' ELSE 'FWD:  re : ' END || text, '^\\s*((re|fwd?)\\s*:\\s*)+', '', 'i'), '\\s+', ' ', 'g')) AS n FROM conversations)"""
 
 
 @query(f"WITH {_SUBJECT} SELECT conv_id, turn, lower(n) AS subject FROM s")
@@ -193,27 +307,14 @@ def page_parse(t):
     return iter_pages(t.raw("pages").select(F.col("page_id").alias("id"), text.alias("text"))).select("id", "page", F.md5(F.col("text").cast("binary")).alias("text_md5"))
 
 
-@query("""
-    WITH d AS (SELECT doc_id, regexp_extract_all(text, '\\b([A-Z][a-zA-Z0-9]*(?:\\s+[A-Z][a-zA-Z0-9]*)*)\\b', 1) AS runs FROM documents WHERE NOT regexp_matches(text, '[^\\x00-\\x7F]')),
-    c AS (SELECT doc_id, list_transform(runs, lambda r: CASE WHEN len(regexp_split_to_array(r, '\\s+')) > 1 AND lower(regexp_split_to_array(r, '\\s+')[1]) IN ('the', 'a', 'an', 'this', 'that', 'these', 'those') THEN array_to_string(regexp_split_to_array(r, '\\s+')[2:], ' ') ELSE array_to_string(regexp_split_to_array(r, '\\s+'), ' ') END) AS e FROM d)
-    SELECT doc_id, len(e) AS n_entities, md5(array_to_string(e, '|')) AS entities_md5 FROM c""")
-def heuristic_entities(t):
-    """ASCII documents only, as its SQL; heuristic_entities_all has the whole table."""
-    return _entities(t.raw("documents").where(~F.col("text").rlike("[^\\x00-\\x7F]")))
-
-
-def _entities(d):
-    x = d.select("doc_id", T.heuristic_entities(F.col("text")).alias("e"))
-    return x.select("doc_id", F.size("e").alias("n_entities"), F.md5(F.array_join("e", "|").cast("binary")).alias("entities_md5"))
-
-
 # RE2 knows ASCII word boundaries only: letters and digits beyond ASCII become _, which is of no capitalised word.
 @query("""
     WITH d AS (SELECT doc_id, regexp_extract_all(regexp_replace(text, '[^\\x00-\\x7F\\P{L}]|[^\\x00-\\x7F\\P{N}]', '_', 'g'), '\\b([A-Z][a-zA-Z0-9]*(?:\\s+[A-Z][a-zA-Z0-9]*)*)\\b', 1) AS runs FROM documents),
     c AS (SELECT doc_id, list_transform(runs, lambda r: CASE WHEN len(regexp_split_to_array(r, '\\s+')) > 1 AND lower(regexp_split_to_array(r, '\\s+')[1]) IN ('the', 'a', 'an', 'this', 'that', 'these', 'those') THEN array_to_string(regexp_split_to_array(r, '\\s+')[2:], ' ') ELSE array_to_string(regexp_split_to_array(r, '\\s+'), ' ') END) AS e FROM d)
     SELECT doc_id, len(e) AS n_entities, md5(array_to_string(e, '|')) AS entities_md5 FROM c""")
-def heuristic_entities_all(t):
-    return _entities(t.raw("documents"))
+def heuristic_entities(t):
+    x = t.raw("documents").select("doc_id", T.heuristic_entities(F.col("text")).alias("e"))
+    return x.select("doc_id", F.size("e").alias("n_entities"), F.md5(F.array_join("e", "|").cast("binary")).alias("entities_md5"))
 
 
 @query("""
@@ -242,17 +343,54 @@ def char_byte_offsets(t):
     return t.raw("documents").select("doc_id", T.char_to_byte_offset(F.col("text"), third).cast("long").alias("byte_offset"))
 
 
-@query("SELECT event_id, true AS a, false AS b FROM events")
+@query("""
+    WITH x AS (SELECT event_id, CASE event_id % 6 WHEN 0 THEN '  ' || props WHEN 1 THEN 'Answer: ' || props WHEN 2 THEN props || '}' WHEN 3 THEN '[' || user_id || ', null]' WHEN 4 THEN '[' || user_id || ',' ELSE '"' || event_type || '"' END AS body FROM events)
+    SELECT event_id, json_valid(trim(body)) AS valid FROM x""")
 def json_probe(t):
-    return t.raw("events").select("event_id", T.is_json(F.concat(F.lit("  "), "props")).alias("a"), T.is_json(F.concat(F.lit("Answer: "), "props")).alias("b"))
+    m, u = F.col("event_id") % 6, F.col("user_id").cast("string")
+    body = F.when(m == 0, F.concat(F.lit("  "), "props")).when(m == 1, F.concat(F.lit("Answer: "), "props")).when(m == 2, F.concat("props", F.lit("}"))).when(m == 3, F.concat(F.lit("["), u, F.lit(", null]"))).when(m == 4, F.concat(F.lit("["), u, F.lit(",")))
+    return t.raw("events").select("event_id", T.is_json(body.otherwise(F.concat(F.lit('"'), "event_type", F.lit('"')))).alias("valid"))
 
 
-@query("SELECT event_id, props AS body FROM events")
+@query("""
+    WITH x AS (SELECT event_id, CASE event_id % 7 WHEN 0 THEN '```json' || chr(10) || props || chr(10) || '```' WHEN 1 THEN '```c++ ' || props || '```' WHEN 2 THEN ' ```' || chr(10) || chr(10) || props || '``` ' WHEN 3 THEN props
+      WHEN 4 THEN '```a-b_c' || chr(10) || props || chr(10) || props || chr(10) || '```' || chr(10) WHEN 5 THEN 'see ```' || props || '```' ELSE '```' || props END AS raw FROM events)
+    SELECT event_id, CASE WHEN regexp_matches(raw, '(?s)^\\s*```[a-zA-Z0-9_+-]*\\s*\\n?(.*?)\\n?```\\s*$') THEN regexp_extract(raw, '(?s)^\\s*```[a-zA-Z0-9_+-]*\\s*\\n?(.*?)\\n?```\\s*$', 1) ELSE raw END AS body FROM x""")
 def strip_code_fence(t):
-    return t.raw("events").select("event_id", T.strip_code_fence(F.concat(F.lit("```json\n"), "props", F.lit("\n```"))).alias("body"))
+    """Fences with and without tag and line feeds, in other text, and open ones."""
+    m, p, n = F.col("event_id") % 7, F.col("props"), F.lit("\n")
+    f = lambda *x: F.concat(*[F.lit(y) if isinstance(y, str) else y for y in x])
+    raw = F.when(m == 0, f("```json\n", p, "\n```")).when(m == 1, f("```c++ ", p, "```")).when(m == 2, f(" ```\n\n", p, "``` ")).when(m == 3, p).when(m == 4, f("```a-b_c\n", p, n, p, "\n```\n")).when(m == 5, f("see ```", p, "```"))
+    return t.raw("events").select("event_id", T.strip_code_fence(raw.otherwise(f("```", p))).alias("body"))
+
 
+@query("""SELECT conv_id, turn, 'BTX-' || lpad(i::VARCHAR, 6, '0') AS ticket_id, substring(text, 1, 80) AS subject, 'closed' AS status, 'normal' AS priority, role AS category, 'customer-' || i || '@example.com' AS requester, 'support-bot@example.com' AS assignee,
+    strftime(TIMESTAMP '2024-01-01 00:00:00' + to_minutes(i), '%Y-%m-%dT%H:%M:%S') || '+00:00' AS created_at, 'support-bot@example.com: ' || md5(text) AS comment FROM (SELECT *, conv_id * 7 + turn AS i FROM conversations)""")
+def chat_tickets(t):
+    row = F.struct(F.col("text").alias("instruction"), F.col("role").alias("category"), F.md5(F.col("text").cast("binary")).alias("response"))
+    x = t.raw("conversations").select("conv_id", "turn", chat_ticket(row, F.col("conv_id") * 7 + F.col("turn")).alias("t"))
+    c = F.col("t.comments")[0]
+    return x.select("conv_id", "turn", *[f"t.{n}" for n in ("ticket_id", "subject", "status", "priority", "category", "requester", "assignee", "created_at")], F.concat(c["author"], F.lit(": "), c["body"]).alias("comment"))
 
-@query("SELECT doc_id, strftime(TIMESTAMP '2024-01-01 00:00:00' + to_minutes(doc_id), '%Y-%m-%dT%H:%M:%S') AS created_at, power(0.5, doc_id % 4) AS decay FROM documents")
+
+@query("""
+    WITH x AS (SELECT event_id, event_id % 8 AS m, CASE WHEN event_id % 8 = 1 THEN '' ELSE 't/' || user_id END AS target, CASE WHEN event_id % 8 = 3 THEN '' ELSE 'n/' || user_id END AS path FROM events)
+    SELECT event_id, CASE m WHEN 0 THEN '' WHEN 1 THEN 'APPEND_EXISTING without target_topic' WHEN 2 THEN '' WHEN 3 THEN 'CREATE_NEW without new_topic_path' WHEN 4 THEN 'bad topic_action' WHEN 5 THEN 'missing entities' WHEN 6 THEN 'entities must be a list of strings' ELSE 'not JSON' END AS error,
+      CASE WHEN m IN (0, 2) THEN target ELSE '' END AS target_topic FROM x""")
+def segment_answers(t):
+    """Answers of a segmenting model: good ones, and one for each rule."""
+    m, u = F.col("event_id") % 8, F.col("user_id").cast("string")
+    action = F.when(m.isin(0, 1), "APPEND_EXISTING").when(m == 4, "KEEP").otherwise("CREATE_NEW")
+    fields = [action.alias("topic_action"), F.when(m == 1, "").otherwise(F.concat(F.lit("t/"), u)).alias("target_topic"), F.when(m == 3, "").otherwise(F.concat(F.lit("n/"), u)).alias("new_topic_path"), F.col("event_type").alias("content_markdown")]
+    good = F.to_json(F.struct(*fields, F.array(F.lit("Ann")).alias("entities"), F.array().cast("array<string>").alias("related_topics")))
+    less = F.to_json(F.struct(*fields, F.array(F.lit("x")).alias("related_topics")))
+    odd = F.to_json(F.struct(*fields, F.array("event_id").alias("entities"), F.array(F.lit("x")).alias("related_topics")))
+    answer = F.when(m == 5, less).when(m == 6, odd).when(m == 7, F.concat(F.lit("Sure: "), good)).otherwise(F.concat(F.lit("```json\n"), good, F.lit("\n```")))
+    x = t.raw("events").select("event_id", answer.alias("answer")).select("event_id", parse_segment(F.col("answer")).alias("s"))
+    return x.select("event_id", F.coalesce("s.error", F.lit("")).alias("error"), F.coalesce("s.parsed.target_topic", F.lit("")).alias("target_topic"))
+
+
+@query("SELECT doc_id, strftime(TIMESTAMP '2024-01-01 00:00:00' + to_minutes(doc_id), '%Y-%m-%dT%H:%M:%S') || '+00:00' AS created_at, power(0.5, doc_id % 4) AS decay FROM documents")
 def synthetic_times(t):
     return t.raw("documents").select("doc_id", T.synthetic_time(F.col("doc_id")).alias("created_at"), T.hop_decay(F.col("doc_id") % 4).alias("decay"))
 

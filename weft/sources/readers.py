@@ -74,13 +74,34 @@ def mail(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
 
 
 def chat_tickets(spark: SparkSession, path: str) -> DataFrame:
-    """A JSON list of chat rows, or an object with it under rows, as tickets."""
+    """A JSON list of chat rows, or an object with it under rows, as closed tickets that the support bot has answered."""
     row = "array<struct<instruction:string,category:string,intent:string,response:string>>"
     raw = spark.read.text(path, wholetext=True)
     rows = F.coalesce(F.from_json(F.get_json_object("value", "$.rows"), row), F.from_json("value", row))
     x = raw.select(F.posexplode(rows).alias("i", "r"))
-    comment = F.array(F.struct(F.lit("agent").alias("author"), F.col("r.response").alias("body")))
-    return _filled(x.select(F.format_string("BTX-%06d", "i").alias("ticket_id"), F.substring("r.instruction", 1, 80).alias("subject"), F.col("r.instruction").alias("description"), F.col("r.category").alias("category"), F.col("r.intent").alias("priority"), T.synthetic_time(F.col("i")).alias("created_at"), comment.alias("comments")))
+    return x.select(chat_ticket(F.col("r"), F.col("i")).alias("t")).select("t.*")
+
+
+# Fixed values of a chat row's ticket.
+BOT, CHAT_STATUS, CHAT_PRIORITY = "support-bot@example.com", "closed", "normal"
+
+
+def chat_ticket(row: Column, i: Column) -> Column:
+    """A ticket struct of a chat row (instruction, category, response) and its number."""
+    said = lambda c: F.coalesce(row[c], F.lit(""))
+    fields = {
+        "ticket_id": F.format_string("BTX-%06d", i),
+        "subject": F.substring(said("instruction"), 1, 80),
+        "description": said("instruction"),
+        "status": F.lit(CHAT_STATUS),
+        "priority": F.lit(CHAT_PRIORITY),
+        "category": said("category"),
+        "requester": F.concat(F.lit("customer-"), i.cast("string"), F.lit("@example.com")),
+        "assignee": F.lit(BOT),
+        "created_at": T.synthetic_time(i),
+    }
+    comments = F.array(F.struct(F.lit(BOT).alias("author"), said("response").alias("body")))
+    return F.struct(*[v.alias(k) for k, v in fields.items()], comments.alias("comments"))
 
 
 RAW = "id string, source_type string, text string, structured_fields map<string,string>, ts timestamp"
@@ -192,6 +213,46 @@ def topic_seeds(spark: SparkSession, topics: list[dict]) -> DataFrame:
     return spark.createDataFrame([(i, t["id"], t["title"], list(t.get("key_facts", []))) for i, t in enumerate(topics)], "idx long, id string, title string, key_facts array<string>")
 
 
+def topic_seeds_yaml(spark: SparkSession, path: str) -> DataFrame:
+    """topic_seeds of YAML files: a list under topics, each with id and title; anything else is an error."""
+    try:
+        import yaml
+    except ModuleNotFoundError as e:
+        raise RuntimeError("reading YAML seeds needs PyYAML") from e
+
+    topics: list[dict] = []
+    for r in spark.read.text(path, wholetext=True).orderBy(F.input_file_name()).toLocalIterator():  # seeds are written by hand
+        raw = yaml.safe_load(r["value"])
+        if not isinstance(raw, dict) or not isinstance(raw.get("topics"), list) or not raw["topics"]:
+            raise ValueError("topic seeds: a list under topics is due")
+        for i, t in enumerate(raw["topics"]):
+            if not isinstance(t, dict) or not {"id", "title"} <= t.keys():
+                raise ValueError(f"topic seeds: entry {i} lacks id or title")
+            topics.append({"id": str(t["id"]), "title": str(t["title"]), "key_facts": [str(x) for x in t.get("key_facts", [])]})
+    return topic_seeds(spark, topics)
+
+
+def live_corpus(documents: DataFrame, pages: DataFrame) -> DataFrame:
+    """doc_id, title (in its own case), text of a manifest's documents (doc_id, filename, primary_topic) and their pages (filename, page, text), framed."""
+    text = raw_documents("pdf", pages.withColumnRenamed("filename", "id")).select(F.col("id").alias("filename"), "text")
+    return documents.select("doc_id", "filename", F.col("primary_topic.title").alias("title")).join(text, "filename").select("doc_id", "title", "text")
+
+
+def write_report(path: str, checkpoints: DataFrame, rows: DataFrame, traversal: DataFrame) -> None:
+    """One JSON object of a benchmark: checkpoints, rows and traversal_precision, each a list of a few results."""
+    parts = {"checkpoints": checkpoints, "rows": rows, "traversal_precision": traversal}
+    one = None
+    for name, df in parts.items():
+        x = df.agg(F.array_sort(F.collect_list(F.struct(*df.columns))).alias(name))
+        one = x if one is None else one.join(x)
+    one.coalesce(1).write.mode("overwrite").json(path)
+
+
+def read_report(spark: SparkSession, path: str, part: str, schema: str) -> DataFrame:
+    """A list of a benchmark's JSON object: checkpoints, rows or traversal_precision."""
+    return spark.read.schema(f"{part} array<struct<{schema}>>").json(path).select(F.inline(part))
+
+
 def ratings(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("query_id string, criterion string, human double, judge double").json(path, multiLine=True)
 

@@ -41,12 +41,12 @@ class Tables:
             (F.col("l_partkey") % n + 1).alias("source"), (F.col("l_suppkey") * 7 % n + 1).alias("target"), kind.alias("edge_type"), F.col("l_quantity").cast("long").alias("weight"), F.unix_timestamp("l_shipdate").alias("last_updated"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("seq")
         )
 
-    def mentions(self, most: int = 200_000) -> DataFrame:
-        """doc_id, entity, display, seq: capitalised runs of all documents that keep to one word or more."""
+    def mentions(self) -> DataFrame:
+        """doc_id, entity, display, seq: capitalised runs of all documents; seq is a struct of document and place, in order of both."""
         from ..functions import text as T
 
         x = self.raw("documents").select("doc_id", F.posexplode(T.heuristic_entities(F.col("text"))).alias("pos", "display"))
-        return x.select("doc_id", T.canonical_entity(F.col("display")).alias("entity"), "display", (F.col("doc_id") * 1_000_000 + F.col("pos")).alias("seq"))
+        return x.select("doc_id", T.canonical_entity(F.col("display")).alias("entity"), "display", F.struct("doc_id", "pos").alias("seq"))
 
     def stages(self) -> DataFrame:
         """arm, stage, duration_seconds, provider, cost_usd, query_id, seq."""

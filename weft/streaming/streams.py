@@ -137,6 +137,39 @@ def stage_metrics(records: DataFrame) -> DataFrame:
     return records.groupBy("arm", "stage").agg(F.count("*").alias("calls"), F.sum("duration_seconds").alias("seconds"), F.sum("cost_usd").alias("cost"))
 
 
+class _Cap(StatefulProcessor):
+    """What each arm has spent; a paid call is refused once the cap is reached."""
+
+    def __init__(self, cap: float, free: str):
+        self.cap, self.free = cap, free
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.spent = handle.getValueState("spent", "spent double")
+
+    def handleInputRows(self, key, rows, timerValues):  # noqa: N802,N803
+        spent, out = self.spent.get()[0] if self.spent.exists() else 0.0, []
+        for r in pd.concat(list(rows)).sort_values("seq").itertuples():
+            refused = r.provider.lower() != self.free and spent >= self.cap
+            out.append((key[0], int(r.seq), spent, refused))
+            spent += 0.0 if refused else float(r.cost_usd)
+        self.spent.update((spent,))
+        yield pd.DataFrame(out, columns=["arm", "seq", "spent_before", "refused"])
+
+    def close(self) -> None:
+        pass
+
+
+def capped_costs(calls: DataFrame, cap: float, free: str = "ollama") -> DataFrame:
+    """Stream of arm, seq, spent_before, refused for calls (arm, seq, provider, cost_usd) as they come."""
+    return calls.groupBy("arm").transformWithStateInPandas(_Cap(cap, free), "arm string, seq long, spent_before double, refused boolean", "Append", "None")
+
+
+def soak(spark: SparkSession, rows_per_second: int = 1000, files: int = 64) -> DataFrame:
+    """A steady stream of file_id, seq, data, for mixed runs of appends and reads."""
+    r = spark.readStream.format("rate").option("rowsPerSecond", rows_per_second).load()
+    return r.select((F.col("value") % files + 1).alias("file_id"), F.col("value").alias("seq"), F.concat(F.lit("line "), F.col("value").cast("string"), F.lit("\n")).alias("data"))
+
+
 def tumbling(events: DataFrame, width: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     return events.withWatermark("ts", late).groupBy(F.window("ts", width).alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
 
