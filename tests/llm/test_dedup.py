@@ -158,3 +158,11 @@ def test_without(spark, tmp_path):
     assert got.columns == docs.columns
     assert sorted((r.doc_id is None, r.doc_id or 0) for r in got.collect()) == sorted([(False, i) for i in range(300) if i % 7] + [(True, 0)])
     assert without(docs, gone.limit(0), "doc_id").count() == 301
+
+
+def test_filters_are_sized_from_the_input(spark, tmp_path):
+    df = frame(spark, [(i, f"a line of its own, number {i}\na line that all of them have") for i in range(50)])
+    df.write.parquet(str(tmp_path / "d"))
+    stored = spark.read.parquet(str(tmp_path / "d"))
+    assert line_dedup.filter_bits_for(stored) == line_dedup.FEWEST_BITS
+    assert sum(r.n_dropped for r in line_dedup.line_dedup(stored).collect()) == 49

@@ -63,7 +63,7 @@ def _hashed(keys: list[bytes]) -> np.ndarray:
 
 def filter_bits_for(df: DataFrame) -> int:
     """Bits of a filter for what Spark's own estimate says of the size of df's input: a power of two."""
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return 1 << max(FEWEST_BITS.bit_length() - 1, min(MOST_BITS.bit_length() - 1, int(size * BITS_A_BYTE).bit_length()))
 
 
