@@ -234,3 +234,24 @@ def test_neighbours_that_tie(spark):
         assert [r.vec_id for r in sorted(got[0], key=lambda r: r.rank)] == [1, 2, 3, 4, 5]
         assert [r.vec_id for r in sorted(got[50], key=lambda r: r.rank)] == [0, 1, 2, 3, 4]
         assert all(0.9 <= r.calibrated_recall <= 1 for x in got.values() for r in x)
+
+
+def test_gaps_are_drawn_as_single_customers_are(monkeypatch):
+    """Tables of many equal dishes have the same mean and spread whether customers sit down one by one or by gaps."""
+    n, c = 3000, 400
+    args = (np.full(n, c), np.full(n, 0.3), np.full(n, 20.0), 0.6, 1.0)
+    monkeypatch.setattr(lm, "SINGLY", 1000)
+    one, z1 = lm.seat(*args, np.random.default_rng(5))
+    monkeypatch.setattr(lm, "SINGLY", 32)
+    gaps, z2 = lm.seat(*args, np.random.default_rng(6))
+    assert abs(one.mean() - gaps.mean()) < 5 * one.std() / math.sqrt(n / 2) and abs(one.std() / gaps.std() - 1) < 0.1
+    assert abs(z1.mean() - z2.mean()) < 5 * z1.std() / math.sqrt(n / 2) + 1e-6
+    assert abs(float(lm._log_gamma(np.array(30.5))) - math.lgamma(30.5)) < 1e-9
+
+
+def test_words_that_share_half_a_hash():
+    from weft.llm.words import distinct
+
+    high, low = np.array([1, 2, 1, 3, 1], np.uint64), np.array([7, 7, 7, 5, 9], np.uint64)
+    h, w, back = distinct(high, low)
+    assert (h[back] == high).all() and (w[back] == low).all() and len(h) == 4

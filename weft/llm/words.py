@@ -32,6 +32,33 @@ def chunks(texts: pa.Array):
 
 def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words (runs without white space, A-Z lower-cased) of all texts, and where each text's words start."""
+    coded, starts = _words(texts)
+    hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, coded.dictionary.to_pylist()), np.uint64, len(coded.dictionary))
+    return hashes[np.asarray(coded.indices)], starts
+
+
+def word_digests(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """word_hashes in 128 bits: the high halves, the low halves, and the starts."""
+    coded, starts = _words(texts)
+    both = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, coded.dictionary.to_pylist())), ">u8").reshape(-1, 2).astype(np.uint64)
+    at = np.asarray(coded.indices)
+    return both[at, 0], both[at, 1], starts
+
+
+def distinct(high: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct pairs in order of low, then high, and the place of each row among them."""
+    u, first, back = np.unique(low, return_index=True, return_inverse=True)
+    if (high[first][back] == high).all():
+        return high[first], u, back
+    order = np.lexsort((high, low))  # low halves that different words share
+    new = np.ones(len(order), bool)
+    new[1:] = (low[order][1:] != low[order][:-1]) | (high[order][1:] != high[order][:-1])
+    back = np.empty(len(order), np.int64)
+    back[order] = np.cumsum(new) - 1
+    return high[order][new], low[order][new], back
+
+
+def _words(texts: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray]:
     at, data = _flat(texts)
     data = _FOLD[data]
     solid = data != 32
@@ -41,14 +68,10 @@ def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     begins[heads] = solid[heads]
     where = np.flatnonzero(begins)
     starts = np.searchsorted(where, at)
-    if not len(where):
-        return np.zeros(0, np.uint64), starts
     packed = np.cumsum(solid) - solid  # place of a byte once white space is gone
     offsets = np.append(packed[where], np.count_nonzero(solid)).astype(np.int64)
     words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(where), [None, pa.py_buffer(offsets), pa.py_buffer(data[solid])])
-    coded = words.dictionary_encode()
-    hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, coded.dictionary.to_pylist()), np.uint64, len(coded.dictionary))
-    return hashes[np.asarray(coded.indices)], starts
+    return words.dictionary_encode(), starts
 
 
 def shingle_hashes(words: np.ndarray, starts: np.ndarray, k: int) -> list[np.ndarray]:
