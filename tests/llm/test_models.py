@@ -3,6 +3,7 @@
 import base64
 import gzip
 import hashlib
+import itertools
 import math
 import random
 import zlib
@@ -249,6 +250,44 @@ def test_gaps_are_drawn_as_single_customers_are(monkeypatch):
     assert abs(float(lm._log_gamma(np.array(30.5))) - math.lgamma(30.5)) < 1e-9
 
 
+@pytest.mark.parametrize("direct", [64, 2])
+def test_gibbs_follows_the_exact_posterior(monkeypatch, direct):
+    """Joint numbers of tables of a restaurant's dishes against the enumerated posterior; seatings of large dishes as well."""
+    monkeypatch.setattr(lm, "DIRECT", direct)
+    c, p, d, s, n = np.array([3, 9, 1, 5]), np.array([0.2, 0.05, 0.5, 0.25]), 0.6, 1.5, 1500
+    log_s = lm._stirling(d, 64)
+    weight = {}
+    for t in itertools.product(*(range(1, x + 1) for x in c)):
+        seats = sum(math.log(s + d * i) for i in range(1, sum(t)))
+        weight[t] = math.exp(seats + sum(k * math.log(q) + log_s[x, k] for k, q, x in zip(t, p, c, strict=True)))
+    total = sum(weight.values())
+    # n restaurants alike, in one call: dish by dish and jointly
+    got = lm.gibbs(np.tile(c, n), np.tile(p, n), np.repeat(np.arange(n), 4), n, d, s, np.random.default_rng(3), burn_in=30, samples=20)
+    t = np.concatenate([x.reshape(n, 4) for x in got])
+    keys = np.array(list(weight))
+    w = np.array(list(weight.values())) / total
+    assert np.allclose(t.mean(axis=0), w @ keys, rtol=0.03)
+    assert np.allclose(np.cov(t.T), np.cov(keys.T, aweights=w, ddof=0), atol=0.06)
+
+
+def test_stirling_numbers_and_normalisers():
+    """Numbers against all seatings of four customers; normalisers of a seating recomputed from its openings."""
+    d, s = 0.3, lm._stirling(0.3, 64)
+    w = Counter()
+    for opens in itertools.product([0, 1], repeat=3):
+        t, x = 1, 1.0
+        for i, o in enumerate(opens, 1):
+            x *= 1 if o else i - d * t
+            t += o
+        w[t] += x
+    assert np.allclose(np.exp(s[4, 1:5]), [w[t] for t in range(1, 5)])
+    c, new, opened = np.array([50_000, 700, 90]), np.array([3.0, 40.0, 1e-3]), []
+    t, z = lm.seat(c, np.ones(3), np.zeros(3), 0.75, new, np.random.default_rng(1), step=0.0, opened=opened)
+    opened = tuple(np.concatenate(x) for x in zip(*opened, strict=True))
+    assert (np.bincount(opened[0], minlength=3) + 1 == t).all()
+    assert np.allclose(lm._normalisers(opened, c, new, 0.75), z)
+
+
 def test_words_that_share_half_a_hash():
     from weft.llm.words import distinct
 
