@@ -50,3 +50,42 @@ def test_pipeline_keeps_what_its_stages_decide(spark):
     copies = mixing.mixing_report(steps[3]).selectExpr("doc_id", "explode(shards) as s")
     assert ids(steps[4]) == ids(copies)
     assert ids(docs.where("piece = 0")) == ids(steps[4])
+
+
+ODD = "doc_id long, text string, lang string, source string, n_chars int, score double, kept boolean, size long, piece int, length long, sequence_id long"
+
+
+@pytest.mark.parametrize("odd", [False, True])
+def test_pipeline_of_odd_tables(spark, tmp_path, odd):
+    """Empty tables give no rows; null ids and texts, repeated rows and clashing columns go through every stage."""
+    import corpus_pipeline
+    from weft.llm.common import new_dir, staged
+
+    words = " ".join(f"w{i}" for i in range(6000))
+    texts = [(None, None), (None, "alone without an id"), (1, ""), (2, None), (3, words), (4, words + " last"), (5, "twice the same row"), (5, "twice the same row"), (6, "é" * 9000)]
+    rows = [(i, t, None, None if k % 3 else "hot", None, 0.0, False, -1, 7, -1, 3) for k, (i, t) in enumerate(texts)] if odd else []
+    sf = str(tmp_path)
+    spark.createDataFrame(rows, ODD).write.parquet(f"{sf}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{sf}/labels.parquet")
+    docs, base, kept = spark.read.parquet(f"{sf}/documents.parquet"), new_dir(spark, "test"), []
+    for i, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        columns = docs.columns
+        docs = staged(stage(spark, docs, sf), f"{base}/{i}")
+        assert i == 4 or docs.columns == columns
+        kept.append(docs)
+    if not odd:
+        assert all(d.isEmpty() for d in kept)
+        return
+    body = lambda d: sorted(r[0] or "" for r in d.select("text").collect())
+    assert kept[0].count() == len(rows)  # without labels every score is 0.5, which rejects nothing
+    assert body(kept[1]) == sorted({t or "" for _, t in texts})  # one row of each text
+    assert body(kept[2]) == sorted({t or "" for _, t in texts} - {words + " last"})  # documents 3 and 4 are one component
+    assert set(body(kept[3])) <= set(body(kept[2]))
+    pieces = kept[4].collect()
+    assert sum(r.piece == 0 for r in pieces) == kept[3].count() and all(0 < r.length <= 4096 for r in pieces)
+    places = {}
+    for r in pieces:
+        places.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for own in places.values():
+        own.sort()
+        assert [o for o, _ in own] == [sum(n for _, n in own[:k]) for k in range(len(own))] and sum(n for _, n in own) <= 4096
