@@ -47,7 +47,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each result is written to the shared folder and read again."""
+    """All stages over documents; each result is written to the shared folder and read again.
+
+    An empty table gives no rows. Null texts are empty and equal to empty ones; rows without an id are documents of their own.
+    Of repeated rows one stays. Without usable labels nothing is rejected. Further columns, whatever their names, are kept up
+    to the last stage, which returns pieces.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     base = new_dir(spark, "pipeline")
     for i, (_, stage) in enumerate(STAGES):
