@@ -272,9 +272,10 @@ def index_paths(events: DataFrame) -> DataFrame:
     return latest(events, "path").select("path", "file_id")
 
 
-def path_deletes(events: DataFrame) -> DataFrame:
-    """path, seq, found: whether each delete met its path."""
-    before = F.lag("op").over(Window.partitionBy("path").orderBy("seq"))
+def path_deletes(events: DataFrame, *then: str) -> DataFrame:
+    """path, seq, found: whether each delete met its path. Events of a path are in order of seq, then of the other columns;
+    without these the order of equal seq is open."""
+    before = F.lag("op").over(Window.partitionBy("path").orderBy("seq", *then))
     return events.withColumn("found", F.coalesce(before == "put", F.lit(False))).where("op = 'delete'").select("path", "seq", "found")
 
 

@@ -211,9 +211,9 @@ def admit_writes(t):
 _PATH_EVENTS = "pe AS (SELECT 'p/' || l_partkey AS path, l_orderkey * 8 + l_linenumber AS seq, CASE WHEN l_suppkey % 5 = 0 THEN 'delete' ELSE 'put' END AS op, l_suppkey + 1 AS file_id FROM lineitem)"
 
 
-def path_events(t):
+def path_events(t, *more):
     op = F.when(F.col("l_suppkey") % 5 == 0, "delete").otherwise("put")
-    return t.raw("lineitem").select(F.concat(F.lit("p/"), F.col("l_partkey").cast("string")).alias("path"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("seq"), op.alias("op"), (F.col("l_suppkey") + 1).alias("file_id"))
+    return t.raw("lineitem").select(F.concat(F.lit("p/"), F.col("l_partkey").cast("string")).alias("path"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("seq"), op.alias("op"), (F.col("l_suppkey") + 1).alias("file_id"), *more)
 
 
 @query(f"WITH {_PATH_EVENTS}, l AS (SELECT path, arg_max(op, seq) AS op, arg_max(file_id, seq) AS file_id FROM pe GROUP BY 1) SELECT path, file_id FROM l WHERE op = 'put'")
@@ -223,7 +223,9 @@ def path_index_upsert(t):
 
 @query(f"WITH {_PATH_EVENTS}, l AS (SELECT *, coalesce(lag(op) OVER (PARTITION BY path ORDER BY seq) = 'put', false) AS found FROM pe) SELECT path, seq, found FROM l WHERE op = 'delete'")
 def path_index_delete(t):
-    return store.path_deletes(path_events(t))
+    """Events of a path with equal seq, which the SQL's order leaves open, are in order of the table's files and their rows."""
+    place = F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")
+    return store.path_deletes(path_events(t, *place), "file", "row")
 
 
 @query(f"WITH {_CUT}, old AS (SELECT DISTINCT old_id, regexp_replace(path, '/[12]$', '') AS path FROM parts) SELECT file_id AS id, path, 'ACTIVE' AS status, (SELECT count(*) FROM new n WHERE n.old_id = new.old_id) AS n_edges FROM new UNION ALL SELECT old_id, path, 'REDIRECT', 2 FROM old")
