@@ -3,6 +3,8 @@
 import hashlib
 import random
 import re
+import subprocess
+import sys
 from collections import defaultdict
 
 import pytest
@@ -166,3 +168,61 @@ def test_filters_are_sized_from_the_input(spark, tmp_path):
     stored = spark.read.parquet(str(tmp_path / "d"))
     assert line_dedup.filter_bits_for(stored) == line_dedup.FEWEST_BITS
     assert sum(r.n_dropped for r in line_dedup.line_dedup(stored).collect()) == 49
+
+
+def test_cutting_words_takes_little_more_than_the_text():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from weft.llm import words
+
+    texts = pa.array(["internationalisation of documentation\t" * 100] * 1000, pa.large_string())
+    size = texts.nbytes
+    tracemalloc.start()
+    words._words(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 8 * size  # 20 times when each byte had an index
+
+
+def test_workers_get_few_texts_at_once_and_give_memory_back(spark, tmp_path):
+    import pyarrow as pa
+
+    from weft.llm import common
+
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    own = spark.conf.get(key)
+
+    def count(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int64())], names=["n"])
+
+    rows = spark.range(0, 5500, 1, 1).mapInArrow(common.lean(count), "n long")
+    with common.small_batches(spark):
+        got = [r.n for r in common.staged(rows, str(tmp_path / "n")).collect()]
+    assert sum(got) == 5500 and max(got) <= common.TEXTS and spark.conf.get(key) == own
+
+    code = """
+import re
+
+import pyarrow as pa
+from weft.llm import common
+
+def used():
+    return sum(map(int, re.findall(r"Pss_Anon:\\s+(\\d+)", open("/proc/self/smaps_rollup").read()))) >> 10
+
+def fill(batches):
+    for b in batches:
+        kept = [[str(i) + "x" * 100 for i in range(1000)] for _ in range(600)]
+        last = kept[-1][-1]
+        del kept
+        yield b
+
+given = [pa.RecordBatch.from_arrays([pa.array([i])], names=["i"]) for i in range(3)]
+before = used()
+assert len(list(common.lean(fill)(iter(given)))) == 3
+print(used() - before)
+"""
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True)
+    assert out.returncode == 0 and int(out.stdout) < 20, out.stdout + out.stderr

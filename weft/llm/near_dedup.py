@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import new_dir, staged, without
+from .common import lean, new_dir, small_batches, staged, without
 
 SHINGLE, THRESHOLD = 5, 80
 HASHES, BANDS, ROWS = 128, 24, 4
@@ -88,7 +88,7 @@ def fingerprints(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFra
 
     own = F.col(id_col).cast("long")
     rows = docs.select(F.coalesce(own, F.lit(NO_ID)).alias("doc_id"), F.col(text_col).cast("string").alias("text"), own.isNull().alias("no_id"))
-    return rows.mapInArrow(make, "doc_id long, no_id boolean, n_shingles long, set_key binary, sig binary")
+    return rows.mapInArrow(lean(make), "doc_id long, no_id boolean, n_shingles long, set_key binary, sig binary")
 
 
 def _band_keys(reps: DataFrame) -> DataFrame:
@@ -104,7 +104,7 @@ def _band_keys(reps: DataFrame) -> DataFrame:
                 key = mixed(key + sig[:, :, r])
             yield pa.RecordBatch.from_arrays([pa.array(key.reshape(-1).view(np.int64)), pa.array(np.repeat(np.asarray(b.column(0)), BANDS))], names=["key", "node"])
 
-    return reps.select("node", "sig").mapInArrow(make, "key long, node long")
+    return reps.select("node", "sig").mapInArrow(lean(make), "key long, node long")
 
 
 def _close(x: np.ndarray, y: np.ndarray, least: list[int]) -> np.ndarray:
@@ -131,7 +131,7 @@ def _screen(pairs: DataFrame, cand: DataFrame, least: list[int]) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(_close(x, y, least) >= 0))
 
     left, right = cand.select(F.col("node").alias("a"), F.col("sig").alias("sa")), cand.select(F.col("node").alias("b"), F.col("sig").alias("sb"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(test, "a long, b long")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(lean(test), "a long, b long")
 
 
 def _verify(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
@@ -145,7 +145,7 @@ def _verify(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(linked, pa.bool_())], names=["a", "b", "linked"])
 
     left, right = sets.select(F.col("node").alias("a"), F.col("set").alias("sa")), sets.select(F.col("node").alias("b"), F.col("set").alias("sb"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(test, "a long, b long, linked boolean")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(lean(test), "a long, b long, linked boolean")
 
 
 def contract(labels: DataFrame, links: DataFrame, path: str) -> DataFrame:
@@ -229,7 +229,7 @@ def _compare_blocks(rows: DataFrame, least: list[int], threshold: int) -> DataFr
 
     names = ["key", "i", "j", "side", "node", "label", "sig", "set"]
     dealt = rows.select(*names).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "side")
-    return dealt.mapInArrow(run, "a long, b long")
+    return dealt.mapInArrow(lean(run), "a long, b long")
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, shingle: int = SHINGLE, threshold: int = THRESHOLD, miss: float = MISS, block: int = BLOCK) -> DataFrame:
@@ -242,7 +242,8 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     spark = docs.sparkSession
     base = new_dir(spark, "near")
     least = least_matches(threshold, miss)
-    prints = staged(fingerprints(docs, id_col, text_col, shingle), f"{base}/prints")
+    with small_batches(spark):
+        prints = staged(fingerprints(docs, id_col, text_col, shingle), f"{base}/prints")
     classes = staged(prints.where("n_shingles > 0").groupBy("set_key").agg(F.min("doc_id").alias("node"), F.count("*").alias("n"), F.first("sig").alias("sig")), f"{base}/classes")
     keys = staged(_band_keys(classes), f"{base}/keys")
     marks = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("pivot"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y")).where("n > 1")
@@ -261,10 +262,12 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             sets = [s.tobytes() for _, s in _sets(b.column(1), shingle)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.binary())], names=["node", "set"])
 
-    sets = staged(may.mapInArrow(make_sets, "node long, set binary").join(cand.select("node"), "node", "left_semi"), f"{base}/sets")
+    with small_batches(spark):
+        sets = staged(may.mapInArrow(lean(make_sets), "node long, set binary").join(cand.select("node"), "node", "left_semi"), f"{base}/sets")
     labels = cand.select("node", F.col("node").alias("label"))
     pairs = buckets.where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
-    tested = staged(_verify(_screen(pairs, cand, least), sets, threshold), f"{base}/star")
+    with small_batches(spark):
+        tested = staged(_verify(_screen(pairs, cand, least), sets, threshold), f"{base}/star")
     labels = contract(labels, tested.where("linked"), f"{base}/star-labels")
 
     # What a bucket still holds of different components, in blocks.
@@ -274,7 +277,8 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = rest.select("key", "node", "label").join(mixed_keys, "key").join(cand.join(sets, "node"), "node").withColumn("nb", blocks).withColumn("own", F.pmod(F.xxhash64("node"), F.col("nb")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
     rows = rows.select("key", "node", "label", "sig", "set", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("side"))
-    links = staged(_compare_blocks(rows, least, threshold), f"{base}/links")
+    with small_batches(spark):
+        links = staged(_compare_blocks(rows, least, threshold), f"{base}/links")
     labels = contract(labels, links, f"{base}/labels")
 
     told = classes.join(labels, "node", "left").select("set_key", F.coalesce("label", "node").alias("label"), "n", "node")

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import new_dir, staged, text_or_empty
+from .common import lean, new_dir, small_batches, staged, text_or_empty
 
 CAPACITY = 4096
 END_ID = 1
@@ -212,29 +212,30 @@ def token_pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
         from .tokens import encoder
 
         enc = encoder(tokenizer)
+        kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+        names = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"]
         for b in batches:
-            ids, at = enc.encode(b.column(1))
-            cols: list = [[], [], [], [], [], []]
-            for i, doc_id in enumerate(b.column(0).to_pylist()):
-                raw = np.append(ids[at[i] : at[i + 1]], np.uint32(end_id)).astype("<u4").tobytes()
-                for p in range(0, -(-len(raw) // (4 * capacity))):
-                    part = raw[4 * capacity * p : 4 * capacity * (p + 1)]
-                    for col, x in zip(cols, (doc_id, p, p * capacity, len(part) // 4, zlib.crc32(part), part if with_ids else None), strict=True):
-                        col.append(x)
-            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
-            arrays = [pa.array(c, t) for c, t in zip(cols, kinds, strict=True)]
-            names = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"]
-            yield pa.RecordBatch.from_arrays(arrays[: 5 + with_ids], names=names[: 5 + with_ids])
+            for first, ids, at in enc.parts(b.column(1)):
+                cols: list = [[], [], [], [], [], []]
+                for i, doc_id in enumerate(b.column(0).slice(first, len(at) - 1).to_pylist()):
+                    raw = np.append(ids[at[i] : at[i + 1]], np.uint32(end_id)).astype("<u4").tobytes()
+                    for p in range(0, -(-len(raw) // (4 * capacity))):
+                        part = raw[4 * capacity * p : 4 * capacity * (p + 1)]
+                        for col, x in zip(cols, (doc_id, p, p * capacity, len(part) // 4, zlib.crc32(part), part if with_ids else None), strict=True):
+                            col.append(x)
+                arrays = [pa.array(c, t) for c, t in zip(cols, kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays(arrays[: 5 + with_ids], names=names[: 5 + with_ids])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
-    return rows.mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids)
+    return rows.mapInArrow(lean(cut), "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids)
 
 
 def pack(docs: DataFrame, tokenizer: str, *, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False, rounds: int = ROUNDS, **cols) -> DataFrame:
     """Pieces with sequence_id and offset. Null and empty texts are their end id; null ids are kept; repeated rows are packed each."""
     spark = docs.sparkSession
     base = new_dir(spark, "pack")
-    pieces = staged(token_pieces(docs, tokenizer, capacity=capacity, end_id=end_id, with_ids=with_ids, **cols), f"{base}/pieces")
+    with small_batches(spark):
+        pieces = staged(token_pieces(docs, tokenizer, capacity=capacity, end_id=end_id, with_ids=with_ids, **cols), f"{base}/pieces")
     counted = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}  # at most `capacity` rows
     plan = solve(counted, capacity, rounds)
     sent = spark.sparkContext.broadcast(places(plan))
@@ -257,7 +258,7 @@ def pack(docs: DataFrame, tokenizer: str, *, capacity: int = CAPACITY, end_id: i
             yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(c)) for c in names), pa.array(t["first"][at] + k // each), pa.array(t["offset"][at] + (k % each) * n)], names=[*names, "sequence_id", "offset"])
 
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pieces.schema.fields)
-    return ranked.select(*names, "rank").mapInArrow(place, f"{kinds}, sequence_id long, offset long")
+    return ranked.select(*names, "rank").mapInArrow(lean(place), f"{kinds}, sequence_id long, offset long")
 
 
 def _running(per: DataFrame, base: str) -> DataFrame:

@@ -18,6 +18,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import TEXTS, lean
+
 PIECE = 512
 DICT_BYTES = 256 << 10
 #: Labelled rows of a class that the fit uses at most, and the bytes of text after which no further row is brought to the driver.
@@ -140,10 +142,14 @@ def score_column(docs: DataFrame, model: Model, text_col: str = "text") -> Colum
     sent = docs.sparkSession.sparkContext.broadcast(model)  # two dictionaries of at most DICT_BYTES
 
     @F.pandas_udf("double")
+    @lean
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         of = sent.value.scorer()  # dictionaries are built once a task
         for texts in batches:
-            yield pd.Series(of([(t or "").encode("utf-8", "replace") for t in texts]), dtype="float64")
+            out = np.empty(len(texts))
+            for i in range(0, len(texts), TEXTS):
+                out[i : i + TEXTS] = of([(t or "").encode("utf-8", "replace") for t in texts.iloc[i : i + TEXTS]])
+            yield pd.Series(out)
 
     return score(F.col(text_col).cast("string"))
 
