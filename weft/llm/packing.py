@@ -211,7 +211,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
     def cut(batches):
         from .tokens import encoder
 
-        enc = encoder(tokenizer)
+        enc = encoder(tokenizer, lean=True)
         kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
         names = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"]
         for b in batches:
