@@ -30,8 +30,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token pieces and their places in sequences."""
-    return packing.pack(docs, vocabulary("word_bpe_49k.json"))
+    """Token pieces and their places in sequences, in little memory, as the executors hold that of the stages before too."""
+    return packing.pack(docs, vocabulary("word_bpe_49k.json"), small=True)
 
 
 STAGES = [

@@ -15,6 +15,7 @@ those of their length by counts of salted groups, so one length that a third of
 from __future__ import annotations
 
 import bisect
+import contextlib
 import zlib
 from collections import Counter, defaultdict
 
@@ -205,13 +206,13 @@ def places(plan: list[tuple[tuple[int, ...], int]]) -> dict[str, np.ndarray]:
     return {"key": (table[:, 0] << 44) | table[:, 1], "start": table[:, 1], "each": table[:, 2], "first": table[:, 3], "offset": table[:, 4]}
 
 
-def token_pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", *, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
+def token_pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", *, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False, small: bool = False) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 (and ids, if asked for): documents with their end id, cut where longer than capacity."""
 
     def cut(batches):
         from .tokens import encoder
 
-        enc = encoder(tokenizer, lean=True)
+        enc = encoder(tokenizer, small)
         kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
         names = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"]
         for b in batches:
@@ -230,12 +231,13 @@ def token_pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
     return rows.mapInArrow(lean(cut), "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids)
 
 
-def pack(docs: DataFrame, tokenizer: str, *, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False, rounds: int = ROUNDS, **cols) -> DataFrame:
-    """Pieces with sequence_id and offset. Null and empty texts are their end id; null ids are kept; repeated rows are packed each."""
+def pack(docs: DataFrame, tokenizer: str, *, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False, rounds: int = ROUNDS, small: bool = False, **cols) -> DataFrame:
+    """Pieces with sequence_id and offset. Null and empty texts are their end id; null ids are kept; repeated rows are packed each.
+    small: encode in less memory and more time, with the same result."""
     spark = docs.sparkSession
     base = new_dir(spark, "pack")
-    with small_batches(spark):
-        pieces = staged(token_pieces(docs, tokenizer, capacity=capacity, end_id=end_id, with_ids=with_ids, **cols), f"{base}/pieces")
+    with small_batches(spark) if small else contextlib.nullcontext():
+        pieces = staged(token_pieces(docs, tokenizer, small=small, capacity=capacity, end_id=end_id, with_ids=with_ids, **cols), f"{base}/pieces")
     counted = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}  # at most `capacity` rows
     plan = solve(counted, capacity, rounds)
     sent = spark.sparkContext.broadcast(places(plan))
