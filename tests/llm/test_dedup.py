@@ -48,6 +48,22 @@ def test_exact_repeated_rows_null_ids_and_empty_table(spark):
     assert exact_dedup.exact_dedup(df.limit(0)).count() == 0
 
 
+def test_exact_runs_share_files(spark, tmp_path):
+    rows = spark.range(400, numPartitions=8).selectExpr("id AS doc_id", "cast(sha2(cast(id % 300 AS string), 256) AS binary) AS key", "monotonically_increasing_id() AS uid")
+    digests = rows.selectExpr("*", "struct(doc_id IS NULL AS last, doc_id, uid) AS who")
+    got = exact_dedup.flush(digests, str(tmp_path / "level0"))
+    files = defaultdict(list)
+    for r in got.selectExpr("input_file_name() AS f", "_metadata.row_index AS at", "*").orderBy("f", "at").collect():
+        files[r.f].append((r.run, bytes(r.key)))
+    assert all(x == sorted(x) for x in files.values())
+    assert max(len({run for run, _ in x}) for x in files.values()) == exact_dedup.RUNS
+    wanted = {(r.uid >> 33) % exact_dedup.RUNS: set() for r in digests.collect()}
+    for r in digests.collect():
+        wanted[(r.uid >> 33) % exact_dedup.RUNS].add(bytes(r.key))
+    assert sorted(y for x in files.values() for y in x) == sorted((run, k) for run, keys in wanted.items() for k in keys)
+    assert got.agg({"n": "sum"}).first()[0] == 400
+
+
 def lines_wanted(rows, least=20, docs=3):
     key = lambda x: x.strip(b" \t\n\x0b\x0c\r").lower()
     held = defaultdict(set)

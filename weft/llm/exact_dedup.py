@@ -38,12 +38,16 @@ def _bit(key: Column) -> Column:
 
 
 def flush(digests: DataFrame, path: str, runs: int = RUNS) -> DataFrame:
-    """Memtables to sorted runs (run, key, least, n), one folder a run, each with filters of Parquet on the key."""
+    """Memtables to sorted runs (run, key, least, n), with filters of Parquet on the key.
+
+    Each partition writes one file, in which the stretch of each run is sorted. A folder for each run would hold as many small
+    files as partitions times runs, and where Hadoop has no native library executors start a process for each file.
+    """
     run = F.pmod(F.shiftrightunsigned(F.col("uid"), 33), F.lit(runs)).cast("int")
     table = digests.groupBy(run.alias("run"), "key").agg(F.min("who").alias("least"), F.count("*").alias("n"))
-    sorted_run = table.sortWithinPartitions("run", "key")
-    (sorted_run.write.mode("overwrite").partitionBy("run").option("parquet.bloom.filter.enabled#key", "true").option("parquet.bloom.filter.adaptive.enabled", "true").option("parquet.bloom.filter.max.bytes", "65536").parquet(path))
-    return digests.sparkSession.read.schema(table.select("key", "least", "n", "run").schema).parquet(path)
+    sorted_runs = table.sortWithinPartitions("run", "key")
+    (sorted_runs.write.mode("overwrite").option("parquet.bloom.filter.enabled#key", "true").option("parquet.bloom.filter.adaptive.enabled", "true").option("parquet.bloom.filter.max.bytes", "65536").parquet(path))
+    return digests.sparkSession.read.schema(table.schema).parquet(path)
 
 
 def filters(runs_table: DataFrame, runs: int = RUNS) -> DataFrame:
