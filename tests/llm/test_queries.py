@@ -14,11 +14,11 @@ def test_names():
     import corpus_pipeline
 
     names = [n for n in entry.queries() if n.startswith("op")]
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14))
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality classifier", "exact dedup", "minhash near-dedup", "mixing sources", "best-fit packing"]
 
 
-@pytest.mark.parametrize("name", ["op1_exact_dedup", "op2_line_dedup"])
+@pytest.mark.parametrize("name", ["op1_exact_dedup", "op2_line_dedup", "op12_filter_audit", "op13_phrases"])
 def test_same_as_duckdb(spark, name):
     from weft.llm import queries
 

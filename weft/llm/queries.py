@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, exact_dedup, line_dedup, lm, mixing, near_dedup, packing, quality, token_store, warc
+from . import ann, exact_dedup, filter_audit, line_dedup, lm, mixing, near_dedup, order_minhash, packing, phrases, quality, token_store, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,7 +58,19 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_and_read(_table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_line_dedup, op3_token_store, op4_mixing, op5_quality, op6_ann, op7_near_dedup, op8_packing, op9_language_model, op10_warc)}
+def op11_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return order_minhash.fingerprints(_table(spark, sf_dir, "documents"))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.filter_audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_line_dedup, op3_token_store, op4_mixing, op5_quality, op6_ann, op7_near_dedup, op8_packing, op9_language_model, op10_warc, op11_order_minhash, op12_filter_audit, op13_phrases)}
 
 _SPACES = r"[\x20\x09-\x0D]+"
 
@@ -75,4 +87,36 @@ ORACLE_SQL = {
         j AS (SELECT l.doc_id, l.pos, l.line, r.k IS NOT NULL AND r.keep_id <> l.doc_id AS gone FROM l LEFT JOIN r ON l.k = r.k)
         SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
                sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256 FROM j GROUP BY doc_id""",
+    "op12_filter_audit": r"""
+        WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        l AS (SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels GROUP BY doc_id),
+        m AS (SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+                (len(w) < 100)::INT + 2 * (100 * len(list_distinct(w)) < 80 * len(w))::INT + 4 * (100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 10 * length(t))::INT
+                + 8 * regexp_matches(t, '[#$%&*|]')::INT + 16 * coalesce(doc_id > min(doc_id) OVER (PARTITION BY t), false)::INT AS mask
+            FROM d LEFT JOIN l USING (doc_id)),
+        c AS (SELECT part, mask, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM m GROUP BY part, mask),
+        f AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+        o AS (SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM f a, f b, f c, f d, f e WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+        s AS (SELECT filter_order, step::INT AS step, 1 << (ascii(substr(filter_order, step, 1)) - 65) AS bit,
+                coalesce(list_sum([1 << (ascii(y) - 65) FOR y IN string_split(filter_order[1:step - 1], '') IF y <> '']), 0)::INT AS earlier FROM o, (SELECT unnest(range(1, 6)) AS step)),
+        r AS (SELECT part, filter_order, step, bit, coalesce(sum(n) FILTER (mask & bit = 0 AND mask & earlier = 0), 0)::BIGINT AS kept, coalesce(sum(n) FILTER (mask & bit > 0 AND mask & earlier = 0), 0)::BIGINT AS removed,
+                coalesce(sum(n) FILTER (mask & bit > 0 AND mask & earlier > 0), 0)::BIGINT AS redundant, coalesce(sum(n) FILTER (mask = bit), 0)::BIGINT AS unique_fails,
+                coalesce(sum(good) FILTER (mask & bit > 0 AND mask & earlier = 0), 0)::BIGINT AS good_lost, coalesce(sum(toxic) FILTER (mask & bit > 0 AND mask & earlier = 0), 0)::BIGINT AS toxic_lost
+            FROM c, s GROUP BY part, filter_order, step, bit)
+        SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, (sum(removed) OVER (PARTITION BY part, bit))::BIGINT AS shapley FROM r""",
+    "op13_phrases": r"""
+        WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+        w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM p),
+        g AS (SELECT lang, k, unnest([array_to_string(ws[i:i + k - 1], ' ') FOR i IN range(1, len(ws) - k + 2)]) AS phrase FROM w, (SELECT unnest(range(1, 5)) AS k) WHERE len(ws) >= k),
+        c AS (SELECT lang, k, phrase, count(*) AS f FROM g GROUP BY lang, k, phrase),
+        t AS (SELECT lang, sum(f)::BIGINT AS n FROM c WHERE k = 1 GROUP BY lang),
+        q AS (SELECT * FROM c WHERE f >= 30),
+        cand AS (SELECT lang, k AS m, phrase, f AS a, string_split(phrase, ' ') AS ws FROM q WHERE k > 1),
+        cuts AS (SELECT lang, phrase, a, k, array_to_string(ws[1:k], ' ') AS x, array_to_string(ws[k + 1:], ' ') AS y FROM (SELECT *, unnest(range(1, m)) AS k FROM cand)),
+        scored AS (SELECT cuts.lang, cuts.phrase, a, l.f AS l, r.f AS r, (2000000 * a::HUGEINT // (l.f + r.f))::BIGINT AS score FROM cuts JOIN q l ON l.lang = cuts.lang AND l.phrase = x JOIN q r ON r.lang = cuts.lang AND r.phrase = y
+            QUALIFY row_number() OVER (PARTITION BY cuts.lang, cuts.phrase ORDER BY score, cuts.k) = 1),
+        spans AS (SELECT lang, a, array_to_string(ws[i:j], ' ') AS phrase FROM cand, (SELECT unnest(range(1, 4)) AS i), (SELECT unnest(range(2, 5)) AS j) WHERE j > i AND j <= m AND j - i + 1 < m),
+        cover AS (SELECT lang, phrase, max(a) AS cover FROM spans GROUP BY lang, phrase)
+        SELECT s.lang, row_number() OVER (PARTITION BY s.lang ORDER BY score DESC, a DESC, s.phrase) AS rank, s.phrase, a, l, r, n, score
+        FROM scored s LEFT JOIN cover v ON v.lang = s.lang AND v.phrase = s.phrase JOIN t ON t.lang = s.lang WHERE cover IS NULL OR 100 * cover < 80 * a QUALIFY rank <= 2000""",
 }
