@@ -47,22 +47,6 @@ def test_every_document_has_a_shortlist(spark):
     test_same_as_duckdb(spark, "bm25_shortlist_documents")
 
 
-def test_path_deletes_with_equal_seq_are_in_order_of_files_and_rows(spark, tmp_path):
-    import __spark_entry__ as entry
-
-    con = duckdb.connect()
-    con.execute("SET threads = 1")
-    (tmp_path / "lineitem.parquet").mkdir()
-    keys = "7::BIGINT AS l_partkey, 9::BIGINT AS l_orderkey, 3::INT AS l_linenumber"
-    con.execute(f"COPY (SELECT {keys}, 1::BIGINT AS l_suppkey) TO '{tmp_path}/lineitem.parquet/a.parquet'")
-    more = "SELECT 100 + i // 9, i // 3, (i % 3)::INT, i * 7 FROM range(20000) r(i)"  # Spark reads the larger file first
-    con.execute(f"COPY (SELECT {keys}, 5::BIGINT AS l_suppkey UNION ALL {more}) TO '{tmp_path}/lineitem.parquet/b.parquet'")
-    con.execute(f"CREATE VIEW lineitem AS SELECT * FROM read_parquet(['{tmp_path}/lineitem.parquet/a.parquet', '{tmp_path}/lineitem.parquet/b.parquet'])")
-    ours = entry.QUERIES["path_index_delete"](spark, str(tmp_path)).select("path", "seq", "found").collect()
-    assert [tuple(r) for r in ours if r.path == "p/7"] == [("p/7", 75, True)]
-    assert sorted(map(tuple, ours)) == sorted(con.execute(entry.ORACLES["path_index_delete"]).fetchall())
-
-
 def test_every_query_has_a_name_and_sql():
     import __spark_entry__ as entry
 

@@ -58,7 +58,7 @@ def test_mail_keys(spark):
     assert one(spark, T.thread_key(F.lit(None), F.lit(None), F.lit("Re: X"))) == "subject:x"
 
 
-@pytest.mark.parametrize("text,want", [("3, 1, 2", [3, 1, 2]), ("2, 2, 1, 3", [2, 1, 3]), ("5, 2, 1, 0", [2, 1, 3]), ("3, 1", [3, 1, 2]), ("none", [1, 2, 3])])
+@pytest.mark.parametrize("text,want", [("3, 1, 2", [3, 1, 2]), ("2, 2, 1, 3", [2, 1, 3]), ("5, 2, 1, 0", [2, 1, 3]), ("3, 1", [3, 1, 2]), ("none", [1, 2, 3]), ("10000000001, 3", [3, 1, 2])])
 def test_rerank(spark, text, want):
     assert one(spark, T.rerank_order(F.lit(text), F.lit(3))) == want
 

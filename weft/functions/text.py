@@ -172,7 +172,7 @@ def heuristic_entities(text: Column) -> Column:
 
 def rerank_order(response: Column, n: Column) -> Column:
     """A permutation of 1..n: numbers of the response in range, first-seen, then those missing."""
-    found = F.transform(F.regexp_extract_all(response, F.lit("(\\d{1,9})"), 1), lambda x: x.cast("int"))
+    found = F.transform(F.regexp_extract_all(response, F.lit("(\\d+)"), 1), lambda x: x.try_cast("int"))  # a number too large is out of range
     fitting = F.filter(found, lambda x: (x >= 1) & (x <= n))
     every = F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
     return F.array_distinct(F.concat(fitting, every))

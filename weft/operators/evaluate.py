@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from .number import numbered
+from .scan import scan
 
 FREE = "ollama"
 #: Fixed values of the chunk grid: words of a chunk, and shares of them that overlap.
@@ -129,11 +130,21 @@ def token_cost(calls: DataFrame, rates: DataFrame) -> DataFrame:
     return x.withColumn("cost_usd", F.when(free, 0.0).otherwise(F.coalesce(price, F.raise_error(F.lit("no rate")).cast("double")))).drop("rp", "rm", "prompt_rate", "completion_rate")
 
 
-def running_cap(calls: DataFrame, cap: float, by: str = "arm", order: str = "seq") -> DataFrame:
-    """spent_before and refused: once what was spent reaches the cap; the free provider never is."""
-    w = Window.partitionBy(by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    spent = F.coalesce(F.sum("cost_usd").over(w), F.lit(0.0))
-    return calls.withColumn("spent_before", spent).withColumn("refused", (F.lower("provider") != FREE) & (F.col("spent_before") >= cap))
+def running_cap(calls: DataFrame, cap: float, by: str = "arm", order: str = "seq", bound: int | None = None) -> DataFrame:
+    """spent_before and refused: once what was spent reaches the cap, paid calls are refused and add nothing; calls of the free
+    provider go on and add what they cost. Costs are not negative.
+
+    Up to the first call that meets a reached cap nothing was refused, so that is a plain sum; from there on only the sum of
+    free calls grows. Both are scans inside arms.
+    """
+    free = F.lower("provider") == FREE
+    cost = F.coalesce("cost_usd", F.lit(0))
+    sums = {"__all": (F.sum, cost), "__free": (F.sum, F.when(free, cost).otherwise(F.lit(0)))}
+    x = scan(calls, [by], order, sums, bound=bound).fillna(0, ["__all", "__free"])
+    reached = x.where(F.col("__all") >= cap).groupBy(by).agg(F.min_by(F.struct("__all", "__free"), order).alias("__at"))  # a row an arm
+    spent = F.coalesce(F.when(F.col("__all") >= cap, F.col("__at.__all") + F.col("__free") - F.col("__at.__free")), F.col("__all"))
+    x = x.join(reached, by, "left").withColumn("spent_before", spent).withColumn("refused", ~free & (F.col("spent_before") >= cap))
+    return x.drop("__all", "__free", "__at")
 
 
 def latency_report(samples: DataFrame, by: str = "method") -> DataFrame:

@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from .number import numbered
+from .scan import fold_states, scan
 
 # States of a file, the moves between them, and the most targets of a redirect.
 STATES = ("ACTIVE", "SPLITTING", "SPLIT", "REDIRECT")
@@ -30,10 +28,10 @@ def replay(wal: DataFrame, checkpoint: int = -1, known: tuple = ("put", "delete"
     return latest(checked.where(F.col("seq") > checkpoint))
 
 
-def append_sizes(appends: DataFrame, threshold: int = T.SPLIT_THRESHOLD) -> DataFrame:
-    """file_id, seq, old_size, new_size, crossed for appends (file_id, seq, data), sizes in bytes."""
-    upto = Window.partitionBy("file_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    x = appends.withColumn("n", F.octet_length("data")).withColumn("new_size", F.sum("n").over(upto)).withColumn("old_size", F.col("new_size") - F.col("n"))
+def append_sizes(appends: DataFrame, threshold: int = T.SPLIT_THRESHOLD, bound: int | None = None) -> DataFrame:
+    """file_id, seq, old_size, new_size, crossed for appends (file_id, seq, data), sizes in bytes. A file of more than bound appends is summed in ranges."""
+    x = appends.select("file_id", "seq", F.coalesce(F.octet_length("data"), F.lit(0)).cast("long").alias("n"))
+    x = scan(x, ["file_id"], "seq", {"new_size": (F.sum, F.col("n"))}, upto=True, bound=bound).withColumn("old_size", F.col("new_size") - F.col("n"))
     return x.select("file_id", "seq", "old_size", "new_size", T.crossing(F.col("old_size"), F.col("new_size"), threshold).alias("crossed"))
 
 
@@ -151,10 +149,9 @@ def truncate_log(log: DataFrame, high_water: int) -> DataFrame:
     return log.where(F.col("seq") > high_water)
 
 
-def epoch_pins(events: DataFrame) -> DataFrame:
-    """epoch, n still held, from acquire (+1) and release (-1) events; releasing what is not held is an error."""
-    upto = Window.partitionBy("epoch").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    x = events.withColumn("held", F.sum("delta").over(upto))
+def epoch_pins(events: DataFrame, bound: int | None = None) -> DataFrame:
+    """epoch, n still held, from acquire (+1) and release (-1) events (epoch, seq, delta); releasing what is not held is an error."""
+    x = scan(events.select("epoch", "seq", "delta"), ["epoch"], "seq", {"held": (F.sum, F.col("delta"))}, upto=True, bound=bound)
     good = F.when(F.col("held") >= 0, F.lit(True)).otherwise(F.raise_error(F.lit("released twice")).cast("boolean"))
     return x.where(good).groupBy("epoch").agg(F.sum("delta").alias("n")).where("n > 0")
 
@@ -222,49 +219,71 @@ def admit_writes(writes: DataFrame, catalog: DataFrame) -> DataFrame:
     return x.withColumn("admitted", reason.isNull()).withColumn("reason", F.coalesce(reason, F.lit(""))).drop("__status")
 
 
-def fold(events: DataFrame, key: str, order: str, start: Callable, step: Callable, schema: str) -> DataFrame:
-    """A fold of each key's events in order. start(row) is the state before a key's first event; step(state, row) gives the
-    state after an event and a tuple of results. A key's events stream through its task, which holds the state alone."""
+def compare_and_set(requests: DataFrame, catalog: DataFrame, bound: int | None = None) -> DataFrame:
+    """file_id, seq, swapped, version (after the request): requests (file_id, seq, expected, new_version) in order; one whose
+    expected version is not the current one changes nothing. A file that is not in the catalog is an error.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        at, state = None, None
-        names = [c.split()[0] for c in schema.split(", ")]
-        for b in batches:
-            out = []
-            for row in b.itertuples(index=False):
-                if getattr(row, key) != at:
-                    at, state = getattr(row, key), start(row)
-                state, result = step(state, row)
-                out.append((at, getattr(row, order), *result))
-            yield pd.DataFrame(out, columns=names)
+    A block's map says to which version the expected ones lead. It holds only those that a request before the block can have
+    set (or the catalog's own), as no other can be current when the block begins: in a log whose versions go up these are
+    the few in flight, however many requests a file has.
+    """
+    now = catalog.select("file_id", F.col("version").cast("long").alias("state"))
+    x = checked_ids(requests).select("file_id", "seq", F.col("expected").cast("long").alias("expected"), F.col("new_version").cast("long").alias("new_version"))
+    x = x.join(now, "file_id", "left").where(_or_error(F.col("state").isNotNull(), F.lit("no file "), F.col("file_id")))
+    made = x.groupBy("file_id", F.col("new_version").alias("expected")).agg(F.min("seq").alias("born"))
+    never, always = F.lit((1 << 63) - 1), F.lit(-(1 << 63))
+    x = x.join(made, ["file_id", "expected"], "left").withColumn("born", F.when(F.col("expected") == F.col("state"), always).otherwise(F.coalesce("born", never))).drop("state")
 
-    return events.repartition(key).sortWithinPartitions(key, order).mapInPandas(run, schema)
+    def follow(entries, version):
+        return F.coalesce(F.get(F.filter(entries, lambda y: y["expected"] == version), F.lit(0))["version"], version)
 
+    def joined(first, old, new):
+        known = lambda y: F.exists(old, lambda z: z["expected"] == y["expected"])
+        return F.concat(old, F.filter(new, lambda y: (y["born"] < first) & ~known(y)))
 
-def compare_and_set(requests: DataFrame, catalog: DataFrame) -> DataFrame:
-    """file_id, seq, swapped, version (after the request): requests (file_id, seq, expected, new_version) in order; one whose
-    expected version is not the current one changes nothing. A file that is not in the catalog is an error."""
-    x = checked_ids(requests).join(catalog.select("file_id", F.col("version").alias("now")), "file_id", "left")
-    x = x.where(_or_error(F.col("now").isNotNull(), F.lit("no file "), F.col("file_id")))
+    def moved(entries, to):
+        return F.transform(entries, lambda y: F.struct(y["expected"].alias("expected"), to(y["version"]).alias("version"), y["born"].alias("born")))
 
-    def step(version, row):
-        swapped = row.expected == version
-        version = row.new_version if swapped else version
-        return version, (swapped, version)
+    def as_map(events):
+        first, none = F.element_at(events, 1)["seq"], F.expr("cast(array() as array<struct<expected:bigint,version:bigint,born:bigint>>)")
 
-    return fold(x.select("file_id", "seq", "expected", "new_version", "now"), "file_id", "seq", lambda row: row.now, step, "file_id long, seq long, swapped boolean, version long")
+        def add(m, e):
+            after = moved(m["entries"], lambda v: F.when(v == e["expected"], e["new_version"]).otherwise(v))
+            own = F.array(F.struct(e["expected"].alias("expected"), e["new_version"].alias("version"), e["born"].alias("born")))
+            return F.struct(m["first"].alias("first"), joined(m["first"], after, own).alias("entries"))
 
+        return F.aggregate(events, F.struct(first.alias("first"), none.alias("entries")), add)
 
-def guard_transitions(events: DataFrame) -> DataFrame:
-    """file_id, seq, accepted, status (after the event): a wanted status that may not follow the current one is refused and
-    changes nothing; a file begins ACTIVE. Aborting a split is the move back to ACTIVE."""
+    def compose(f, g):
+        return F.struct(f["first"].alias("first"), joined(f["first"], moved(f["entries"], lambda v: follow(g["entries"], v)), g["entries"]).alias("entries"))
+
+    files = now.join(x.select("file_id").distinct(), "file_id", "left_semi")
+    out = fold_states(x, "file_id", "seq", files, as_map=as_map, compose=compose, apply=lambda m, v: follow(m["entries"], v), step=lambda v, e: F.when(e["expected"] == v, e["new_version"]).otherwise(v), bound=bound)
+    return out.select("file_id", "seq", F.coalesce(F.col("expected") == F.col("before"), F.lit(False)).alias("swapped"), F.col("state").alias("version"))
 
-    def step(status, row):
-        good = (status, row.status) in MOVES
-        status = row.status if good else status
-        return status, (good, status)
 
-    return fold(events.select("file_id", "seq", "status"), "file_id", "seq", lambda row: "ACTIVE", step, "file_id long, seq long, accepted boolean, status string")
+def guard_transitions(events: DataFrame, bound: int | None = None) -> DataFrame:
+    """file_id, seq, accepted, status (after the event): a wanted status that may not follow the current one is refused and
+    changes nothing; a file begins ACTIVE. Aborting a split is the move back to ACTIVE. A block's map has four states."""
+    place = {s: i for i, s in enumerate(STATES)}
+    wanted = F.coalesce(*[F.when(F.col("status") == s, F.lit(i)) for s, i in place.items()], F.lit(-1))
+    moves = F.array(*[F.lit(place[a] * len(STATES) + place[b]) for a, b in sorted(MOVES)])
+    legal = lambda s, w: (w >= 0) & F.array_contains(moves, s * len(STATES) + w)
+    step = lambda s, e: F.when(legal(s, e["wanted"]), e["wanted"]).otherwise(s)
+    x = events.select("file_id", "seq", wanted.alias("wanted"))
+    out = fold_states(
+        x,
+        "file_id",
+        "seq",
+        x.select("file_id", F.lit(place["ACTIVE"]).alias("state")).distinct(),
+        as_map=lambda events: F.aggregate(events, F.array(*[F.lit(i) for i in range(len(STATES))]), lambda m, e: F.transform(m, lambda s: step(s, e))),
+        compose=lambda f, g: F.transform(f, lambda s: F.get(g, s)),
+        apply=F.get,
+        step=step,
+        bound=bound,
+    )
+    names = F.array(*map(F.lit, STATES))
+    return out.select("file_id", "seq", legal(F.col("before"), F.col("wanted")).alias("accepted"), F.element_at(names, F.col("state") + 1).alias("status"))
 
 
 def index_paths(events: DataFrame) -> DataFrame:

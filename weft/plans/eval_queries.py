@@ -196,11 +196,15 @@ def token_pricing(t):
     return evaluate.token_cost(calls, rates).select("event_id", F.round("cost_usd", 6).alias("cost_usd"))
 
 
-@query(f"WITH {_STAGES}, w AS (SELECT *, coalesce(sum(round(cost * 1000000)::BIGINT) OVER (PARTITION BY arm ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM st) SELECT arm, seq, before::BIGINT AS spent_before, provider <> 'ollama' AND before >= 2000000 AS refused FROM w")
+@query(f"""
+    WITH RECURSIVE {_STAGES}, e AS (SELECT arm, seq, provider, round(cost * 1000000)::BIGINT AS cost, row_number() OVER (PARTITION BY arm ORDER BY seq) AS i FROM st),
+    f(arm, i, seq, spent_before, refused, spent) AS (SELECT arm, i, seq, 0::BIGINT, false, cost FROM e WHERE i = 1
+      UNION ALL SELECT e.arm, e.i, e.seq, f.spent, e.provider <> 'ollama' AND f.spent >= 200000, CASE WHEN e.provider <> 'ollama' AND f.spent >= 200000 THEN f.spent ELSE f.spent + e.cost END FROM f JOIN e ON e.arm = f.arm AND e.i = f.i + 1)
+    SELECT arm, seq, spent_before, refused FROM f""")
 def running_cost_cap(t):
     """In whole micro-dollars, so that sums are exact in any order."""
     micro = F.round(F.coalesce("cost_usd", F.lit(0.0)) * 1_000_000).cast("long")
-    x = evaluate.running_cap(t.stages().withColumn("cost_usd", micro), 2_000_000)
+    x = evaluate.running_cap(t.stages().withColumn("cost_usd", micro), 200_000)
     return x.select("arm", "seq", F.col("spent_before").cast("long").alias("spent_before"), "refused")
 
 

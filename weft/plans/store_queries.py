@@ -211,9 +211,9 @@ def admit_writes(t):
 _PATH_EVENTS = "pe AS (SELECT 'p/' || l_partkey AS path, l_orderkey * 8 + l_linenumber AS seq, CASE WHEN l_suppkey % 5 = 0 THEN 'delete' ELSE 'put' END AS op, l_suppkey + 1 AS file_id FROM lineitem)"
 
 
-def path_events(t, *more):
+def path_events(t):
     op = F.when(F.col("l_suppkey") % 5 == 0, "delete").otherwise("put")
-    return t.raw("lineitem").select(F.concat(F.lit("p/"), F.col("l_partkey").cast("string")).alias("path"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("seq"), op.alias("op"), (F.col("l_suppkey") + 1).alias("file_id"), *more)
+    return t.raw("lineitem").select(F.concat(F.lit("p/"), F.col("l_partkey").cast("string")).alias("path"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("seq"), op.alias("op"), (F.col("l_suppkey") + 1).alias("file_id"))
 
 
 @query(f"WITH {_PATH_EVENTS}, l AS (SELECT path, arg_max(op, seq) AS op, arg_max(file_id, seq) AS file_id FROM pe GROUP BY 1) SELECT path, file_id FROM l WHERE op = 'put'")
@@ -221,11 +221,10 @@ def path_index_upsert(t):
     return store.index_paths(path_events(t))
 
 
-@query(f"WITH {_PATH_EVENTS}, l AS (SELECT *, coalesce(lag(op) OVER (PARTITION BY path ORDER BY seq) = 'put', false) AS found FROM pe) SELECT path, seq, found FROM l WHERE op = 'delete'")
+@query(f"WITH {_PATH_EVENTS}, l AS (SELECT *, coalesce(lag(op) OVER (PARTITION BY path ORDER BY seq, op, file_id) = 'put', false) AS found FROM pe) SELECT path, seq, found FROM l WHERE op = 'delete'")
 def path_index_delete(t):
-    """Events of a path with equal seq, which the SQL's order leaves open, are in order of the table's files and their rows."""
-    place = F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")
-    return store.path_deletes(path_events(t, *place), "file", "row")
+    """Events of a path with equal seq go by what they do and then by file, so both sides have one order."""
+    return store.path_deletes(path_events(t), "op", "file_id")
 
 
 @query(f"WITH {_CUT}, old AS (SELECT DISTINCT old_id, regexp_replace(path, '/[12]$', '') AS path FROM parts) SELECT file_id AS id, path, 'ACTIVE' AS status, (SELECT count(*) FROM new n WHERE n.old_id = new.old_id) AS n_edges FROM new UNION ALL SELECT old_id, path, 'REDIRECT', 2 FROM old")
@@ -262,6 +261,14 @@ def version_gc(t):
     return store.collectable(versions(t), pins).select("file_id", F.col("version").cast("long").alias("version"))
 
 
+@query("SELECT CASE WHEN l_orderkey % 3 = 0 THEN 0 ELSE l_suppkey + 1 END AS epoch, sum(CASE WHEN l_quantity > 25 THEN 0 ELSE 1 END)::BIGINT AS n FROM lineitem GROUP BY 1 HAVING n > 0")
+def epoch_pins(t):
+    """Each line pins an epoch, and those of more than 25 release it again; epoch 0 has a third of all events."""
+    x = t.raw("lineitem").select(F.when(F.col("l_orderkey") % 3 == 0, F.lit(0)).otherwise(F.col("l_suppkey") + 1).alias("epoch"), ((F.col("l_orderkey") * 8 + F.col("l_linenumber")) * 2).alias("seq"), "l_quantity")
+    pins = x.select("epoch", "seq", F.lit(1).cast("long").alias("delta"))
+    return store.epoch_pins(pins.unionByName(x.where("l_quantity > 25").select("epoch", (F.col("seq") + 1).alias("seq"), F.lit(-1).cast("long").alias("delta"))))
+
+
 def _subjects(t):
     s = F.concat(F.when(F.col("turn") % 3 == 0, "").when(F.col("turn") % 3 == 1, "Re: ").otherwise("FWD:  re : "), F.col("text"))
     reply = F.when(F.col("turn") % 5 == 4, F.concat(F.lit(" <m"), F.col("conv_id").cast("string"), F.lit("> "))).otherwise(" ")
