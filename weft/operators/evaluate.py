@@ -153,6 +153,32 @@ def latency_report(samples: DataFrame, by: str = "method") -> DataFrame:
     return samples.groupBy(by).agg(p(0.5).alias("p50"), p(0.95).alias("p95"), p(0.99).alias("p99"), F.count_if(F.col("ok")).alias("successes"), F.count_if(~F.col("ok")).alias("errors"))
 
 
+#: Size of a latency sketch, and the rank error that it keeps to with 99% probability (of the sketch's own analysis, rounded up).
+SKETCH_K, RANK_ERROR = 400, 0.01
+
+
+def latency_sketches(samples: DataFrame, by: str = "method", at: str = "ts", span: str = "1 minute") -> DataFrame:
+    """by, start, n, sketch: a quantile sketch of the durations of each method and span. Sketches merge, so a table of them answers for any time and stays a few KB a row however many samples there are."""
+    spans = samples.groupBy(by, F.window(at, span).alias("w"))
+    return spans.agg(F.count("duration").alias("n"), F.kll_sketch_agg_double(F.col("duration").cast("double"), SKETCH_K).alias("sketch")).select(by, F.col("w.start").alias("start"), "n", "sketch")
+
+
+def sketched_latencies(sketches: DataFrame, by: str = "method", quantiles: tuple = (0.5, 0.95, 0.99)) -> DataFrame:
+    """by, q, n, estimate from merged sketches; filter the table for a span of time first."""
+    merged = sketches.groupBy(by).agg(F.sum("n").alias("n"), F.kll_merge_agg_double("sketch", SKETCH_K).alias("sketch"))
+    each = F.explode(F.array(*[F.struct(F.lit(q).alias("q"), F.kll_sketch_get_quantile_double("sketch", F.lit(q)).alias("estimate")) for q in quantiles]))
+    return merged.select(by, "n", each.alias("e")).select(by, "e.q", "n", "e.estimate")
+
+
+def rank_errors(estimates: DataFrame, samples: DataFrame, by: str = "method") -> DataFrame:
+    """by, q, n, estimate, rank_error: how far q is from the share of samples up to the estimate (0 if a tie of samples spans q)."""
+    e = estimates.select(by, F.struct("q", "n", "estimate").alias("e"))
+    d = F.col("duration").cast("double")
+    x = samples.where("duration is not null").join(e, by).groupBy(by, "e").agg(F.count_if(d < F.col("e.estimate")).alias("below"), F.count_if(d <= F.col("e.estimate")).alias("upto"), F.count("*").alias("all"))
+    error = F.greatest(F.lit(0.0), F.col("below") / F.col("all") - F.col("e.q"), F.col("e.q") - F.col("upto") / F.col("all"))
+    return x.select(by, "e.q", "e.n", "e.estimate", error.alias("rank_error"))
+
+
 def judge_overall(scores: DataFrame, criteria: list[str]) -> DataFrame:
     return scores.withColumn("overall", sum((F.col(c) for c in criteria[1:]), F.col(criteria[0])) / len(criteria))
 

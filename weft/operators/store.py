@@ -118,6 +118,33 @@ def visible(versions: DataFrame, epoch: int) -> DataFrame:
     return versions.where(F.col("epoch") <= epoch).groupBy("file_id").agg(F.max("version").alias("version"))
 
 
+def content_at(requests: DataFrame, versions: DataFrame, *, missing: str = "error", bound: int | None = None) -> DataFrame:
+    """file_id, epoch, version, content of requests (file_id, epoch): what the file held at the epoch.
+
+    versions: file_id, epoch (distinct in a file), full, data. A full one holds the whole content, any other is appended to what
+    was there. version is the epoch of the last one at or before the request; without one the request is an error, or with
+    missing of "keep" a row with neither version nor content.
+
+    An as-of join in one pass: requests and versions are put in order together, and the last version and the last full copy
+    are carried forward (in ranges, where a file is large). A request then reads that copy and what was appended up to its
+    version, no matter how many copies the file has before.
+    """
+    asked = requests.select("file_id", "epoch").distinct().withColumns({"__asks": F.lit(1), "full": F.lit(False), "data": F.lit(None).cast("string")})
+    there = versions.select("file_id", "epoch", F.lit(0).alias("__asks"), F.coalesce("full", F.lit(False)).alias("full"), F.coalesce("data", F.lit("")).alias("data"))
+    given = F.col("__asks") == 0
+    carried = {"version": (F.max, F.when(given, F.col("epoch"))), "copy": (F.max, F.when(given & F.col("full"), F.col("epoch")))}
+    x = scan(there.unionByName(asked), ["file_id"], "epoch", carried, "__asks", upto=True, bound=bound)
+    x = x.withColumn("copy", F.coalesce("copy", F.lit(-(1 << 63))))  # without a copy all that was appended counts
+    wanted = x.where("__asks = 1")
+    if missing != "keep":
+        wanted = wanted.where(_or_error(F.col("version").isNotNull(), F.lit("no version of file "), F.col("file_id"), F.lit(" at "), F.col("epoch")))
+    parts = x.where("__asks = 0").select("file_id", "copy", F.col("epoch").alias("at"), "data")
+    met = wanted.select("file_id", "epoch", "version", "copy").join(parts, ["file_id", "copy"], "left").where(F.col("version").isNull() | (F.col("at") <= F.col("version")))
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "data"))), lambda y: y["data"]), "")
+    out = met.groupBy("file_id", "epoch", "version").agg(body.alias("content"))
+    return out.withColumn("content", F.when(F.col("version").isNotNull(), F.col("content")))
+
+
 def collectable(versions: DataFrame, pins: DataFrame) -> DataFrame:
     """file_id, version that no pinned epoch can see: superseded at or before the oldest pin, and never the current one."""
     w = versions.withColumn("superseded", F.lead("epoch").over(Window.partitionBy("file_id").orderBy("version")))

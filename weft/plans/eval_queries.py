@@ -213,6 +213,14 @@ def latency_percentiles(t):
     return evaluate.latency_report(t.raw("events").select(F.col("event_type").alias("method"), F.col("value").alias("duration"), (F.col("user_id") % 10 != 0).alias("ok")))
 
 
+@query("SELECT event_type AS method, unnest([0.5, 0.95, 0.99])::DOUBLE AS q, count(value) AS n, true AS within_bound FROM events GROUP BY 1")
+def latency_sketches(t):
+    """Quantiles from a table of sketches a minute, held against exact ranks."""
+    s = t.raw("events").select(F.col("event_type").alias("method"), "ts", F.col("value").alias("duration"))
+    x = evaluate.rank_errors(evaluate.sketched_latencies(evaluate.latency_sketches(s)), s)
+    return x.select("method", "q", "n", (F.col("rank_error") <= evaluate.RANK_ERROR).alias("within_bound"))
+
+
 @query("SELECT doc_id, round((1 + quality * 3 + 5 - toxic * 4 + doc_id % 5 + 1) / 3, 6) AS overall FROM labels")
 def judge_overall(t):
     x = t.raw("labels").select("doc_id", (1 + F.col("quality") * 3).alias("a"), (5 - F.col("toxic") * 4).alias("b"), (F.col("doc_id") % 5 + 1).alias("c"))

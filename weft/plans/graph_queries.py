@@ -133,6 +133,17 @@ def entity_link(t):
     return name_roots(t, graph.entity_graph(name_mentions(t))[0])
 
 
+@query(r"""
+    WITH n AS (SELECT DISTINCT lower(p_name) AS entity FROM part UNION SELECT DISTINCT w FROM (SELECT unnest(string_split_regex(lower(text), '[^a-z]+')) AS w FROM benchmark) WHERE length(w) >= 7)
+    SELECT doc_id, entity FROM documents JOIN n ON contains(lower(text), entity)""")
+def entity_link_documents(t):
+    """All names of parts and long words of the benchmark in the whole texts of all documents."""
+    words = t.raw("benchmark").select(F.explode(F.split(F.lower("text"), "[^a-z]+")).alias("name")).where(F.length("name") >= 7)
+    names = t.raw("part").select(F.lower("p_name").alias("name")).unionByName(words)
+    d = t.raw("documents").select(F.col("doc_id").alias("id"), F.lower("text").alias("text"))
+    return graph.mentioned(d, names).select(F.col("id").alias("doc_id"), F.col("name").alias("entity"))
+
+
 def _retrieve(t, hops):
     m = name_mentions(t)
     nodes, links = graph.entity_graph(m)
@@ -150,6 +161,52 @@ def entity_graph_retrieve_1hop(t):
     return _retrieve(t, 1)
 
 
+def tree_mentions(t):
+    """doc: a document; entities: itself and the one of half its number, so that the links are a tree as deep as the logarithm of the table."""
+    name = lambda c: F.concat(F.lit("e"), c.cast("string"))
+    d = t.raw("documents").select("doc_id")
+    return d.select("doc_id", F.explode(F.array(name(F.col("doc_id")), name(F.floor(F.col("doc_id") / 2)))).alias("display")).withColumns({"entity": F.col("display"), "seq": F.col("doc_id")})
+
+
+@query("""
+    WITH RECURSIVE de AS (SELECT doc_id, 'e' || doc_id AS entity FROM documents UNION SELECT doc_id, 'e' || (doc_id // 2) FROM documents),
+    links AS (SELECT DISTINCT a.entity, b.entity AS other FROM de a JOIN de b ON a.doc_id = b.doc_id AND a.entity <> b.entity),
+    walk(query_id, entity, hop) AS (SELECT 'q' || n_nationkey, 'e' || (n_nationkey * 7), 0 FROM nation UNION SELECT query_id, other, hop + 1 FROM walk JOIN links USING (entity) WHERE hop < 60),
+    reach AS (SELECT query_id, w.entity, min(hop) AS hop FROM walk w GROUP BY 1, 2),
+    s AS (SELECT query_id, doc_id, sum(power(0.5, hop)) AS score FROM reach JOIN de USING (entity) GROUP BY 1, 2)
+    SELECT query_id, doc_id, round(score, 9) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s QUALIFY rank <= 20""")
+def entity_graph_retrieve_deep(t):
+    """A walk to the end of the graph from an entity of each nation."""
+    m = tree_mentions(t)
+    n = t.raw("nation").select(F.concat(F.lit("q"), F.col("n_nationkey").cast("string")).alias("query_id"), F.concat(F.lit("e"), (F.col("n_nationkey") * 7).cast("string")).alias("entity"))
+    x = graph.entity_retrieve_deep(n, graph.entity_graph(m)[1], m, 20)
+    return x.withColumn("score", F.round("score", 9))
+
+
+_SEGMENTS = f"WITH {COMPACTED}, p AS (SELECT source, target, row_number() OVER (PARTITION BY source ORDER BY target) - 1 AS pos, row_number() OVER (ORDER BY source, target) - 1 AS place FROM (SELECT DISTINCT source, target FROM edges))"
+
+
+@query(_SEGMENTS + " SELECT source, pos // 16 AS segment, min(place) AS start, string_agg(target::VARCHAR, ',' ORDER BY target) AS targets FROM p GROUP BY 1, 2")
+def adjacency_segments(t):
+    x = graph.segmented(compacted(t), 16)
+    return x.select("source", "segment", "start", F.array_join(F.transform("targets", lambda v: v.cast("string")), ",").alias("targets"))
+
+
+@query(f"WITH {COMPACTED} SELECT DISTINCT source, target FROM edges WHERE source IN (SELECT n_nationkey + 1 FROM nation)")
+def segment_neighbors(t):
+    return graph.segment_neighbors(starts(t).withColumnRenamed("start", "source"), graph.segmented(compacted(t), 16))
+
+
+@query("""
+    WITH m AS (SELECT source AS entity, doc_id + 1 AS file_id, doc_id AS seq FROM documents UNION ALL SELECT lang, doc_id + 1, doc_id FROM documents)
+    SELECT entity, file_id, row_number() OVER (PARTITION BY entity ORDER BY seq) - 1 AS links, count(*) OVER (PARTITION BY entity) AS n_files FROM m""")
+def cooccur_classes(t):
+    """Entities that up to two thirds of all files share: the source and the language of each document."""
+    d = t.raw("documents")
+    m = lambda c: d.select(F.col(c).alias("entity"), (F.col("doc_id") + 1).alias("file_id"), F.col("doc_id").alias("seq"))
+    return graph.cooccurrence_classes(m("source").unionByName(m("lang")))
+
+
 @query("""
     WITH w AS (SELECT doc_id + 1 AS source, 'src/' || (doc_id * 3) AS topic FROM documents UNION ALL SELECT doc_id + 1, 'src/' || doc_id FROM documents), p AS (SELECT 'src/' || doc_id AS topic, doc_id + 1 AS target FROM documents)
     SELECT source, w.topic, coalesce(target, 0) AS target, target IS NOT NULL AS resolved FROM (SELECT DISTINCT * FROM w) w LEFT JOIN p ON p.topic = w.topic WHERE target IS NULL OR target <> source""")

@@ -255,6 +255,21 @@ def version_visible(t):
     return store.visible(versions(t), 70).select("file_id", F.col("version").cast("long").alias("version"))
 
 
+@query("""
+    WITH v AS (SELECT CASE WHEN conv_id % 3 = 0 THEN 0 ELSE conv_id END AS file_id, CASE WHEN conv_id % 3 = 0 THEN conv_id * 40 + turn ELSE turn * 3 + conv_id % 5 END AS epoch, turn % 3 = 0 AND conv_id % 4 > 0 AS full_copy, coalesce(text, '') AS text FROM conversations),
+    r AS (SELECT DISTINCT file_id, epoch + d AS epoch FROM v, (SELECT unnest([-2, 0, 1, 4]) AS d)),
+    w AS (SELECT r.file_id, r.epoch, v.epoch AS version FROM r ASOF LEFT JOIN v ON v.file_id = r.file_id AND v.epoch <= r.epoch),
+    x AS (SELECT w.*, c.epoch AS copy FROM w ASOF LEFT JOIN (SELECT file_id, epoch FROM v WHERE full_copy) c ON c.file_id = w.file_id AND c.epoch <= w.epoch)
+    SELECT x.file_id, x.epoch, version, md5(string_agg(v.text, '' ORDER BY v.epoch)) AS content_md5 FROM x LEFT JOIN v ON v.file_id = x.file_id AND v.epoch >= coalesce(copy, -1000) AND v.epoch <= version GROUP BY 1, 2, 3""")
+def content_at_version(t):
+    """Every file around each of its versions; file 0 has a third of all of them, and some requests come before the first."""
+    hot, turn = F.col("conv_id") % 3 == 0, F.col("turn")
+    v = t.raw("conversations").select(F.when(hot, F.lit(0)).otherwise(F.col("conv_id")).alias("file_id"), F.when(hot, F.col("conv_id") * 40 + turn).otherwise(turn * 3 + F.col("conv_id") % 5).alias("epoch"), ((turn % 3 == 0) & (F.col("conv_id") % 4 > 0)).alias("full"), F.col("text").alias("data"))
+    around = F.explode(F.array(*[F.lit(d) for d in (-2, 0, 1, 4)]))
+    r = v.select("file_id", "epoch", around.alias("d")).select("file_id", (F.col("epoch") + F.col("d")).alias("epoch"))
+    return store.content_at(r, v, missing="keep").select("file_id", "epoch", "version", F.md5(F.col("content").cast("binary")).alias("content_md5"))
+
+
 @query(f"WITH {_VERSIONS}, s AS (SELECT *, lead(epoch) OVER (PARTITION BY file_id ORDER BY version) AS superseded FROM v) SELECT file_id, version FROM s WHERE superseded IS NOT NULL AND 60 >= superseded")
 def version_gc(t):
     pins = t.spark.createDataFrame([(80,), (60,), (95,)], "epoch long")
