@@ -145,6 +145,47 @@ def test_near_odd_ids_and_empty_table(spark):
     assert near_dedup.keep_representatives(df.where("doc_id is not null")).columns == df.columns
 
 
+def rows_of(rows, k=5):
+    """doc_id, component_id and kept of each row by the docstring: documents are ids, and texts of rows without one."""
+    words = lambda t: re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    sets = []
+    for _, t in rows:
+        w = words(t)
+        sets.append({tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if len(w) >= k else {tuple(w)} if w else set())
+    root = list(range(len(rows)))
+    find = lambda i: i if root[i] == i else find(root[i])
+    for i in range(len(rows)):
+        for j in range(i):
+            same = rows[i][0] == rows[j][0] if rows[i][0] is not None else rows[j][0] is None and sets[i] and (rows[i][1] or "") == (rows[j][1] or "")
+            if same or sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                root[find(i)] = find(j)
+    out = []
+    for i, (doc, t) in enumerate(rows):
+        mine = [j for j in range(len(rows)) if find(j) == find(i)]
+        first = min((rows[j][0] for j in mine if rows[j][0] is not None), default=None)
+        sha = lambda x: hashlib.sha256((x or "").encode()).hexdigest()
+        kept = doc == first if doc is not None else len(mine) == 1 or first is None and sha(t) == min(sha(rows[j][1]) for j in mine)
+        out.append((str(doc), t, str(first), kept))
+    return out
+
+
+@pytest.mark.parametrize("layout", [0, 1, 2])
+def test_near_of_repeated_and_missing_ids(spark, layout):
+    """Ids with several texts, near copies of either, and rows without an id, in three orders and partitionings."""
+    rng = random.Random(layout)
+    text = lambda name: " ".join(f"{name}{i}" for i in range(60))
+    near = lambda t: t + " more"
+    T, U, V, W, X, Y = (text(c) for c in "tuvwxy")
+    rows = [(5, T), (7, near(T)), (7, U), (9, near(U)), (11, near(V)), (None, V), (None, W), (None, near(W)), (None, X), (None, X), (20, near(near(near(X)))), (None, Y), (None, near(Y)), (None, near(near(Y))), (30, ""), (30, T + " extra"), (None, ""), (None, None), (40, "alone here"), (50, W.upper() + " x")]
+    rows = [r for r in rows if r[0] != 50] if layout == 1 else rows
+    rows = rows[::-1] if layout == 2 else rng.sample(rows, len(rows))
+    df = frame(spark, rows, (1, 4, 7)[layout])
+    want = rows_of(rows)
+    assert sorted((str(r.doc_id), str(r.component_id), r.kept) for r in near_dedup.near_dedup(df).collect()) == sorted((a, c, d) for a, _, c, d in want)
+    stay = near_dedup.keep_representatives(df)
+    assert sorted((str(r.doc_id), r.text or "") for r in stay.collect()) == sorted((a, t or "") for a, t, _, kept in want if kept) and stay.columns == df.columns
+
+
 def test_least_matches_gives_up_only_unlikely_pairs():
     least = near_dedup.least_matches(80, 1e-5)
     assert least == sorted(least) and 0 < least[0] < 32 * 0.8 and least[-1] < 128 * 0.8

@@ -1,6 +1,7 @@
 """MinHash near-dedup with sequential Bayesian verification.
 
-Documents with the same shingle set are one class. Classes meet in the buckets of banded signatures. A candidate pair's
+Documents with the same shingle set are one class, with a number of its own. Texts of one id are joined by further links;
+rows without an id are told apart by a digest of their texts. Classes meet in the buckets of banded signatures. A candidate pair's
 signatures are compared batch by batch; after each batch the posterior of the similarity (uniform prior) decides: a pair
 goes once the chance that it reaches the threshold falls below MISS. Survivors are verified on their full shingle sets.
 
@@ -20,10 +21,10 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import lean, new_dir, small_batches, staged, without
+from .common import lean, new_dir, small_batches, staged, text_or_empty, without
 
 SHINGLE, THRESHOLD = 5, 80
 HASHES, BANDS, ROWS = 128, 24, 4
@@ -33,8 +34,7 @@ MISS = 1e-5
 FILTER_BITS = 1 << 24
 #: Members of a bucket that are compared with each other at once.
 BLOCK = 512
-#: The number of rows without an id inside the operator. Their own mark tells them from a document with this very id, whose
-#: result it leaves as it is.
+#: What stands for a missing id where ids are hashed into the filter; a document with this very id passes it too.
 NO_ID = (1 << 63) - 1
 
 _rng = np.random.Generator(np.random.PCG64(7))
@@ -72,8 +72,13 @@ def _sets(batch_texts: pa.Array, k: int):
             yield at + i, s
 
 
+def _text_digest(id_col: str, text_col: str) -> Column:
+    """What tells rows without an id apart; null for the others."""
+    return F.when(F.col(id_col).cast("long").isNull(), F.sha2(text_or_empty(text_col), 256))
+
+
 def fingerprints(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
-    """doc_id (NO_ID for null), no_id, n_shingles, set_key (of the set; null if empty), sig."""
+    """doc_id, text_key (of rows without an id), n_shingles, set_key (of the set; null if empty), sig."""
 
     def make(batches):
         import xxhash
@@ -84,11 +89,10 @@ def fingerprints(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFra
                 n.append(len(s))
                 keys.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
                 sigs.append(_signature(s).tobytes() if len(s) else None)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(sigs, pa.binary())], names=["doc_id", "no_id", "n_shingles", "set_key", "sig"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(sigs, pa.binary())], names=["doc_id", "text_key", "n_shingles", "set_key", "sig"])
 
-    own = F.col(id_col).cast("long")
-    rows = docs.select(F.coalesce(own, F.lit(NO_ID)).alias("doc_id"), F.col(text_col).cast("string").alias("text"), own.isNull().alias("no_id"))
-    return rows.mapInArrow(lean(make), "doc_id long, no_id boolean, n_shingles long, set_key binary, sig binary")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), _text_digest(id_col, text_col).alias("text_key"))
+    return rows.mapInArrow(lean(make), "doc_id long, text_key string, n_shingles long, set_key binary, sig binary")
 
 
 def _band_keys(reps: DataFrame) -> DataFrame:
@@ -232,39 +236,48 @@ def _compare_blocks(rows: DataFrame, least: list[int], threshold: int) -> DataFr
     return dealt.mapInArrow(lean(run), "a long, b long")
 
 
-def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, shingle: int = SHINGLE, threshold: int = THRESHOLD, miss: float = MISS, block: int = BLOCK) -> DataFrame:
-    """One row per row of docs: doc_id, n_shingles, component_id, kept. Sets are of `shingle` words, five unless asked otherwise.
-
-    Texts without words (null and empty ones too) are linked with nothing. Rows that repeat an id count as one document:
-    their texts' components are joined and all of them stay or go. Null ids come after all others and share one
-    component_id of null if no other document is in theirs. An empty table gives an empty result.
-    """
+def _near(docs: DataFrame, id_col: str, text_col: str, shingle: int, threshold: int, miss: float, block: int) -> DataFrame:
+    """near_dedup's rows with text_key."""
     spark = docs.sparkSession
     base = new_dir(spark, "near")
     least = least_matches(threshold, miss)
     with small_batches(spark):
         prints = staged(fingerprints(docs, id_col, text_col, shingle), f"{base}/prints")
-    classes = staged(prints.where("n_shingles > 0").groupBy("set_key").agg(F.min("doc_id").alias("node"), F.count("*").alias("n"), F.first("sig").alias("sig")), f"{base}/classes")
+    classes = prints.where("n_shingles > 0").groupBy("set_key").agg(F.min("doc_id").alias("least_id"), F.min("text_key").alias("least_key"), F.count("*").alias("n"), F.first("sig").alias("sig"))
+    classes = staged(classes.withColumn("node", F.monotonically_increasing_id()), f"{base}/classes")
     keys = staged(_band_keys(classes), f"{base}/keys")
     marks = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("pivot"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y")).where("n > 1")
     alike = marks.groupBy("n", "pivot", "x", "y").agg(F.min("key").alias("key"))  # buckets of the same members are one
     buckets = staged(keys.join(alike.select("key", "n", "pivot"), "key"), f"{base}/buckets")
-    cand = staged(classes.select("node", "sig").join(buckets.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.first("sig").alias("sig")), f"{base}/candidates")
+    cand = staged(classes.select("node", "sig", "set_key", F.coalesce("least_id", F.lit(NO_ID)).alias("who")).join(buckets.select("node").distinct(), "node", "left_semi"), f"{base}/candidates")
 
-    # Sets of candidates, from the whole texts; the filter spares the others.
-    h = F.pmod(F.xxhash64("node"), F.lit(FILTER_BITS))
+    # Sets of candidates, from the whole texts of the row with each one's smallest id; the filter spares the others.
+    h = F.pmod(F.xxhash64("who"), F.lit(FILTER_BITS))
     words = cand.groupBy(F.shiftrightunsigned(h, 6).alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (h % 64).cast("int"))).alias("f"))
-    may = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("node"), F.col(text_col).cast("string").alias("text")).withColumn("w", F.shiftrightunsigned(h, 6))
-    may = may.join(F.broadcast(words), "w").where(F.getbit("f", (h % 64).cast("int")) == 1).select("node", "text")
+    may = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("who"), F.col(text_col).cast("string").alias("text")).withColumn("w", F.shiftrightunsigned(h, 6))
+    may = may.join(F.broadcast(words), "w").where(F.getbit("f", (h % 64).cast("int")) == 1).select("text")
 
     def make_sets(batches):
+        import xxhash
+
         for b in batches:
-            sets = [s.tobytes() for _, s in _sets(b.column(1), shingle)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.binary())], names=["node", "set"])
+            sets = [s.tobytes() for _, s in _sets(b.column(0), shingle)]
+            yield pa.RecordBatch.from_arrays([pa.array(map(xxhash.xxh3_128_digest, sets), pa.binary()), pa.array(sets, pa.binary())], names=["set_key", "set"])
 
     with small_batches(spark):
-        sets = staged(may.mapInArrow(lean(make_sets), "node long, set binary").join(cand.select("node"), "node", "left_semi"), f"{base}/sets")
-    labels = cand.select("node", F.col("node").alias("label"))
+        one = may.mapInArrow(lean(make_sets), "set_key binary, set binary").groupBy("set_key").agg(F.first("set").alias("set"))  # partial sums first: equal sets are one a task
+        sets = staged(one.join(cand.select("node", "set_key"), "set_key").select("node", "set"), f"{base}/sets")
+
+    # Ids that stand for several texts: their classes are linked, whatever the texts.
+    nothing = F.lit(b"")
+    several = prints.where("doc_id is not null").groupBy("doc_id").agg(F.min(F.coalesce("set_key", nothing)).alias("lo"), F.max(F.coalesce("set_key", nothing)).alias("hi")).where("lo <> hi")
+    several = staged(several, f"{base}/several")
+    spread = prints.where("n_shingles > 0").select("doc_id", "set_key").join(several.select("doc_id"), "doc_id", "left_semi").distinct().join(classes.select("set_key", "node"), "set_key")
+    spread = staged(spread.select("doc_id", "node"), f"{base}/spread")
+    own = spread.join(spread.groupBy("doc_id").agg(F.min("node").alias("a")), "doc_id").where("node <> a").select("a", F.col("node").alias("b"))
+
+    labels = cand.select("node").union(spread.select("node")).distinct().select("node", F.col("node").alias("label"))
+    labels = contract(staged(labels, f"{base}/nodes"), own, f"{base}/own-labels")
     pairs = buckets.where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
     with small_batches(spark):
         tested = staged(_verify(_screen(pairs, cand, least), sets, threshold), f"{base}/star")
@@ -274,22 +287,40 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rest = buckets.where("n > 2 and node <> pivot").join(labels, "node")
     mixed_keys = rest.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("m")).where("lo <> hi").select("key", "m")
     blocks = F.ceil(F.col("m") / block).cast("int")
-    rows = rest.select("key", "node", "label").join(mixed_keys, "key").join(cand.join(sets, "node"), "node").withColumn("nb", blocks).withColumn("own", F.pmod(F.xxhash64("node"), F.col("nb")).cast("int"))
+    rows = rest.select("key", "node", "label").join(mixed_keys, "key").join(cand.select("node", "sig").join(sets, "node"), "node").withColumn("nb", blocks).withColumn("own", F.pmod(F.xxhash64("node"), F.col("nb")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
     rows = rows.select("key", "node", "label", "sig", "set", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("side"))
     with small_batches(spark):
         links = staged(_compare_blocks(rows, least, threshold), f"{base}/links")
     labels = contract(labels, links, f"{base}/labels")
 
-    told = classes.join(labels, "node", "left").select("set_key", F.coalesce("label", "node").alias("label"), "n", "node")
-    told = told.where("n > 1 or label <> node").select("set_key", "label")
-    out = prints.join(told, "set_key", "left")
-    component = F.coalesce("label", "doc_id")
-    named = lambda c: F.when(~F.col("no_id") | (c != NO_ID), c)
-    return out.select(named(F.col("doc_id")).alias("doc_id"), "n_shingles", named(component).alias("component_id"), (F.col("doc_id") == component).alias("kept"))
+    # A component has the smallest id of its classes or, without any, the smallest text.
+    placed = classes.select("set_key", "node", "n", "least_id", "least_key").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    found = placed.groupBy("label").agg(F.min("least_id").alias("first_id"), F.min("least_key").alias("first_key"), F.sum("n").alias("rows")).where("rows > 1")
+    told = placed.select("set_key", "label").join(found, "label").select("set_key", "first_id", "first_key", F.lit(True).alias("shared"))
+    out = prints.drop("sig").join(told, "set_key", "left")
+    shared = F.col("shared").isNotNull()
+    out = out.withColumn("component_id", F.when(shared, F.col("first_id")).otherwise(F.col("doc_id")))
+    kept = F.when(F.col("doc_id").isNotNull(), F.col("doc_id") == F.col("component_id")).otherwise(~shared | (F.col("first_id").isNull() & (F.col("text_key") == F.col("first_key"))))
+    if not several.where(F.col("lo") == nothing).isEmpty():  # texts without words of ids that have others too
+        of_id = out.where("n_shingles > 0").join(several.select("doc_id"), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("component_id").alias("of_id"))
+        out = out.join(of_id, "doc_id", "left").withColumn("component_id", F.coalesce("of_id", "component_id"))
+    return out.select("doc_id", "n_shingles", "component_id", F.coalesce(kept, F.lit(False)).alias("kept"), "text_key")
+
+
+def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, shingle: int = SHINGLE, threshold: int = THRESHOLD, miss: float = MISS, block: int = BLOCK) -> DataFrame:
+    """One row per row of docs: doc_id, n_shingles, component_id, kept. Sets are of `shingle` words, five unless asked otherwise.
+
+    Texts without words (null and empty ones too) are linked with nothing. Rows that repeat an id count as one document:
+    their texts' components are joined and all of them stay or go. Rows without an id are documents of their own, equal ones
+    of them one; they come after all others: a component without any id has a null component_id, and of its texts that of
+    the smallest SHA-256 stays. An empty table gives an empty result.
+    """
+    return _near(docs, id_col, text_col, shingle, threshold, miss, block).drop("text_key")
 
 
-def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:
+def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, shingle: int = SHINGLE, threshold: int = THRESHOLD, miss: float = MISS, block: int = BLOCK) -> DataFrame:
     """The rows of docs whose document stands for its component, with all their columns."""
-    gone = near_dedup(docs, id_col, text_col, **kw).where("not kept").select(F.col("doc_id").alias("__id")).distinct()
-    return without(docs, staged(gone, new_dir(docs.sparkSession, "gone")), id_col)
+    key = lambda c: F.coalesce(c, F.lit(""))
+    gone = _near(docs, id_col, text_col, shingle, threshold, miss, block).where("not kept").select(F.col("doc_id").alias("__id"), key(F.col("text_key")).alias("__key")).distinct()
+    return without(docs, staged(gone, new_dir(docs.sparkSession, "gone")), id_col, key(_text_digest(id_col, text_col)))
