@@ -8,6 +8,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+from tokenizers import Tokenizer
 
 from weft.llm import mixing, packing, token_store, tokens
 
@@ -17,15 +18,33 @@ TEXTS = ["", None, " ", "  a  b ", "a\n \nb   c", "it's DON'T x's", "<|endoftext
 
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
 def test_encoder_equals_the_library(name):
-    e = tokens.Encoder(P.path(name))
+    e, fresh = tokens.Encoder(P.path(name)), Tokenizer.from_file(P.path(name))
     for _ in range(2):  # the second time from memory
         ids, at = e.encode(pa.array(TEXTS))
-        want = [x.ids for x in e.tok.encode_batch([t or "" for t in TEXTS], add_special_tokens=False)]
+        want = [fresh.encode(t or "", add_special_tokens=False).ids for t in TEXTS]
         assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)] == want
     e.kind = "plain"
     assert e.encode(pa.array(TEXTS))[0].tolist() == ids.tolist()
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+@pytest.mark.parametrize("lean", [False, True])
+def test_encoder_equals_the_library_on_added_tokens_and_random_unicode(name, lean):
+    rng = random.Random(len(name))
+    path = P.path(name)
+    fresh, e = Tokenizer.from_file(path), tokens.Encoder(path, lean)
+    added = [t.content for t in fresh.get_added_tokens_decoder().values()]
+    texts = [f"{a}{t}{b}" for t in [*added, "<|EndOfText|>", "<|endoftext", "|>"] for a in ("", "a ", "a", "x.\n", " ") for b in ("", " b", "b", "  ", t)]
+    ranges = [(32, 127), (9, 14), (0xA0, 0x250), (0x300, 0x370), (0x370, 0x600), (0x2000, 0x2070), (0x3000, 0x3100), (0x4E00, 0x4F00), (0xAC00, 0xAD00), (0x1F600, 0x1F650), (0, 0xD800)]
+    for _ in range(1500):
+        kinds = rng.choices(ranges, k=rng.randrange(1, 4))
+        texts.append("".join(chr(rng.randrange(*rng.choice(kinds))) if rng.random() < 0.8 else " " for _ in range(rng.randrange(40))))
+    texts += ["".join(rng.sample(texts, 5)) for _ in range(40)]
+    ids, at = e.encode(pa.array(texts))
+    for t, a, b in zip(texts, at[:-1], at[1:], strict=True):
+        assert ids[a:b].tolist() == fresh.encode(t, add_special_tokens=False).ids, repr(t)
+
+
 def frame(spark, rows):
     return spark.createDataFrame([(i, t, 0) for i, t in rows], "doc_id long, text string, n_tokens int").repartition(3)
 
@@ -34,7 +53,7 @@ def test_token_files(spark, tmp_path):
     rows = [(3 * i + 1, t) for i, t in enumerate(TEXTS)] + [(None, "x"), (4, "again")]
     m = token_store.write_tokens(frame(spark, rows), P.path("byte_bpe_50k.json"), str(tmp_path / "t"))
     got = token_store.read_tokens(m, with_ids=True).orderBy("start").collect()
-    tok = tokens.Encoder(P.path("byte_bpe_50k.json")).tok
+    tok = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
     assert [r.doc_id for r in got] == sorted((i for i, _ in rows), key=lambda x: (x is not None, x or 0))
     at = 0
     for r in got:
@@ -89,7 +108,7 @@ def test_solve_covers_the_histogram(seed, n):
 def test_pack(spark):
     rows = [(i, t) for i, t in enumerate(TEXTS)] + [(7, TEXTS[7]), (None, "x"), (50, "one two three " * 60)]
     got = packing.pack(frame(spark, rows), P.path("word_bpe_49k.json"), capacity=64, with_ids=True).collect()
-    tok = tokens.Encoder(P.path("word_bpe_49k.json")).tok
+    tok = Tokenizer.from_file(P.path("word_bpe_49k.json"))
     whole = Counter(np.array([*tok.encode(t or "", add_special_tokens=False).ids, 1], "<u4").tobytes() for _, t in rows)
     by_doc, by_seq = {}, {}
     for r in got:

@@ -58,8 +58,8 @@ class Encoder:
 
         self.remembered, self.at_once, self.batch = (LEAN_REMEMBERED, LEAN_AT_ONCE, LEAN_BATCH) if lean else (REMEMBERED, AT_ONCE, 1 << 30)
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True  # their strings in a text are ordinary text
         rules = json.loads(self.tok.to_str())
+        self.marks = [t["content"] for t in rules.get("added_tokens") or []]  # strings that the library takes for one token each
         norm, pre = rules.get("normalizer"), rules.get("pre_tokenizer") or {}
         self.kind = "plain"
         if norm is None and pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space"):
@@ -69,6 +69,7 @@ class Encoder:
         chars = byte_characters()
         self.map = {chr(i): chars[i] for i in range(128)} | {chr(i): "".join(chars[b] for b in chr(i).encode()) for i in range(128, 256)}
         self.table = str.maketrans(self.map)
+        self.marks = [(m.lower() if self.kind == "words" else m).encode() for m in self.marks]
         self._forget()
 
     def _forget(self) -> None:
@@ -153,6 +154,15 @@ class Encoder:
         at, data = _flat(texts)
         if self.kind == "words":
             data = _FOLD[data]
+        redo = np.zeros(len(texts), bool)
+        raw = data.tobytes()
+        for mark in self.marks:  # texts with an added token's string go to the library whole
+            found = raw.find(mark)
+            while found >= 0:
+                i = int(np.searchsorted(at, found, "right")) - 1
+                redo[i] = True
+                found = raw.find(mark, int(at[i + 1]))
+        del raw
         is_cut = data == 32
         is_cut[1:] |= _STOP[data[1:]] & _LETTER[data[:-1]]  # a stop after a letter begins a piece by either kind's rules
         is_cut[at[:-1][at[:-1] < len(data)]] = True
@@ -161,7 +171,6 @@ class Encoder:
         coded = pieces.dictionary_encode()
         number = self._numbers(coded.dictionary.to_pylist())[np.asarray(coded.indices)]
         at = np.searchsorted(cuts, at)
-        redo = np.zeros(len(texts), bool)
         if self.kind == "bytes" and len(number):
             edge = self.edge[number]
             bad = ((edge[:-1] & 2) > 0) & ((edge[1:] & 1) > 0)
