@@ -90,6 +90,33 @@ def test_neighbours_of_small_tables(spark):
     assert [(r.vec_id, round(r.score, 9)) for r in got] == [(2, 1.0), (1, 0.0)]
 
 
+def test_neighbours_of_very_large_and_very_small_components(spark):
+    from fractions import Fraction
+
+    rng = np.random.default_rng(4)
+    base = rng.normal(size=(40, 6))
+    base[7] = base[3] * 2
+    size = [1e200, 1.0, 1e-200, 1e-310, 5e-324 * 2**20, 1e308 / 4]
+    rows = [(i, (base[i] * size[i % 6]).tolist()) for i in range(40)] + [(50, [5e-324] + [0.0] * 5), (51, [1e308] + [0.0] * 5), (100, [1e200, 1e-200] + [0.0] * 4), (150, [1.7e308] * 6), (151, [-1.7e308] * 6)]
+
+    def cosine(a, b):
+        x, y = ([Fraction(c) / max(map(abs, map(Fraction, v))) for c in v] for v in (a, b))
+        dot, n = sum(p * q for p, q in zip(x, y, strict=True)), sum(p * p for p in x) * sum(q * q for q in y)
+        return float(dot) / math.sqrt(n)
+
+    got = {}
+    for r in ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+    vectors = dict(rows)
+    assert set(got) == {0, 50, 100, 150}
+    for q, found in got.items():
+        found.sort()
+        scores = [s for _, _, s in found]
+        assert scores == sorted(scores, reverse=True) and all(math.isfinite(s) for s in scores)
+        want = sorted((-round(cosine(vectors[q], v), 9), i) for i, v in rows if i != q)[:5]
+        assert [(-round(s, 9), i) for _, i, s in found] == want
+
+
 @pytest.mark.parametrize("tokens", [1 << 20, 300])
 def test_language_model(spark, monkeypatch, tokens):
     if tokens == 300:

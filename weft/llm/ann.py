@@ -27,8 +27,8 @@ K, EVERY = 5, 50
 SAMPLE, LEAF, BRANCH = 20_000, 64, 8
 CALIBRATION, RECALL = 256, 0.95
 SHARD = 2048
-#: Decimal places to which scores must agree to tie, and the margin for the error of rough scores.
-DIGITS, EDGE = 12, 1e-9
+#: The margin for the error of rough scores.
+EDGE = 1e-9
 
 
 @dataclass
@@ -103,12 +103,19 @@ def grow(x: np.ndarray, leaf: int = LEAF, branch: int = BRANCH, seed: int = 3) -
     return Tree(np.array(centers).reshape(len(centers), dim), np.array(first), np.array(count))
 
 
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Each row times the power of two that brings its largest component to between 1/2 and 1, so that no square overflows
+    or vanishes. That is exact, and cosines stay what they are; what is 2^-1022 times smaller than the largest counts for nothing."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True))[1])
+
+
 def _matrix(col: pa.Array) -> np.ndarray:
     flat = np.asarray(col.flatten()).astype(np.float64)
-    return flat.reshape(len(col), -1) if len(col) else flat.reshape(0, 1)
+    return scaled(flat.reshape(len(col), -1)) if len(col) else flat.reshape(0, 1)
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
+    x = scaled(x)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
@@ -126,8 +133,8 @@ def _exact(q: np.ndarray, v: np.ndarray) -> np.ndarray:
 def _best(q: np.ndarray, v: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """For each row of q the k rows of v of largest cosine: row numbers and exact scores.
 
-    Scores that agree to DIGITS places tie, and ties go to the smaller id: all rows that come within EDGE of the k-th
-    rough score are scored exactly, however many they are.
+    Equal scores tie, and ties go to the smaller id: all rows that come within EDGE of the k-th rough score are scored
+    exactly, however many they are.
     """
     rough = _unit(q) @ _unit(v).T
     k = min(len(v), k)
@@ -136,12 +143,12 @@ def _best(q: np.ndarray, v: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.nda
     near = np.argpartition(-rough, take - 1, axis=1)[:, :take]
     picked = v[near]
     exact = (picked * q[:, None, :]).sum(axis=2) / (np.linalg.norm(picked, axis=2) * np.linalg.norm(q, axis=1)[:, None])
-    order = np.lexsort((ids[near], -np.round(exact, DIGITS)), axis=1)[:, :k]
+    order = np.lexsort((ids[near], -exact), axis=1)[:, :k]
     near, exact = np.take_along_axis(near, order, 1), np.take_along_axis(exact, order, 1)
     for i in np.flatnonzero((rough >= edge[:, None]).sum(axis=1) > take):  # more ties than the rows taken
         every = np.flatnonzero(rough[i] >= edge[i])
         score = _exact(q[i], v[every])
-        first = np.lexsort((ids[every], -np.round(score, DIGITS)))[:k]
+        first = np.lexsort((ids[every], -score))[:k]
         near[i], exact[i] = every[first], score[first]
     return near, exact
 
@@ -150,8 +157,7 @@ def nearest(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embeddin
     """query_id, rank, vec_id, score: the k nearest of each row whose id is divisible by `every`; calibrated_recall, the share
     of the calibration queries' true neighbours that lie in the leaves a query visits.
 
-    Scores that agree to DIGITS decimal places tie, whatever vectors they are of (multiples of one vector, too); ties go to
-    the smaller id.
+    Order is that of the scores as doubles; equal ones go to the smaller id.
 
     Rows with a null id, or a null, empty, zero or non-finite vector, take no part, nor do vectors of another length than
     the most common one. Rows that repeat an id count once (the smallest vector). Fewer than k candidates: all of them. An
@@ -224,7 +230,7 @@ def nearest(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embeddin
 
     dealt = left.unionByName(right).repartition("leaf", "shard").sortWithinPartitions("leaf", "shard", "kind")
     found = dealt.mapInArrow(search, "q long, score double, rep long, ids array<long>")
-    found = found.withColumn("far", F.round(-F.col("score"), DIGITS))
+    found = found.withColumn("far", -F.col("score"))
     best = found.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy("far", "rep"))).where(F.col("r") <= k + 1)
     best = best.groupBy("q").agg(F.collect_list(F.struct("far", "score", "ids")).alias("near"))
     flat = F.flatten(F.transform("near", lambda x: F.transform(x["ids"], lambda i: F.struct(x["far"].alias("far"), i.alias("id"), x["score"].alias("score")))))
@@ -241,7 +247,7 @@ def calibrate(placed: DataFrame, queries: DataFrame, tree: Tree, k: int, target:
     leaves = int((tree.count == 0).sum())
     if not len(some) or leaves == 1:
         return 1, 1.0
-    q, own = np.array(some["v"].tolist(), np.float64), np.asarray(some["q"])
+    q, own = scaled(np.array(some["v"].tolist(), np.float64)), np.asarray(some["q"])
     sent = placed.sparkSession.sparkContext.broadcast(q)
 
     def exact(batches):
@@ -252,14 +258,14 @@ def calibrate(placed: DataFrame, queries: DataFrame, tree: Tree, k: int, target:
                 near, score = _best(sent.value, _matrix(b.column(1)), rep, k + 1)
                 new = [score, rep[near], np.asarray(b.column(2))[near], np.asarray(b.column(3))[near]]
                 best = new if best is None else [np.concatenate([x, y], axis=1) for x, y in zip(best, new, strict=True)]
-                order = np.lexsort((best[1], -np.round(best[0], DIGITS)), axis=1)[:, : k + 1]
+                order = np.lexsort((best[1], -best[0]), axis=1)[:, : k + 1]
                 best = [np.take_along_axis(x, order, 1) for x in best]
         if best is not None:
             n = np.repeat(np.arange(len(best[0])), best[0].shape[1])
             yield pa.RecordBatch.from_arrays([pa.array(n), *(pa.array(x.ravel()) for x in best)], names=["n", "score", "rep", "leaf", "ids"])
 
     near = placed.select("rep", "v", "leaf", F.size("ids").cast("long").alias("ids")).mapInArrow(exact, "n long, score double, rep long, leaf long, ids long")
-    far = F.round(-F.col("score"), DIGITS)
+    far = -F.col("score")
     near = near.withColumn("r", F.row_number().over(Window.partitionBy("n").orderBy(far, "rep"))).where(F.col("r") <= k + 1).select("n", "rep", "leaf", "ids").toPandas()
     near = near[(near["rep"].to_numpy() != own[near["n"].to_numpy()]) | (near["ids"].to_numpy() > 1)]
     if not len(near):
