@@ -208,6 +208,17 @@ def test_near_largest_id_beside_rows_without_one(spark):
     assert got == [("5", "5", True), (str(big), str(big), True), ("None", "None", True), ("None", "None", True)]
 
 
+@pytest.mark.parametrize("parts", [1, 5])
+def test_repeated_rows_with_other_columns(spark, parts):
+    """One of the rows that repeat an id and its text stays, the same in any layout; other columns go with it."""
+    rows = [(1, "a b", "x", "1"), (1, "a  b", "y", "2"), (2, "c", "z", "3"), (3, "c", "w", "4"), (None, "d", "p", "5"), (None, "d", "q", "6"), (4, "e", "r", "7"), (4, "f", "s", "8")]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(parts)
+    got = sorted(map(tuple, exact_dedup.keep_distinct(df).collect()), key=repr)
+    assert len(got) == 5 and set(got) <= set(rows) and {(r[0], norm(r[1])) for r in got} == {(1, "a b"), (2, "c"), (None, "d"), (4, "e"), (4, "f")}
+    again = sorted(map(tuple, exact_dedup.keep_distinct(spark.createDataFrame(rows[::-1], SCHEMA)).collect()), key=repr)
+    assert again == got
+
+
 def test_without(spark, tmp_path):
     from weft.llm.common import staged, without
 

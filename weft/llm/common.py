@@ -95,26 +95,44 @@ def lean(make):
 ID_FILTER_BITS = 1 << 24
 
 
-def without(docs: DataFrame, gone: DataFrame, id_col: str, key: Column | None = None) -> DataFrame:
-    """The rows of docs whose id (long) and key are not in gone (__id, and __key if there is a key), with all their columns.
+def _suspects(docs: DataFrame, listed: DataFrame, id_col: str, key: Column | None) -> tuple[DataFrame, DataFrame, Column]:
+    """The rows of docs that a filter of the listed ids (long, __id) rules out, the others, and when one of these is listed.
 
-    gone is a written table. A filter of fixed size of its ids is broadcast; rows it lets through stay where they are, and
-    only the others are shuffled for the exact comparison, so no text moves that is not suspected.
+    The filter is of fixed size and broadcast; rows it rules out stay where they are, and only the others are shuffled
+    for the exact comparison, so no text moves that is not suspected.
     """
     h = lambda c: F.pmod(F.xxhash64(c), F.lit(ID_FILTER_BITS))
-    marks = gone.groupBy(F.shiftrightunsigned(h(F.col("__id")), 6).alias("__w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (h(F.col("__id")) % 64).cast("int"))).alias("__f"))
+    marks = listed.groupBy(F.shiftrightunsigned(h(F.col("__id")), 6).alias("__w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (h(F.col("__id")) % 64).cast("int"))).alias("__f"))
     own = F.col(id_col).cast("long")
     tested = docs.withColumns({"__own": own, "__w": F.shiftrightunsigned(h(own), 6)}).join(F.broadcast(marks), "__w", "left")
     may = F.coalesce(F.getbit("__f", (h(F.col("__own")) % 64).cast("int")) == 1, F.lit(False))
-    stay = tested.where(~may).select(*docs.columns)
     some = tested.where(may)
     same = F.col("__own").eqNullSafe(F.col("__id"))
     if key is not None:
         some = some.withColumn("__mine", key)
         same = same & (F.col("__mine") == F.col("__key"))
+    return tested.where(~may).select(*docs.columns), some, same
+
+
+def without(docs: DataFrame, gone: DataFrame, id_col: str, key: Column | None = None) -> DataFrame:
+    """The rows of docs whose id (long) and key are not in gone (__id, and __key if there is a key), with all their columns. gone is a written table."""
+    stay, some, same = _suspects(docs, gone, id_col, key)
     return stay.unionByName(some.join(gone, same, "left_anti").select(*docs.columns))
 
 
+def one_of_each(docs: DataFrame, repeated: DataFrame, id_col: str, key: Column) -> DataFrame:
+    """docs with one row of each id and key in repeated (a written table of __id and __key); other rows stay as they are.
+
+    Of rows with one id and key that with the smallest hash of all its columns stays, whatever the layout of the files.
+    """
+    stay, some, same = _suspects(docs, repeated, id_col, key)
+    alone = some.join(repeated, same, "left_anti").select(*docs.columns)
+    order = F.struct(F.xxhash64(*docs.columns), F.xxhash64(F.lit(1), *docs.columns))
+    row = F.min_by(F.struct(*docs.columns), order).alias("__row")
+    one = some.join(repeated, same, "left_semi").groupBy("__own", "__mine").agg(row).select("__row.*")
+    return stay.unionByName(alone).unionByName(one)
+
+
 def text_or_empty(col: str = "text") -> Column:
     return F.coalesce(F.col(col).cast("string"), F.lit(""))
 

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import new_dir, normalized, staged, text_or_empty, without
+from .common import new_dir, normalized, one_of_each, staged, text_or_empty, without
 
 #: Bits of a run's filter: 2^24 bits are 262,144 longs, the bound of what is broadcast for each run.
 FILTER_BITS = 1 << 24
@@ -115,12 +115,15 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def keep_distinct(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that exact_dedup keeps, with all their columns. Of texts only those of suspects shuffle."""
+    """The rows of docs that exact_dedup keeps, with all their columns. Of texts only those of suspects shuffle.
+
+    Of rows that repeat an id and its text that with the smallest hash of all columns stays.
+    """
+    base = new_dir(docs.sparkSession, "gone")
     rows = exact_dedup(docs, id_col, text_col).select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__key"), "kept")
-    gone = rows.groupBy("__id", "__key").agg(F.bool_or("kept").alias("any")).where("not any").select("__id", "__key")
-    gone = staged(gone, f"{new_dir(docs.sparkSession, 'gone')}")
+    told = rows.groupBy("__id", "__key").agg(F.bool_or("kept").alias("any"), F.count("*").alias("n")).where("not any or n > 1")
+    told = staged(told, f"{base}/told")
     sha = F.sha2(normalized(text_or_empty(text_col)), 256)
+    gone, repeated = told.where("not any").select("__id", "__key"), told.where("any").select("__id", "__key")
     stay = without(docs, gone, id_col, sha)
-    if docs.groupBy(id_col).agg(F.count("*").alias("n")).where("n > 1").isEmpty():
-        return stay
-    return stay.withColumn("__text_sha", sha).dropDuplicates([id_col, "__text_sha"]).drop("__text_sha")
+    return stay if repeated.isEmpty() else one_of_each(stay, repeated, id_col, sha)
