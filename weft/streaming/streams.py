@@ -38,6 +38,76 @@ class Compactor:
         new.write.mode("overwrite").parquet(f"{self.path}/batch={batch}")
 
 
+class LevelledCompactor:
+    """foreachBatch target: folds edge events into parts below path, and parts into larger ones, so that a batch costs what it
+    holds and not what the graph holds.
+
+    Batch b writes its own events, compacted, as level=0/part=b. Each FAN-th part of a level merges the last FAN of them into
+    one part of the next. What a snapshot reads is a part for each digit of the number of batches, FAN - 1 a level at
+    most. A part's name comes from the batch's number alone: a batch that runs again writes its parts anew and counts
+    nothing twice.
+    """
+
+    FAN = 8
+
+    def __init__(self, path: str):
+        self.path = path
+
+    def part(self, level: int, number: int) -> str:
+        return f"{self.path}/level={level}/part={number}"
+
+    def __call__(self, events: DataFrame, batch: int) -> None:
+        graph.compact_part(events).write.mode("overwrite").parquet(self.part(0, batch))
+        level, number = 0, batch
+        while (number + 1) % self.FAN == 0:
+            parts = [self.part(level, i) for i in range(number + 1 - self.FAN, number + 1)]
+            level, number = level + 1, number // self.FAN
+            graph.compact_part(events.sparkSession.read.parquet(*parts)).write.mode("overwrite").parquet(self.part(level, number))
+
+    def parts(self, batches: int) -> list[str]:
+        """The parts that together hold the first so many batches."""
+        out, level, rest = [], 0, batches
+        while rest:
+            out += [self.part(level, i) for i in range(rest - rest % self.FAN, rest)]
+            level, rest = level + 1, rest // self.FAN
+        return out
+
+    def snapshot(self, spark: SparkSession, batches: int) -> DataFrame:
+        return graph.compact_part(spark.read.parquet(*self.parts(batches))).drop("seq")
+
+
+class Stopped(Exception):
+    """What a query is stopped with, to show that it goes on where it was."""
+
+
+class StopAfter:
+    """A foreachBatch target that does what another one does and then, once, at a batch, fails before the batch is committed."""
+
+    def __init__(self, target, batch: int):
+        self.target, self.batch = target, batch
+
+    def __call__(self, rows: DataFrame, batch: int) -> None:
+        self.target(rows, batch)
+        if batch == self.batch:
+            raise Stopped(f"stopped at batch {batch}")
+
+
+def drain(writer) -> int:
+    """Runs a stream over what is there, from its checkpoint on, until all of it is done; returns the number of batches so far."""
+    query = writer.trigger(availableNow=True).start()
+    query.awaitTermination()
+    last = query.lastProgress
+    return last["batchId"] + 1 if last else 0
+
+
+def committed(spark: SparkSession, checkpoint: str) -> int:
+    """How many batches a checkpoint has committed."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{checkpoint}/commits")
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [s.getPath().getName() for s in fs.listStatus(folder)] if fs.exists(folder) else []
+    return max((int(n) + 1 for n in names if n.isdigit()), default=0)
+
+
 class _Sizes(StatefulProcessor):
     """Emits a file's crossing of the threshold, once."""
 
@@ -102,21 +172,34 @@ def leases(claims: DataFrame, lease_ms: int = LEASE_MS) -> DataFrame:
     return claims.groupBy("file_id").transformWithStateInPandas(_Leases(lease_ms), "file_id long, owner string, granted boolean", "Append", "ProcessingTime")
 
 
+#: Rows of a frame that a processor gives out at once.
+AT_ONCE = 10_000
+
+
 class _Entities(StatefulProcessor):
-    """Files that mention an entity; a new file is linked to those before it."""
+    """Files that mention an entity and where each first did; a new file is linked to those before it."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.files = handle.getListState("files", "file_id long")
+        self.files = handle.getMapState("files", "file_id long", "seq long")
 
-    def handleInputRows(self, key, rows, timerValues):  # noqa: N802,N803
-        seen = [r[0] for r in self.files.get()] if self.files.exists() else []
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802,N803
         out = []
-        for r in pd.concat(list(rows)).sort_values("seq").itertuples():
-            if int(r.file_id) not in seen:
-                out += [(int(r.file_id), f, key[0]) for f in seen]
-                seen.append(int(r.file_id))
-                self.files.appendValue((int(r.file_id),))
-        yield pd.DataFrame(out, columns=["source", "target", "entity"]).astype({"source": "int64", "target": "int64"})
+        for r in pd.concat(list(rows)).sort_values(["seq", "file_id"]).itertuples():
+            file, seq = (int(r.file_id),), int(r.seq)
+            if self.files.containsKey(file):  # one look, however many files the entity has
+                continue
+            for other, first in self.files.iterator():
+                if first[0] < seq:
+                    out.append((file[0], other[0], key[0]))
+                if len(out) >= AT_ONCE:
+                    yield self._frame(out)
+                    out = []
+            self.files.updateValue(file, (seq,))
+        yield self._frame(out)
+
+    @staticmethod
+    def _frame(rows: list) -> pd.DataFrame:
+        return pd.DataFrame(rows, columns=["source", "target", "entity"]).astype({"source": "int64", "target": "int64"})
 
     def close(self) -> None:
         pass
