@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import store
 from ..operators.models import parse_segment
+from ..operators.shared import new_dir
+from ..sources import mailbox
 from ..sources.readers import chat_ticket, iter_pages
 from .registry import query
 
@@ -328,7 +330,20 @@ def framed_pages(t):
 def page_parse(t):
     """Two pages each; the second holds what looks like the first's end."""
     text = F.concat(T.frame_page(F.col("html"), F.lit(1)), T.frame_page(F.lit("[[/PAGE 1]]"), F.lit(2)))
-    return iter_pages(t.raw("pages").select(F.col("page_id").alias("id"), text.alias("text"))).select("id", "page", F.md5(F.col("text").cast("binary")).alias("text_md5"))
+    return iter_pages(t.raw("pages").select("page_id", text.alias("text")), "page_id").select("id", "page", F.md5(F.col("text").cast("binary")).alias("text_md5"))
+
+
+@query("""
+    SELECT 'm' || conv_id || '-' || turn AS id, role || '@example.com' AS sender, 'Re: case ' || conv_id AS subject, CASE WHEN turn % 3 = 2 THEN '<m' || conv_id || '-0>' ELSE 'subject:case ' || conv_id END AS thread, md5(trim(text, ' ' || chr(9) || chr(10))) AS body_md5 FROM conversations""")
+def mail_messages(t):
+    """Conversations written as mail, one message a turn, and read back by the data source in small partitions."""
+    n, turn = F.col("conv_id").cast("string"), F.col("turn").cast("string")
+    reply = F.when(F.col("turn") % 3 == 2, F.map_from_arrays(F.array(F.lit("In-Reply-To")), F.array(F.concat(F.lit("<m"), n, F.lit("-0>"))))).otherwise(F.expr("cast(map() as map<string,string>)"))
+    headers = F.map_concat(F.create_map(F.lit("Message-ID"), F.concat(F.lit("<m"), n, F.lit("-"), turn, F.lit(">")), F.lit("From"), F.concat(F.col("role"), F.lit("@example.com")), F.lit("Subject"), F.concat(F.lit("Re: case "), n)), reply)
+    path = f"{new_dir(t.spark, 'mail')}/box"
+    mailbox.write_mbox(t.raw("conversations").select(headers.alias("headers"), F.col("text").alias("body")), path)
+    x = mailbox.mails(t.spark, path, partitionBytes=1 << 16)
+    return x.select("id", "sender", "subject", "thread", F.md5(F.col("body").cast("binary")).alias("body_md5"))
 
 
 # RE2 knows ASCII word boundaries only: letters and digits beyond ASCII become _, which is of no capitalised word.

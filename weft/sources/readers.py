@@ -140,16 +140,22 @@ def parse_pages(text: str) -> list[tuple[int, str]]:
     return out
 
 
-def iter_pages(df: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:
-    """id, page, text for each page of framed documents."""
+class _Pages:
+    """The pages of one framed text."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = [(i, n, p) for i, t in zip(b["id"], b["text"], strict=True) for n, p in parse_pages(t)]
-            yield pd.DataFrame(rows, columns=["id", "page", "text"])
+    def eval(self, text: str):
+        if text is not None:
+            yield from parse_pages(text)
 
-    kind = dict(df.dtypes)[id_col]
-    return df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInPandas(run, f"id {kind}, page int, text string")
+
+def iter_pages(df: DataFrame, id_col: str = "id", text_col: str = "text", *keep: str) -> DataFrame:
+    """id, page, text, and the columns of keep, for each page of framed documents; a null text has none.
+
+    A table function joined laterally: only the text goes to Python, what stands beside it stays where it is.
+    """
+    pages = F.udtf(_Pages, returnType="page int, body string", useArrow=True)
+    x = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("__text"), *keep)
+    return x.lateralJoin(pages(F.col("__text").outer())).select("id", "page", F.col("body").alias("text"), *keep)
 
 
 def repair_json(text: str) -> str:
