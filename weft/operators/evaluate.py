@@ -68,18 +68,48 @@ def lexical_scores(queries: DataFrame, docs: DataFrame, size: int, overlap: int)
     return s.groupBy("query_id", "doc_id").agg(F.max("n").cast("double").alias("score"))
 
 
-def chunk_grid(queries: DataFrame, docs: DataFrame, qrels: DataFrame, k: int = 3, scores=lexical_scores, sizes: tuple = CHUNK_SIZES, shares: tuple = OVERLAP_SHARES) -> DataFrame:
+def lexical_grid(queries: DataFrame, docs: DataFrame, cells: list[tuple[int, int]]) -> DataFrame:
+    """size, overlap, query_id, doc_id, score: lexical_scores for all cells (size, overlap) of a grid in one pass.
+
+    Texts are cut into words once. Words meet the queries' terms before anything else, and only those that match are put
+    into the chunks of each cell that hold them, so texts are neither read nor tokenised again for a cell.
+    """
+    if any(size <= 0 or not 0 <= overlap < size for size, overlap in cells):
+        raise ValueError("sizes must be positive and overlaps smaller")
+    asked = queries.select("query_id", F.explode(F.array_distinct(T.tokenize_terms(F.col("text")))).alias("term")).where("term <> ''")
+    words = docs.select("doc_id", F.filter(F.split("text", "\\s+"), lambda x: x != "").alias("w"))
+    x = words.select("doc_id", F.size("w").alias("n"), F.posexplode("w").alias("at", "word")).select("doc_id", "n", "at", F.explode(F.array_distinct(T.tokenize_terms(F.col("word")))).alias("term"))
+    x = x.join(asked, "term")
+    x = x.withColumn("cell", F.explode(F.array(*[F.struct(F.lit(s).alias("size"), F.lit(o).alias("overlap"), F.lit(s - o).alias("stride")) for s, o in cells])))
+    size, stride = F.col("cell.size"), F.col("cell.stride")
+    chunks = F.when(F.col("n") <= size, F.lit(1)).otherwise(F.ceil((F.col("n") - size) / stride) + 1)
+    first, last = F.greatest(F.lit(0), F.ceil((F.col("at") - size + 1) / stride)), F.least(chunks - 1, F.floor(F.col("at") / stride))
+    x = x.withColumn("chunk_no", F.explode(F.sequence(first.cast("int"), last.cast("int"))))
+    s = x.select("cell.size", "cell.overlap", "query_id", "doc_id", "chunk_no", "term").distinct().groupBy("size", "overlap", "query_id", "doc_id", "chunk_no").agg(F.count("*").alias("n"))
+    return s.groupBy("size", "overlap", "query_id", "doc_id").agg(F.max("n").cast("double").alias("score"))
+
+
+def chunk_grid(queries: DataFrame, docs: DataFrame, qrels: DataFrame, k: int = 3, scores=None, sizes: tuple = CHUNK_SIZES, shares: tuple = OVERLAP_SHARES) -> DataFrame:
     """size, overlap, mean_recall, best: recall of the first k documents for each chunk size and overlap; of equal recalls the smaller size, then the smaller overlap is best.
 
-    scores(queries, docs, size, overlap) gives query_id, doc_id, score, by a model's vectors or, without one, by terms.
+    scores(queries, docs, size, overlap) gives query_id, doc_id, score of a cell by a model's vectors; without it terms score, all cells in one pass.
     """
-    out = None
-    for size in sizes:
-        for share in shares:
-            overlap = int(size * share)
-            got = best_chunk(scores(queries, docs, size, overlap), k)
-            x = retrieval_scores(queries, got, qrels, k).agg(F.coalesce(F.avg("recall"), F.lit(0.0)).alias("mean_recall")).select(F.lit(size).alias("size"), F.lit(overlap).alias("overlap"), "mean_recall")
-            out = x if out is None else out.unionByName(x)
+    cells = [(size, int(size * share)) for size in sizes for share in shares]
+    in_cell = lambda df: df.select(F.struct("size", "overlap", "query_id").alias("query_id"), *[c for c in df.columns if c not in ("size", "overlap", "query_id")])
+    if scores is None:
+        scored = lexical_grid(queries, docs, cells)
+    else:
+        scored = None
+        for size, overlap in cells:
+            x = scores(queries, docs, size, overlap).select(F.lit(size).alias("size"), F.lit(overlap).alias("overlap"), "query_id", "doc_id", "score")
+            scored = x if scored is None else scored.unionByName(x)
+    each = F.explode(F.array(*[F.struct(F.lit(s).alias("size"), F.lit(o).alias("overlap")) for s, o in cells])).alias("cell")
+    spread = lambda df: df.select("*", each).select("cell.size", "cell.overlap", *df.columns)
+    got = best_chunk(in_cell(scored), k)
+    x = retrieval_scores(in_cell(spread(queries.select("query_id"))), got, in_cell(spread(qrels.select("query_id", "doc_id"))), k)
+    means = x.groupBy("query_id.size", "query_id.overlap").agg(F.coalesce(F.avg("recall"), F.lit(0.0)).alias("mean_recall"))
+    grid = queries.sparkSession.createDataFrame(cells, "size int, overlap int")
+    out = grid.join(means, ["size", "overlap"], "left").select("size", "overlap", F.coalesce("mean_recall", F.lit(0.0)).alias("mean_recall"))
     order = Window.orderBy(F.desc("mean_recall"), "size", "overlap")  # a row for each cell of the grid
     return out.withColumn("best", F.row_number().over(order) == 1)
 

@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import graph
+from ..operators.shared import new_dir
+from ..sources.readers import with_entities
 from .registry import query
 
 EVENTS = "SELECT l_partkey % 1000 + 1 AS source, l_suppkey * 7 % 1000 + 1 AS target, (['SPLIT_SIBLING', 'REDIRECT', 'ENTITY_COOCCUR', 'LLM_ASSERTED'])[l_orderkey % 4 + 1] AS edge_type, l_quantity::BIGINT AS weight, epoch(l_shipdate)::BIGINT AS last_updated, l_orderkey * 8 + l_linenumber AS seq FROM lineitem"
@@ -270,3 +272,38 @@ def set_intersect(t):
 @query("SELECT l_partkey AS k FROM lineitem EXCEPT SELECT o_custkey FROM orders")
 def set_except(t):
     return t.raw("lineitem").select(F.col("l_partkey").alias("k")).subtract(t.raw("orders").select(F.col("o_custkey").alias("k")))
+
+
+@query(f"WITH {COMPACTED} SELECT * FROM edges")
+def snapshot_round_trip(t):
+    """The compacted edges written as a snapshot and read back, count and checksum compared."""
+    path = new_dir(t.spark, "snapshot")
+    graph.write_snapshot(compacted(t), path)
+    return graph.read_snapshot(t.spark, path)
+
+
+@query(f"WITH ev AS ({EVENTS}), s AS (SELECT DISTINCT source, target, edge_type FROM ev WHERE edge_type IN ('SPLIT_SIBLING', 'REDIRECT')) SELECT * FROM s WHERE (source, target, edge_type) NOT IN (SELECT source, target, edge_type FROM ev WHERE seq <= 40000)")
+def structural_append(t):
+    """Sibling and redirect edges that the log does not have yet; another type would be an error."""
+    e = t.edge_events()
+    return graph.append_structural(e.where("seq <= 40000"), graph.structural_log(e)).select("source", "target", "edge_type")
+
+
+@query("SELECT DISTINCT 'order ' || l_orderkey AS entity, l_partkey + 1 AS file_id FROM lineitem")
+def entity_index_upsert(t):
+    """The index of all but some lines, with all lines put in: entries that are there change nothing."""
+    m = order_mentions(t)
+    return graph.index_entities(m.where("seq % 3 > 0"), m.unionByName(m.where("seq = 1")))
+
+
+_SAID = """x AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN '["Alpha ' || doc_id || '", "alpha ' || doc_id || '", " ' || source || ' "]' WHEN 1 THEN chr(96) || chr(96) || chr(96) || 'json' || chr(10) || '["' || source || '", "two' || chr(10) || 'lines", ""]' || chr(10) || chr(96) || chr(96) || chr(96) WHEN 2 THEN '[]' ELSE 'none here' END AS response, source FROM documents)"""
+
+
+@query(f"""WITH {_SAID} SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'Alpha ' || doc_id || '|' || source WHEN 1 THEN source || '|two' || chr(10) || 'lines' WHEN 2 THEN '' ELSE 'Of|Paris' END AS entities FROM x""")
+def response_entities(t):
+    """Entities of responses: JSON with repeats, fenced JSON with a raw line feed in a string, an empty list, and no JSON (the source's capitalised runs)."""
+    n, tick = F.col("doc_id").cast("string"), F.lit("```")
+    r = F.when(F.col("doc_id") % 4 == 0, F.concat(F.lit('["Alpha '), n, F.lit('", "alpha '), n, F.lit('", " '), "source", F.lit(' "]')))
+    r = r.when(F.col("doc_id") % 4 == 1, F.concat(tick, F.lit('json\n["'), F.col("source"), F.lit('", "two\nlines", ""]\n'), tick)).when(F.col("doc_id") % 4 == 2, F.lit("[]")).otherwise(F.lit("none here"))
+    x = with_entities(t.raw("documents").select("doc_id", r.alias("response"), F.lit("Of late, and in Paris. paris").alias("said"), "source"), F.col("response"), F.col("said"))
+    return x.select("doc_id", F.array_join("entities", "|").alias("entities"))

@@ -367,13 +367,20 @@ def rerank_parse(t):
     return x.select("event_id", F.array_join(F.transform("o", lambda v: v.cast("string")), "").alias("ordering"))
 
 
-@query("SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN 1 ELSE 2 END AS n_unknown, CASE WHEN p_partkey % 2 = 0 THEN 'x' ELSE 'docs/' || p_partkey || '.md|x' END AS unknown FROM part")
+@query(r"""
+    WITH p AS (SELECT l_orderkey AS q, l_linenumber AS pos, 'docs/' || l_partkey || '.md' AS path, 'docs/' || (l_partkey + l_linenumber % 2) || '.md' AS cited FROM lineitem),
+    c AS (SELECT q, string_agg('## File: ' || path || chr(10) || 'see ## File: no.md' || chr(10), '' ORDER BY pos) AS context FROM p GROUP BY q),
+    g AS (SELECT q, unnest(regexp_extract_all(context, '(?m)^## File: (.+)$', 1)) AS path FROM c),
+    u AS (SELECT DISTINCT q, cited FROM p EXCEPT SELECT q, trim(path) FROM g)
+    SELECT c.q, count(cited) AS n_unknown, coalesce(string_agg(cited, '|' ORDER BY cited), '') AS unknown FROM c LEFT JOIN u ON u.q = c.q GROUP BY c.q""")
 def unknown_citations(t):
-    k = F.col("p_partkey").cast("string")
-    mine = F.concat(F.lit("docs/"), k, F.lit(".md"))
-    context = F.concat(T.file_block(F.when(F.col("p_partkey") % 2 == 0, mine).otherwise("docs/other.md"), F.lit("text\n## Files: no")), T.file_block(F.lit("b.md "), F.lit("y")))
-    u = T.unknown_citations(F.array(mine, F.lit("x"), F.lit("b.md"), F.lit("x")), T.provided_paths(context))
-    return t.raw("part").select("p_partkey", F.size(u).alias("n_unknown"), F.array_join(u, "|").alias("unknown"))
+    """An order is a question: its parts are the files of the context, and of those it cites some are not among them."""
+    n = F.col("l_partkey")
+    name = lambda c: F.concat(F.lit("docs/"), c.cast("string"), F.lit(".md"))
+    x = t.raw("lineitem").select(F.col("l_orderkey").alias("q"), F.col("l_linenumber").alias("pos"), T.file_block(name(n), F.lit("see ## File: no.md")).alias("block"), name(n + F.col("l_linenumber") % 2).alias("cited"))
+    c = x.groupBy("q").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "block"))), lambda y: y["block"]), "").alias("context"), F.collect_set("cited").alias("cited"))
+    u = F.array_sort(T.unknown_citations(F.col("cited"), T.provided_paths(F.col("context"))))
+    return c.select("q", F.size(u).cast("long").alias("n_unknown"), F.array_join(u, "|").alias("unknown"))
 
 
 @query("SELECT doc_id, strlen(substring(text, 1, length(text) // 3)) AS byte_offset FROM documents")
@@ -457,3 +464,42 @@ def events_sessions(t):
     return x.select("user_id", F.col("w.start").alias("start"), "n")
 
 
+@query("SELECT o_custkey + 1 AS source, o_orderkey % 50 + 1 AS target, 'REDIRECT' AS edge_type, floor(o_totalprice)::BIGINT + 1 AS weight, 77::BIGINT AS last_updated FROM orders")
+def put_edges(t):
+    """Edges checked and stamped; a bad one would be an error."""
+    e = t.raw("orders").select((F.col("o_custkey") + 1).alias("source"), (F.col("o_orderkey") % 50 + 1).alias("target"), F.lit("REDIRECT").alias("edge_type"), (F.floor("o_totalprice").cast("long") + 1).alias("weight"))
+    return store.put_edges(e, 77)
+
+
+@query("SELECT conv_id + 100000 AS file_id, 1::BIGINT AS version, strlen(coalesce(text, '')) AS size_bytes, 'ACTIVE' AS status FROM conversations WHERE turn = 0")
+def create_files(t):
+    """The first turn of each conversation as a new file; an id that the catalog has would be an error."""
+    new = t.raw("conversations").where("turn = 0").select((F.col("conv_id") + 100_000).alias("file_id"), F.coalesce("text", F.lit("")).alias("data"))
+    return store.create_files(new, t.files().where("file_id < 100000"))
+
+
+@query("SELECT o_orderkey // 500 AS segment, o_orderkey AS seq, md5(o_orderpriority || o_orderkey) AS payload_md5 FROM orders WHERE o_orderkey > 700 AND o_orderkey < (SELECT max(o_orderkey) FROM orders)")
+def wal_scan(t):
+    """Records after a checkpoint; the last one is torn, and left out."""
+    last = t.raw("orders").agg(F.max("o_orderkey").alias("last"))
+    payload = F.concat("o_orderpriority", F.col("o_orderkey").cast("string"))
+    r = t.raw("orders").join(F.broadcast(last)).select(F.floor(F.col("o_orderkey") / 500).alias("segment"), F.col("o_orderkey").alias("seq"), payload.alias("payload"), (F.crc32(payload.cast("binary")) + F.when(F.col("o_orderkey") == F.col("last"), 1).otherwise(0)).alias("crc"))  # one row is broadcast
+    return store.scan_wal(r, 700).select("segment", "seq", F.md5(F.col("payload").cast("binary")).alias("payload_md5"))
+
+
+@query("SELECT o_orderkey // 500 AS segment, count(*) AS n FROM orders WHERE o_orderkey // 500 < 2 GROUP BY 1")
+def wal_archivable(t):
+    """Segments that lie whole before the checkpoint's segment may be archived; its own may not."""
+    s = t.raw("orders").groupBy(F.floor(F.col("o_orderkey") / 500).alias("segment")).agg(F.count("*").alias("n"))
+    return store.archivable(s, 2)
+
+
+@query("SELECT doc_id + 1 AS file_id, 0::BIGINT AS start_1, strlen(text) AS start_2, 2 * strlen(text) + 5 AS start_3, 3 * strlen(text) + 15 AS size FROM documents WHERE text <> ''")
+def section_ranges(t):
+    """Sections of each document that begin at markers, as byte ranges; the first begins with the file."""
+    mark = lambda i: F.lit(f"\x01@{i}\x02\x03")
+    f = t.raw("documents").where("text <> ''").select((F.col("doc_id") + 1).alias("file_id"), F.concat("text", mark(1), "text", mark(2), "text", mark(3)).alias("content"))
+    f = f.withColumn("markers", F.array(F.substring("content", 1, 1), mark(1), mark(2)))
+    r = store.section_ranges(f)
+    x = r.select("file_id", F.transform("ranges", lambda y: y["start"]).alias("s"), F.element_at("ranges", 3)["end"].alias("size"))
+    return x.select("file_id", F.get("s", F.lit(0)).alias("start_1"), F.get("s", F.lit(1)).alias("start_2"), F.get("s", F.lit(2)).alias("start_3"), "size")

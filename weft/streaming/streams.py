@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -183,18 +184,20 @@ class _Entities(StatefulProcessor):
         self.files = handle.getMapState("files", "file_id long", "seq long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802,N803
-        out = []
+        first: dict[int, int] = {}  # of the batch's files that are new
         for r in pd.concat(list(rows)).sort_values(["seq", "file_id"]).itertuples():
-            file, seq = (int(r.file_id),), int(r.seq)
-            if self.files.containsKey(file):  # one look, however many files the entity has
-                continue
-            for other, first in self.files.iterator():
-                if first[0] < seq:
-                    out.append((file[0], other[0], key[0]))
-                if len(out) >= AT_ONCE:
-                    yield self._frame(out)
-                    out = []
-            self.files.updateValue(file, (seq,))
+            if int(r.file_id) not in first and not self.files.containsKey((int(r.file_id),)):
+                first[int(r.file_id)] = int(r.seq)
+        if not first:
+            return
+        out = []
+        for other, seq in chain(((o[0], s[0]) for o, s in self.files.iterator()), list(first.items())):  # the state is read once a batch
+            out += [(file, other, key[0]) for file, own in first.items() if seq < own]
+            if len(out) >= AT_ONCE:
+                yield self._frame(out)
+                out = []
+        for file, seq in first.items():
+            self.files.updateValue((file,), (seq,))
         yield self._frame(out)
 
     @staticmethod
