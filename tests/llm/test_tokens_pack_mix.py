@@ -182,6 +182,23 @@ def test_small_histograms_against_brute_force(seed):
     assert Counter(x for config, k in plan for x in config for _ in range(k)) == Counter(pieces)
 
 
+def test_rounding_needs_no_more_than_best_fit():
+    rng = np.random.default_rng(8)
+    for _ in range(25):
+        capacity = int(rng.integers(20, 300))
+        h = {int(n): int(k) for n, k in zip(rng.integers(1, capacity + 1, 30), rng.integers(1, 60, 30), strict=True)}
+        left = np.zeros(capacity + 1, np.int64)
+        for n, k in h.items():
+            left[n] = k
+        plan, report = packing.solve_with_report(h, capacity)
+        used = Counter()
+        for config, k in plan:
+            assert sum(config) <= capacity and k > 0
+            for n in config:
+                used[n] += k
+        assert used == Counter(h) and report["least"] <= report["sequences"] <= sum(packing._best_fit(left, capacity).values())
+
+
 @pytest.mark.parametrize("capacity,n", [(256, 500), (1000, 2000)])
 def test_the_program_beats_best_fit_on_triples(capacity, n):
     """Pieces that fill sequences in threes only: longest-first best fit wastes a tenth, the program all but nothing."""

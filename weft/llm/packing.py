@@ -5,7 +5,7 @@ configurations as can be, is solved by multiplicative weights: an unbounded-knap
 finds the configurations of most weight, they are used as far as their lengths' demand goes, in whole sequences, and the
 weights of what they cover are lowered by a factor. The weights are also prices, which prove by duality how few sequences
 any packing can have (solve_with_report). The few pieces left over are packed by best fit, longest first, also
-by histogram.
+by histogram; where that misses the bound some of the program's sequences are opened again for it (_rounded).
 
 Scale. The driver sees the histogram alone: at most `capacity` lengths. The plan it sends out has a row for each length of
 each configuration, which the number of rounds and lengths bounds, not the number of pieces. Pieces get their rank among
@@ -34,6 +34,8 @@ ROUNDS, ETA = 300, 1.0
 NEAR = 0.1
 #: Share of the pieces at which the program has converged.
 OPEN = 0.01
+#: Share of the program's sequences that is opened again first, where rounding costs sequences.
+REOPEN = 1 / 64
 #: Pieces of one length that share a salted group.
 GROUP = 128
 
@@ -142,11 +144,39 @@ def solve_with_report(histogram: dict[int, int], capacity: int = CAPACITY, round
         left[n] = k
     total = int(left.sum())
     plan, bound = _program(left, capacity, rounds)
-    rest = int(left.sum())
-    for config, k in _best_fit(left, capacity).items():
-        plan[config] += k
-    used, least = sum(plan.values()), int(np.ceil(bound - 1e-6))
-    return sorted(plan.items(), reverse=True), {"sequences": used, "least": least, "gap": used / max(1, least) - 1, "by_program": 1 - rest / max(1, total)}
+    least = int(np.ceil(bound - 1e-6))
+    packed, rest = _rounded(plan, left, capacity, least)
+    used = sum(packed.values())
+    return sorted(packed.items(), reverse=True), {"sequences": used, "least": least, "gap": used / max(1, least) - 1, "by_program": 1 - rest / max(1, total)}
+
+
+def _rounded(plan: Counter, left: np.ndarray, capacity: int, least: int) -> tuple[Counter, int]:
+    """The program's sequences with what it left packed by best fit, and how many pieces best fit placed.
+
+    What is left has few short pieces to fill gaps with. If that costs more sequences than the bound, the program's
+    sequences of most pieces are opened again, REOPEN of them and twice as many each time, and packed with the rest; the
+    fewest sequences count, the least opened of equal ones. All opened is best fit alone, so it is never beaten by that.
+    """
+    best, share = None, 0.0
+    order = sorted(plan.items(), key=lambda x: (-len(x[0]), x[0]))
+    while True:
+        kept, open_ = Counter(plan), left.copy()
+        budget = int(np.ceil(share * sum(plan.values())))
+        for config, k in order:
+            if budget <= 0:
+                break
+            n = min(k, budget)
+            budget -= n
+            kept[config] -= n
+            for m in config:
+                open_[m] += n
+        rest = int(open_.sum())
+        kept += _best_fit(open_, capacity)  # drops configurations without use
+        if best is None or sum(kept.values()) < sum(best[0].values()):
+            best = kept, rest
+        if sum(best[0].values()) <= least or share >= 1:
+            return best
+        share = min(1.0, max(REOPEN, 2 * share))
 
 
 def _best_fit(left: np.ndarray, capacity: int) -> Counter:
