@@ -9,7 +9,7 @@ import pytest
 
 SF = "/root/testdata/sf0.001"
 HERE = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-SOME = ["search_candidates", "bm25_shortlist", "edge_compaction", "neighbors_2hop", "header_offsets", "path_hash_fnv1a", "split_execute", "ticket_blob", "events_sessions", "entity_graph_retrieve_1hop", "recall_precision_at_k", "version_gc", "chunk_grid_search", "guarded_transitions", "segment_answers", "strip_code_fence", "split_plan_ranges", "benchmark_checkpoints"]
+SOME = ["search_candidates", "bm25_shortlist", "edge_compaction", "neighbors_2hop", "header_offsets", "path_hash_fnv1a", "split_execute", "ticket_blob", "events_sessions", "entity_graph_retrieve_1hop", "recall_precision_at_k", "version_gc", "chunk_grid_search", "guarded_transitions", "segment_answers", "strip_code_fence", "split_plan_ranges", "benchmark_checkpoints", "content_at_version", "adjacency_segments", "stream_crossings", "mail_messages", "ingest_segments", "running_cost_cap", "path_index_delete"]
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import store
+from ..operators import pipelines, store
 from ..operators.models import parse_segment
 from ..operators.shared import new_dir
 from ..sources import mailbox
@@ -503,3 +503,44 @@ def section_ranges(t):
     r = store.section_ranges(f)
     x = r.select("file_id", F.transform("ranges", lambda y: y["start"]).alias("s"), F.element_at("ranges", 3)["end"].alias("size"))
     return x.select("file_id", F.get("s", F.lit(0)).alias("start_1"), F.get("s", F.lit(1)).alias("start_2"), F.get("s", F.lit(2)).alias("start_3"), "size")
+
+
+def _batch(t):
+    """A batch of segments, one a document, with the paths, catalog and mentions it meets."""
+    d, n = t.raw("documents").select("doc_id"), F.col("doc_id")
+    name = lambda p, c: F.concat(F.lit(p), c.cast("string"))
+    even = n - n % 2
+    related = F.concat(F.array(name("topic/", even + 2)), F.when(n % 10 == 0, F.array(name("missing/", n))).otherwise(F.array().cast("array<string>")), F.when(n % 7 == 0, F.array(name("new/", n + 1))).otherwise(F.array().cast("array<string>")))
+    action = F.when(n % 3 == 0, "APPEND_EXISTING").otherwise("CREATE_NEW")
+    segments = d.select(n.alias("seq"), action.alias("topic_action"), F.when(n % 3 == 0, name("topic/", even)).alias("target_topic"), F.when(n % 3 == 0, "").otherwise(name("new/", n)).alias("new_topic_path"), name("text ", n).alias("content_markdown"), F.array(name("e", F.floor(n / 4))).alias("entities"), related.alias("related_topics"))
+    paths = d.where("doc_id % 2 = 0").select(name("topic/", n).alias("path"), (n + 1).alias("file_id"))
+    mentions = d.where("doc_id % 5 = 0").select(name("e", F.floor(n / 4)).alias("entity"), (n + 1).alias("file_id"), (n - 1_000_000).alias("seq"))
+    return segments, paths, d.select((n + 1).alias("file_id")), mentions
+
+
+@query("""
+    WITH u AS (SELECT max(doc_id) + 1 AS top FROM documents), s AS (SELECT doc_id AS seq, doc_id % 3 = 0 AS append, doc_id - doc_id % 2 AS even FROM documents),
+    p AS (SELECT seq, append, even, CASE WHEN append THEN even + 1 ELSE top + row_number() OVER (PARTITION BY append ORDER BY seq) END AS file_id FROM s, u),
+    known AS (SELECT 'topic/' || doc_id AS path, doc_id + 1 AS file_id FROM documents WHERE doc_id % 2 = 0 UNION ALL SELECT 'new/' || seq, file_id FROM p WHERE NOT append),
+    new AS (SELECT 'e' || (seq // 4) AS entity, file_id, seq FROM p), old AS (SELECT 'e' || (doc_id // 4) AS entity, doc_id + 1 AS file_id, doc_id - 1000000 AS seq FROM documents WHERE doc_id % 5 = 0),
+    every AS (SELECT entity, file_id, min(seq) AS seq FROM (SELECT * FROM new UNION ALL SELECT * FROM old) GROUP BY 1, 2),
+    co AS (SELECT a.file_id AS source, b.file_id AS target, count(*) AS weight FROM every a JOIN every b ON a.entity = b.entity AND a.seq > b.seq AND a.file_id <> b.file_id WHERE a.file_id IN (SELECT file_id FROM new) GROUP BY 1, 2),
+    r AS (SELECT DISTINCT file_id AS source, 'topic/' || (even + 2) AS topic FROM p UNION SELECT file_id, 'missing/' || seq FROM p WHERE seq % 10 = 0 UNION SELECT file_id, 'new/' || (seq + 1) FROM p WHERE seq % 7 = 0),
+    t AS (SELECT source, topic, k.file_id AS target FROM r LEFT JOIN known k ON k.path = topic WHERE k.file_id IS NULL OR k.file_id <> source)
+    SELECT 'put' AS kind, file_id::VARCHAR AS a, seq::VARCHAR AS b, CASE WHEN append THEN 'append' ELSE 'create' END || ' text ' || seq AS c FROM p
+    UNION ALL SELECT 'path', 'new/' || seq, file_id::VARCHAR, '' FROM p WHERE NOT append
+    UNION ALL SELECT DISTINCT 'index', entity, file_id::VARCHAR, '' FROM every
+    UNION ALL SELECT 'edge', source::VARCHAR, target::VARCHAR, 'ENTITY_COOCCUR ' || weight FROM co
+    UNION ALL SELECT DISTINCT 'edge', source::VARCHAR, target::VARCHAR, 'LLM_ASSERTED 1' FROM t WHERE target IS NOT NULL
+    UNION ALL SELECT 'error', source::VARCHAR, 'no topic ' || topic, '' FROM t WHERE target IS NULL""")
+def ingest_segments(t):
+    """All that a batch of segments writes: puts with new ids, paths, index, edges, and related topics that are none."""
+    out = pipelines.execute_segments(*_batch(t))
+    text = lambda c: F.col(c).cast("string")
+    row = lambda kind, df, a, b, c: df.select(F.lit(kind).alias("kind"), a.alias("a"), b.alias("b"), c.alias("c"))
+    none = F.lit("")
+    x = row("put", out["puts"], text("file_id"), text("seq"), F.concat("op", F.lit(" "), "data"))
+    x = x.unionByName(row("path", out["paths"], F.col("path"), text("file_id"), none))
+    x = x.unionByName(row("index", out["index"], F.col("entity"), text("file_id"), none))
+    x = x.unionByName(row("edge", out["edges"], text("source"), text("target"), F.concat("edge_type", F.lit(" "), text("weight"))))
+    return x.unionByName(row("error", out["errors"], text("file_id"), F.col("error"), none))
