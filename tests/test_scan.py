@@ -101,3 +101,21 @@ def test_pins_and_sizes_of_a_hot_key(spark):
     sizes = [2 * (i % 4) * (i != 5) for i in range(700)]
     assert [tuple(r) for r in got.orderBy("seq").select("seq", "new_size").collect()] == [(i, sum(sizes[: i + 1])) for i in range(700)]
     assert got.where("crossed").count() == 1
+
+
+@pytest.mark.parametrize("block,owners", [(8, 3), (256, 30)])
+def test_leases_are_those_of_a_loop(spark, monkeypatch, block, owners):
+    monkeypatch.setattr(scan, "BLOCK", block)
+    rows, at = [], 0
+    for k, s in events(400):
+        at += rng.choice([0, 0, 1, 2, 9])
+        rows.append((k, s, f"o{rng.randrange(owners)}", at))
+    got = store.lease_decisions(spark.createDataFrame(rows, "file_id long, seq long, owner string, at long"), 10, bound=100)
+    state, want = {}, []
+    for k, s, owner, at in rows:
+        holder, until = state.get(k, (None, -1))
+        granted = at >= until or owner == holder
+        if granted:
+            state[k] = (owner, at + 10)
+        want.append((k, s, owner, granted, *state[k]))
+    assert sorted(map(tuple, got.collect())) == sorted(want) and {w[3] for w in want} == {True, False}

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from .number import numbered
 from .scan import fold_states, scan
+from .shared import new_dir, staged
 
 # States of a file, the moves between them, and the most targets of a redirect.
 STATES = ("ACTIVE", "SPLITTING", "SPLIT", "REDIRECT")
@@ -313,6 +314,56 @@ def guard_transitions(events: DataFrame, bound: int | None = None) -> DataFrame:
     return out.select("file_id", "seq", legal(F.col("before"), F.col("wanted")).alias("accepted"), F.element_at(names, F.col("state") + 1).alias("status"))
 
 
+def lease_decisions(claims: DataFrame, lease: int, bound: int | None = None) -> DataFrame:
+    """file_id, seq, owner, granted, holder, until: what becomes of claims (file_id, seq, owner, at), in order of seq; at does not fall.
+
+    A claim is granted on a file that nobody holds or whose lease is over, and its owner's next claims renew the lease;
+    others are refused while it lasts. holder and until are those after the claim.
+
+    No task walks through a file. The claims of one owner that follow each other within a lease are a session, and whoever is
+    granted the file keeps it to the session's end: so a file is a fold over one number, the time from which it is free. A
+    block's map has a step for each result it can end with, not for each claim.
+    """
+    base = new_dir(claims.sparkSession, "leases")  # each scan reads its rows several times, so they are written in between
+    x = claims.select("file_id", "seq", "owner", F.col("at").cast("long").alias("at"))
+    own = ["file_id", "owner"]
+    x = staged(scan(x, own, "seq", {"prior": (F.max, F.col("at"))}, bound=bound), f"{base}/prior")
+    new = (F.col("prior").isNull() | (F.col("at") >= F.col("prior") + lease)).cast("long")
+    x = staged(scan(x, own, "seq", {"session": (F.sum, new)}, upto=True, bound=bound).drop("prior"), f"{base}/sessions")
+    ends = x.groupBy(*own, "session").agg((F.max("at") + lease).alias("free"))
+    x = staged(x.join(ends, [*own, "session"]).drop("session"), f"{base}/free")
+
+    def merged(steps):  # of neighbours with one result the later says all
+        return F.filter(steps, lambda y, i: F.coalesce(F.get(steps, i + 1)["free"] != y["free"], F.lit(True)))
+
+    def result(steps, free):
+        return F.coalesce(F.get(F.filter(steps, lambda y: free <= y["upto"]), F.lit(0))["free"], free)
+
+    def moved(steps, to):
+        return F.transform(steps, lambda y: F.struct(y["upto"].alias("upto"), to(y["free"]).alias("free")))
+
+    def as_map(events):
+        def add(m, e):
+            after = moved(m, lambda free: F.when(e["at"] >= free, e["free"]).otherwise(free))
+            return merged(F.concat(after, F.array(F.struct(e["at"].alias("upto"), e["free"].alias("free")))))
+
+        return F.aggregate(events, F.expr("cast(array() as array<struct<upto:bigint,free:bigint>>)"), add)
+
+    def compose(f, g):
+        last = F.element_at(f, -1)["upto"]
+        return merged(F.concat(moved(f, lambda free: result(g, free)), F.filter(g, lambda y: y["upto"] > last)))
+
+    files = x.select("file_id", F.lit(-(1 << 63)).alias("state")).distinct()
+    out = fold_states(x, "file_id", "seq", files, as_map=as_map, compose=compose, apply=result, step=lambda free, e: F.when(e["at"] >= free, e["free"]).otherwise(free), bound=bound)
+    out = out.withColumn("fresh", F.col("at") >= F.col("before")).select("file_id", "seq", "owner", "at", "fresh")
+    out = staged(out, f"{base}/folded")
+    begun = out.where("fresh").select("file_id", F.col("seq").alias("start"), F.col("owner").alias("holder"))
+    held = scan(out, ["file_id"], "seq", {"start": (F.max, F.when(F.col("fresh"), F.col("seq")))}, upto=True, bound=bound).join(begun, ["file_id", "start"])
+    held = staged(held.withColumn("granted", F.col("owner") == F.col("holder")), f"{base}/held")
+    until = scan(held, ["file_id"], "seq", {"until": (F.max, F.when(F.col("granted"), F.col("at") + lease))}, upto=True, bound=bound)
+    return until.select("file_id", "seq", "owner", "granted", "holder", "until")
+
+
 def index_paths(events: DataFrame) -> DataFrame:
     """The path index (path, file_id) after events (path, seq, op put or delete, file_id): a put of a path that is there replaces its file."""
     return latest(events, "path").select("path", "file_id")

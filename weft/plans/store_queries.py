@@ -544,3 +544,14 @@ def ingest_segments(t):
     x = x.unionByName(row("index", out["index"], F.col("entity"), text("file_id"), none))
     x = x.unionByName(row("edge", out["edges"], text("source"), text("target"), F.concat("edge_type", F.lit(" "), text("weight"))))
     return x.unionByName(row("error", out["errors"], text("file_id"), F.col("error"), none))
+
+
+@query("""
+    WITH RECURSIVE c AS (SELECT CASE WHEN event_id % 3 = 0 THEN 0 ELSE user_id + 1 END AS file_id, event_id AS seq, event_type AS owner, event_id // 2 AS tm FROM events), e AS (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY seq) AS i FROM c),
+    f(file_id, i, seq, owner, granted, holder, until) AS (SELECT file_id, i, seq, owner, true, owner, tm + 9 FROM e WHERE i = 1
+      UNION ALL SELECT e.file_id, e.i, e.seq, e.owner, e.tm >= f.until OR e.owner = f.holder, CASE WHEN e.tm >= f.until THEN e.owner ELSE f.holder END, CASE WHEN e.tm >= f.until OR e.owner = f.holder THEN e.tm + 9 ELSE f.until END FROM f JOIN e ON e.file_id = f.file_id AND e.i = f.i + 1)
+    SELECT file_id, seq, owner, granted, holder, until FROM f""")
+def lease_decisions(t):
+    """Claims of five owners on files of which one has a third of all, under contention."""
+    c = t.raw("events").select(F.when(F.col("event_id") % 3 == 0, F.lit(0)).otherwise(F.col("user_id") + 1).alias("file_id"), F.col("event_id").alias("seq"), F.col("event_type").alias("owner"), F.floor(F.col("event_id") / 2).alias("at"))
+    return store.lease_decisions(c, 9)
