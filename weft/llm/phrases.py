@@ -33,7 +33,7 @@ LEAST, LONGEST, MOST = 30, 4, 2000
 INSIDE_PERCENT = 80
 SCALE = 2_000_000
 #: Bytes of text of a shard, and rows of bitmaps that are extended at once.
-SHARD, AT_ONCE = 8 << 20, 1 << 17
+SHARD, AT_ONCE = 4 << 20, 1 << 17
 FILTER_BITS, FEWEST_BITS, MOST_BITS, PROBES = 16, 1 << 16, 1 << 27, 3
 PARTS = 32
 
