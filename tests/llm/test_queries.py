@@ -23,7 +23,8 @@ def test_same_as_duckdb(spark, name):
     from weft.llm import queries
 
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
+    for table in ("documents", "labels"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{SF}/{table}.parquet'")
     rel = con.execute(queries.ORACLE_SQL[name])
     cols = [c[0] for c in rel.description]
     assert sorted(map(tuple, queries.QUERIES[name](spark, SF).select(*cols).collect())) == sorted(rel.fetchall())
