@@ -184,14 +184,16 @@ class _Entities(StatefulProcessor):
         self.files = handle.getMapState("files", "file_id long", "seq long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802,N803
+        known = self.files.exists()
         first: dict[int, int] = {}  # of the batch's files that are new
         for r in pd.concat(list(rows)).sort_values(["seq", "file_id"]).itertuples():
-            if int(r.file_id) not in first and not self.files.containsKey((int(r.file_id),)):
+            if int(r.file_id) not in first and not (known and self.files.containsKey((int(r.file_id),))):
                 first[int(r.file_id)] = int(r.seq)
         if not first:
             return
         out = []
-        for other, seq in chain(((o[0], s[0]) for o, s in self.files.iterator()), list(first.items())):  # the state is read once a batch
+        before = ((o[0], s[0]) for o, s in self.files.iterator()) if known else ()
+        for other, seq in chain(before, list(first.items())):  # the state is read once a batch
             out += [(file, other, key[0]) for file, own in first.items() if seq < own]
             if len(out) >= AT_ONCE:
                 yield self._frame(out)
