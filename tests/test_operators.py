@@ -292,3 +292,40 @@ def test_odd_edges_and_arms(spark):
     assert [x.doc_id for x in got.orderBy("rank").collect()] == [4, 1]
     idx = pipelines.index_chunks(corpus, lambda t: F.array(F.length(t).cast("double")), 1, 0)
     assert idx.count() == 6 and idx.first().embedding
+
+
+def test_vector_blocks_choose_what_all_pairs_do(spark, monkeypatch):
+    """Blocks against the join of all pairs: ties, copies, zero, null and unequal vectors, one best vector a document; no pairs are made."""
+    import random
+
+    from pyspark.sql import Window
+
+    from weft.operators import evaluate
+
+    monkeypatch.setattr(evaluate, "QUERY_BLOCK", 7)
+    monkeypatch.setattr(evaluate, "VECTOR_BLOCK", 20)
+    r = random.Random(3)
+    rows = [(i, [float(r.randrange(-3, 4)) for _ in range(4)], i // 3) for i in range(100)]
+    rows += [(100 + i, [1.0, 2.0, 3.0, 4.0], 40 + i // 3) for i in range(30)] + [(200, [0.0] * 4, 90), (201, None, 91), (202, [1.0, None, 1.0, 1.0], 92), (203, [1.0], 93)]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<float>, doc_id long")
+    q = v.where("vec_id % 4 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    all_pairs = evaluate.vector_scores(q, v)
+    for k in (3, 200):
+        w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+        want = all_pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "vec_id", "score", "rank").collect()
+        got = evaluate.vector_topk(q, v, k)
+        assert "NestedLoop" not in got._jdf.queryExecution().toString() and "Cartesian" not in got._jdf.queryExecution().toString()
+        assert sorted(map(repr, got.select("query_id", "vec_id", "score", "rank").collect())) == sorted(map(repr, want))
+        best = evaluate.best_chunk(all_pairs, k).select("query_id", "doc_id", "score", "rank").collect()
+        assert sorted(map(repr, evaluate.vector_topk(q, v, k, by="doc_id").select("query_id", "doc_id", "score", "rank").collect())) == sorted(map(repr, best))
+
+
+def test_labels_count_as_their_pairs_do(spark):
+    from weft.operators import evaluate
+
+    d = spark.createDataFrame([(i, i % 3 if i != 7 else None) for i in range(12)] + [(20, 9)], "doc_id long, label int")
+    q = d.where("doc_id % 2 = 0 or doc_id = 7").select(F.col("doc_id").alias("query_id"), "label")
+    got = q.select("query_id", F.explode(F.sequence(F.lit(1), F.lit(5))).alias("rank")).withColumn("doc_id", (F.col("query_id") + F.col("rank") * 3) % 11)
+    pairs = d.join(q, "label").where("doc_id <> query_id").select("query_id", "doc_id")
+    for k in (0, 4):
+        assert sorted(evaluate.labelled_scores(q, got.where("doc_id <> query_id"), d, k).collect()) == sorted(evaluate.retrieval_scores(q, got.where("doc_id <> query_id"), pairs, k).collect())

@@ -119,3 +119,12 @@ def test_leases_are_those_of_a_loop(spark, monkeypatch, block, owners):
             state[k] = (owner, at + 10)
         want.append((k, s, owner, granted, *state[k]))
     assert sorted(map(tuple, got.collect())) == sorted(want) and {w[3] for w in want} == {True, False}
+
+
+def test_the_cuts_of_a_scan_are_taken_once(spark):
+    """Cuts are approximate: each part of a plan that reads them must read the same ones, so they are written, and no part takes them anew."""
+    rows = spark.createDataFrame([(i % 2 * (i % 7), i) for i in range(900)], "k long, seq long")
+    x = scan.positions(rows, ["k"], "seq", bound=50)
+    plan = x._jdf.queryExecution().toString()
+    assert "percentile_approx" not in plan and "weft-cuts" in plan
+    assert sorted(r.pos for r in x.where("k = 0").collect()) == list(range(rows.where("k = 0").count()))

@@ -20,10 +20,157 @@ def chunks(docs: DataFrame, size: int, overlap: int) -> DataFrame:
     return x.select("doc_id", F.concat(F.col("doc_id").cast("string"), F.lit("::chunk"), F.col("chunk_no").cast("string")).alias("chunk_id"), "chunk_no", "c.start_word", "c.end_word", "c.text")
 
 
-def vector_topk(queries: DataFrame, vectors: DataFrame, k: int, digits: int = 6) -> DataFrame:
-    """query_id, vec_id, score, rank: exhaustive cosine, a stated query set (broadcast if small, else Spark's choice) against all rows."""
-    s = vector_scores(queries, vectors, digits)
-    return s.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))).where(F.col("rank") <= k)
+#: Queries and vectors of a block; scores that a task holds at once, and pairs that it scores term by term at once.
+QUERY_BLOCK, VECTOR_BLOCK, SCORES_AT_ONCE, AT_ONCE = 2048, 8192, 1 << 21, 1 << 16
+
+
+def vector_topk(queries: DataFrame, vectors: DataFrame, k: int, digits: int = 6, by: str | None = None) -> DataFrame:
+    """query_id, vec_id, score, rank: exhaustive cosine, a stated query set against all other vectors. With by, a column of vectors
+    (its documents), a row is one of these with the score of its best vector: query_id, by, score, rank. Ties go to the smaller id.
+
+    Blocks of queries meet blocks of vectors, each pair of blocks in a task of its own: one product of matrices, from which
+    the first k of each query go on, in their exact order: products only choose, and what may be among the first is
+    scored term by term as vector_scores does.
+    """
+    key = by or "vec_id"
+    if k <= 0:
+        s = vector_scores(queries, vectors.select("vec_id", "embedding", *([by] if by else [])), digits).select("query_id", key, "score")
+        return s.withColumn("rank", F.lit(0)).where(F.lit(False))
+    q = queries.where("query_id is not null").select(F.col("query_id").alias("query_id"), F.col("embedding").alias("q"))  # columns of its own, as both may come from one table
+    v = vectors.where("vec_id is not null").select("vec_id", F.col(key).alias("key"), "embedding")
+    nq, nv = -(-q.count() // QUERY_BLOCK) or 1, -(-v.count() // VECTOR_BLOCK) or 1
+    deal = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    q = q.withColumn("qb", deal("query_id", nq)).withColumn("vb", every(nv))
+    v = v.withColumn("vb", deal("key", nv)).withColumn("qb", every(nq))
+    kinds = f"query_id {q.schema['query_id'].dataType.simpleString()}, {key} {v.schema['key'].dataType.simpleString()}, score double"
+    pairs = v.repartition(nq * nv, "qb", "vb").groupBy("qb", "vb").cogroup(q.groupBy("qb", "vb"))
+    x = pairs.applyInArrow(_best_of_blocks(k, digits, key, by is not None), kinds).withColumn("score", F.round("score", digits))
+    return x.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), key))).where(F.col("rank") <= k)
+
+
+def _matrix(column):
+    """Vectors as rows of doubles, cut or filled to one length; and which of them are null, hold a null, or have which length."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    x = column.combine_chunks()
+    n = np.asarray(pc.fill_null(pc.list_value_length(x), -1)).astype(np.int64)
+    flat = x.flatten()
+    nulls = np.asarray(pc.is_null(flat))
+    flat = np.asarray(pc.fill_null(flat, 0)).astype(np.float64)
+    width = int(n.max(initial=0))
+    out, missing = np.zeros((len(n), width)), n < 0
+    held = np.arange(width) < n[:, None]
+    out[held] = flat
+    bad = np.zeros(held.shape, bool)
+    bad[held] = nulls
+    return out, np.maximum(n, 0), missing | bad.any(axis=1)
+
+
+def _rounded(x, digits: int):
+    """x rounded half up in decimal, as Spark rounds doubles; values next to a half by their shortest decimal."""
+    from decimal import ROUND_HALF_UP, Decimal
+
+    import numpy as np
+
+    scaled = x * 10.0**digits
+    with np.errstate(invalid="ignore"):
+        out = np.where(scaled >= 0, np.floor(scaled + 0.5), np.ceil(scaled - 0.5))
+        close = np.flatnonzero(np.isfinite(scaled) & (np.abs(np.abs(scaled - np.trunc(scaled)) - 0.5) < 1e-6))
+    if len(close):
+        values, back = np.unique(x[close], return_inverse=True)
+        out[close] = np.array([float(Decimal(repr(float(y))).quantize(Decimal(1).scaleb(-digits), ROUND_HALF_UP).scaleb(digits)) for y in values])[back]
+    return out
+
+
+def _best_of_blocks(k: int, digits: int, key: str, grouped: bool):
+    """A function from a block of vectors (vec_id, key, embedding) and one of queries (query_id, q) to the first k keys of each query."""
+
+    def sequential(a, b):  # term by term, as an aggregate over the arrays adds
+        import numpy as np
+
+        s = np.zeros(len(a))
+        for j in range(a.shape[1]):
+            s = s + a[:, j] * b[:, j]
+        return s
+
+    def best(vectors, queries):
+        import numpy as np
+        import pyarrow as pa
+
+        key_type, id_type = vectors.schema.field("key").type, queries.schema.field("query_id").type
+        schema = pa.schema([("query_id", id_type), (key, key_type), ("score", pa.float64())])
+        if not vectors.num_rows or not queries.num_rows:
+            return schema.empty_table()
+        vectors = vectors.sort_by([("key", "ascending"), ("vec_id", "ascending")])
+        keys = vectors.column("key").combine_chunks()
+        key_no = _numbers(keys)
+        v, v_len, v_bad = _matrix(vectors.column("embedding"))
+        q, q_len, q_bad = _matrix(queries.column("q"))
+        width = max(v.shape[1], q.shape[1])
+        v, q = (np.pad(x, ((0, 0), (0, width - x.shape[1]))) for x in (v, q))
+        vec_ids, query_ids = vectors.column("vec_id").to_pylist(), queries.column("query_id").to_pylist()
+        own = {}
+        for i, x in enumerate(vec_ids):
+            own.setdefault(x, []).append(i)
+        with np.errstate(all="ignore"):
+            nv, nq = np.sqrt(sequential(v, v)), np.sqrt(sequential(q, q))
+            unit_v, unit_q = v / np.where(nv > 0, nv, 1)[:, None], q / np.where(nq > 0, nq, 1)[:, None]
+        # vectors that a product says nothing reliable of are always scored
+        odd_v, odd_q = ~np.isfinite(unit_v).all(axis=1) | ~np.isfinite(nv), ~np.isfinite(unit_q).all(axis=1) | ~np.isfinite(nq)
+        unit_v[odd_v], unit_q[odd_q] = 0, 0
+        margin = 2 * 10.0**-digits + 1e-9
+        first = np.flatnonzero(np.diff(key_no, prepend=-1))
+        take_q, take_v, scores = [], [], []
+        step = max(1, SCORES_AT_ONCE // len(v))
+        for a in range(0, len(q), step):
+            some = slice(a, min(len(q), a + step))
+            about = unit_q[some] @ unit_v.T
+            null = v_bad[None, :] | q_bad[some, None] | (v_len[None, :] != q_len[some, None])
+            about[null] = -3.0  # null scores come last
+            for i, x in enumerate(query_ids[some]):
+                about[i, own.get(x, [])] = -9.0
+            per_key = np.maximum.reduceat(about, first, axis=1) if grouped else about
+            n = per_key.shape[1]
+            least = np.partition(per_key, n - k, axis=1)[:, n - k] if n > k else np.full(len(per_key), -8.0)
+            near = (about >= np.maximum(least - margin, -8.0)[:, None]) | ((odd_v[None, :] | odd_q[some, None]) & (about > -8.0))
+            row, col = np.nonzero(near)
+            with np.errstate(all="ignore"):
+                both = nv[col] * nq[some][row]
+                dots = [sequential(q[some][row[i : i + AT_ONCE]], v[col[i : i + AT_ONCE]]) for i in range(0, len(row), AT_ONCE)]
+                exact = np.where(both == 0, 0.0, np.concatenate([np.zeros(0), *dots]) / both)
+            last = null[row, col]
+            order = np.where(last, -np.inf, np.where(np.isnan(exact), np.inf, _rounded(np.where(np.isfinite(exact), exact, 0.0), digits)))
+            order = np.where(~last & np.isinf(exact), np.sign(exact) * 1e300, order)
+            by = np.lexsort((col, -order, row))  # columns are in order of keys
+            row, col, exact, last = row[by], col[by], exact[by], last[by]
+            if grouped:  # a key's best vector is its first
+                pair = row.astype(np.int64) * len(v) + key_no[col]
+                keep = np.sort(np.unique(pair, return_index=True)[1])
+                row, col, exact, last = row[keep], col[keep], exact[keep], last[keep]
+            place = np.arange(len(row)) - np.searchsorted(row, row)
+            keep = place < k
+            take_q.append(row[keep] + a)
+            take_v.append(col[keep])
+            scores.append(pa.array(exact[keep], mask=last[keep]))
+        q_at, v_at = (np.concatenate(x) for x in (take_q, take_v))
+        out = [queries.column("query_id").combine_chunks().take(pa.array(q_at)), keys.take(pa.array(v_at)), pa.concat_arrays(scores)]
+        return pa.Table.from_arrays(out, schema=schema)
+
+    return best
+
+
+def _numbers(keys):
+    """The number of each of sorted keys among the distinct ones."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    if len(keys) < 2:
+        return np.zeros(len(keys), np.int64)
+    a, b = keys.slice(1), keys.slice(0, len(keys) - 1)
+    new = pc.or_(pc.fill_null(pc.not_equal(a, b), False), pc.not_equal(pc.is_null(a), pc.is_null(b)))
+    return np.append(0, np.cumsum(np.asarray(new).astype(np.int64)))
 
 
 def vector_scores(queries: DataFrame, vectors: DataFrame, digits: int = 6) -> DataFrame:
@@ -46,12 +193,30 @@ def retrieval_scores(queries: DataFrame, retrieved: DataFrame, qrels: DataFrame,
     rel = qrels.select("query_id", "doc_id").distinct()
     n = rel.groupBy("query_id").agg(F.count("*").alias("n_rel"))
     top = retrieved.where(F.col("rank") <= max(k, 0)).select("query_id", "doc_id")
-    hit = top.join(rel.withColumn("hit", F.lit(1)), ["query_id", "doc_id"], "left")
-    got = hit.groupBy("query_id").agg(F.count("*").alias("n_top"), F.count("hit").alias("hits"), F.count_distinct(F.when(F.col("hit") == 1, F.col("doc_id"))).alias("found"))
-    x = queries.select("query_id").join(got, "query_id", "left").join(n, "query_id", "left")
+    return _recall(queries, top.join(rel.withColumn("hit", F.lit(1)), ["query_id", "doc_id"], "left"), n, k, ["query_id"])
+
+
+def labelled_scores(queries: DataFrame, retrieved: DataFrame, labels: DataFrame, k: int, *keys: str) -> DataFrame:
+    """retrieval_scores where all other documents of the query's label are relevant, without the pairs: these are counted a label.
+
+    queries: query_id, label (null: nothing is relevant); labels: doc_id, label; all may have further keys, which are kept apart.
+    """
+    own = [*keys, "query_id"]
+    d = labels.where("label is not null").select(*keys, "doc_id", "label").distinct()
+    itself = d.select(*keys, F.col("doc_id").alias("query_id"), "label", F.lit(1).alias("itself"))
+    n = queries.join(d.groupBy(*keys, "label").agg(F.count("*").alias("n")), [*keys, "label"]).join(itself, [*own, "label"], "left")
+    n = n.select(*own, (F.col("n") - F.coalesce("itself", F.lit(0))).alias("n_rel")).where("n_rel > 0")
+    top = retrieved.where(F.col("rank") <= max(k, 0)).select(*own, "doc_id").join(queries.select(*own, "label"), own)
+    hit = top.join(d.withColumn("same", F.lit(1)), [*keys, "doc_id", "label"], "left").withColumn("hit", F.when(F.col("doc_id") != F.col("query_id"), F.col("same")))
+    return _recall(queries, hit, n, k, own)
+
+
+def _recall(queries: DataFrame, hit: DataFrame, n: DataFrame, k: int, own: list[str]) -> DataFrame:
+    got = hit.groupBy(*own).agg(F.count("*").alias("n_top"), F.count("hit").alias("hits"), F.count_distinct(F.when(F.col("hit") == 1, F.col("doc_id"))).alias("found"))
+    x = queries.select(*own).join(got, own, "left").join(n, own, "left")
     recall = F.when(F.col("n_rel").isNull(), F.lit(1.0)).otherwise(F.coalesce("found", F.lit(0)) / F.col("n_rel"))
     precision = F.lit(1.0) if k <= 0 else F.coalesce(F.col("hits") / F.col("n_top"), F.lit(0.0))
-    return x.select("query_id", recall.alias("recall"), precision.alias("precision"))
+    return x.select(*own, recall.alias("recall"), precision.alias("precision"))
 
 
 def relevant(truth: DataFrame, include_cross_reference: bool = True) -> DataFrame:
@@ -255,11 +420,19 @@ def doc_specs(topics: DataFrame, k: int) -> DataFrame:
     return a.withColumn("ref", (F.col("idx") + F.col("off")) % F.col("n")).join(b, "ref").where("ref <> idx").select("idx", "title", "off", "ref_title")
 
 
-def benchmark(checkpoints: DataFrame, queries: DataFrame, retrieved: dict[str, DataFrame], qrels: DataFrame, k: int = 5) -> DataFrame:
+def benchmark(checkpoints: DataFrame, queries: DataFrame, retrieved: dict[str, DataFrame], qrels: DataFrame | None, k: int = 5, labels: DataFrame | None = None) -> DataFrame:
     """pct, arm, mean_recall, mean_precision, num_queries: every arm at every checkpoint, against the relevant documents that the checkpoint holds.
 
     checkpoints: pct, doc_id; retrieved: by arm, pct, query_id, doc_id, rank; qrels: query_id, doc_id. One plan for all checkpoints.
+    With labels (doc_id, label) in place of qrels, what has the label of the query (queries: query_id, label) is relevant.
     """
+    if labels is not None:
+        asked = queries.select("query_id", "label").join(F.broadcast(checkpoints.select("pct").distinct()))  # a row a checkpoint
+        held, out = checkpoints.select("pct", "doc_id").join(labels, "doc_id"), None
+        for arm, rows in retrieved.items():
+            x = labelled_scores(asked, rows, held, k, "pct").withColumn("arm", F.lit(arm))
+            out = x if out is None else out.unionByName(x)
+        return out.groupBy("pct", "arm").agg(F.avg("recall").alias("mean_recall"), F.avg("precision").alias("mean_precision"), F.count("*").alias("num_queries"))
     pcts = checkpoints.select("pct").distinct()
     asked = queries.select("query_id").join(F.broadcast(pcts)).select(F.struct("pct", "query_id").alias("query_id"))  # a row a checkpoint
     there = qrels.join(checkpoints.select("pct", "doc_id"), "doc_id").select(F.struct("pct", "query_id").alias("query_id"), "doc_id")

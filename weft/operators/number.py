@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .shared import new_dir, staged
+
 #: Ranges that the rows are cut into.
 RANGES = 200
 
@@ -16,6 +18,7 @@ def before(df: DataFrame, key: str, amount: Column, *then: str) -> DataFrame:
     the ranges before it hold is a window over RANGES sums. Equal keys share a range, so the order is that of one sort.
     """
     cuts = df.agg(F.percentile_approx(F.col(key).cast("double"), [i / RANGES for i in range(1, RANGES)], 10_000).alias("__cuts"))
+    cuts = staged(cuts, new_dir(df.sparkSession, "cuts"))  # approximate, and read twice: both must see the same
     cut = F.size(F.filter("__cuts", lambda c: c < F.col(key).cast("double")))
     x = df.withColumn("__amount", amount).join(F.broadcast(cuts)).withColumn("__range", cut).drop("__cuts")  # one row is broadcast
     sums = x.groupBy("__range").agg(F.sum("__amount").alias("__sum"))  # RANGES rows at most

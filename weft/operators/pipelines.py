@@ -64,7 +64,7 @@ def execute_segments(segments: DataFrame, paths: DataFrame, catalog: DataFrame,
 
 def vector_rag(questions: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
     """query_id, doc_id, score, rank: all chunks by cosine, the best chunk of a document counts. questions: query_id, embedding; chunks: vec_id, doc_id, embedding."""
-    return evaluate.best_chunk(evaluate.vector_scores(questions, chunks), k)
+    return evaluate.vector_topk(questions, chunks, k, by="doc_id")
 
 
 def index_chunks(docs: DataFrame, embed, size: int, overlap: int) -> DataFrame:

@@ -20,6 +20,8 @@ from .shared import new_dir, staged
 
 #: Rows of a key from which it is cut; the ranges it is cut in, a power of two.
 BOUND, RANGES = 1_000_000, 1024
+#: Rows that a task of a scan should sort.
+ROWS = 1_000_000
 #: Events or maps that are folded at once.
 BLOCK = 256
 
@@ -34,12 +36,22 @@ def _rank(cuts: Column, value: Column) -> Column:
 
 
 def ranged(df: DataFrame, keys: list[str], order: str, bound: int | None = None) -> DataFrame:
-    """df with __range: -1 for keys of at most bound rows, else the number of the range that the row's order (a number) is in."""
+    """df with __range: -1 for keys of at most bound rows, else the number of the range that the row's order (a number) is in.
+
+    The cuts are written: they are approximate, so a second reader that took them anew could see others. They are broadcast,
+    a row for each bound rows of df at most, so that no join deals a large key's rows to one task.
+    """
     heavy = df.groupBy(*keys).agg(F.count("*").alias("__n")).where(F.col("__n") > (BOUND if bound is None else bound)).select(*keys)
     at = [i / RANGES for i in range(1, RANGES)]
-    cuts = df.select(*keys, order).join(heavy, keys, "left_semi").groupBy(*keys).agg(F.percentile_approx(F.col(order).cast("double"), at, 10 * RANGES).alias("__cuts"))
+    cuts = df.select(*keys, order).join(F.broadcast(heavy), keys, "left_semi").groupBy(*keys).agg(F.percentile_approx(F.col(order).cast("double"), at, 10 * RANGES).alias("__cuts"))
+    cuts = staged(cuts, new_dir(df.sparkSession, "cuts"))
     place = F.when(F.col("__cuts").isNull(), F.lit(-1)).otherwise(_rank(F.col("__cuts"), F.col(order).cast("double")))
-    return df.join(cuts, keys, "left").withColumn("__range", place).drop("__cuts")
+    return df.join(F.broadcast(cuts), keys, "left").withColumn("__range", place).drop("__cuts")
+
+
+def _tasks(df: DataFrame) -> int:
+    """Tasks that a window over df needs, so that none sorts much more than ROWS rows."""
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // ROWS))
 
 
 def scan(df: DataFrame, keys: list[str], order: str, over: dict[str, tuple[Callable, Column]], *then: str, upto: bool = False, bound: int | None = None) -> DataFrame:
@@ -49,6 +61,7 @@ def scan(df: DataFrame, keys: list[str], order: str, over: dict[str, tuple[Calla
     x = df
     for name, (_, value) in over.items():
         x = x.withColumn(f"__{name}", value)
+    n = _tasks(df)
     x = ranged(x, keys, order, bound)
     groups = [*keys, "__range"]
     last = 0 if upto else -1
@@ -56,9 +69,10 @@ def scan(df: DataFrame, keys: list[str], order: str, over: dict[str, tuple[Calla
     earlier = Window.partitionBy(*keys).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
     bases = x.where("__range >= 0").groupBy(*groups).agg(*[f(f"__{name}").alias(f"__b_{name}") for name, (f, _) in over.items()])
     bases = bases.select(*groups, *[f(f"__b_{name}").over(earlier).alias(f"__b_{name}") for name, (f, _) in over.items()])
+    x = x.repartition(n, *groups)
     for name, (f, _) in over.items():
         x = x.withColumn(f"__i_{name}", f(f"__{name}").over(inside))
-    x = x.join(bases, groups, "left")
+    x = x.join(F.broadcast(bases), groups, "left")  # RANGES rows a key that is cut
     both = {F.sum: lambda a, b: F.coalesce(a + b, a, b), F.max: F.greatest, F.min: F.least}
     for name, (f, _) in over.items():
         x = x.withColumn(name, both[f](F.col(f"__b_{name}"), F.col(f"__i_{name}")))
