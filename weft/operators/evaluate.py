@@ -127,7 +127,7 @@ def _best_of_blocks(k: int, digits: int, key: str, grouped: bool):
         for a in range(0, len(q), step):
             some = slice(a, min(len(q), a + step))
             about = unit_q[some] @ unit_v.T
-            null = v_bad[None, :] | q_bad[some, None] | (v_len[None, :] != q_len[some, None])
+            null = v_bad[None, :] | q_bad[some, None] | (v_len[None, :] != q_len[some, None]) & (nv[None, :] * nq[some, None] != 0)
             about[null] = -3.0  # null scores come last
             for i, x in enumerate(query_ids[some]):
                 about[i, own.get(x, [])] = -9.0
