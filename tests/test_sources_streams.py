@@ -146,3 +146,12 @@ def test_stream_leases_and_caps(spark, tmp_path):
 def test_soak_streams_rows(spark):
     x = streams.soak(spark, 10, 4)
     assert x.isStreaming and x.columns == ["file_id", "seq", "data"]
+
+
+def test_cooccurrences_of_batches(spark, tmp_path):
+    """Links of batches of mentions, of which one runs twice, without a call for each entity."""
+    rows = [("x", 1, 1), ("x", 2, 2), ("x", 2, 1), ("y", 3, 1)], [("x", 1, 7), ("x", 4, 5), ("y", 5, 6), ("y", 6, 6)]
+    target = streams.Cooccurrer(str(tmp_path / "links"))
+    for batch in (0, 1, 1):
+        target(spark.createDataFrame(rows[batch], "entity string, file_id long, seq long"), batch)
+    assert sorted(map(tuple, target.links(spark, 2).collect())) == [(4, 1, "x"), (4, 2, "x"), (5, 3, "y"), (6, 3, "y")]

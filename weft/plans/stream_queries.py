@@ -68,6 +68,13 @@ def stream_crossings(t):
     SELECT a.file_id AS source, b.file_id AS target, count(*) AS weight FROM m a JOIN m b ON a.entity = b.entity AND a.seq > b.seq AND a.file_id <> b.file_id GROUP BY 1, 2""")
 def stream_cooccurrence(t):
     """Links as mentions come, line by line of the orders, in three runs of one stream."""
-    rows = G.order_mentions(t)
-    out, _ = _in_turns(t, rows, F.col("seq"), (3, 5), streams.cooccurrences, "stream-cooccurrence")
+    rows, base = G.order_mentions(t), new_dir(t.spark, "stream-cooccurrence")
+    target, low = streams.Cooccurrer(base), None
+    for cut in (3, 5, None):
+        some = rows if low is None else rows.where(F.col("seq") >= low)
+        (some if cut is None else some.where(F.col("seq") < cut)).write.mode("append").parquet(f"{base}/log")
+        low = cut
+        log = t.spark.readStream.schema(rows.schema).parquet(f"{base}/log")
+        streams.drain(log.writeStream.foreachBatch(target).option("checkpointLocation", f"{base}/checkpoint"))
+    out = target.links(t.spark, streams.committed(t.spark, f"{base}/checkpoint"))
     return out.groupBy("source", "target").agg(F.count("*").alias("weight"))

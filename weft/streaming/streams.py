@@ -215,6 +215,33 @@ def cooccurrences(mentions: DataFrame) -> DataFrame:
     return mentions.groupBy("entity").transformWithStateInPandas(_Entities(), "source long, target long, entity string", "Append", "None")
 
 
+class Cooccurrer:
+    """foreachBatch target: links as mentions (entity, file_id, seq) come, for logs of many entities: a batch is joins, and no
+    entity is a call of its own, as it is with cooccurrences.
+
+    Batch b writes where its new files first mentioned their entities as firsts/part=b, and their links to those before them
+    as links/part=b. What was known comes from the parts below b alone, so a batch that runs again writes its parts anew.
+    """
+
+    def __init__(self, path: str):
+        self.path = path
+
+    def __call__(self, mentions: DataFrame, batch: int) -> None:
+        spark, keys = mentions.sparkSession, ["entity", "file_id"]
+        new = mentions.groupBy(*keys).agg(F.min("seq").alias("seq"))
+        known = spark.read.parquet(*[f"{self.path}/firsts/part={i}" for i in range(batch)]) if batch else None
+        if known is not None:
+            new = new.join(known, keys, "left_anti")
+        new.write.mode("overwrite").parquet(f"{self.path}/firsts/part={batch}")
+        new = spark.read.parquet(f"{self.path}/firsts/part={batch}")
+        before = (new if known is None else known.unionByName(new)).select("entity", F.col("file_id").alias("target"), F.col("seq").alias("before"))
+        links = new.withColumnRenamed("file_id", "source").join(before, "entity").where("before < seq and source <> target")
+        links.select("source", "target", "entity").write.mode("overwrite").parquet(f"{self.path}/links/part={batch}")
+
+    def links(self, spark: SparkSession, batches: int) -> DataFrame:
+        return spark.read.parquet(*[f"{self.path}/links/part={i}" for i in range(batches)])
+
+
 def tail_log(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """The log's files as a stream; the checkpoint says how far it was read."""
     return spark.readStream.schema(schema).parquet(path)
