@@ -90,3 +90,15 @@ def test_an_accent_keeps_out_its_own_word_only(spark):
     s = "Élan Vital met Café Noir. École, naïve Bob Ray; The Zürich Team “Quoted Name” X_y Zoë2 End"
     want = ["Vital", "Noir", "Bob Ray", "The", "Team", "Quoted Name", "End"]
     assert one(spark, T.heuristic_entities(F.lit(s))) == want == re.findall(r"\b[A-Z][a-zA-Z0-9]*(?:\s+[A-Z][a-zA-Z0-9]*)*\b", s)
+
+
+def test_term_counts_are_those_of_the_terms(spark):
+    """One split gives the four numbers, with letters whose lower case is ASCII though they are not."""
+    from pyspark.sql import functions as F
+
+    from weft.functions import text as T
+
+    x = spark.createDataFrame([(s,) for s in ("", "fooBar BAZ foo Foo 9A x", "10K K k K", "aBİc İI i", "éAb aÉb AbC", None)], "text string")
+    c = F.col("text")
+    want = x.select(F.size(T.split_terms(c)), F.size(F.array_distinct(T.split_terms(c))), F.size(F.array_distinct(T.tokenize_terms(c))), F.size(T.shortlist_tokens(c)))
+    assert x.select(*T.term_counts(c)).collect() == want.collect()

@@ -41,6 +41,20 @@ def shortlist_tokens(text: Column) -> Column:
     return tokenize_terms(F.regexp_replace(text, "(?<=[a-z0-9])(?=[A-Z])", " "))
 
 
+def term_counts(text: Column) -> tuple[Column, Column, Column, Column]:
+    """Numbers of terms, of distinct ones, of distinct ones of tokenize_terms, and of shortlist_tokens, from one split.
+
+    Lower case changes no term's bounds, and each cut makes one more token, but for the two characters that are not ASCII
+    and whose lower case is or begins with a letter of ASCII (the Kelvin sign, the dotted capital I): texts with these are cut anew.
+    """
+    terms = split_terms(text)
+    distinct = F.array_distinct(terms)
+    odd = text.rlike("[\u0130\u212A]")
+    lower = F.when(odd, F.size(F.array_distinct(tokenize_terms(text)))).otherwise(F.size(F.array_distinct(F.transform(distinct, F.lower))))
+    short = F.when(odd, F.size(shortlist_tokens(text))).otherwise(F.size(terms) + F.regexp_count(text, F.lit("[a-z0-9](?=[A-Z])")))
+    return F.size(terms), F.size(distinct), lower, short
+
+
 def term_overlap(query: Column, path: Column) -> Column:
     """Share of the query's distinct terms that the path has; 0 without terms."""
     q = F.array_distinct(tokenize_terms(query))

@@ -77,8 +77,8 @@ def get_file(t):
       list_filter(regexp_split_to_array(lower(regexp_replace(text, '([a-z0-9])([A-Z])', '\\1 \\2', 'g')), '[^a-zA-Z0-9]+'), lambda v: v <> '') AS c FROM documents)
     SELECT doc_id, len(a) AS n_terms, len(list_distinct(a)) AS n_distinct, len(list_distinct(b)) AS n_lower, len(c) AS n_shortlist FROM x""")
 def term_tokenize(t):
-    x = F.col("text")
-    return t.raw("documents").select("doc_id", F.size(T.split_terms(x)).alias("n_terms"), F.size(F.array_distinct(T.split_terms(x))).alias("n_distinct"), F.size(F.array_distinct(T.tokenize_terms(x))).alias("n_lower"), F.size(T.shortlist_tokens(x)).alias("n_shortlist"))
+    n_terms, n_distinct, n_lower, n_shortlist = T.term_counts(F.col("text"))
+    return t.raw("documents").select("doc_id", n_terms.alias("n_terms"), n_distinct.alias("n_distinct"), n_lower.alias("n_lower"), n_shortlist.alias("n_shortlist"))
 
 
 @query("""
