@@ -340,3 +340,36 @@ def test_documents_of_one_set_are_scored_once(spark):
     for q in "qp":
         assert [r.doc_id for r in x.where(F.col("query_id") == q).orderBy("rank").collect()] == want[q]
     assert "weft-retrieve" in x._jdf.queryExecution().toString()
+
+
+def test_chunk_grid_in_blocks(spark, monkeypatch):
+    """The grid's scores are those of each cell on its own, however texts and queries are dealt; with k only the first leave a block."""
+    import random
+
+    r = random.Random(3)
+    word = lambda: r.choice(["a", "b", "the", "x-y", "Über", "Kng", "c.d.e", "--", "f", "g7"])
+    text = lambda n: "".join(word() + r.choice([" ", "\n", " \t "]) for _ in range(n))
+    docs = [(i, text(r.choice([0, 1, 5, 6, 7, 40, 90]))) for i in range(60)] + [(60, None), (61, "  "), (None, "the a b")]
+    asks = [(i, text(r.choice([0, 1, 4, 9]))) for i in range(23)] + [(23, None), (24, "!")]
+    d, q = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(asks, "query_id long, text string")
+    cells = [(5, 0), (5, 2), (7, 6), (50, 10)]
+    monkeypatch.setattr(evaluate, "GRID_QUERIES", 9)
+    monkeypatch.setattr(evaluate, "GRID_BYTES", 900)
+    monkeypatch.setattr(evaluate, "ENTRIES_AT_ONCE", 64)
+    want = [(s, o, *x) for s, o in cells for x in evaluate.lexical_scores(q, d, s, o).collect()]
+    got = evaluate.lexical_grid(q, d, cells)
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, want))
+    first = lambda df: sorted(repr(tuple(x)) for s, o in cells for x in evaluate.best_chunk(df.where(f"size = {s} and overlap = {o}").drop("size", "overlap"), 3).collect())
+    few = evaluate.lexical_grid(q, d, cells, 3)
+    assert first(few) == first(got) and few.count() < got.count()
+    monkeypatch.undo()
+    assert evaluate.lexical_grid(q, d, cells, 3).count() <= 3 * len(cells) * len(asks)  # one block sends what is asked for and no more
+    assert evaluate.lexical_grid(q.where("false"), d, cells, 3).count() == evaluate.lexical_grid(q, d.where("false"), cells, 3).count() == 0
+
+
+def test_holders_without_all_pairs(spark):
+    d = spark.createDataFrame([(1, "one two three four"), (2, "xone two threex"), (3, "one  two"), (4, None), (None, "a two b"), (5, ""), (5, "two two")], "doc_id long, text string")
+    asks = [(1, "ne two thr"), (2, "e  t"), (3, "two"), (4, ""), (5, None), (6, " two "), (7, "one twoo three"), (8, " ")]
+    q = spark.createDataFrame(asks, "query_id long, text string")
+    want = d.join(q.withColumnRenamed("text", "asked"), F.col("text").contains(F.col("asked"))).select("query_id", "doc_id")
+    assert sorted(map(repr, evaluate.holders(q, d).collect())) == sorted(map(repr, want.collect()))

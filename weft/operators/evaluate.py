@@ -219,6 +219,23 @@ def _recall(queries: DataFrame, hit: DataFrame, n: DataFrame, k: int, own: list[
     return x.select(*own, recall.alias("recall"), precision.alias("precision"))
 
 
+def holders(queries: DataFrame, docs: DataFrame) -> DataFrame:
+    """query_id, doc_id: the documents that hold a query's whole text. queries: query_id, text; docs: doc_id, text.
+
+    What stands between two blanks of the query stands so in the document: the longest such piece finds the documents that may
+    hold it, and only their texts are searched. Queries without one meet all documents.
+    """
+    pieces = F.split("text", " ")
+    longest = F.reduce(F.slice(pieces, F.lit(2), F.greatest(F.lit(0), F.size(pieces) - 2)), F.lit(""), lambda a, x: F.when(F.length(x) > F.length(a), x).otherwise(a))
+    q = queries.where("text is not null").select("query_id", F.col("text").alias("asked"), longest.alias("piece"))
+    d = docs.select(F.col("doc_id").alias("doc_id"), F.col("text").alias("whole"))
+    held = docs.select(F.col("doc_id").alias("held_by"), F.explode(F.array_distinct(pieces)).alias("piece"))
+    near = held.join(q.where("piece <> ''"), "piece").select("held_by", "query_id", "asked").distinct()
+    contains = F.col("whole").contains(F.col("asked"))
+    found = d.join(near, F.col("doc_id").eqNullSafe(F.col("held_by"))).where(contains).select("query_id", "doc_id")
+    return found.unionByName(d.join(q.where("piece = ''"), contains).select("query_id", "doc_id"))
+
+
 def relevant(truth: DataFrame, include_cross_reference: bool = True) -> DataFrame:
     """query_id, doc_id of ground truth (query_id, doc_id, label): primary documents, and those of cross references if they count."""
     x = truth if include_cross_reference else truth.where(F.col("label") == "primary")
@@ -233,25 +250,121 @@ def lexical_scores(queries: DataFrame, docs: DataFrame, size: int, overlap: int)
     return s.groupBy("query_id", "doc_id").agg(F.max("n").cast("double").alias("score"))
 
 
-def lexical_grid(queries: DataFrame, docs: DataFrame, cells: list[tuple[int, int]]) -> DataFrame:
+#: Queries of a block and bytes of text of a block of documents that meet in one task; entries of a matrix that it holds at once.
+GRID_QUERIES, GRID_BYTES, ENTRIES_AT_ONCE = 256, 2 << 20, 1 << 22
+
+
+def lexical_grid(queries: DataFrame, docs: DataFrame, cells: list[tuple[int, int]], k: int | None = None) -> DataFrame:
     """size, overlap, query_id, doc_id, score: lexical_scores for all cells (size, overlap) of a grid in one pass.
 
-    Texts are cut into words once. Words meet the queries' terms before anything else, and only those that match are put
-    into the chunks of each cell that hold them, so texts are neither read nor tokenised again for a cell.
+    Blocks of documents meet blocks of queries. A block cuts its texts into words once and tokenises each distinct word once; for
+    a cell, chunks by terms times terms by queries are the counts. With k, the first k documents of each query and cell
+    (ties to the smaller id) are among a block's first k, and no others leave it.
     """
     if any(size <= 0 or not 0 <= overlap < size for size, overlap in cells):
         raise ValueError("sizes must be positive and overlaps smaller")
-    asked = queries.select("query_id", F.explode(F.array_distinct(T.tokenize_terms(F.col("text")))).alias("term")).where("term <> ''")
-    words = docs.select("doc_id", F.filter(F.split("text", "\\s+"), lambda x: x != "").alias("w"))
-    x = words.select("doc_id", F.size("w").alias("n"), F.posexplode("w").alias("at", "word")).select("doc_id", "n", "at", F.explode(F.array_distinct(T.tokenize_terms(F.col("word")))).alias("term"))
-    x = x.join(asked, "term")
-    x = x.withColumn("cell", F.explode(F.array(*[F.struct(F.lit(s).alias("size"), F.lit(o).alias("overlap"), F.lit(s - o).alias("stride")) for s, o in cells])))
-    size, stride = F.col("cell.size"), F.col("cell.stride")
-    chunks = F.when(F.col("n") <= size, F.lit(1)).otherwise(F.ceil((F.col("n") - size) / stride) + 1)
-    first, last = F.greatest(F.lit(0), F.ceil((F.col("at") - size + 1) / stride)), F.least(chunks - 1, F.floor(F.col("at") / stride))
-    x = x.withColumn("chunk_no", F.explode(F.sequence(first.cast("int"), last.cast("int"))))
-    s = x.select("cell.size", "cell.overlap", "query_id", "doc_id", "chunk_no", "term").distinct().groupBy("size", "overlap", "query_id", "doc_id", "chunk_no").agg(F.count("*").alias("n"))
-    return s.groupBy("size", "overlap", "query_id", "doc_id").agg(F.max("n").cast("double").alias("score"))
+    q = queries.select(F.col("query_id").alias("query_id"), F.array_distinct(T.tokenize_terms(F.col("text"))).alias("terms")).where(F.size("terms") > 0)
+    d = docs.select(F.col("doc_id").alias("doc_id"), F.lower("text").alias("text")).where("text is not null")
+    nq = -(-q.count() // GRID_QUERIES) or 1
+    nd = -(-(d.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // GRID_BYTES) or 1
+    deal = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    q = q.withColumn("qb", deal("query_id", nq)).withColumn("db", every(nd))
+    d = d.withColumn("db", deal("doc_id", nd)).withColumn("qb", every(nq))
+    kinds = f"size int, overlap int, query_id {q.schema['query_id'].dataType.simpleString()}, doc_id {d.schema['doc_id'].dataType.simpleString()}, score double"
+    pairs = d.repartition(nq * nd, "qb", "db").groupBy("qb", "db").cogroup(q.groupBy("qb", "db"))
+    return pairs.applyInArrow(_grid_of_blocks(cells, k), kinds)
+
+
+def _grid_of_blocks(cells: list[tuple[int, int]], k: int | None):
+    """A function from a block of documents (doc_id, text in lower case) and one of queries (query_id, terms) to the rows of lexical_grid."""
+
+    def occurrences(texts, number):
+        """The words of each text, and of each occurrence of a numbered term its text, the place of its word and its number."""
+        import re
+
+        import numpy as np
+        import pyarrow.compute as pc
+
+        cut = pc.split_pattern_regex(texts, "[ \\t\\n\\x0B\\f\\r]+")
+        row = np.repeat(np.arange(len(texts)), np.asarray(pc.list_value_length(cut)))
+        words = cut.flatten().dictionary_encode()
+        full = np.asarray(pc.not_equal(words.dictionary, "")).astype(bool)
+        word = np.asarray(words.indices).astype(np.int64)
+        row, word = row[full[word]], word[full[word]]
+        n = np.bincount(row, minlength=len(texts))
+        at = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+        terms = [[number[x] for x in set(re.findall("[a-z0-9]+", w)) if x in number] for w in words.dictionary.to_pylist()]
+        many = np.array([len(x) for x in terms], np.int64)
+        flat, start = np.array([x for y in terms for x in y], np.int64), np.cumsum(many) - many
+        m = many[word]
+        return n, np.repeat(row, m), np.repeat(at, m), flat[np.repeat(start[word], m) + within(m)]
+
+    def within(m):  # 0, 1, .. up to each of m
+        import numpy as np
+
+        return np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
+
+    def best(docs, queries):
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        id_type, doc_type = queries.schema.field("query_id").type, docs.schema.field("doc_id").type
+        schema = pa.schema([("size", pa.int32()), ("overlap", pa.int32()), ("query_id", id_type), ("doc_id", doc_type), ("score", pa.float64())])
+        if not docs.num_rows or not queries.num_rows:
+            return schema.empty_table()
+        docs = docs.take(pc.sort_indices(docs.column("doc_id"), null_placement="at_start"))
+        ids = docs.column("doc_id").combine_chunks()
+        doc_no = _numbers(ids)  # rows of one id are one document
+        first = np.flatnonzero(np.diff(doc_no, prepend=-1))
+        asked = queries.column("query_id").combine_chunks().dictionary_encode(null_encoding="encode")
+        held = queries.column("terms").combine_chunks()
+        of = np.repeat(np.asarray(asked.indices), np.asarray(pc.list_value_length(held)))
+        flat = held.flatten().to_pylist()
+        number = {x: i for i, x in enumerate(dict.fromkeys(flat))}
+        n, row, at, term = occurrences(docs.column("text").combine_chunks(), number)
+        used, term = np.unique(term, return_inverse=True)  # the matrices have the terms that occur
+        place = np.full(len(number), -1)
+        place[used] = np.arange(len(used))
+        column = place[[number[x] for x in flat]]
+        asks = np.zeros((len(used), len(asked.dictionary)), np.float32)
+        asks[column[column >= 0], of[column >= 0]] = 1
+        out = []
+        for size, overlap in cells:
+            stride = size - overlap
+            chunks = np.where(n <= size, 1, -(-(n - size) // stride) + 1)
+            slots = np.maximum.reduceat(chunks, first)
+            base = np.cumsum(slots) - slots
+            low, high = np.maximum(0, -(-(at - size + 1) // stride)), np.minimum(chunks[row] - 1, at // stride)
+            m = high - low + 1
+            chunk, terms = np.repeat(base[doc_no[row]] + low, m) + within(m), np.repeat(term, m)
+            order = np.argsort(chunk, kind="stable")
+            chunk, terms = chunk[order], terms[order]
+            doc_of, score = np.repeat(np.arange(len(slots)), slots), np.zeros((len(slots), asks.shape[1]), np.float32)
+            step = max(1, ENTRIES_AT_ONCE // max(1, *asks.shape))
+            for a in range(0, len(doc_of), step):
+                b = min(len(doc_of), a + step)
+                some = slice(*np.searchsorted(chunk, [a, b]))
+                x = np.zeros((b - a, len(used)), np.float32)
+                x[chunk[some] - a, terms[some]] = 1
+                mine = doc_of[a:b]
+                cut = np.flatnonzero(np.diff(mine, prepend=-1))
+                score[mine[cut]] = np.maximum(score[mine[cut]], np.maximum.reduceat(x @ asks, cut, axis=0))
+            near = score > 0
+            if k is not None and 0 < k < len(score):
+                near &= score >= np.partition(score, len(score) - k, axis=0)[len(score) - k]
+            doc, query = np.nonzero(near)
+            if k is not None:
+                order = np.lexsort((doc, -score[doc, query], query))  # documents are in order of ids
+                doc, query = doc[order], query[order]
+                keep = np.arange(len(query)) - np.searchsorted(query, query) < k
+                doc, query = doc[keep], query[keep]
+            fixed = [pa.array(np.full(len(doc), x), pa.int32()) for x in (size, overlap)]
+            out.append(pa.Table.from_arrays([*fixed, asked.dictionary.take(pa.array(query)), ids.take(pa.array(first[doc])), pa.array(score[doc, query].astype(np.float64))], schema=schema))
+        return pa.concat_tables(out)
+
+    return best
 
 
 def chunk_grid(queries: DataFrame, docs: DataFrame, qrels: DataFrame, k: int = 3, scores=None, sizes: tuple = CHUNK_SIZES, shares: tuple = OVERLAP_SHARES) -> DataFrame:
@@ -262,7 +375,7 @@ def chunk_grid(queries: DataFrame, docs: DataFrame, qrels: DataFrame, k: int = 3
     cells = [(size, int(size * share)) for size in sizes for share in shares]
     in_cell = lambda df: df.select(F.struct("size", "overlap", "query_id").alias("query_id"), *[c for c in df.columns if c not in ("size", "overlap", "query_id")])
     if scores is None:
-        scored = lexical_grid(queries, docs, cells)
+        scored = lexical_grid(queries, docs, cells, k)
     else:
         scored = None
         for size, overlap in cells:
