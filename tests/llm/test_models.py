@@ -297,6 +297,15 @@ def test_gibbs_follows_the_exact_posterior(monkeypatch, direct):
     assert np.allclose(np.cov(t.T), np.cov(keys.T, aweights=w, ddof=0), atol=0.06)
 
 
+def test_burn_in_leaves_the_start():
+    """The first sample kept is no nearer to the start, one table a dish, than those of a long run."""
+    c, p, where = np.full(300 * 40, 60), np.full(300 * 40, 0.3), np.repeat(np.arange(300), 40)
+    first = lm.gibbs(c, p, where, 300, 0.75, 1.0, np.random.default_rng(1))
+    long = lm.gibbs(c, p, where, 300, 0.75, 1.0, np.random.default_rng(2), burn_in=30, samples=10)
+    assert len(first) == lm.SAMPLES
+    assert all(abs(x.mean() / np.mean(long) - 1) < 2e-3 for x in first)
+
+
 def test_stirling_numbers_and_normalisers():
     """Numbers against all seatings of four customers; normalisers of a seating recomputed from its openings."""
     d, s = 0.3, lm._stirling(0.3, 64)
