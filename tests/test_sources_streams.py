@@ -155,3 +155,19 @@ def test_cooccurrences_of_batches(spark, tmp_path):
     for batch in (0, 1, 1):
         target(spark.createDataFrame(rows[batch], "entity string, file_id long, seq long"), batch)
     assert sorted(map(tuple, target.links(spark, 2).collect())) == [(4, 1, "x"), (4, 2, "x"), (5, 3, "y"), (6, 3, "y")]
+
+
+def test_a_large_log_has_more_files_and_as_many_batches(spark, monkeypatch, tmp_path):
+    from weft.plans import stream_queries
+
+    rows = [(i % 7, i % 11, ["REDIRECT", "ENTITY_COOCCUR"][i % 2], i % 5, i % 13, i) for i in range(2000)]
+    events = spark.createDataFrame(rows, "source long, target long, edge_type string, weight long, last_updated long, seq long")
+    t = type("T", (), {"spark": spark, "edge_events": lambda self: events})()
+    monkeypatch.setattr(stream_queries, "FILE_ROWS", 100)
+    log, _, files = stream_queries._log(t, events, "log")
+    assert files == 4 and len(spark.read.parquet(log).inputFiles()) == 24
+    done = []
+    monkeypatch.setattr(stream_queries.streams, "committed", lambda *a, f=stream_queries.streams.committed: done.append(f(*a)) or done[-1])
+    got = stream_queries.stream_compaction(t)
+    assert sorted(map(tuple, got.select("source", "target", "edge_type", "weight", "last_updated").collect())) == sorted(map(tuple, graph.compact_edges(events).collect()))
+    assert done == [6]

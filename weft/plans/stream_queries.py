@@ -10,23 +10,27 @@ from ..streaming import streams
 from . import graph_queries as G
 from .registry import query
 
+#: Rows of a file of a log, so that a batch of a large log is many tasks' work.
+FILE_ROWS = 1_000_000
 
-def _log(t, rows, name: str, files: int = 6) -> tuple[str, str]:
-    """A folder with the rows as a log of some files, and a folder for all else."""
+
+def _log(t, rows, name: str, batches: int = 6) -> tuple[str, str, int]:
+    """A folder with the rows as a log of files of at most some FILE_ROWS, a folder for all else, and how many of the files are one of so many batches."""
     base = new_dir(t.spark, name)
-    rows.repartition(files).write.parquet(f"{base}/log")
-    return f"{base}/log", base
+    files = -(-rows.count() // (batches * FILE_ROWS)) or 1
+    rows.repartition(batches * files, "seq").write.parquet(f"{base}/log")  # by hash: rows dealt in turn would be sorted first
+    return f"{base}/log", base, files
 
 
 @query(f"WITH {G.COMPACTED} SELECT * FROM edges")
 def stream_compaction(t):
     """Fails at its third batch after writing it, and is started again from the checkpoint: the batch runs twice and counts once."""
     events = t.edge_events()
-    log, base = _log(t, events, "stream-compaction")
+    log, base, files = _log(t, events, "stream-compaction")
     target = streams.LevelledCompactor(f"{base}/parts")
 
     def writer(each):
-        source = t.spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(log)
+        source = t.spark.readStream.schema(events.schema).option("maxFilesPerTrigger", files).parquet(log)
         return source.writeStream.foreachBatch(each).option("checkpointLocation", f"{base}/checkpoint")
 
     try:
