@@ -1,9 +1,11 @@
 """Golden cases and properties of search, graph, selection, store, evaluation and pipelines."""
 
+import numpy as np
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from weft.operators import evaluate, graph, models, pipelines, search, select, store
@@ -320,6 +322,36 @@ def test_vector_blocks_choose_what_all_pairs_do(spark, monkeypatch):
         assert sorted(map(repr, evaluate.vector_topk(q, v, k, by="doc_id").select("query_id", "doc_id", "score", "rank").collect())) == sorted(map(repr, best))
 
 
+def test_products_that_say_nothing_bound_nothing(spark):
+    """Vectors so small that their scores are coarse are all scored, and no product of theirs keeps another vector out."""
+    import random
+
+    r = random.Random(5)
+    vector = lambda scale: [r.uniform(-1, 1) * scale for _ in range(3)]
+    rows = [(i, vector(2e-161)) for i in range(400)] + [(400 + i, vector(1.0)) for i in range(400)] + [(800, [float("inf"), 1.0, 1.0]), (801, [1e200, 1.0, 1.0]), (802, [float("nan")] * 3)]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    q = v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    first = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    want = evaluate.vector_scores(q, v).withColumn("rank", first).where("rank <= 3").select("query_id", "vec_id", "score", "rank").collect()
+    got = evaluate.vector_topk(q, v, 3).select("query_id", "vec_id", "score", "rank").collect()
+    assert sorted(map(repr, got)) == sorted(map(repr, want))
+
+
+def test_close_scores_are_told_apart(spark):
+    """Single precision only chooses: many scores closer than its error have the places and digits of doubles, with a key of one vector or of many."""
+    rng = np.random.default_rng(2)
+    base = rng.normal(size=48)
+    rows = [(i, (base + rng.normal(size=48) * 3e-3).tolist(), i // 2) for i in range(3000)]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<double>, doc_id long")
+    q = v.where("vec_id % 500 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    every = evaluate.vector_scores(q, v, 9)
+    first = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    want = every.withColumn("rank", first).where("rank <= 20").select("query_id", "vec_id", "score", "rank").collect()
+    assert sorted(evaluate.vector_topk(q, v, 20, 9).select("query_id", "vec_id", "score", "rank").collect()) == sorted(want)
+    best = evaluate.best_chunk(every, 20).select("query_id", "doc_id", "score", "rank").collect()
+    assert sorted(evaluate.vector_topk(q, v, 20, 9, by="doc_id").select("query_id", "doc_id", "score", "rank").collect()) == sorted(best)
+
+
 def test_labels_count_as_their_pairs_do(spark):
     from weft.operators import evaluate
 

@@ -21,7 +21,9 @@ def chunks(docs: DataFrame, size: int, overlap: int) -> DataFrame:
 
 
 #: Queries and vectors of a block; scores that a task holds at once, and pairs that it scores term by term at once.
-QUERY_BLOCK, VECTOR_BLOCK, SCORES_AT_ONCE, AT_ONCE = 2048, 8192, 1 << 21, 1 << 16
+QUERY_BLOCK, VECTOR_BLOCK, SCORES_AT_ONCE, AT_ONCE = 8192, 16384, 1 << 20, 1 << 16
+#: Stretches of a block's keys whose largest products bound a query's k-th one; they are 4 * k at least.
+STRETCHES = 512
 
 
 def vector_topk(queries: DataFrame, vectors: DataFrame, k: int, digits: int = 6, by: str | None = None) -> DataFrame:
@@ -29,8 +31,8 @@ def vector_topk(queries: DataFrame, vectors: DataFrame, k: int, digits: int = 6,
     (its documents), a row is one of these with the score of its best vector: query_id, by, score, rank. Ties go to the smaller id.
 
     Blocks of queries meet blocks of vectors, each pair of blocks in a task of its own: one product of matrices, from which
-    the first k of each query go on, in their exact order: products only choose, and what may be among the first is
-    scored term by term as vector_scores does.
+    the first k of each query go on, in their exact order: products, in single precision, only choose, and what may be
+    among the first, given their error, is scored term by term as vector_scores does.
     """
     key = by or "vec_id"
     if k <= 0:
@@ -110,37 +112,25 @@ def _best_of_blocks(k: int, digits: int, key: str, grouped: bool):
         q, q_len, q_bad = _matrix(queries.column("q"))
         width = max(v.shape[1], q.shape[1])
         v, q = (np.pad(x, ((0, 0), (0, width - x.shape[1]))) for x in (v, q))
-        vec_ids, query_ids = vectors.column("vec_id").to_pylist(), queries.column("query_id").to_pylist()
-        own = {}
-        for i, x in enumerate(vec_ids):
-            own.setdefault(x, []).append(i)
+        own_row, own_col = _own(queries.column("query_id").to_pylist(), vectors.column("vec_id").to_pylist())
         with np.errstate(all="ignore"):
             nv, nq = np.sqrt(sequential(v, v)), np.sqrt(sequential(q, q))
             unit_v, unit_q = v / np.where(nv > 0, nv, 1)[:, None], q / np.where(nq > 0, nq, 1)[:, None]
         # vectors that a product says nothing reliable of are always scored
-        odd_v, odd_q = ~np.isfinite(unit_v).all(axis=1) | ~np.isfinite(nv), ~np.isfinite(unit_q).all(axis=1) | ~np.isfinite(nq)
+        odd_v, odd_q = (~np.isfinite(u).all(axis=1) | ~np.isfinite(n) | (n > 0) & (n < 1e-140) for u, n in ((unit_v, nv), (unit_q, nq)))
         unit_v[odd_v], unit_q[odd_q] = 0, 0
-        margin = 2 * 10.0**-digits + 1e-9
-        first = np.flatnonzero(np.diff(key_no, prepend=-1))
+        unit_v, unit_q = unit_v.astype(np.float32), unit_q.astype(np.float32)
+        margin = 2 * 10.0**-digits + 1e-9 + (width + 8) * 2.0**-22  # the last term is twice what two products of unit vectors may be off
+        odd, partial = odd_v.any() or odd_q.any(), v_bad.any() or q_bad.any() or len(np.union1d(v_len, q_len)) > 1
+        first = np.flatnonzero(np.diff(key_no, prepend=-1)) if grouped else np.arange(len(v))
+        starts = first[:: max(1, len(first) // max(STRETCHES, 4 * k))]  # no key is in two stretches
         take_q, take_v, scores = [], [], []
-        step = max(1, SCORES_AT_ONCE // len(v))
-        for a in range(0, len(q), step):
-            some = slice(a, min(len(q), a + step))
-            about = unit_q[some] @ unit_v.T
-            null = v_bad[None, :] | q_bad[some, None] | (v_len[None, :] != q_len[some, None]) & (nv[None, :] * nq[some, None] != 0)
-            about[null] = -3.0  # null scores come last
-            for i, x in enumerate(query_ids[some]):
-                about[i, own.get(x, [])] = -9.0
-            per_key = np.maximum.reduceat(about, first, axis=1) if grouped else about
-            n = per_key.shape[1]
-            least = np.partition(per_key, n - k, axis=1)[:, n - k] if n > k else np.full(len(per_key), -8.0)
-            near = (about >= np.maximum(least - margin, -8.0)[:, None]) | ((odd_v[None, :] | odd_q[some, None]) & (about > -8.0))
-            row, col = np.nonzero(near)
+
+        def choose(row, col, last):  # the first k of what may be among them, of whole rows of queries
             with np.errstate(all="ignore"):
-                both = nv[col] * nq[some][row]
-                dots = [sequential(q[some][row[i : i + AT_ONCE]], v[col[i : i + AT_ONCE]]) for i in range(0, len(row), AT_ONCE)]
+                both = nv[col] * nq[row]
+                dots = [sequential(q[row[i : i + AT_ONCE]], v[col[i : i + AT_ONCE]]) for i in range(0, len(row), AT_ONCE)]
                 exact = np.where(both == 0, 0.0, np.concatenate([np.zeros(0), *dots]) / both)
-            last = null[row, col]
             order = np.where(last, -np.inf, np.where(np.isnan(exact), np.inf, _rounded(np.where(np.isfinite(exact), exact, 0.0), digits)))
             order = np.where(~last & np.isinf(exact), np.sign(exact) * 1e300, order)
             by = np.lexsort((col, -order, row))  # columns are in order of keys
@@ -151,9 +141,33 @@ def _best_of_blocks(k: int, digits: int, key: str, grouped: bool):
                 row, col, exact, last = row[keep], col[keep], exact[keep], last[keep]
             place = np.arange(len(row)) - np.searchsorted(row, row)
             keep = place < k
-            take_q.append(row[keep] + a)
+            take_q.append(row[keep])
             take_v.append(col[keep])
             scores.append(pa.array(exact[keep], mask=last[keep]))
+
+        step, held, n_held = max(1, SCORES_AT_ONCE // len(v)), [], 0
+        for a in range(0, len(q), step):
+            some = slice(a, min(len(q), a + step))
+            about = unit_q[some] @ unit_v.T
+            if odd:
+                about[:, odd_v] = -7.0  # bounds nothing
+            if partial:
+                about[v_bad[None, :] | q_bad[some, None] | (v_len[None, :] != q_len[some, None]) & (nv[None, :] * nq[some, None] != 0)] = -3.0  # null scores come last
+            mine = slice(*np.searchsorted(own_row, (a, some.stop)))
+            about[own_row[mine] - a, own_col[mine]] = -9.0
+            most = np.maximum.reduceat(about, starts, axis=1)  # k keys reach the k-th of these
+            n = most.shape[1]
+            least = np.partition(most, n - k, axis=1)[:, n - k].astype(np.float64) if n > k else np.full(len(most), -8.0)
+            least = np.nextafter(np.maximum(least - margin, -8.0).astype(np.float32), np.float32(-np.inf))
+            near = about >= least[:, None]
+            if odd:
+                near |= (odd_v[None, :] | odd_q[some, None]) & (about > -8.5)
+            row, col = np.divmod(np.flatnonzero(near), len(v))
+            held.append((row + a, col, about[row, col] == -3.0 if partial else np.zeros(len(row), bool)))
+            n_held += len(row)
+            if n_held >= AT_ONCE or some.stop == len(q):
+                choose(*(np.concatenate(x) for x in zip(*held, strict=True)))
+                held, n_held = [], 0
         q_at, v_at = (np.concatenate(x) for x in (take_q, take_v))
         out = [queries.column("query_id").combine_chunks().take(pa.array(q_at)), keys.take(pa.array(v_at)), pa.concat_arrays(scores)]
         return pa.Table.from_arrays(out, schema=schema)
@@ -161,6 +175,17 @@ def _best_of_blocks(k: int, digits: int, key: str, grouped: bool):
     return best
 
 
+def _own(query_ids, vec_ids):
+    """The places of each query and of the vectors of its own id, in order of queries."""
+    import numpy as np
+
+    at = {}
+    for i, x in enumerate(vec_ids):
+        at.setdefault(x, []).append(i)
+    own = [(i, j) for i, x in enumerate(query_ids) for j in at.get(x, [])]
+    return np.array(own, np.int64).reshape(-1, 2).T
+
+
 def _numbers(keys):
     """The number of each of sorted keys among the distinct ones."""
     import numpy as np
