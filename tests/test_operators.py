@@ -335,6 +335,10 @@ def test_products_that_say_nothing_bound_nothing(spark):
     want = evaluate.vector_scores(q, v).withColumn("rank", first).where("rank <= 3").select("query_id", "vec_id", "score", "rank").collect()
     got = evaluate.vector_topk(q, v, 3).select("query_id", "vec_id", "score", "rank").collect()
     assert sorted(map(repr, got)) == sorted(map(repr, want))
+    chunks = v.withColumn("doc_id", F.floor(F.col("vec_id") / 4))
+    best = evaluate.best_chunk(evaluate.vector_scores(q, chunks), 3).select("query_id", "doc_id", "score", "rank").collect()
+    got = pipelines.vector_rag(q, chunks, 3).select("query_id", "doc_id", "score", "rank").collect()
+    assert sorted(map(repr, got)) == sorted(map(repr, best))
 
 
 def test_close_scores_are_told_apart(spark):
