@@ -356,6 +356,32 @@ def test_close_scores_are_told_apart(spark):
     assert sorted(evaluate.vector_topk(q, v, 20, 9, by="doc_id").select("query_id", "doc_id", "score", "rank").collect()) == sorted(best)
 
 
+def test_checkpoints_score_a_vector_once(spark, monkeypatch):
+    """The first of nested checkpoints are those of a search in each, and all searches together meet each vector once."""
+    from weft.plans.eval_queries import benchmark_checkpoints
+
+    rng = np.random.default_rng(4)
+    v = spark.createDataFrame([(i * 3 % 200, x.tolist(), i % 4) for i, x in enumerate(rng.integers(-2, 3, size=(200, 3)).astype(float))], "vec_id long, embedding array<double>, label int")
+    q = v.where("vec_id % 7 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    cp = evaluate.checkpoint_corpus(v.select(F.col("vec_id").alias("doc_id")), [1, 20, 100]).persist()
+    want = []
+    for pct in (1, 20, 100):
+        held = v.join(cp.where(F.col("pct") == pct).select(F.col("doc_id").alias("vec_id")), "vec_id")
+        want += [(pct, *r) for r in evaluate.vector_topk(q, held, 4).select("query_id", "vec_id", "score", "rank").collect()]
+    got = evaluate.checkpoint_topk(q, v, cp, [1, 20, 100], 4).select("pct", "query_id", "vec_id", "score", "rank").collect()
+    assert sorted(map(tuple, got)) == sorted(want)
+
+    met, search = [], evaluate.vector_topk
+    monkeypatch.setattr(evaluate, "vector_topk", lambda q, v, *rest, **more: met.append(v.count()) or search(q, v, *rest, **more))
+
+    class Held:
+        def raw(self, name):
+            return v
+
+    Held.spark = spark
+    assert benchmark_checkpoints(Held()).count() == 6 and sum(met) == 200
+
+
 def test_labels_count_as_their_pairs_do(spark):
     from weft.operators import evaluate
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from .number import numbered
 from .scan import scan
+from .shared import new_dir, staged
 
 FREE = "ollama"
 #: Fixed values of the chunk grid: words of a chunk, and shares of them that overlap.
@@ -543,6 +544,21 @@ def checkpoint_corpus(docs: DataFrame, percents: list[int]) -> DataFrame:
     return numbered(ids, "doc_id", name="pos").join(F.broadcast(n)).select(F.explode(fits).alias("pct"), "doc_id", "pos")  # one row is broadcast
 
 
+def checkpoint_topk(queries: DataFrame, vectors: DataFrame, checkpoints: DataFrame, percents: list[int], k: int) -> DataFrame:
+    """pct, query_id, vec_id, score, rank: vector_topk among the vectors of each checkpoint (pct, doc_id, pos), which hold one another.
+
+    A vector is scored once, in the smallest checkpoint that has it: the first of a checkpoint are among the first of its parts.
+    """
+    parts = checkpoints.groupBy("doc_id", "pos").agg(F.min("pct").alias("part")).select(F.col("doc_id").alias("vec_id"), "part")
+    v, found = staged(vectors.select("vec_id", "embedding").join(parts, "vec_id"), new_dir(vectors.sparkSession, "parts")), None
+    for part in sorted(percents):
+        x = vector_topk(queries, v.where(F.col("part") == part), k).drop("rank").withColumn("part", F.lit(part))
+        found = x if found is None else found.unionByName(x)
+    holding = F.filter(F.array(*[F.lit(p) for p in percents]), lambda p: p >= F.col("part"))
+    x = found.withColumn("pct", F.explode(holding)).drop("part")
+    return x.withColumn("rank", F.row_number().over(Window.partitionBy("pct", "query_id").orderBy(F.desc("score"), "vec_id"))).where(F.col("rank") <= k)
+
+
 def chart(rows: DataFrame, arms: list[str]) -> DataFrame:
     """One row a checkpoint, a column an arm: recall / precision to three places, or (missing)."""
     cell = F.first(F.format_string("%.3f / %.3f", "mean_recall", "mean_precision"))
