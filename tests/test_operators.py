@@ -393,6 +393,56 @@ def test_labels_count_as_their_pairs_do(spark):
         assert sorted(evaluate.labelled_scores(q, got.where("doc_id <> query_id"), d, k).collect()) == sorted(evaluate.retrieval_scores(q, got.where("doc_id <> query_id"), pairs, k).collect())
 
 
+def test_a_pair_of_blocks_has_a_task(spark, monkeypatch):
+    """Blocks meet in tasks of their own: none waits for another that was dealt to the same task."""
+    import pyarrow as pa
+    from pyspark import TaskContext
+
+    def where(vectors, queries):
+        return pa.table({"query_id": pa.array([TaskContext.get().partitionId()], pa.int64()), "vec_id": pa.array([vectors.num_rows], pa.int64()), "score": pa.array([float(queries.num_rows)])})
+
+    monkeypatch.setattr(evaluate, "QUERY_BLOCK", 20)
+    monkeypatch.setattr(evaluate, "VECTOR_BLOCK", 40)
+    monkeypatch.setattr(evaluate, "_best_of_blocks", lambda *_: where)
+    v = spark.createDataFrame([(i, [float(i)]) for i in range(400)], "vec_id long, embedding array<double>")
+    q = v.where("vec_id % 5 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    got = evaluate.vector_topk(q, v, 1000).collect()
+    assert sorted(r.query_id for r in got) == list(range(4 * 10)) and sum(r.vec_id for r in got) == 4 * 400 and sum(r.score for r in got) == 10 * 80
+
+
+def test_cuts_meet_the_labels_once(spark):
+    """Several cuts of one retrieved list cost the joins of one, and are what each is alone; a query may have nothing above a cut."""
+    from weft.plans.eval_queries import expansion_delta
+
+    d = spark.createDataFrame([(i, i % 3 if i != 7 else None) for i in range(12)] + [(20, 9)], "doc_id long, label int")
+    q = d.where("doc_id % 2 = 0 or doc_id = 7").select(F.col("doc_id").alias("query_id"), "label")
+    got = q.select("query_id", F.explode(F.sequence(F.lit(1), F.lit(5))).alias("rank")).withColumn("doc_id", (F.col("query_id") + F.col("rank") * 3) % 11)
+    got = got.where("doc_id <> query_id and (query_id % 3 = 0 or rank > 2) and query_id <> 10")
+    pairs = d.join(q, "label").where("doc_id <> query_id").select("query_id", "doc_id")
+    cuts = evaluate.labelled_cuts(q, got, d, [0, 4, 2])
+    at = {(r.query_id, c.k): (c.recall, c.precision) for r in cuts.collect() for c in r.cuts}
+    for k in (0, 2, 4):
+        assert at | {(r.query_id, k): (r.recall, r.precision) for r in evaluate.retrieval_scores(q, got, pairs, k).collect()} == at
+    assert len(at) == 3 * q.count()
+
+    rng = np.random.default_rng(8)
+    v = spark.createDataFrame([(i, x.tolist(), i % 4) for i, x in enumerate(rng.normal(size=(200, 3)))], "vec_id long, embedding array<double>, label int")
+
+    class Held:
+        def raw(self, name):
+            return v
+
+    Held.spark = spark
+    joins = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("Join ")
+    assert joins(expansion_delta(Held())) == joins(evaluate.labelled_scores(q, got, d, 4))
+    hits = {}
+    for r in evaluate.vector_topk(v.where("vec_id % 50 = 0").withColumnRenamed("vec_id", "query_id"), v, 10).collect():
+        hits.setdefault(r.query_id, {})[r.rank] = r.vec_id % 4 == r.query_id % 4
+    want = {i: (0.0, 0.0) for i in range(0, 200, 25)} | {i: (sum(x.values()) / 10, sum(x[j] for j in (1, 2, 3)) / 3) for i, x in hits.items()}
+    got = expansion_delta(Held()).collect()
+    assert len(got) == 8 and all((r.expanded, r.plain) == tuple(round(x, 6) for x in want[r.query_id]) and r.hurt == (r.expanded < r.plain) for r in got)
+
+
 def test_documents_of_one_set_are_scored_once(spark):
     """Many documents of a few sets of entities: scores meet sets, not documents, and ties go to the smaller id across sets."""
     d = spark.createDataFrame([(i, e) for i in range(60) for e in (("a",), ("a", "b"), ("b", "a"), ("c",))[i % 4]], "doc_id long, entity string")

@@ -31,7 +31,7 @@ def vector_topk(queries: DataFrame, vectors: DataFrame, k: int, digits: int = 6,
     """query_id, vec_id, score, rank: exhaustive cosine, a stated query set against all other vectors. With by, a column of vectors
     (its documents), a row is one of these with the score of its best vector: query_id, by, score, rank. Ties go to the smaller id.
 
-    Blocks of queries meet blocks of vectors, each pair of blocks in a task of its own: one product of matrices, from which
+    Blocks of queries meet blocks of vectors, each pair of blocks, by its number, in a task of its own: one product of matrices, from which
     the first k of each query go on, in their exact order: products, in single precision, only choose, and what may be
     among the first, given their error, is scored term by term as vector_scores does.
     """
@@ -47,7 +47,8 @@ def vector_topk(queries: DataFrame, vectors: DataFrame, k: int, digits: int = 6,
     q = q.withColumn("qb", deal("query_id", nq)).withColumn("vb", every(nv))
     v = v.withColumn("vb", deal("key", nv)).withColumn("qb", every(nq))
     kinds = f"query_id {q.schema['query_id'].dataType.simpleString()}, {key} {v.schema['key'].dataType.simpleString()}, score double"
-    pairs = v.repartition(nq * nv, "qb", "vb").groupBy("qb", "vb").cogroup(q.groupBy("qb", "vb"))
+    q, v = (x.withColumn("pair", F.col("qb") * nv + F.col("vb")).drop("qb", "vb").repartitionById(nq * nv, "pair").groupBy("pair") for x in (q, v))
+    pairs = v.cogroup(q)
     x = pairs.applyInArrow(_best_of_blocks(k, digits, key, by is not None), kinds).withColumn("score", F.round("score", digits))
     return x.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), key))).where(F.col("rank") <= k)
 
@@ -218,8 +219,9 @@ def retrieval_scores(queries: DataFrame, retrieved: DataFrame, qrels: DataFrame,
     """query_id, recall, precision; a query without rows in retrieved retrieved nothing. retrieved: query_id, doc_id, rank; qrels: query_id, doc_id."""
     rel = qrels.select("query_id", "doc_id").distinct()
     n = rel.groupBy("query_id").agg(F.count("*").alias("n_rel"))
-    top = retrieved.where(F.col("rank") <= max(k, 0)).select("query_id", "doc_id")
-    return _recall(queries, top.join(rel.withColumn("hit", F.lit(1)), ["query_id", "doc_id"], "left"), n, k, ["query_id"])
+    top = retrieved.where(F.col("rank") <= max(k, 0)).select("query_id", "doc_id", "rank")
+    x = _recall(queries, top.join(rel.withColumn("hit", F.lit(1)), ["query_id", "doc_id"], "left"), n, [k], ["query_id"])
+    return x.select("query_id", F.col("cuts")[0]["recall"].alias("recall"), F.col("cuts")[0]["precision"].alias("precision"))
 
 
 def labelled_scores(queries: DataFrame, retrieved: DataFrame, labels: DataFrame, k: int, *keys: str) -> DataFrame:
@@ -227,22 +229,33 @@ def labelled_scores(queries: DataFrame, retrieved: DataFrame, labels: DataFrame,
 
     queries: query_id, label (null: nothing is relevant); labels: doc_id, label; all may have further keys, which are kept apart.
     """
+    return labelled_cuts(queries, retrieved, labels, [k], *keys).select(*keys, "query_id", F.col("cuts")[0]["recall"].alias("recall"), F.col("cuts")[0]["precision"].alias("precision"))
+
+
+def labelled_cuts(queries: DataFrame, retrieved: DataFrame, labels: DataFrame, ks: list[int], *keys: str) -> DataFrame:
+    """labelled_scores at several cuts of the retrieved lists, which meet the labels once: the keys, query_id and cuts, an array of (k, recall, precision) in order of ks."""
     own = [*keys, "query_id"]
     d = labels.where("label is not null").select(*keys, "doc_id", "label").distinct()
     itself = d.select(*keys, F.col("doc_id").alias("query_id"), "label", F.lit(1).alias("itself"))
     n = queries.join(d.groupBy(*keys, "label").agg(F.count("*").alias("n")), [*keys, "label"]).join(itself, [*own, "label"], "left")
     n = n.select(*own, (F.col("n") - F.coalesce("itself", F.lit(0))).alias("n_rel")).where("n_rel > 0")
-    top = retrieved.where(F.col("rank") <= max(k, 0)).select(*own, "doc_id").join(queries.select(*own, "label"), own)
+    top = retrieved.where(F.col("rank") <= max(0, *ks)).select(*own, "doc_id", "rank").join(queries.select(*own, "label"), own)
     hit = top.join(d.withColumn("same", F.lit(1)), [*keys, "doc_id", "label"], "left").withColumn("hit", F.when(F.col("doc_id") != F.col("query_id"), F.col("same")))
-    return _recall(queries, hit, n, k, own)
+    return _recall(queries, hit, n, ks, own)
+
 
+def _recall(queries: DataFrame, hit: DataFrame, n: DataFrame, ks: list[int], own: list[str]) -> DataFrame:
+    within = [F.count_if(F.col("rank") <= max(k, 0)).alias(f"n{i}") for i, k in enumerate(ks)]
+    docs = hit.groupBy(*own, "doc_id").agg(F.max("hit").alias("hit"), *within)
+    sums = [(F.sum(f"n{i}").alias(f"n_top{i}"), F.sum(F.when(F.col("hit") == 1, F.col(f"n{i}"))).alias(f"hits{i}"), F.count_if((F.col("hit") == 1) & (F.col(f"n{i}") > 0)).alias(f"found{i}")) for i in range(len(ks))]
+    x = queries.select(*own).join(docs.groupBy(*own).agg(*[c for three in sums for c in three]), own, "left").join(n, own, "left")
 
-def _recall(queries: DataFrame, hit: DataFrame, n: DataFrame, k: int, own: list[str]) -> DataFrame:
-    got = hit.groupBy(*own).agg(F.count("*").alias("n_top"), F.count("hit").alias("hits"), F.count_distinct(F.when(F.col("hit") == 1, F.col("doc_id"))).alias("found"))
-    x = queries.select(*own).join(got, own, "left").join(n, own, "left")
-    recall = F.when(F.col("n_rel").isNull(), F.lit(1.0)).otherwise(F.coalesce("found", F.lit(0)) / F.col("n_rel"))
-    precision = F.lit(1.0) if k <= 0 else F.coalesce(F.col("hits") / F.col("n_top"), F.lit(0.0))
-    return x.select(*own, recall.alias("recall"), precision.alias("precision"))
+    def cut(i, k):
+        recall = F.when(F.col("n_rel").isNull(), F.lit(1.0)).otherwise(F.coalesce(f"found{i}", F.lit(0)) / F.col("n_rel"))
+        precision = F.lit(1.0) if k <= 0 else F.coalesce(F.when(F.col(f"n_top{i}") > 0, F.col(f"hits{i}") / F.col(f"n_top{i}")), F.lit(0.0))
+        return F.struct(F.lit(k).alias("k"), recall.alias("recall"), precision.alias("precision"))
+
+    return x.select(*own, F.array(*[cut(i, k) for i, k in enumerate(ks)]).alias("cuts"))
 
 
 def holders(queries: DataFrame, docs: DataFrame) -> DataFrame:
@@ -424,7 +437,12 @@ def arm_scores(scores: DataFrame) -> DataFrame:
 
 def expansion_delta(with_: DataFrame, without: DataFrame) -> DataFrame:
     a, b = with_.select("query_id", F.col("precision").alias("expanded")), without.select("query_id", F.col("precision").alias("plain"))
-    return a.join(b, "query_id").select("query_id", "expanded", "plain", (F.col("expanded") - F.col("plain")).alias("delta"), (F.col("expanded") < F.col("plain")).alias("hurt"))
+    return deltas(a.join(b, "query_id"))
+
+
+def deltas(both: DataFrame) -> DataFrame:
+    """expansion_delta where both precisions of a query, expanded and plain, are in one row."""
+    return both.select("query_id", "expanded", "plain", (F.col("expanded") - F.col("plain")).alias("delta"), (F.col("expanded") < F.col("plain")).alias("hurt"))
 
 
 def stage_aggregate(stages: DataFrame) -> DataFrame:
