@@ -443,6 +443,35 @@ def test_cuts_meet_the_labels_once(spark):
     assert len(got) == 8 and all((r.expanded, r.plain) == tuple(round(x, 6) for x in want[r.query_id]) and r.hurt == (r.expanded < r.plain) for r in got)
 
 
+def test_only_stretches_that_reach_the_bound_are_looked_through(monkeypatch):
+    """Where each vector has a key of its own, a block's products are not all compared with the bound; ties and the last, short turn are found."""
+    import pyarrow as pa
+
+    looked, every = [], np.flatnonzero
+    monkeypatch.setattr(np, "flatnonzero", lambda x: looked.append(np.size(x)) or every(x))
+    rng = np.random.default_rng(6)
+    for copies in (1, 9):  # of each vector
+        x = np.repeat(rng.normal(size=(1300, 8)), copies, axis=0)[:1300]
+        ids = rng.permutation(1300) * 3
+        vectors = pa.table({"vec_id": ids, "key": ids, "embedding": pa.array(x.tolist(), pa.list_(pa.float64()))})
+        some = np.arange(0, 1300, 13)
+        queries = pa.table({"query_id": ids[some], "q": pa.array(x[some].tolist(), pa.list_(pa.float64()))})
+        unit = x / np.sqrt((x * x).sum(axis=1))[:, None]
+        score = np.round(unit @ unit.T, 6)
+        for grouped in (False, True):
+            got = evaluate._best_of_blocks(5, 6, "doc_id", grouped)(vectors, queries).to_pylist()
+            want = {(ids[i], j) for i in some for j in ids[[o for o in np.lexsort((ids, -score[i])) if o != i][:5]]}
+            assert {(r["query_id"], r["doc_id"]) for r in got} == want and len(got) == 5 * len(some)
+    assert max(looked, default=0) < len(some) * 1300
+
+    about = rng.integers(0, 40, size=(50, 77)).astype(np.float32)
+    for n in (1, 10, 77, 100):
+        most = evaluate._largest(about, n)
+        assert (most == np.stack([about[:, i::n].max(axis=1) for i in range(min(n, 77))], axis=1)).all()
+        least = np.sort(most, axis=1)[:, -min(3, most.shape[1])]
+        assert sorted(zip(*evaluate._reaching(about, most, least), strict=True)) == list(zip(*np.nonzero(about >= least[:, None]), strict=True))
+
+
 def test_documents_of_one_set_are_scored_once(spark):
     """Many documents of a few sets of entities: scores meet sets, not documents, and ties go to the smaller id across sets."""
     d = spark.createDataFrame([(i, e) for i in range(60) for e in (("a",), ("a", "b"), ("b", "a"), ("c",))[i % 4]], "doc_id long, entity string")

@@ -22,7 +22,7 @@ def chunks(docs: DataFrame, size: int, overlap: int) -> DataFrame:
 
 
 #: Queries and vectors of a block; scores that a task holds at once, and pairs that it scores term by term at once.
-QUERY_BLOCK, VECTOR_BLOCK, SCORES_AT_ONCE, AT_ONCE = 8192, 16384, 1 << 20, 1 << 16
+QUERY_BLOCK, VECTOR_BLOCK, SCORES_AT_ONCE, AT_ONCE = 8192, 16384, 1 << 21, 1 << 16
 #: Stretches of a block's keys whose largest products bound a query's k-th one; they are 4 * k at least.
 STRETCHES = 512
 
@@ -125,7 +125,9 @@ def _best_of_blocks(k: int, digits: int, key: str, grouped: bool):
         margin = 2 * 10.0**-digits + 1e-9 + (width + 8) * 2.0**-22  # the last term is twice what two products of unit vectors may be off
         odd, partial = odd_v.any() or odd_q.any(), v_bad.any() or q_bad.any() or len(np.union1d(v_len, q_len)) > 1
         first = np.flatnonzero(np.diff(key_no, prepend=-1)) if grouped else np.arange(len(v))
-        starts = first[:: max(1, len(first) // max(STRETCHES, 4 * k))]  # no key is in two stretches
+        n_stretches = max(STRETCHES, 4 * k)
+        turns = len(first) == len(v)  # stretches take vectors of keys of their own in turns
+        starts = first[:: max(1, len(first) // n_stretches)]  # no key is in two stretches
         take_q, take_v, scores = [], [], []
 
         def choose(row, col, last):  # the first k of what may be among them, of whole rows of queries
@@ -157,14 +159,17 @@ def _best_of_blocks(k: int, digits: int, key: str, grouped: bool):
                 about[v_bad[None, :] | q_bad[some, None] | (v_len[None, :] != q_len[some, None]) & (nv[None, :] * nq[some, None] != 0)] = -3.0  # null scores come last
             mine = slice(*np.searchsorted(own_row, (a, some.stop)))
             about[own_row[mine] - a, own_col[mine]] = -9.0
-            most = np.maximum.reduceat(about, starts, axis=1)  # k keys reach the k-th of these
+            most = _largest(about, n_stretches) if turns else np.maximum.reduceat(about, starts, axis=1)  # k keys reach the k-th of these
             n = most.shape[1]
             least = np.partition(most, n - k, axis=1)[:, n - k].astype(np.float64) if n > k else np.full(len(most), -8.0)
             least = np.nextafter(np.maximum(least - margin, -8.0).astype(np.float32), np.float32(-np.inf))
-            near = about >= least[:, None]
-            if odd:
-                near |= (odd_v[None, :] | odd_q[some, None]) & (about > -8.5)
-            row, col = np.divmod(np.flatnonzero(near), len(v))
+            if turns and not odd:
+                row, col = _reaching(about, most, least)
+            else:
+                near = about >= least[:, None]
+                if odd:
+                    near |= (odd_v[None, :] | odd_q[some, None]) & (about > -8.5)
+                row, col = np.divmod(np.flatnonzero(near), len(v))
             held.append((row + a, col, about[row, col] == -3.0 if partial else np.zeros(len(row), bool)))
             n_held += len(row)
             if n_held >= AT_ONCE or some.stop == len(q):
@@ -177,6 +182,30 @@ def _best_of_blocks(k: int, digits: int, key: str, grouped: bool):
     return best
 
 
+def _largest(about, n: int):
+    """The largest of each row's n stretches, which take columns in turns: i, i + n, i + 2n, .."""
+    import numpy as np
+
+    most = about[:, :n].copy()
+    for i in range(n, about.shape[1], n):
+        some = about[:, i : i + n]
+        held = most[:, : some.shape[1]]
+        np.maximum(held, some, out=held)
+    return most
+
+
+def _reaching(about, most, least):
+    """Rows and columns of what is at least its row's least; only stretches whose largest is are looked through."""
+    import numpy as np
+
+    row, stretch = np.nonzero(most >= least[:, None])
+    col = stretch[:, None] + np.arange(0, about.shape[1], most.shape[1])
+    row, col = np.repeat(row, col.shape[1]), col.ravel()
+    row, col = row[col < about.shape[1]], col[col < about.shape[1]]
+    near = about[row, col] >= least[row]
+    return row[near], col[near]
+
+
 def _own(query_ids, vec_ids):
     """The places of each query and of the vectors of its own id, in order of queries."""
     import numpy as np
